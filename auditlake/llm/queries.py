@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm._shared import documents
+from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
 
 QUERIES: dict = {}
@@ -42,3 +43,47 @@ SELECT f.doc_id, max(f.n)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
 FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.pos = g.pos
 GROUP BY f.doc_id
 """
+
+
+@_query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def _license_sql() -> str:
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (label, t) in enumerate(TEMPLATES))
+    cases = " UNION ALL ".join(
+        f"SELECT doc_id, p, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM words) WHERE "
+        + " AND ".join(f"w[p + {k + 1}] = '{part}'" for k, part in enumerate(phrase.split()))
+        for phrase, label in PHRASES
+    )
+    return f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), places AS ({cases}),
+templates(t, label, tw) AS (VALUES {templates}),
+known AS (SELECT list(DISTINCT x) AS ws FROM (SELECT unnest(tw) AS x FROM templates)),
+blocks AS (
+  SELECT doc_id, list_intersect(w[s * 32 + 1 : s * 32 + 64], known.ws) AS b
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0) // 32 + 1)) AS s FROM words), known
+), matched AS (
+  SELECT doc_id, label, len(list_intersect(b, tw)) AS shared, len(tw) AS n FROM blocks, templates
+  WHERE len(b) >= ceil(0.85 * len(tw) - 1e-9)
+), labelled AS (
+  SELECT doc_id, label, shared / n AS score FROM matched WHERE shared >= ceil(0.85 * n - 1e-9)
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id
+), every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM labelled) GROUP BY doc_id
+), best AS (SELECT doc_id, max(score) AS score FROM labelled GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLES["op2_license_scan"] = _license_sql()
