@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.llm._shared import documents
 from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
+from auditlake.llm.substring_dedup import dedup_substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,3 +88,34 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOI
 
 
 ORACLES["op2_license_scan"] = _license_sql()
+
+
+@_query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept words are those between separators, so the digest doesn't depend on which texts lost any."""
+    out = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(len(w) - 12)) AS p, w FROM words WHERE len(w) >= 13
+), keyed AS (
+  SELECT doc_id, p, md5_number(array_to_string(w[p + 1 : p + 13], ' ')) AS h FROM starts
+), firsts AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first_doc FROM keyed
+), gone AS (
+  SELECT DISTINCT doc_id, p + unnest(range(13)) AS p FROM firsts WHERE first_doc < doc_id
+), removed AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words
+), kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.p) AS t FROM flat f ANTI JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
