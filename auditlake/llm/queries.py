@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.llm._shared import documents
 from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
+from auditlake.llm.near_dedup import near_duplicates
 from auditlake.llm.substring_dedup import dedup_substrings
 
 QUERIES: dict = {}
@@ -119,3 +120,35 @@ WITH words AS (
 SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@_query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+ORACLES["op8_near_dedup"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
+  FROM words
+), sets AS (SELECT doc_id, s, len(s) AS n FROM shingled),
+items AS (SELECT doc_id, n, md5_number(unnest(s)) AS h FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k
+  FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * k >= 75 * (na + nb - k)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT ways.b, reach.r FROM reach JOIN ways ON reach.doc_id = ways.a WHERE reach.r < ways.b
+)
+SELECT doc_id, any_value(sets.n)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+"""
