@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value for each byte; powers of the multiplier and of its inverse."""
     values = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
     inverse = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
@@ -32,7 +32,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _one_slice(data: np.ndarray) -> np.ndarray:
-    values, up, down = _tables()
+    values, up, down = word_tables()
     word = ~_SPACE[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

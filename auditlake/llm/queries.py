@@ -10,6 +10,7 @@ from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.near_dedup import near_duplicates
 from auditlake.llm.substring_dedup import dedup_substrings
+from auditlake.llm.toxicity import score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,3 +153,9 @@ reach(doc_id, r) AS (
 SELECT doc_id, any_value(sets.n)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
 FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
 """
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
