@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from auditlake.llm._shared import documents
 from auditlake.llm.ann import nearest
+from auditlake.llm.fingerprint import fingerprint_documents
 from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.near_dedup import near_duplicates
+from auditlake.llm.packing import pack_documents
 from auditlake.llm.substring_dedup import dedup_substrings
 from auditlake.llm.toxicity import score_toxicity
 
@@ -180,3 +182,15 @@ WITH v AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document."""
+    out = pack_documents(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_tokens", F.explode("pieces").alias("p"))
+    return out.select("doc_id", "n_tokens", "p.piece", "p.bin_id", "p.capacity", F.col("p.at").alias("bin_offset"), F.col("p.n").alias("piece_tokens"))
+
+
+@_query
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
