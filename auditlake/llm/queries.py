@@ -10,6 +10,7 @@ from auditlake.llm.ann import nearest
 from auditlake.llm.fingerprint import fingerprint_documents
 from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
+from auditlake.llm.lm_score import score_documents
 from auditlake.llm.near_dedup import near_duplicates
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.substring_dedup import dedup_substrings
@@ -194,3 +195,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
+
+
+@_query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
