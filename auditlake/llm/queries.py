@@ -13,6 +13,7 @@ from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.lm_score import score_documents
 from auditlake.llm.near_dedup import near_duplicates
 from auditlake.llm.packing import pack_documents
+from auditlake.llm.sentencepiece_scan import decode_documents, encode_documents
 from auditlake.llm.substring_dedup import dedup_substrings
 from auditlake.llm.toxicity import score_toxicity
 
@@ -200,3 +201,14 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
+
+
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), SENTENCEPIECE_MODEL)
+    digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "token_score", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
+    decoded = decode_documents(digest, SENTENCEPIECE_MODEL)
+    return decoded.select("doc_id", "n_tokens", "token_score", "ids_sha256", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
