@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 FLOOR = 1e-300
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that is used in several places would be evaluated in each."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _poisson(theta: Column) -> Column:
     return theta.isNull() | (theta == float("inf"))
 
@@ -34,8 +39,8 @@ def zinb_cdf(x: Column, pi: Column, theta: Column, mu: Column) -> Column:
 
 def zinb_cdf_dt(x: Column, pi: Column, theta: Column, mu: Column, v: Column) -> Column:
     """Distributional transform: between the CDF below x and at x, at share v. Below zero it starts at pi."""
-    low = F.when(x <= 0, pi).otherwise(zinb_cdf(x - 1, pi, theta, mu))
-    return low + v * (zinb_cdf(x, pi, theta, mu) - low)
+    ends = F.struct(F.when(x <= 0, pi).otherwise(zinb_cdf(x - 1, pi, theta, mu)).alias("low"), zinb_cdf(x, pi, theta, mu).alias("up"))
+    return let(ends, lambda e: e["low"] + v * (e["up"] - e["low"]))
 
 
 def zinb_uniform(x: Column, pi: Column, theta: Column, mu: Column, v: Column) -> Column:
@@ -45,10 +50,10 @@ def zinb_uniform(x: Column, pi: Column, theta: Column, mu: Column, v: Column) ->
 
 def nudged_transform(x: Column, pi: Column, theta: Column, mu: Column, v: Column, eps: float = 1e-5) -> Column:
     """The fitting side's transform: from zero at x = 0, moved off 0 and 1 by eps."""
-    low = F.when(x <= 0, 0.0).otherwise(zinb_cdf(x - 1, pi, theta, mu))
-    r = low + v * (zinb_cdf(x, pi, theta, mu) - low)
-    r = F.when(1 - r < eps, r - eps).otherwise(r)
-    return F.when(r < eps, r + eps).otherwise(r)
+    ends = F.struct(F.when(x <= 0, 0.0).otherwise(zinb_cdf(x - 1, pi, theta, mu)).alias("low"), zinb_cdf(x, pi, theta, mu).alias("up"))
+    share = let(ends, lambda e: e["low"] + v * (e["up"] - e["low"]))
+    top = let(share, lambda r: F.when(1 - r < eps, r - eps).otherwise(r))
+    return let(top, lambda r: F.when(r < eps, r + eps).otherwise(r))
 
 
 def _log_sum(upto: Column, term) -> Column:
@@ -86,6 +91,10 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 def qnorm(p: Column) -> Column:
     """Inverse of the normal distribution function; null outside (0, 1)."""
+    return let(p, _qnorm)
+
+
+def _qnorm(p: Column) -> Column:
     q, tail = p - 0.5, F.sqrt(-2 * F.log(F.least(p, 1 - p)))
     r = q * q
     middle = _horner(r, _A) * q / (_horner(r, _B) * r + 1)

@@ -25,7 +25,7 @@ def strip_zero(x: Column) -> Column:
 
 
 def mean_std(mean: Column, std: Column, digits: int = 3) -> Column:
-    return F.concat(F.format_number(mean, f"0.{'0' * digits}"), F.lit(" ± "), F.format_number(F.coalesce(std, F.lit(0.0)), f"0.{'0' * digits}"))
+    return F.format_string(f"%.{digits}f ± %.{digits}f", mean, F.coalesce(std, F.lit(0.0)))
 
 
 def epsilon_label(variant: Column) -> Column:

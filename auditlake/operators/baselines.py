@@ -21,13 +21,13 @@ def block_distances(left: DataFrame, right: DataFrame, key: str, reduce, schema:
     n_left, n_right = sized(left), sized(right)
     dealt = lambda df, n, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int")
     a = left.select(F.col(key).alias("id"), "v", dealt(left, n_left, 1).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    b = right.select(F.col(key).alias("id"), "v", dealt(right, n_right, 2).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    b = right.select(F.col(key).alias("jd"), F.col("v").alias("w"), dealt(right, n_right, 2).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame(columns=names)
-        return reduce(p["id"].to_numpy(), np.stack(p["v"].to_numpy()), q["id"].to_numpy(), np.stack(q["v"].to_numpy()))
+        return reduce(p["id"].to_numpy(), np.stack(p["v"].to_numpy()), q["jd"].to_numpy(), np.stack(q["w"].to_numpy()))
 
     return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, schema)
 

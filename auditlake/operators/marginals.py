@@ -48,7 +48,7 @@ def fit_counts(x: np.ndarray, n: np.ndarray, mode: str = "auto", p_value: float
     def best_theta(weights: np.ndarray, mu: float) -> float:
         low, high = np.log(1e-3), np.log(1e6)
         f = lambda t: (weights * _log_nb(x, np.exp(t), mu)).sum()
-        for _ in range(60):  # golden section on log theta
+        for _ in range(24):  # golden section on log theta
             a, b = high - 0.618034 * (high - low), low + 0.618034 * (high - low)
             low, high = (low, b) if f(a) > f(b) else (a, high)
         return float(np.exp((low + high) / 2))
@@ -59,7 +59,7 @@ def fit_counts(x: np.ndarray, n: np.ndarray, mode: str = "auto", p_value: float
 
     def inflated(nb: bool) -> tuple[float, tuple[float, float, float]]:
         pi, mu, theta, ll = 0.5 * n[x == 0].sum() / total, mean, 1.0 if nb else np.inf, -np.inf
-        for _ in range(200):
+        for _ in range(25):
             p = np.exp(_log_nb(x, theta, mu)) * (1 - pi)
             extra = np.where(x == 0, pi / (pi + p + 1e-300), 0.0)
             pi = (extra * n).sum() / total
@@ -68,7 +68,7 @@ def fit_counts(x: np.ndarray, n: np.ndarray, mode: str = "auto", p_value: float
             theta = best_theta(weights, mu) if nb else np.inf
             p = np.exp(_log_nb(x, theta, mu)) * (1 - pi)
             new = (n * np.log(np.where(x == 0, pi + p, p) + 1e-300)).sum()
-            if new - ll < 1e-8:
+            if new - ll < 1e-6:
                 break
             ll = new
         return ll, (pi, theta, mu)
@@ -129,8 +129,10 @@ def average_ranks(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def gaussian_copula(dense: DataFrame, marginals: DataFrame, by: list[str], v: float = 0.5) -> DataFrame:
     """Correlations of the normal scores of the counts' distributional transforms."""
-    mapped = dense.join(marginals, [*by, "gene"]).withColumn("z", qnorm(nudged_transform(F.col("cnt"), F.col("pi"), F.col("theta"), F.col("mu"), F.lit(v))))
-    return correlations(mapped, by, "z")
+    args = [F.col(c) for c in ("cnt", "pi", "theta", "mu")]
+    # each distinct count is transformed once
+    table = dense.select(*by, "gene", "cnt").distinct().join(marginals, [*by, "gene"]).withColumn("z", qnorm(nudged_transform(*args, F.lit(v))))
+    return correlations(dense.join(table.select(*by, "gene", "cnt", "z"), [*by, "gene", "cnt"]), by, "z")
 
 
 def _poisson_quantile(u: np.ndarray, pi: float, theta: float, mu: float) -> np.ndarray:

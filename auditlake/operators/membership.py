@@ -21,12 +21,15 @@ def shared_genes(synth: DataFrame, aux: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mapped(dense: DataFrame, model: DataFrame, by: list[str], sides: str = "sa") -> DataFrame:
-    """u_s, u_a: counts through each side's distribution; c_s, c_a: its mean through it. Models are by gene, not by cell."""
-    rows = dense.join(model, [*by, "gene"])
+    """u_s, u_a: counts through each side's distribution; c_s, c_a: its mean through it; l_s, l_a: log probabilities.
+
+    Each distinct count of a gene is mapped once, and the cells look it up.
+    """
+    table = dense.select(*by, "gene", "cnt").distinct().join(model, [*by, "gene"])
     for s in sides:
         p = [F.col(f"{c}_{s}") for c in ("pi", "theta", "mu")]
-        rows = rows.withColumns({f"u_{s}": zinb_cdf(F.col("cnt"), *p), f"c_{s}": zinb_cdf(p[2], *p)})
-    return rows
+        table = table.withColumns({f"u_{s}": zinb_cdf(F.col("cnt"), *p), f"c_{s}": zinb_cdf(p[2], *p), f"l_{s}": zinb_log_pmf(F.col("cnt"), *p)})
+    return dense.join(table, [*by, "gene", "cnt"])
 
 
 def quadratic_distances(rows: DataFrame, precision: DataFrame, by: list[str], keys: list[str], side: str) -> DataFrame:
@@ -79,10 +82,8 @@ def closeness_only(d_s: Column, eps: float = EPS) -> Column:
 
 def evidence(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Per cell: llr, the no-aux log probability, the diagonal distances' log ratio, and the number of genes."""
-    log_p = lambda s: zinb_log_pmf(F.col("cnt"), F.col(f"pi_{s}"), F.col(f"theta_{s}"), F.col(f"mu_{s}"))
     off = lambda s: F.sum(F.pow(F.col(f"u_{s}") - 0.5, 2)) * 12
-    logged = rows.withColumns({"_s": log_p("s"), "_a": log_p("a")})
-    grouped = logged.groupBy(*keys, *by).agg(F.sum(F.col("_s") - F.col("_a")).alias("llr"), F.sum("_s").alias("log_s"), off("s").alias("_ds"), off("a").alias("_da"), F.count("*").alias("n_genes"))
+    grouped = rows.groupBy(*keys, *by).agg(F.sum(F.col("l_s") - F.col("l_a")).alias("llr"), F.sum("l_s").alias("log_s"), off("s").alias("_ds"), off("a").alias("_da"), F.count("*").alias("n_genes"))
     return grouped.withColumn("diag", 0.5 * (F.log(F.greatest("_da", F.lit(1e-300))) - F.log(F.greatest("_ds", F.lit(1e-300))))).drop("_ds", "_da")
 
 

@@ -13,10 +13,10 @@ from auditlake.operators.baselines import block_distances, squared
 def roc_auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Rank-sum AUC from counts at distinct scores; null with one class only."""
     by = by or []
-    hist = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = hist.withColumn("r", before + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("pos"), (F.sum("n") - F.sum("p")).alias("neg"))
+    hist = rows.groupBy(*by, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = hist.withColumn("_r", before + (F.col("_n") + 1) / 2)
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_p")).alias("rs"), F.sum("_p").alias("pos"), (F.sum("_n") - F.sum("_p")).alias("neg"))
     return sums.select(*by, F.try_divide(F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
 
 

@@ -50,7 +50,8 @@ def hvg_cutoff(dispersion: DataFrame, min_mean: float = 0.0125, max_mean: float
 
 
 def hvg_top(dispersion: DataFrame, n: int) -> DataFrame:
-    """All genes at least as dispersed as the n-th; ties may exceed n."""
+    """All genes at least as dispersed as the n-th, to nine decimals; ties may exceed n."""
+    dispersion = dispersion.withColumn("disp_norm", F.round("disp_norm", 9))
     cut = dispersion.where("disp_norm is not null").orderBy(F.desc("disp_norm")).limit(n).agg(F.min("disp_norm").alias("cut"))
     return dispersion.crossJoin(F.broadcast(cut)).withColumn("highly_variable", F.coalesce(F.col("disp_norm") >= F.col("cut"), F.lit(False))).drop("cut")
 

@@ -117,13 +117,13 @@ def roc_points(spark, sf_dir):
 
 
 @query(_CURVE + """, s AS (SELECT *, coalesce(lag(tp) OVER w, 0) AS tp0, coalesce(lag(fp) OVER w, 0) AS fp0, coalesce(lag(tp / pos) OVER w, 0) AS r0, coalesce(lag(tp / (tp + fp)) OVER w, 1) AS p0 FROM c WINDOW w AS (ORDER BY threshold DESC)),
-m AS (SELECT median(score) AS m FROM b), h AS (SELECT count(*) FILTER (WHERE score > m AND y = 1) AS tp, count(*) FILTER (WHERE score > m AND y = 0) AS fp, count(*) FILTER (WHERE score <= m AND y = 1) AS fn, count(*) FILTER (WHERE score <= m AND y = 0) AS tn FROM b, m),
+m AS (SELECT median(score) AS m FROM b), hh AS (SELECT count(*) FILTER (WHERE score > m AND y = 1) AS tp, count(*) FILTER (WHERE score > m AND y = 0) AS fp, count(*) FILTER (WHERE score <= m AND y = 1) AS fn, count(*) FILTER (WHERE score <= m AND y = 0) AS tn FROM b, m),
 r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM b)
 SELECT round(sum((tp / pos - r0) * tp / (tp + fp)), 6) AS average_precision, round(sum((tp / pos - r0) * (tp / (tp + fp) + p0) / 2), 6) AS pr_auc,
 round(max((tp0 + neg - fp0) / (pos + neg)), 6) AS accuracy_best, round(max(2 * tp0 / (tp0 + fp0 + pos)), 6) AS f1_best,
-round(arg_min(tp / pos, fp * 1e9 - tp) FILTER (WHERE fp / neg >= 0.01), 6) AS tpr_at_fpr_001, round(arg_min(tp / pos, fp * 1e9 - threshold) FILTER (WHERE fp / neg >= 0.1), 6) AS tpr_at_fpr_01,
-(SELECT round((tp + tn) / (tp + tn + fp + fn), 6) FROM h) AS accuracy_median, (SELECT round(2 * tp / (2 * tp + fp + fn), 6) FROM h) AS f1_median,
-(SELECT round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM r) AS auc FROM s""".replace("fp * 1e9 - tp", "fp * 1e9 - threshold"))
+round(arg_min(tp / pos, fp * 1e9 - threshold) FILTER (WHERE fp / neg >= 0.01), 6) AS tpr_at_fpr_001, round(arg_min(tp / pos, fp * 1e9 - threshold) FILTER (WHERE fp / neg >= 0.1), 6) AS tpr_at_fpr_01,
+(SELECT round((tp + tn) / (tp + tn + fp + fn), 6) FROM hh) AS accuracy_median, (SELECT round(2 * tp / (2 * tp + fp + fn), 6) FROM hh) AS f1_median,
+(SELECT round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) FROM r) AS auc FROM s""")
 def threshold_metrics(spark, sf_dir):
     m = metrics.threshold_metrics(_binary(spark, sf_dir), "y", "score")
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))

@@ -58,7 +58,7 @@ def transposed_matrix(spark, sf_dir):
     """A nations-by-regions indicator matrix, unpivoted as a features-by-samples file would be."""
     names = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
     nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    wide = nation.groupBy("n_name").pivot("r_name", names).agg(F.count("*"))
+    wide = nation.groupBy("n_name").pivot("r_name", names).agg(F.count(F.lit(1)))
     return wide.unpivot("n_name", names, "feature", "value").select(F.col("n_name").alias("sample"), "feature", F.coalesce("value", F.lit(0)).cast("double").alias("value"))
 
 
@@ -116,7 +116,7 @@ def hvg_cutoff(spark, sf_dir):
     return _rounded(prep.hvg_cutoff(_dispersion(spark, sf_dir), max_mean=8.0))
 
 
-@query(_DISPERSION + "SELECT gene, round(mean, 6) AS mean, round(disp, 6) AS disp, bin, round(disp_norm, 6) AS disp_norm, disp_norm >= (SELECT min(disp_norm) FROM (SELECT disp_norm FROM z ORDER BY disp_norm DESC LIMIT 10)) AS highly_variable FROM z")
+@query(_DISPERSION + "SELECT gene, round(mean, 6) AS mean, round(disp, 6) AS disp, bin, round(disp_norm, 6) AS disp_norm, round(disp_norm, 9) >= (SELECT min(disp_norm) FROM (SELECT round(disp_norm, 9) AS disp_norm FROM z ORDER BY disp_norm DESC LIMIT 10)) AS highly_variable FROM z")
 def hvg_top_n(spark, sf_dir):
     return _rounded(prep.hvg_top(_dispersion(spark, sf_dir), 10))
 
@@ -214,7 +214,7 @@ def _grid(spark):
     return rows, [F.col(c) for c in ("x", "pi", "theta", "mu")]
 
 
-@query(f"WITH {_GRID} SELECT x, pi::DOUBLE AS pi, theta::DOUBLE AS theta, mu::DOUBLE AS mu, round(pi + (1 - pi) * sum(p) FILTER (WHERE k <= x), 9)::DOUBLE AS cdf FROM pmf GROUP BY ALL")
+@query(f"WITH {_GRID} SELECT x, pi::DOUBLE AS pi, theta::DOUBLE AS theta, mu::DOUBLE AS mu, round(pi + (1 - pi) * sum(p) FILTER (WHERE k <= x), 9)::DOUBLE AS cdf FROM pmf GROUP BY x, pi, theta, mu")
 def zinb_cdf_grid(spark, sf_dir):
     rows, args = _grid(spark)
     return rows.withColumn("cdf", F.round(zinb_cdf(*args), 9))
