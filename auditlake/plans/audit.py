@@ -10,7 +10,7 @@ from auditlake.functions.activation import activate, activate_from_logits
 from auditlake.operators import marginals, membership, metrics, reports
 from auditlake.plans.registry import query
 from auditlake.sources.tables import table
-from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, cells, dense, expr, profile
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, GENES, cells, dense, expr, profile
 
 BY = ["cell_type"]
 KEYS = ["cell_id", "donor_id", "member"]
@@ -60,19 +60,18 @@ def class_b_llr(spark, sf_dir):
     return _llr(spark, sf_dir).withColumn("llr", F.round("llr", 6))
 
 
-@query(f"""WITH {_MODEL_SQL} SELECT cell_id, round(sum(cnt * ln(mu_s) - mu_s - lgamma(cnt + 1)), 6) AS log_s, count(*) AS n_genes FROM t WHERE cell_type = '2-HIGH' AND gene < 8 GROUP BY 1""")
+@query(f"""WITH {_MODEL_SQL} SELECT cell_id, round(sum(cnt * ln(mu_s) - mu_s - lgamma(cnt + 1)), 6) AS log_s, count(*) AS n_genes FROM t GROUP BY 1""")
 def class_b_alone(spark, sf_dir):
-    rows = _targets(spark, sf_dir).where("cell_type = '2-HIGH' and gene < 8")
-    e = membership.evidence(membership.mapped(rows, _models(spark, sf_dir), BY), KEYS, BY)
+    e = membership.evidence(_mapped(spark, sf_dir), KEYS, BY)
     return e.select("cell_id", F.round("log_s", 6).alias("log_s"), "n_genes")
 
 
 _CDF_SQL = """cdf AS (SELECT t.*, list_sum(list_transform(range(cnt + 1), lambda k: exp(k * ln(mu_s) - mu_s - lgamma(k + 1)))) AS u_s, list_sum(list_transform(range(cnt + 1), lambda k: exp(k * ln(mu_a) - mu_a - lgamma(k + 1)))) AS u_a,
-  list_sum(list_transform(range(floor(mu_s)::INT + 1), lambda k: exp(k * ln(mu_s) - mu_s - lgamma(k + 1)))) AS c_s, list_sum(list_transform(range(floor(mu_a)::INT + 1), lambda k: exp(k * ln(mu_a) - mu_a - lgamma(k + 1)))) AS c_a FROM t WHERE gene < 4)"""
+  list_sum(list_transform(range(floor(mu_s)::INT + 1), lambda k: exp(k * ln(mu_s) - mu_s - lgamma(k + 1)))) AS c_s, list_sum(list_transform(range(floor(mu_a)::INT + 1), lambda k: exp(k * ln(mu_a) - mu_a - lgamma(k + 1)))) AS c_a FROM t)"""
 
 
 def _mapped(spark, sf_dir):
-    return membership.mapped(_targets(spark, sf_dir).where("gene < 4"), _models(spark, sf_dir), BY)
+    return membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY)
 
 
 @query(f"WITH {_MODEL_SQL}, {_CDF_SQL} SELECT cell_id, round(0.5 * (ln(greatest(12 * sum((u_a - 0.5) ** 2), 1e-300)) - ln(greatest(12 * sum((u_s - 0.5) ** 2), 1e-300))), 6) AS diag FROM cdf GROUP BY 1")
@@ -90,8 +89,8 @@ _DISTANCES_SQL = f"""{_CDF_SQL}, dist AS (SELECT i.cell_id, any_value(i.donor_id
 
 def _precision(spark):
     types = spark.createDataFrame([(t,) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "cell_type string")
-    pairs = spark.createDataFrame([(i, j, 1.2 if i == j else 0.3 ** abs(i - j)) for i in range(4) for j in range(4)], "gi int, gj int, p double")
-    return types.crossJoin(pairs)  # 5 types, 16 pairs
+    pairs = spark.createDataFrame([(i, j, 1.2 if i == j else 0.3 ** abs(i - j)) for i in range(GENES) for j in range(GENES)], "gi int, gj int, p double")
+    return types.crossJoin(pairs)  # 5 types, genes squared
 
 
 def _distances(spark, sf_dir):
@@ -110,10 +109,10 @@ def mahalanobis_both(spark, sf_dir):
 @query()
 def mahalanobis_fitted(spark, sf_dir):
     """The production form: copula correlations of the training cells, their pseudo-inverse, one Arrow pass over cells."""
-    d = dense(spark, sf_dir).where("role = 0 and gene < 8")
+    d = dense(spark, sf_dir).where("role = 0")
     fitted = marginals.poisson_marginals(d, BY)
     p = membership.precision_matrices(marginals.gaussian_copula(d, fitted, BY), "cell_type")
-    rows = membership.mapped(_targets(spark, sf_dir).where("gene < 8"), _models(spark, sf_dir), BY, "s")
+    rows = membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY, "s")
     delta = F.transform(F.array_sort(F.collect_list(F.struct("gene", (F.col("u_s") - F.col("c_s")).alias("d")))), lambda x: x["d"])
     return membership.matrix_distances(rows.groupBy(*KEYS, *BY).agg(delta.alias("delta")), p)
 
@@ -168,11 +167,11 @@ def subgroup_auc(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "member_mean", "other_mean", "auc", "score_gap")})
 
 
-@query(f"""WITH {_MODEL_SQL}, {_CDF_SQL}, pairs AS (SELECT i.cell_id, sum((abs(0.5 - 0.1 * (j.gene - i.gene)) + abs(0.4 - 0.1 * (j.gene - i.gene))) / 2 * (1 - abs(i.u_s - j.u_s) / greatest(i.u_s, j.u_s)) / (1 - abs(i.u_a - j.u_a) / greatest(i.u_a, j.u_a) + 1e-4)) AS p
+@query(f"""WITH {_MODEL_SQL}, {_CDF_SQL}, pairs AS (SELECT i.cell_id, sum((0.8 ** (j.gene - i.gene) + 0.7 ** (j.gene - i.gene)) / 2 * (1 - abs(i.u_s - j.u_s) / greatest(i.u_s, j.u_s)) / (1 - abs(i.u_a - j.u_a) / greatest(i.u_a, j.u_a) + 1e-4)) AS p
   FROM cdf i JOIN cdf j ON i.cell_id = j.cell_id AND i.gene < j.gene GROUP BY 1), own AS (SELECT cell_id, sum(0.17 * (1 - 2 * abs(u_s - 0.5)) / (1 - 2 * abs(u_s - 0.5) + 1e-4)) AS g FROM cdf GROUP BY 1)
 SELECT cell_id, round(coalesce(p, 0) + g, 6) AS score FROM own LEFT JOIN pairs USING (cell_id)""")
 def pairwise_score(spark, sf_dir):
-    pairs = [(t, i, j, 0.5 - 0.1 * (j - i), 0.4 - 0.1 * (j - i)) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for i in range(4) for j in range(i + 1, 4)]
+    pairs = [(t, i, j, 0.8 ** (j - i), 0.7 ** (j - i)) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for i in range(GENES) for j in range(i + 1, GENES)]
     corr = spark.createDataFrame(pairs, "cell_type string, gi int, gj int, r_s double, r_a double")
     return membership.pairwise_score(_mapped(spark, sf_dir), corr, BY, KEYS).select("cell_id", F.round("score", 6).alias("score"))
 
@@ -250,5 +249,5 @@ def ablation_grid(spark, sf_dir):
 
 @query()
 def mvn_generator(spark, sf_dir):
-    v = profile(spark, sf_dir).where("role = 0").select("cell_type", F.slice("counts", 1, 6).cast("array<double>").alias("v"))
+    v = profile(spark, sf_dir).where("role = 0").select("cell_type", F.col("counts").cast("array<double>").alias("v"))
     return membership.mvn_groups(v, "cell_type", 200, 0.1)

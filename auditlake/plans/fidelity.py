@@ -178,13 +178,13 @@ def differential_recovery(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("tpr", "fpr", "precision")})
 
 
-_EDGES = f"""WITH {DENSE_SQL}, c AS (SELECT a.role % 2 AS side, greatest(a.gene, b.gene)::VARCHAR || '_' || least(a.gene, b.gene)::VARCHAR AS edge, corr(a.cnt, b.cnt) AS r FROM dense a JOIN dense b ON a.cell_id = b.cell_id AND a.gene < b.gene
-  WHERE a.gene < 12 AND b.gene < 12 GROUP BY ALL), e AS (SELECT side, edge FROM c WHERE abs(r) > 0.01)"""
+_EDGES = f"""WITH {DENSE_SQL}, c AS (SELECT a.role % 2 AS side, greatest(a.gene, b.gene)::VARCHAR || '_' || least(a.gene, b.gene)::VARCHAR AS edge, CASE WHEN isfinite(corr(a.cnt, b.cnt)) THEN corr(a.cnt, b.cnt) END AS r FROM dense a JOIN dense b ON a.cell_id = b.cell_id AND a.gene < b.gene
+  GROUP BY ALL), e AS (SELECT side, edge FROM c WHERE abs(r) > 0.01)"""
 
 
 @query(_EDGES + "SELECT count(*) FILTER (WHERE s = 0) AS n_real, count(*) FILTER (WHERE s = 1) AS n_synth, (SELECT count(*) FROM (SELECT edge FROM e WHERE side = 0 INTERSECT SELECT edge FROM e WHERE side = 1)) AS shared FROM (SELECT side AS s FROM e)")
 def coexpression_overlap(spark, sf_dir):
-    rows = dense(spark, sf_dir).where("gene < 12").withColumn("side", (F.col("role") % 2).cast("int"))
+    rows = dense(spark, sf_dir).withColumn("side", (F.col("role") % 2).cast("int"))
     edges = marginals.correlations(rows, ["side"], "cnt").where("gi < gj and abs(r) > 0.01").select("side", metrics.edge_key(F.col("gi"), F.col("gj")).alias("edge"))
     return edges.groupBy("edge").agg(F.max((F.col("side") == 0).cast("int")).alias("r"), F.max((F.col("side") == 1).cast("int")).alias("s")).agg(F.coalesce(F.sum("r"), F.lit(0)).alias("n_real"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_synth"), F.coalesce(F.sum(F.col("r") * F.col("s")), F.lit(0)).alias("shared"))
 
@@ -199,14 +199,15 @@ def mean_correlations(spark, sf_dir):
     return ranked.agg(F.round(F.corr("a", "b"), 6).alias("pcc"), F.round(F.corr("ra", "rb"), 6).alias("scc"))
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS t, list(DISTINCT o_custkey % 50) AS s FROM orders WHERE o_custkey % 3 = 0 OR o_orderstatus = 'F' GROUP BY 1)
+@query("""WITH s AS (SELECT o_orderpriority AS t, list(DISTINCT o_custkey) AS s FROM orders GROUP BY 1)
 SELECT a.t AS a, b.t AS b, len(list_intersect(a.s, b.s))::INT AS shared, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.t < b.t""")
 def jaccard_sets(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0 or o_orderstatus = 'F'")
-    s = o.groupBy(F.col("o_orderpriority").alias("t")).agg(F.collect_set(F.col("o_custkey") % 50).alias("s"))  # five types
-    a, b = s.select(F.col("t").alias("a"), F.col("s").alias("x")), s.select(F.col("t").alias("b"), F.col("s").alias("y"))
-    both = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.round(metrics.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    """Donors that two types share; a donor's types, five at most, make its pairs, and sets are never gathered."""
+    each = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("d"), F.col("o_orderpriority").alias("t")).distinct()
+    sizes = each.groupBy("t").agg(F.count("*").alias("n"))
+    pairs = each.join(each.withColumnRenamed("t", "b"), "d").where("t < b").groupBy(F.col("t").alias("a"), "b").agg(F.count("*").cast("int").alias("shared"))
+    both = pairs.join(sizes.select(F.col("t").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("t").alias("b"), F.col("n").alias("y")), "b")
+    return both.select("a", "b", "shared", F.round(F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")), 6).alias("jaccard"))
 
 
 @query()

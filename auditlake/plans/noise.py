@@ -45,13 +45,13 @@ def laplace_quantiles(spark, sf_dir):
 
 
 def _copula(spark, sf_dir):
-    d = dense(spark, sf_dir).where("role = 0 and gene < 8")
+    d = dense(spark, sf_dir).where("role = 0")
     return marginals.gaussian_copula(d, marginals.moment_marginals(d, ["cell_type"]), ["cell_type"])
 
 
 @query()
 def noisy_correlations(spark, sf_dir):
-    grid = privacy.sigma_grid(privacy.donor_extent(cells(spark, sf_dir).where("role = 0"), ["cell_type"]), 8, [100.0])
+    grid = privacy.sigma_grid(privacy.donor_extent(cells(spark, sf_dir).where("role = 0"), ["cell_type"]), 32, [100.0])
     return privacy.noisy_correlations(_copula(spark, sf_dir), grid.where("variant = 'v2'"), "cell_type")
 
 

@@ -199,7 +199,7 @@ def moment_marginals(spark, sf_dir):
 
 @query()
 def fitted_marginals(spark, sf_dir):
-    return marginals.fitted_marginals(dense(spark, sf_dir).where("role = 0 and gene < 8"), ["cell_type"])
+    return marginals.fitted_marginals(dense(spark, sf_dir).where("role = 0"), ["cell_type"])
 
 
 _GRID = """g AS (SELECT x.range::INT AS x, p.pi, t.theta, m.mu FROM range(12) x, (VALUES (0.0), (0.2)) p(pi), (VALUES (0.5), (2.0), (7.5)) t(theta), (VALUES (0.7), (3.0), (9.0)) m(mu)),
@@ -250,25 +250,25 @@ def normal_scores(spark, sf_dir):
     return rows.withColumn("u", nudged_transform(*args, F.lit(0.5))).withColumn("z", qnorm(F.col("u")))
 
 
-@query(f"""WITH {DENSE_SQL}, n AS (SELECT gi.cell_type, gi.gene AS gi, gj.gene AS gj, corr(gi.cnt, gj.cnt) AS r FROM dense gi JOIN dense gj ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene
-  WHERE gi.gene < 6 AND gj.gene < 6 GROUP BY ALL) SELECT cell_type, gi, gj, round(r, 6) AS r FROM n""")
+@query(f"""WITH {DENSE_SQL}, n AS (SELECT gi.cell_type, gi.gene AS gi, gj.gene AS gj, CASE WHEN isfinite(corr(gi.cnt, gj.cnt)) THEN corr(gi.cnt, gj.cnt) END AS r FROM dense gi JOIN dense gj ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene
+  GROUP BY ALL) SELECT cell_type, gi, gj, round(r, 6) AS r FROM n""")
 def gene_correlations(spark, sf_dir):
-    r = marginals.correlations(dense(spark, sf_dir).where("gene < 6"), ["cell_type"], "cnt")
+    r = marginals.correlations(dense(spark, sf_dir), ["cell_type"], "cnt")
     return r.withColumn("r", F.round("r", 6))
 
 
 @query(f"""WITH {DENSE_SQL} SELECT gi.cell_type, gi.gene AS gi, gj.gene AS gj, round(sum(gi.cnt * gj.cnt) / greatest(count(*) - 1, 1), 6) AS r FROM dense gi JOIN dense gj
-  ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene WHERE gi.gene < 6 AND gj.gene < 6 GROUP BY ALL""")
+  ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene GROUP BY ALL""")
 def gene_second_moments(spark, sf_dir):
-    return marginals.second_moments(dense(spark, sf_dir).where("gene < 6"), ["cell_type"], "cnt").withColumn("r", F.round("r", 6))
+    return marginals.second_moments(dense(spark, sf_dir), ["cell_type"], "cnt").withColumn("r", F.round("r", 6))
 
 
-_SPEARMAN = f"""WITH {DENSE_SQL}, r AS (SELECT cell_id, gene, role % 2 AS side, rank() OVER w + (count(*) OVER (PARTITION BY role % 2, gene, cnt) - 1) / 2 AS r FROM dense WHERE gene < 6
-  WINDOW w AS (PARTITION BY role % 2, gene ORDER BY cnt)), m AS (SELECT a.side, a.gene AS gi, b.gene AS gj, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY ALL)"""
+_SPEARMAN = f"""WITH {DENSE_SQL}, r AS (SELECT cell_id, gene, role % 2 AS side, rank() OVER w + (count(*) OVER (PARTITION BY role % 2, gene, cnt) - 1) / 2 AS r FROM dense
+  WINDOW w AS (PARTITION BY role % 2, gene ORDER BY cnt)), m AS (SELECT a.side, a.gene AS gi, b.gene AS gj, CASE WHEN isfinite(corr(a.r, b.r)) THEN corr(a.r, b.r) END AS rho FROM r a JOIN r b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY ALL)"""
 
 
 def _spearman(spark, sf_dir):
-    rows = dense(spark, sf_dir).where("gene < 6").withColumn("side", (F.col("role") % 2).cast("int"))
+    rows = dense(spark, sf_dir).withColumn("side", (F.col("role") % 2).cast("int"))
     ranked = marginals.average_ranks(rows, ["side", "gene"], "cnt")
     return marginals.correlations(ranked, ["side"], "rank").where("gi < gj")
 
@@ -287,14 +287,14 @@ def correlation_of_correlations(spark, sf_dir):
 
 @query()
 def copula_correlations(spark, sf_dir):
-    d = dense(spark, sf_dir).where("role = 0 and gene < 8")
+    d = dense(spark, sf_dir).where("role = 0")
     return marginals.gaussian_copula(d, marginals.moment_marginals(d, ["cell_type"]), ["cell_type"])
 
 
 @query()
 def copula_sample(spark, sf_dir):
     """Synthetic cells as many as the training ones of each type."""
-    d = dense(spark, sf_dir).where("role = 0 and gene < 8")
+    d = dense(spark, sf_dir).where("role = 0")
     m = marginals.moment_marginals(d, ["cell_type"])
     n = cells(spark, sf_dir).where("role = 0").groupBy("cell_type").agg(F.count("*").alias("n"))
     return marginals.sample_copula(m, marginals.gaussian_copula(d, m, ["cell_type"]), n, "cell_type")

@@ -19,11 +19,11 @@ def _results(spark, sf_dir):
 
 
 def _summary(spark, sf_dir, sample):
-    out = reports.trial_summary(_results(spark, sf_dir).where("not (nd = 3 and trial = 4)"), ["method", "nd"], "auc", sample, planned=5)
+    out = reports.trial_summary(_results(spark, sf_dir), ["method", "nd"], "auc", sample, planned=6)
     return out.select("method", "nd", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n", F.col("label").endswith("*").alias("starred"))
 
 
-_SUMMARY = f"WITH {_RESULTS} SELECT method, nd, round(avg(auc), 9) AS mean, round({{}}(auc), 9) AS std, count(*) AS n, count(*) < 5 AS starred FROM r WHERE NOT (nd = 3 AND trial = 4) GROUP BY ALL"
+_SUMMARY = f"WITH {_RESULTS} SELECT method, nd, round(avg(auc), 9) AS mean, round({{}}(auc), 9) AS std, count(*) AS n, count(*) < 6 AS starred FROM r GROUP BY ALL"
 
 
 @query(_SUMMARY.format("stddev_pop"))
@@ -55,12 +55,16 @@ def results_pivot(spark, sf_dir):
     return wide.select("method", *(F.round(str(i), 9).alias(f"nd{i}") for i in range(4)))
 
 
-_DONE = "w AS (SELECT DISTINCT o_orderpriority AS method, o_custkey % 20 AS nd, (o_orderkey % 5)::BIGINT AS trial FROM orders), d AS (SELECT method, nd, trial, (nd + trial) % 2 = 0 AS fresh FROM w WHERE (nd * 3 + trial) % 4 <> 1)"
+# A unit of work is a method, a donor and a trial; it is done if one of its orders is fulfilled, and fresh if that is recent.
+_DONE = """w AS (SELECT DISTINCT o_orderpriority AS method, o_custkey AS nd, (o_orderkey % 5)::BIGINT AS trial FROM orders),
+d AS (SELECT o_orderpriority AS method, o_custkey AS nd, (o_orderkey % 5)::BIGINT AS trial, max(o_orderdate) >= TIMESTAMP '1996-01-01' AS fresh FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)"""
 
 
 def _work(spark, sf_dir):
-    w = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("method"), (F.col("o_custkey") % 20).alias("nd"), (F.col("o_orderkey") % 5).alias("trial")).distinct()
-    return w, w.where("(nd * 3 + trial) % 4 <> 1").withColumn("fresh", (F.col("nd") + F.col("trial")) % 2 == 0)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("nd"), (F.col("o_orderkey") % 5).alias("trial"), "o_orderstatus", "o_orderdate")
+    keys = ["method", "nd", "trial"]
+    done = o.where("o_orderstatus = 'F'").groupBy(*keys).agg((F.max("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")).alias("fresh"))
+    return o.select(*keys).distinct(), done
 
 
 @query(f"WITH {_DONE} SELECT method, nd, count(*) AS wanted, count(*) FILTER (WHERE fresh) AS fresh, count(*) FILTER (WHERE NOT fresh) AS stale, count(*) FILTER (WHERE fresh IS NULL) AS missing FROM w LEFT JOIN d USING (method, nd, trial) GROUP BY ALL")
@@ -99,10 +103,10 @@ def bin_counts(spark, sf_dir):
     return reports.bin_counts(table(spark, sf_dir, "embeddings"), "label", 14)
 
 
-@query(f"WITH {CELLS_SQL}, g AS (SELECT c_custkey AS donor_id, c_mktsegment AS grp FROM customer WHERE c_custkey % 7 <> 0) SELECT donor_id, count(*) AS n, grp FROM cells JOIN g USING (donor_id) GROUP BY ALL")
+@query(f"WITH {CELLS_SQL}, g AS (SELECT c_custkey AS donor_id, c_mktsegment AS grp FROM customer WHERE c_acctbal >= 0) SELECT donor_id, count(*) AS n, grp FROM cells JOIN g USING (donor_id) GROUP BY ALL")
 def subgroup_join(spark, sf_dir):
     donors = cells(spark, sf_dir).groupBy("donor_id").agg(F.count("*").alias("n"))
-    g = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("donor_id"), F.col("c_mktsegment").alias("grp"))
+    g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("donor_id"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("grp"))
     return reports.attach_subgroup(donors, g, "grp")
 
 
@@ -122,10 +126,11 @@ def epsilon_labels(spark, sf_dir):
     return rows.withColumn("label", strings.epsilon_label(F.col("variant")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def patched_column(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return patch_column(o, o.where("o_orderkey % 10 = 3").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"], "o_orderstatus")
+    o = table(spark, sf_dir, "orders")
+    changes = o.where("o_totalprice > 300000").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    return patch_column(o.select("o_orderkey", "o_orderstatus"), changes, ["o_orderkey"], "o_orderstatus")
 
 
 @query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS record FROM nation")
