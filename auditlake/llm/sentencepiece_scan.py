@@ -27,13 +27,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm._shared import stored, text_key
 
-MARK, CHUNK, FAN, CACHE = "▁", 1 << 15, 64, 200_000
+MARK, CHUNK, FAN, CACHE = "▁", 1 << 15, 64, 300_000
 NEVER = -np.inf
 
 
@@ -47,12 +48,17 @@ class Pieces:
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(table) if kind == "byte"}
         self.unknown = next((i for i, x in enumerate(table) if x[2] == "unknown"), 0)
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10.0
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # every piece's score, and None for what only begins pieces
+        self.begun: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        self.begun.update({p: self.scores[i] for p, i in self.ids.items()})
         self.longest = max(map(len, self.ids))
         self.cuts = not any(MARK in p[i:] and p[i - 1] != MARK for p in self.ids for i in range(1, len(p)) if p[i] == MARK)
         self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
         decoded = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.out = [decoded.get(i, " ⁇ ".encode() if i == self.unknown else b"") for i in range(len(table))]
+        out = [decoded.get(i, " ⁇ ".encode() if i == self.unknown else b"") for i in range(len(table))]
+        self.out = np.frombuffer(b"".join(out), np.uint8)
+        self.out_size = np.array([len(x) for x in out], np.int64)
+        self.out_at = np.cumsum(self.out_size) - self.out_size
         self.cache: dict[str, tuple[float, bytes]] = {}
 
     @staticmethod
@@ -67,26 +73,35 @@ class Pieces:
 
     def edges(self, text: str, at: int) -> list[tuple[int, float, str]]:
         """Ends of the pieces that start at a place, with scores."""
-        out, single = [], False
+        out, begun = [], self.begun
         for end in range(at + 1, min(at + self.longest, len(text)) + 1):
             piece = text[at:end]
-            if piece not in self.prefixes:
+            if piece not in begun:
                 break
-            if (i := self.ids.get(piece)) is not None:
-                out.append((end, self.scores[i], piece))
-                single |= end == at + 1
-        return out if single else [(at + 1, self.unknown_score, text[at]), *out]
+            if (score := begun[piece]) is not None:
+                out.append((end, score, piece))
+        return out if out and out[0][0] == at + 1 else [(at + 1, self.unknown_score, text[at]), *out]
 
     def _segment(self, text: str) -> tuple[float, bytes]:
-        best, back = [0.0] + [NEVER] * len(text), [("", 0)] * (len(text) + 1)
-        for at in range(len(text)):
-            here = best[at]
-            for end, score, piece in self.edges(text, at):
-                if here + score > best[end]:
-                    best[end], back[end] = here + score, (piece, at)
-        ids, at = [], len(text)
+        n, begun, longest, unknown = len(text), self.begun, self.longest, self.unknown_score
+        best, back = [0.0] + [NEVER] * n, [0] * (n + 1)
+        for at in range(n):
+            here, end = best[at], at + 1
+            score = begun.get(text[at])
+            if score is None and here + unknown > best[end]:
+                best[end], back[end] = here + unknown, at
+            stop = at + longest if at + longest < n else n
+            while end <= stop:
+                piece = text[at:end]
+                if piece not in begun:
+                    break
+                score = begun[piece]
+                if score is not None and here + score > best[end]:
+                    best[end], back[end] = here + score, at
+                end += 1
+        ids, at = [], n
         while at:
-            piece, at = back[at]
+            piece, at = text[back[at] : at], back[at]
             i = self.ids.get(piece)
             ids += [i] if i is not None else [self.bytes.get(b, self.unknown) for b in piece.encode()[::-1]] if self.bytes else [self.unknown]
         return best[-1], np.array(ids[::-1], np.int32).tobytes()
@@ -97,9 +112,7 @@ class Pieces:
         for part in self.parts.findall(marked) if self.cuts else [marked] if marked else []:
             if (found := cache.get(part)) is None:
                 found = self._segment(part)
-                if len(part) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
+                if len(part) < 64 and len(cache) < CACHE:  # what comes first is likelier to come again
                     cache[part] = found
             total += found[0]
             out.append(found[1])
@@ -137,6 +150,18 @@ class Pieces:
         return out
 
 
+_LOADED: dict[int, Pieces] = {}
+
+
+def _pieces(table: list[tuple[str, float, str]]) -> Pieces:
+    """The table's pieces; a worker process keeps those of its last model, and their cache, from task to task."""
+    key = hash(tuple(table))
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Pieces(table)
+    return _LOADED[key]
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -173,24 +198,25 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else x[0] for x in found], pa.float64())]
 
     def whole(batches):
-        pieces = Pieces(table)
+        pieces = _pieces(table)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 found = [None if t is None else pieces.encode(_marked(t)) for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *listed(found)], [f.name for f in schema])
 
     text = F.col(text_col)
+    known_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))  # equal texts have equal results anyway
     giant = F.coalesce(F.length(text) >= chunk, F.lit(False))
     small = docs.where(~giant).mapInArrow(whole, schema)
 
-    large = docs.where(giant).select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), F.concat(F.lit(MARK), F.translate(text, " ", MARK)).alias("text")).dropDuplicates(["id", "key"])
+    large = docs.where(giant).select(known_id.alias("id"), text_key(text).alias("key"), F.concat(F.lit(MARK), F.translate(text, " ", MARK)).alias("text")).dropDuplicates(["id", "key"])
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
     chunks = large.select("id", "key", F.posexplode(F.transform(starts, lambda s: F.struct(F.substring("text", s + 1, F.lit(chunk + size - 1)).alias("text"), F.least(F.lit(chunk), F.length("text") - s).alias("n")))).alias("k", "c"))
     chunks = stored(chunks.select("id", "key", "k", (F.col("k") / fan).cast("int").alias("g"), "c.text", "c.n").repartition("id", "key", "k"))
 
     def transfer(batches):
-        pieces = Pieces(table)
+        pieces = _pieces(table)
         for batch in batches:
             made = [pieces.transfer(t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "k", "g")), pa.array(made, pa.binary())], ["id", "key", "k", "g", "m"])
@@ -217,7 +243,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         return pa.table([same("id"), same("key"), pa.array([k for k, _ in got], pa.int32()), pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["id", "key", "k", "enter", "leave"])
 
     def trace(batches):
-        pieces = Pieces(table)
+        pieces = _pieces(table)
         for batch in batches:
             cells = zip(*(batch.column(c).to_pylist() for c in ("text", "n", "enter", "leave")))
             found = [pieces.encode(t[a : n + z]) for t, n, a, z in cells]
@@ -230,8 +256,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     traced = chunks.join(placed, ["id", "key", "k"]).mapInArrow(trace, "id long, key long, k int, ids array<int>, score double")
     parts = traced.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.sum("score").alias("token_score"))
     back = parts.select(F.col("id").alias("_i"), F.col("key").alias("_k"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "token_score")
-    keyed = docs.where(giant).withColumns({"_id": F.col(id_col).cast("long"), "_key": text_key(text)})
-    joined = keyed.join(back, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).drop("_id", "_key", "_i", "_k")
+    keyed = docs.where(giant).withColumns({"_id": known_id, "_key": text_key(text)})
+    joined = keyed.join(back, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k"))).drop("_id", "_key", "_i", "_k")
     return small.unionByName(joined)
 
 
@@ -243,15 +269,19 @@ def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids") -> Da
     schema = T.StructType([*rest, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        out = Pieces(table).out
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat, ends = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in ids])])
-            texts = []
-            for i, (a, z) in enumerate(zip(ends, ends[1:])):
-                raw = b"".join([out[k] for k in flat[a:z]])
-                texts.append(raw.removeprefix(b" ").decode("utf-8", "replace") if ids[i].is_valid else None)
-            columns = [batch.column(f.name) for f in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [f.name for f in schema])
+        pieces = _pieces(table)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
+                ids = batch.column(ids_col)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                size = pieces.out_size[flat]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                raw = pieces.out[np.repeat(pieces.out_at[flat] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
+                valid = ids.is_valid().to_pylist()
+                texts = [raw[a:z].removeprefix(b" ").decode("utf-8", "replace") if ok else None for a, z, ok in zip(cuts, cuts[1:], valid)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], [f.name for f in schema])
 
     return encoded.mapInArrow(run, schema)
