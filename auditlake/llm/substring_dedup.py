@@ -41,7 +41,7 @@ SENT = "bucket int, page long, ids binary, keys binary, docs binary"
 BACK = "page long, step int, bucket int, ranks binary"
 
 
-def _page_rows(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def _page_rows(batches: Iterator[pa.RecordBatch], text_col: str, page_bytes: int = PAGE_BYTES) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     page = TaskContext.get().partitionId() << 32
@@ -50,7 +50,7 @@ def _page_rows(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.
         at = 0
         while at < batch.num_rows:
             run = np.cumsum(lengths[at : at + PAGE_ROWS])
-            n = max(1, int(np.searchsorted(run, PAGE_BYTES, "right")))
+            n = max(1, int(np.searchsorted(run, page_bytes, "right")))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch.slice(at, n))
