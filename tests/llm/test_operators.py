@@ -327,6 +327,30 @@ def test_near_dedup_in_blocks(spark):
     assert by_row(near_dedup.near_duplicates(df), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_near_dedup_where_every_bucket_has_a_dissimilar_first_member(spark):
+    """Two near copies; for each bucket they share, a text of a smaller id that quotes just the four minima of it."""
+    passage = [f"p{i}" for i in range(60)]
+    copies = [" ".join(passage + [f"{c}{i}" for i in range(5)]) for c in "ab"]
+    a, b = near_dedup._coefficients(144)
+    sign = lambda text: near_dedup.minima(near_dedup.shingles(text), a, b).reshape(36, 4)
+    one, other = map(sign, copies)
+    runs = [" ".join(passage[i : i + 5]) for i in range(56)]
+    of_run = np.stack([sign(r) for r in runs])
+    rows = []
+    for band in np.flatnonzero((one == other).all(axis=1)):
+        held = sorted({int(np.flatnonzero(of_run[:, band, k] == one[band, k])[0]) for k in range(4)})
+        for seed in range(20_000):
+            text = " ".join(f"{runs[i]} q{band}x{seed}y{i}" for i in held)
+            if (sign(text)[band] == one[band]).all():
+                break
+        assert (sign(text)[band] == one[band]).all() and (sign(text) == one).mean() < 0.5
+        rows.append((int(band), text))
+    rows += [(900 + i, t) for i, t in enumerate(copies)]
+    want = brute_components(rows)
+    assert (901, 61, 900) in want
+    assert by_row(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()}
