@@ -173,24 +173,59 @@ def choose_attack(white_box: bool, use_aux: bool, mahalanobis: bool = True, clas
     return f"{'b' if class_b else 'standard'}_{'aux' if use_aux else 'alone'}"
 
 
-def mvn_sample(x: np.ndarray, n: int, noise: float, seed: int = 1) -> np.ndarray:
-    """n draws from the rows' Gaussian plus noise times another draw; negative eigenvalues are lifted."""
-    cov = np.atleast_2d(np.cov(x, rowvar=False))
-    w, v = np.linalg.eigh(cov)
-    root = v * np.sqrt(np.maximum(w, 1e-8))
-    rng = np.random.default_rng(seed)
-    return x.mean(axis=0) + rng.standard_normal((n, x.shape[1])) @ root.T + noise * rng.standard_normal((n, x.shape[1])) @ root.T
+def mvn_model(rows: DataFrame, label: str) -> DataFrame:
+    """(label, n, mean, root) of every label's Gaussian, from all its rows; root is symmetric, root * root the covariance.
 
+    Products are taken about the mean in partitions and added by row of the matrix; negative eigenvalues are lifted.
+    """
+    kind = dict(rows.dtypes)[label]
+    each = rows.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    means = each.groupBy(label).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
+    of_means = means.select(F.col(label).alias("_label"), "mean")
+    centred = rows.select(label, "v").join(F.broadcast(of_means), F.col(label).eqNullSafe(F.col("_label"))).select(label, F.zip_with("v", "mean", lambda x, m: x - m).alias("v"))
 
-def mvn_groups(rows: DataFrame, label: str, n: int, noise: float, sample: int = 20_000) -> DataFrame:
-    """(label, draw, v): n synthetic vectors a label, fitted on at most `sample` of its rows."""
-    from auditlake.operators.splits import sample_per_group, shuffled
+    def products(batches):
+        total = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(label, dropna=False):
+                x = np.stack(part["v"].to_numpy())
+                key = None if pd.isna(key) else key
+                total[key] = total.get(key, 0) + x.T @ x
+        for key, m in total.items():
+            yield pd.DataFrame({label: [key] * len(m), "i": np.arange(len(m)), "row": list(m)})
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({label: [key[0]], "i": [key[1]], "row": [np.stack(pdf["row"].to_numpy()).sum(axis=0)]})
+
+    schema = f"{label} {kind}, i int, row array<double>"
+    summed = centred.mapInPandas(products, schema).groupBy(label, "i").applyInPandas(add, schema)
+    matrix = summed.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "row")))["row"].alias("m"))
+    whole = means.join(matrix.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label"))).select(label, "n", "mean", "m")
+
+    def factor(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                w, v = np.linalg.eigh(np.stack(row[3]) / max(row[1] - 1, 1))
+                root = (v * np.sqrt(np.maximum(w, 1e-8))) @ v.T
+                yield pd.DataFrame({label: [row[0]], "n": [row[1]], "mean": [row[2]], "root": [list(root)]})
 
-    kind = dict(rows.dtypes)[label]
+    return whole.mapInPandas(factor, f"{label} {kind}, n long, mean array<double>, root array<array<double>>")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        drawn = mvn_sample(np.stack(pdf["v"].to_numpy()), n, noise)
-        return pd.DataFrame({label: key[0], "draw": np.arange(n), "v": list(drawn)})
 
-    kept = sample_per_group(rows.withColumn("_o", shuffled(F.to_json(F.struct("v")))), [label], sample, F.col("_o")).select(label, "v")
-    return kept.groupBy(label).applyInPandas(run, f"{label} {kind}, draw long, v array<double>")
+def mvn_groups(rows: DataFrame, label: str, noise: float, batch: int = 2000, seed: int = 1) -> DataFrame:
+    """(label, draw, v): as many synthetic vectors a label as it has rows, from its Gaussian plus noise times another draw.
+
+    Draws go in batches of a label, each with its own seed.
+    """
+    batches = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / batch).cast("int"))).alias("b")
+    jobs = mvn_model(rows, label).select("*", batches)
+
+    def draw(batches):
+        for pdf in batches:
+            for key, n, mean, root, b in pdf.itertuples(index=False, name=None):
+                k, root = min(batch, n - b * batch), np.stack(root)
+                rng = np.random.default_rng([seed, b, *str(key).encode()])
+                x = mean + rng.standard_normal((k, len(mean))) @ root + noise * rng.standard_normal((k, len(mean))) @ root
+                yield pd.DataFrame({label: [key] * k, "draw": np.arange(k) + b * batch, "v": list(x)})
+
+    return jobs.repartition(label, "b").mapInPandas(draw, f"{label} {dict(rows.dtypes)[label]}, draw long, v array<double>")

@@ -250,4 +250,4 @@ def ablation_grid(spark, sf_dir):
 @query()
 def mvn_generator(spark, sf_dir):
     v = profile(spark, sf_dir).where("role = 0").select("cell_type", F.col("counts").cast("array<double>").alias("v"))
-    return membership.mvn_groups(v, "cell_type", 200, 0.1)
+    return membership.mvn_groups(v, "cell_type", 0.1)

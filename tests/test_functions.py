@@ -166,3 +166,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = scorer.drain(stream, "activity", f"{tmp_path}/cp").agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
     want = scorer.windowed_activity(events).agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
     assert got == want
+
+
+def test_mvn_generator_fits_and_draws_all_rows(spark, sf_dir):
+    from auditlake.plans import registry
+    from auditlake.sources.views import profile
+
+    want = {r["cell_type"]: r["count"] for r in profile(spark, sf_dir).where("role = 0").groupBy("cell_type").count().collect()}
+    assert {r["cell_type"]: r["count"] for r in registry.QUERIES["mvn_generator"](spark, sf_dir).groupBy("cell_type").count().collect()} == want
+    x = np.random.default_rng(3).normal(size=(20_500, 3)) @ np.array([[2, 1, 0], [0, 1, 1], [0, 0, 0.5]]) + [1000, 0, -5]
+    rows = spark.createDataFrame([("a", v.tolist()) for v in x] + [("b", [1.0, 2.0, 3.0]), (None, [0.0, 1.0, 0.0]), (None, [2.0, 1.0, 0.0])], "t string, v array<double>")
+    model = {r["t"]: r for r in membership.mvn_model(rows, "t").collect()}
+    assert {t: r["n"] for t, r in model.items()} == {"a": len(x), "b": 1, None: 2}
+    root = np.array(model["a"]["root"])
+    assert np.allclose(model["a"]["mean"], x.mean(axis=0)) and np.allclose(root @ root, np.cov(x, rowvar=False))
+    out = membership.mvn_groups(rows, "t", 0.1).where("t = 'a'").collect()
+    assert sorted(r["draw"] for r in out) == list(range(len(x)))
+    assert np.allclose(np.cov(np.array([r["v"] for r in out]), rowvar=False), 1.01 * np.cov(x, rowvar=False), atol=0.25)
