@@ -149,7 +149,7 @@ def adjusted_rand(spark, sf_dir):
 t AS (SELECT gene, sum(n ** 3 - n) AS ties FROM (SELECT gene, cnt, count(*) AS n FROM dense WHERE role IN (0, 1) GROUP BY ALL) GROUP BY 1),
 s AS (SELECT gene, sum(r) FILTER (WHERE y = 1) AS rs, sum(y)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM r GROUP BY 1),
 u AS (SELECT gene, rs - n1 * (n1 + 1) / 2 AS u, n1, n - n1 AS n0, n, ties FROM s JOIN t USING (gene))
-SELECT gene, round(u, 3)::DOUBLE AS u, round((u - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, round(u / (n1 * n0), 6) AS share FROM u""")
+SELECT gene, round(u, 3)::DOUBLE AS u, round((u - n1 * n0 / 2) / nullif(sqrt(n1 * n0 / 12 * (n + 1 - ties / nullif(n * (n - 1), 0))), 0), 6) AS z, round(u / nullif(n1 * n0, 0), 6) AS share FROM u""")
 def wilcoxon_genes(spark, sf_dir):
     rows = dense(spark, sf_dir).where("role in (0, 1)").withColumn("y", (F.col("role") == 0).cast("int"))
     out = metrics.rank_sum(rows, "y", "cnt", ["gene"])
@@ -167,7 +167,7 @@ def _findings(rows, side):
 r AS (SELECT *, rank() OVER (PARTITION BY side, gene ORDER BY cnt) + (count(*) OVER (PARTITION BY side, gene, cnt) - 1) / 2 AS r FROM q),
 t AS (SELECT side, gene, sum(n ** 3 - n) AS ties FROM (SELECT side, gene, cnt, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL),
 s AS (SELECT side, gene, sum(r) FILTER (WHERE y = 1) AS rs, sum(y)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
-z AS (SELECT side, gene, (rs - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM s JOIN t USING (side, gene)),
+z AS (SELECT side, gene, (rs - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / nullif(sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / nullif(n * (n - 1), 0))), 0) AS z FROM s JOIN t USING (side, gene)),
 f AS (SELECT side, gene, CASE WHEN z > 0.8 THEN 'up' ELSE 'down' END AS direction FROM z WHERE abs(z) > 0.8),
 b AS (SELECT coalesce(a.direction, c.direction) AS direction, count(a.gene) AS real, count(c.gene) AS synth, count(*) FILTER (WHERE a.gene IS NOT NULL AND c.gene IS NOT NULL) AS hit
   FROM (SELECT * FROM f WHERE side = 0) a FULL JOIN (SELECT * FROM f WHERE side = 1) c ON a.gene = c.gene AND a.direction = c.direction GROUP BY 1)
@@ -190,7 +190,7 @@ def coexpression_overlap(spark, sf_dir):
 
 
 @query(f"""WITH {DENSE_SQL}, m AS (SELECT gene, avg(cnt) FILTER (WHERE role = 0) AS a, avg(cnt) FILTER (WHERE role = 1) AS b FROM dense GROUP BY 1),
-r AS (SELECT *, rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM m) SELECT round(corr(a, b), 6) AS pcc, round(corr(ra, rb), 6) AS scc FROM r""")
+r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM m) SELECT round(corr(a, b), 6) AS pcc, round(corr(ra, rb), 6) AS scc FROM r""")
 def mean_correlations(spark, sf_dir):
     """Pearson and Spearman correlation of the genes' means, over all genes."""
     means = dense(spark, sf_dir).where("role in (0, 1)").groupBy("gene").agg(F.avg(F.when(F.col("role") == 0, F.col("cnt"))).alias("a"), F.avg(F.when(F.col("role") == 1, F.col("cnt"))).alias("b"))

@@ -136,8 +136,8 @@ def nonfinite_validation(spark, sf_dir):
 _SPLIT = """WITH d AS (SELECT DISTINCT o_custkey AS donor_id FROM orders), r AS (SELECT donor_id, row_number() OVER (ORDER BY donor_id * 7919 % 10007, donor_id) AS r FROM d)"""
 
 
-@query(_SPLIT + """, p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN r > 200 THEN 0 ELSE 1 END, r) AS p FROM r)
-SELECT CASE WHEN r <= 100 THEN 'train' ELSE 'holdout' END AS role, donor_id FROM r WHERE r <= 200 UNION ALL SELECT 'auxiliary', donor_id FROM p WHERE p <= 150""")
+@query(_SPLIT + """, n AS (SELECT least(100, count(*) // 2) AS n FROM d), p AS (SELECT donor_id, row_number() OVER (ORDER BY CASE WHEN r > 2 * n THEN 0 ELSE 1 END, r) AS p FROM r, n)
+SELECT CASE WHEN r <= n THEN 'train' ELSE 'holdout' END AS role, donor_id FROM r, n WHERE r <= 2 * n UNION ALL SELECT 'auxiliary', donor_id FROM p, n WHERE p <= greatest(150, n)""")
 def donor_split(spark, sf_dir):
     return splits.split_donors(cells(spark, sf_dir), 100, 150, F.col("donor_id") * 7919 % 10007)
 
