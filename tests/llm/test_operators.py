@@ -351,6 +351,48 @@ def test_near_dedup_where_every_bucket_has_a_dissimilar_first_member(spark):
     assert by_row(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == want
 
 
+def letters(n, pairs, seed=3):
+    """Letters of 40 clauses in two wordings each, and near copies of the first ones."""
+    rng = np.random.default_rng(seed)
+    clauses = [[" ".join(f"{'ab'[v]}{c}w{k}" for k in range(6)) for v in range(2)] for c in range(40)]
+    rows = [(1000 + i, " ".join(clauses[c][v] for c, v in enumerate(rng.integers(0, 2, 40)))) for i in range(n)]
+    for i in range(pairs):
+        w = rows[i * 7 % n][1].split()
+        for k in rng.choice(240, 1 + i % 5, replace=False):
+            w[k] = f"z{i}k{k}"
+        rows.append((1000 + n + i, " ".join(w)))
+    return rows
+
+
+def links_by_matrix(rows, threshold=75):
+    """Components of the links of texts with five words or more, from an incidence matrix."""
+    number, at = {}, []
+    for _, t in rows:
+        w = t.split()
+        at.append(sorted({number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)}))
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(at):
+        m[i, x] = 1
+    shared, size = m @ m.T, m.sum(axis=1)
+    linked = 100 * shared >= threshold * (size[:, None] + size[None, :] - shared)
+    label = np.array([i for i, _ in rows])
+    while True:
+        new = np.where(linked, label[None, :], 1 << 60).min(axis=1)
+        if (new == label).all():
+            return sorted(zip([i for i, _ in rows], label.tolist()))
+        label = new
+
+
+@pytest.mark.parametrize("n, pairs, block, wide", [(3000, 100, 512, 8), (400, 60, 8, 1)])
+def test_near_dedup_of_letters_in_two_wordings(spark, n, pairs, block, wide):
+    """Buckets hold many letters unlike each other; near copies are found all the same, in wide buckets too."""
+    rows = letters(n, pairs)
+    want = links_by_matrix(rows)
+    assert sum(i != c for i, c in want) >= 0.9 * pairs
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(near_dedup.near_duplicates(df, block=block, wide=wide), "doc_id", "component_id") == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()}
