@@ -2,18 +2,23 @@
 
 Every vector is brought to length one, centred on the corpus mean, rotated by one random orthogonal
 matrix and reduced to its signs: a packed bit for each dimension, plus two scalars, its distance from
-the mean and the inner product of its direction with its code. From these the inner product of a query
-with the vector is estimated without bias, with an error bound that holds with high probability (`bound`
-standard deviations). Vectors whose upper bound reaches the query's `k`-th best exact cosine so far are
-reranked in double precision on the original vectors; the others can't be among the nearest.
+the mean and the inner product of its direction with its code. A query is rotated alike and rounded to
+four bits a dimension, in four packed planes, so its inner product with a code is four counts of common
+bits. From these the inner product with the vector is estimated without bias, with an error bound that
+holds with high probability (`bound` standard deviations, of the code's and the rounding's errors). The
+best estimates are ranked exactly first; then all vectors whose upper bound reaches the `k`-th exact
+cosine so far are, in double precision on the original vectors. The others can't be among the nearest.
 
 The query rows meet all rows in blocks: candidates are dealt into blocks of about `block` by hash, a block
 of `query_block` queries goes to each, and each pair of blocks returns at most k rows a query; the last
-ranking reads those only. Nothing is skipped: every row has a code and every query meets every code.
+ranking reads those only. Nothing is skipped: every row has a code and every query meets every code. The
+work is that of all queries times all rows, and each side is copied once for every block of the other.
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite components take no part, nor
 do those whose length isn't the commonest one; null ids take no part; equal scores go by smaller id;
-repeated rows of one id count once; fewer than k candidates give fewer rows.
+repeated rows count once; of several vectors of one id the nearest counts, and a query id with several
+asks with each; vectors of any finite magnitude are scaled by a power of two first, so nothing overflows;
+fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def rotation(dimensions: int, seed: int = 3) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    v = _scaled(vectors)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -48,49 +53,83 @@ def encode(vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.
     rest = (_unit(vectors) - mean) @ turn
     far = np.sqrt((rest * rest).sum(axis=1))
     inner = np.abs(rest).sum(axis=1) / (np.maximum(far, 1e-300) * math.sqrt(rest.shape[1]))
-    return np.packbits(rest > 0, axis=1), far, np.maximum(inner, 1e-9)
+    return _packed(rest > 0), far, np.maximum(inner, 1e-9)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Bits of each row as 64-bit words."""
+    pad = np.zeros((*bits.shape[:-1], -bits.shape[-1] % 64), bool)
+    return np.packbits(np.concatenate([bits, pad], axis=-1), axis=-1).view(np.uint64)
+
+
+def planes(rest: np.ndarray, bits: int = 4) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """A rotated query rounded to `bits` bits: packed planes from the lowest bit, least value, step, and the rounded query."""
+    low = float(rest.min())
+    step = max(float(rest.max()) - low, 1e-300) / ((1 << bits) - 1)
+    level = np.rint((rest - low) / step).astype(np.int64)
+    return _packed((level[None, :] >> np.arange(bits)[:, None]) & 1 == 1), low, step, low + step * level
+
+
+def _products(codes: np.ndarray, ones: np.ndarray, plane: np.ndarray, low: float, step: float, rounded: np.ndarray) -> np.ndarray:
+    """Inner products of the rounded query with all codes, as signs."""
+    common = np.zeros(len(codes), np.int64)
+    for j, words in enumerate(plane):
+        for w in range(codes.shape[1]):
+            common += np.bitwise_count(codes[:, w] & words[w]).astype(np.int64) << j
+    return 2 * (low * ones + step * common) - rounded.sum()
 
 
 def _search(queries: pa.Table, codes: pa.Table, k: int, dimensions: int, mean: np.ndarray, turn: np.ndarray, bound: float) -> pa.Table:
     """Each query's k nearest of one block of candidates."""
     ids, q = queries.column("id").to_numpy(), _dense(queries.column("v").combine_chunks(), dimensions)
     order = np.argsort(codes.column("id").to_numpy(), kind="stable")
-    cid, c = codes.column("id").to_numpy()[order], _dense(codes.column("v").combine_chunks(), dimensions)[order]
-    packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(cid), -1)[order]
+    cid, c = codes.column("id").to_numpy()[order], _scaled(_dense(codes.column("v").combine_chunks(), dimensions)[order]).T.copy()
+    packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint64).reshape(len(cid), -1)[order]
+    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
     far, inner = (codes.column(n).to_numpy()[order] for n in ("far", "inner"))
-    exact_c, exact_q = _unit(c), _unit(q)
-    signs = np.unpackbits(packed, axis=1, count=dimensions).astype(np.float64) * 2 - 1
-    rest = (exact_q - mean) @ turn
-    q_far = np.sqrt((rest * rest).sum(axis=1))
-    # <o, q> of unit vectors from the centred parts: 1 - |o - q|^2 / 2
-    estimate = (rest @ signs.T) / (math.sqrt(dimensions) * inner)  # |q - mean| times the cosine of the directions
-    slack = bound * np.sqrt(np.maximum(1 - inner**2, 0)) / inner / math.sqrt(max(dimensions - 1, 1)) * q_far[:, None]
-    middle = 1 - (far**2 + q_far[:, None] ** 2) / 2 + far * estimate
-    upper, lower = middle + far * slack, middle - far * slack
-    own = ids[:, None] == cid[None, :]
-    upper[own], lower[own] = -np.inf, -np.inf
+    first = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]]))  # where each id's rows start
+    root = math.sqrt(dimensions)
+    code_error = (1 - np.minimum(inner, 1) ** 2) / inner**2 / max(dimensions - 1, 1)
     out: tuple[list, list, list] = ([], [], [])
-    for i in range(len(ids)):
-        n = min(k, int((~own[i]).sum()))
-        if not n:
+    for id_, x, rest in zip(ids, _scaled(q), (_unit(q) - mean) @ turn):
+        own = np.searchsorted(cid, [id_, id_ + 1])
+        n = min(k, len(first) - (own[1] > own[0]))
+        if n <= 0:
             continue
-        floor = np.partition(lower[i], -n)[-n] - 1e-9
-        near = np.flatnonzero(upper[i] >= floor)
-        score = _cosines(c[near], q[i])
-        near, score = near[np.lexsort((cid[near], -score))[:n]], np.sort(-score)[:n] * -1
-        out[0].append(np.full(n, ids[i]))
-        out[1].append(cid[near])
-        out[2].append(score)
+        plane, low, step, rounded = planes(rest)
+        # <o, q> of unit vectors from the centred parts: 1 - |o - q|^2 / 2
+        estimate = _products(packed, ones, plane, low, step, rounded) / (root * inner)  # |q - mean| times the cosine of the directions
+        q_far, lost = float(rest @ rest), float(((rest - rounded) ** 2).sum())
+        middle = 1 - (far**2 + q_far) / 2 + far * estimate
+        upper = middle + bound * far * np.sqrt(code_error * q_far + lost / (dimensions * inner**2))
+        middle[own[0] : own[1]] = upper[own[0] : own[1]] = -np.inf
+        best = np.maximum.reduceat(middle, first)
+        probe = first[np.argpartition(-best, n - 1)[:n]]  # one row of each of the n likeliest ids
+        floor = _cosines(c[:, probe], x).min() - 1e-9
+        near = np.flatnonzero(upper >= floor)
+        near = np.union1d(near, probe)
+        score = _cosines(c[:, near], x)
+        rank = np.lexsort((cid[near], -score))
+        near, score = near[rank], score[rank]
+        keep = np.sort(np.unique(cid[near], return_index=True)[1])[:n]  # the best row of each id
+        out[0].append(np.full(len(keep), id_))
+        out[1].append(cid[near[keep]])
+        out[2].append(score[keep])
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return pa.table([join(out[0], np.int64), join(out[1], np.int64), join(out[2], np.float64)], ["query_id", "id", "score"])
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to 0.5..1: no rounding, no overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _cosines(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Plain double precision, summed in the order of the components."""
-    dot, cc, qq = np.zeros(len(c)), np.zeros(len(c)), 0.0
-    for j in range(c.shape[1]):
-        dot += c[:, j] * q[j]
-        cc += c[:, j] * c[:, j]
+    """Of q with the columns of c, in plain double precision, summed in the order of the components."""
+    dot, cc, qq = np.zeros(c.shape[1]), np.zeros(c.shape[1]), 0.0
+    for j in range(len(c)):
+        dot += c[j] * q[j]
+        cc += c[j] * c[j]
         qq += q[j] * q[j]
     return np.clip(dot / np.sqrt(cc * qq), -1, 1)
 
@@ -102,8 +141,8 @@ def nearest(
     vector_col: str = "embedding",
     k: int = 5,
     bound: float = 4.5,
-    block: int = 8192,
-    query_block: int = 512,
+    block: int = 65536,
+    query_block: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k nearest other rows by cosine."""
     spark = vectors.sparkSession
@@ -116,7 +155,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     most = max(lengths, key=lambda r: (r["n"], -r["d"]))
     d, blocks, q_blocks = most["d"], max(1, math.ceil(most["n"] / block)), max(1, math.ceil(most["q"] / query_block))
-    good = good.where(F.size("v") == d)
+    good = good.where(F.size("v") == d).groupBy("id", "v").agg(F.max("asks").alias("asks"))
 
     def sums(batches):
         for batch in batches:
@@ -144,6 +183,6 @@ def nearest(
     found = asked.groupBy("block", "part").cogroup(index.groupBy("block", "part")).applyInArrow(
         lambda a, b: _search(a, b, k, d, mean, turn, bound), "query_id long, id long, score double"
     )
-    best = stored(found.distinct())
+    best = stored(found.groupBy("query_id", "id").agg(F.max("score").alias("score")))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -445,6 +445,25 @@ def test_nearest_breaks_ties_and_takes_few(spark):
     assert by_row(ann.nearest(df, F.col("vec_id") == 0), "rank", "vec_id") == [(1, 4), (2, 7), (3, 9)]
 
 
+def test_nearest_counts_an_id_once_and_takes_any_magnitude(spark):
+    rows = [(0, [1.0, 2.0]), *[(1, [1.0, 2.1])] * 9, (2, [1e200, 2e200]), (3, [1e-310, 2.2e-310]), (4, [2.0, 1.0]), (4, [1.0, 2.0]), (5, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (2, 4), (3, 1), (4, 3), (5, 5)]
+    assert {r["vec_id"]: round(r["score"], 9) for r in got}[2] == 1.0
+
+
+def test_packed_products_are_those_of_the_rounded_query():
+    rng = np.random.default_rng(2)
+    for d in (5, 64, 100):
+        bits, rest = rng.random((50, d)) > 0.5, rng.normal(size=d)
+        codes = ann._packed(bits)
+        plane, low, step, rounded = ann.planes(rest)
+        assert np.abs(rounded - rest).max() <= step / 2 + 1e-12
+        got = ann._products(codes, bits.sum(axis=1), plane, low, step, rounded)
+        assert np.allclose(got, (2.0 * bits - 1) @ rounded)
+
+
 def test_recall_at_many_dimensions(spark):
     rng = np.random.default_rng(6)
     v = {i: x for i, x in enumerate(rng.normal(size=(2000, 64)))}
