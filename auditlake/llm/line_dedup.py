@@ -1,7 +1,8 @@
 """Line deduplication over overlapping windows of consecutive lines.
 
 Every run of `window` consecutive lines is hashed to 128 bits. A window that occurs anywhere before, in
-the order (doc_id, position), is a repeat; the lines that repeats cover are merged and removed. Only
+the order (doc_id, position), is a repeat; the lines that repeats cover are merged and removed, in time
+proportional to the text. Only
 built-in functions run, and only hashes, never texts, are grouped and joined: the groups are reduced to
 their first occurrence before they meet the windows again, so a window that a third of all documents
 share is a skewed join side that adaptive execution splits, not a group in one task.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm._shared import text_key
+from auditlake.llm._shared import let, text_key
 
 
 def _lines(text):
@@ -59,13 +60,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": text_key(text)})
     joined = rows.join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_key") == F.col("_ckey")), "left")
 
-    def kept(lines):
-        # the covered positions, merged: each start covers itself and the window - 1 lines after it
-        gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + window - 1))))
-        return F.transform(F.array(gone), lambda g: F.filter(lines, lambda _, i: ~F.array_contains(g, i)))[0]
+    def kept(lines, starts):
+        # what stands before the first start, and between the end of each start's window and the next start
+        stop = lambda i: F.coalesce(F.get(starts, i + 1), F.size(lines))
+        gaps = F.transform(starts, lambda s, i: F.slice(lines, s + window + 1, F.greatest(stop(i) - s - window, F.lit(0))))
+        return F.flatten(F.concat(F.array(F.slice(lines, F.lit(1), F.get(starts, F.lit(0)))), gaps))
 
     lines = _lines(text)
-    changed = joined.withColumn("_kept", F.when(F.col("_starts").isNotNull(), F.transform(F.array(lines), kept)[0]))
+    rest = let(lines, lambda ls: let(F.array_sort("_starts"), lambda starts: kept(ls, starts)))
+    changed = joined.withColumn("_kept", F.when(F.col("_starts").isNotNull(), rest))
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = changed.withColumns(
         {
