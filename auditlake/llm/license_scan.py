@@ -2,7 +2,8 @@
 
 A text block is `block` consecutive words, starting every block // 2 words, so a statement of up to
 block // 2 + 1 words lies whole inside one block. A block matches a template when it holds at least
-`threshold` of the template's distinct words. The join is exact: words are ordered by how many
+`threshold` of the template's distinct words; a template of fewer than `strict` distinct words must be
+held whole, since one word in so few tells two licences apart. The join is exact: words are ordered by how many
 documents of the whole input hold them, rarest first; a matching block must hold one of a template's
 first |T| - need + 1 words (prefix filter), need template words at least (length filter), and enough
 words after the first shared one (positional filter). What passes is verified on the full sets.
@@ -13,7 +14,8 @@ the data. Only built-in functions run.
 Fixed phrases are found as well: every place where a phrase's words stand consecutively.
 
 Defined results: a null or empty text has no words, no labels and score 0; rows repeated with the same
-id and text each get that text's result; ties don't arise, since all matches are reported.
+id and text each get that text's result; ties don't arise, since all matches are reported; very long
+texts are scanned whole, block by block; columns other than id and text don't reach the result.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def _in(word: Column, known: Sequence[str]) -> Column:
 
 def phrase_places(words: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     """array<struct<pos, label>> of all places; looked for word by word only in texts that hold a phrase at all."""
-    found = []
+    found = [F.array().cast("array<struct<pos:bigint,label:string>>")]
     for phrase, label in phrases:
         parts = phrase.split()
 
@@ -93,6 +95,7 @@ def scan_licenses(
     text_col: str = "text",
     threshold: float = 0.85,
     block: int = 64,
+    strict: int = 10,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES,
 ) -> DataFrame:
@@ -111,7 +114,7 @@ def scan_licenses(
     prefixes, sizes = [], []
     for t, (label, ws) in enumerate(sets):
         ranks = sorted(rank[w] for w in ws)
-        need = math.ceil(threshold * len(ranks) - 1e-9)
+        need = len(ranks) if len(ranks) < strict else math.ceil(threshold * len(ranks) - 1e-9)
         sizes.append((t, label, ranks, need))
         prefixes += [(r, t, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     spark = docs.sparkSession

@@ -44,12 +44,13 @@ WITH lines AS (
 ), gone AS (
   SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM ranked WHERE occurrence > 1
 ), flat AS (
-  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos, len(ls) AS n FROM lines
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM lines
+), kept AS (
+  SELECT f.doc_id, count(g.pos) AS n, string_agg(f.line, chr(10) ORDER BY f.pos) FILTER (WHERE g.pos IS NULL) AS t
+  FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.pos = g.pos GROUP BY f.doc_id
 )
-SELECT f.doc_id, max(f.n)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(f.line, chr(10) ORDER BY f.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
-FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.pos = g.pos
-GROUP BY f.doc_id
+SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM lines l LEFT JOIN kept USING (doc_id)
 """
 
 
@@ -77,9 +78,9 @@ blocks AS (
   FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0) // 32 + 1)) AS s FROM words), known
 ), matched AS (
   SELECT doc_id, label, len(list_intersect(b, tw)) AS shared, len(tw) AS n FROM blocks, templates
-  WHERE len(b) >= ceil(0.85 * len(tw) - 1e-9)
+  WHERE len(b) >= CASE WHEN len(tw) < 10 THEN len(tw) ELSE ceil(0.85 * len(tw) - 1e-9) END
 ), labelled AS (
-  SELECT doc_id, label, shared / n AS score FROM matched WHERE shared >= ceil(0.85 * n - 1e-9)
+  SELECT doc_id, label, shared / n AS score FROM matched WHERE shared >= CASE WHEN n < 10 THEN n ELSE ceil(0.85 * n - 1e-9) END
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id
