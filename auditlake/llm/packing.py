@@ -2,9 +2,11 @@
 
 Documents' token counts (words and one end mark) are dealt by a hash of the id into groups of about
 `group` documents, and every group is packed by itself, longest item first. An item goes to the open bin
-it fits best (least room left); where none has room, the least-cost bin size is opened: the permitted
-length whose padding, shared out over what the group's remaining items can still put there, is least.
-At the end each bin shrinks to the smallest permitted length that holds its contents. An item longer
+it fits best (least room left); where none has room, the least-cost bin size is opened: each permitted
+length is filled on trial from the sizes that are left in the group, always the largest that fits, and
+the one with the least padding a token wins, the longer of equals. So the lengths are weighed against
+each other on the same remaining items. At the end each bin shrinks to the smallest permitted length
+that holds its contents. An item longer
 than the largest length is cut into pieces of that length and a rest. Groups are bounded by a count
 that doesn't change with the input, so more data is more tasks, not larger ones.
 
@@ -16,6 +18,7 @@ Extra columns stay; ones named like an output column are replaced.
 from __future__ import annotations
 
 import bisect
+import collections
 import heapq
 import math
 
@@ -56,21 +59,44 @@ class _Open:
         return room, bin_
 
 
+class _Left:
+    """Sizes of the items not yet packed, with their counts, and what a bin filled from them would hold."""
+
+    def __init__(self, items: list[int]):
+        self.count = collections.Counter(items)
+        self.sizes = sorted(self.count)
+
+    def drop(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            del self.sizes[bisect.bisect_left(self.sizes, n)]
+
+    def fill(self, room: int) -> int:
+        """Tokens that go into so much room, always the largest that still fits."""
+        filled, i = 0, len(self.sizes)
+        while room and (i := bisect.bisect_right(self.sizes, room, 0, i) - 1) >= 0:
+            n = self.sizes[i]
+            times = min(self.count[n], room // n)
+            filled, room = filled + n * times, room - n * times
+        return filled
+
+
 def pack(items: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """For items in falling order of size, none above the largest length: bin of each, place in it, and each bin's length."""
     lengths = tuple(sorted(lengths))
-    left_at = np.concatenate([[0], np.cumsum(items[::-1])])[::-1]  # tokens in this and the later items
-    opened, bins, at, used, size = _Open(), [], [], [], []
-    for i, n in enumerate(items):
+    opened, left, bins, at, used = _Open(), _Left(items), [], [], []
+    for n in items:
+        left.drop(n)
         got = opened.take(n)
         if got is None:
-            rest = int(left_at[i]) - n
-            # padding a bin of each length would be left with, as a share of the bin, when what comes later fills it
-            cost = [(max(c - n - rest, 0) / c, c) if rest else ((c - n) / c, c) for c in lengths if c >= n]
-            _, c = min(cost, key=lambda x: (x[0], -x[1] if rest else x[1]))
-            got = c, len(used)
+            best = None
+            for c in lengths:
+                if c >= n:
+                    held = n + left.fill(c - n)
+                    cost = ((next(x for x in lengths if x >= held) - held) / held, -c)  # padding a token, of the bin as it would end
+                    best = min(best, (*cost, c)) if best else (*cost, c)
+            got = best[2], len(used)
             used.append(0)
-            size.append(c)
         room, b = got
         bins.append(b)
         at.append(used[b])
