@@ -13,12 +13,19 @@ features. Features seen in fewer than `min_texts` toxic texts, or not `surprise`
 often than their share of unlabelled texts lets expect, are dropped: they say nothing.
 The model is 2**bits floats, the same size for any input. Whole texts are scored, in Arrow batches.
 
+The bias is at most the prior's log odds, so a text with none of the features is no likelier than any.
+
 Defined results: null and empty texts score what the bias alone gives; a null id isn't held out; with
-no confirmed toxic text every score is 0. Extra columns stay, ones named like an output are replaced.
+no confirmed toxic text every score is 0; an id that some label row calls toxic counts as confirmed,
+whatever its other rows say, and each of its texts is an example; ties at the samples' bounds go by
+smaller id; a word of over a megabyte is one word. Extra columns stay, ones named like an output are
+replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,23 +42,41 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % folds
 
 
+def _slice_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes by kind (word, first four letters, first five) of the words of at most SLICE bytes."""
+    word = _WORD[data]
+    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    values, up, down = word_tables()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)])])
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin
+    letters = np.append(letters, np.full(6, len(data)))
+    first = np.searchsorted(letters, start)
+    stops = (end, np.minimum(letters[first + 4], end), np.minimum(letters[first + 5], end))
+    return np.stack([mix((total[stop] - total[start]) * down[start] + np.uint64(kind)) for kind, stop in enumerate(stops, 1)])
+
+
 def features(text: str | None, bits: int = 18) -> np.ndarray:
     """Sorted distinct feature numbers of a text's words and their first four and five letters."""
     raw = (text or "").encode().lower()
-    out = []
-    for at in range(0, len(raw), SLICE // 2):  # a word cut by a slice counts as two
-        data = np.frombuffer(raw[at : at + SLICE // 2], np.uint8)
-        word = _WORD[data]
-        edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        values, up, down = word_tables()
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)])])
-        letters = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin
-        letters = np.append(letters, np.full(6, len(data)))
-        first = np.searchsorted(letters, start)
-        for kind, stop in ((1, end), (2, np.minimum(letters[first + 4], end)), (3, np.minimum(letters[first + 5], end))):
-            out.append(mix((total[stop] - total[start]) * down[start] + np.uint64(kind)) >> np.uint64(64 - bits))
-    return np.unique(np.concatenate(out)).astype(np.int32) if out else np.zeros(0, np.int32)
+    inside, out, at = _WORD[np.frombuffer(raw, np.uint8)], [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        to = min(at + SLICE, len(raw))
+        if to < len(raw) and inside[to - 1] and inside[to]:  # cut after the last byte of the slice that is in no word
+            gaps = np.flatnonzero(~inside[at:to])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            else:  # one word longer than a slice
+                more = np.flatnonzero(~inside[to:])
+                to = to + int(more[0]) if len(more) else len(raw)
+                hashes = _slice_hashes(np.frombuffer(raw[at : at + 32], np.uint8))[:, :1]
+                hashes[0, 0] = int.from_bytes(hashlib.blake2b(raw[at:to], digest_size=8).digest(), "big")
+                out.append(hashes.reshape(-1))
+                at = to
+                continue
+        out.append(_slice_hashes(np.frombuffer(raw[at:to], np.uint8)).reshape(-1))
+        at = to
+    return np.unique(np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,6 +87,19 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk under the logistic loss of margins of positive and unlabelled texts, and the step's direction by margin.
+
+    Where the bracket is below zero the direction is the bracket's own, turned round.
+    """
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    value = prior * np.logaddexp(0, -fp).mean() + max(0.0, negative)
+    # d loss(f) = sigmoid(f) - 1, d loss(-f) = sigmoid(f)
+    if negative >= 0:
+        return value, prior * (_sigmoid(fp) - 1) / len(fp) - prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    return value, prior * _sigmoid(fp) / len(fp), -_sigmoid(fu) / len(fu)
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = 18, min_texts: int = 4, surprise: float = 6.0, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights of all features, and the bias."""
     size = 1 << bits
@@ -78,14 +116,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     for step in range(1, steps + 1):
         fp = np.bincount(pi, w[pj], p) + b
         fu = np.bincount(ui, w[uj], u) + b
-        # logistic loss: d loss(f) = sigmoid(f) - 1, d loss(-f) = sigmoid(f)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu = np.zeros(p), np.zeros(u)
-        if negative >= 0:
-            gp = (prior * (_sigmoid(fp) - 1) - prior * _sigmoid(fp)) / p
-            gu = _sigmoid(fu) / u
-        else:
-            gp, gu = prior * _sigmoid(fp) / p, -_sigmoid(fu) / u
+        gp, gu = risk(fp, fu, prior)[1:]
         gw = np.bincount(pj, gp[pi], len(use)) + np.bincount(uj, gu[ui], len(use)) + decay * w
         gb = gp.sum() + gu.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
@@ -95,7 +126,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     weights = np.zeros(size, np.float32)
     weights[use] = w
-    return weights, float(min(b, np.log(prior / (1 - prior))))  # a text with none of the features is no likelier than any
+    return weights, float(min(b, np.log(prior / (1 - prior))))
 
 
 def _sample(docs: DataFrame, ids: DataFrame, bits: int) -> list[np.ndarray]:

@@ -84,6 +84,25 @@ def test_line_dedup_overlaps(spark):
     assert by_row(dedup_lines(df), "doc_id", "text") == [(1, "a"), (2, "a\na\nb")]
 
 
+def brute_lines(rows, window=3):
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines) - window + 1):
+            w = tuple(lines[p : p + window])
+            gone |= set(range(p, p + window)) if w in seen else set()
+            seen.add(w)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_line_dedup_by_brute_force_and_on_a_long_text(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(rng.choice(list("abc"), int(rng.integers(1, 40))))) for i in range(60)]
+    rows += [(100 + i, "\n".join(f"line {k}" if k % 50 else f"own {i} {k}" for k in range(60_000))) for i in range(2)]
+    assert by_row(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text") == sorted(brute_lines(rows), key=repr)
+
+
 def test_license_scan(docs, empty):
     rows = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).where("doc_id <> 16").collect()}
     r = rows[13]
@@ -94,6 +113,12 @@ def test_license_scan(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_tells_short_statements_apart(spark):
+    df = spark.createDataFrame(list(enumerate(t for _, t in license_scan.TEMPLATES)) + [(90, "licensed under the eclipse license version 2 0")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df, phrases=()).collect()}
+    assert [got[i] for i in range(len(license_scan.TEMPLATES))] == [label for label, _ in license_scan.TEMPLATES] and got[90] == ""
+
+
 def test_license_scan_finds_a_statement_anywhere(spark):
     label, statement = license_scan.TEMPLATES[1]
     rows = [(n, " ".join(["word"] * n + statement.split()[:-1] + ["word"] * (200 - n))) for n in range(0, 200, 7)]
@@ -202,6 +227,71 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def plain_pack(items, lengths):
+    """The same rule with lists and no bookkeeping."""
+    bins = []  # [capacity, contents]
+    out = []
+    for k, n in enumerate(items):
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            target = min(fits, key=lambda b: (b[0] - sum(b[1]), bins.index(b)))
+        else:
+            tried = []
+            for c in lengths:
+                if c < n:
+                    continue
+                held = n
+                for m in sorted(items[k + 1 :], reverse=True):
+                    if held + m <= c:
+                        held += m
+                end = min(x for x in lengths if x >= held)
+                tried.append(((end - held) / held, -c))
+            target = [-min(tried)[1], [], len(bins)]
+            bins.append(target)
+        target[1].append(n)
+        out.append(target[2])
+    return out, [min(x for x in lengths if x >= sum(b[1])) for b in bins]
+
+
+def test_packing_follows_the_rule():
+    rng = np.random.default_rng(12)
+    opened = set()
+    for lengths in ((8, 16, 32), (10, 15), (7, 12, 20)):
+        for _ in range(60):
+            items = sorted(rng.integers(1, lengths[-1] + 1, rng.integers(1, 14)).tolist(), reverse=True)
+            bins, _, size = packing.pack(items, lengths)
+            assert (bins, size) == plain_pack(items, lengths)
+            opened |= {(lengths, s) for s in size}
+    assert len(opened) == 8
+
+
+def least_capacity(items, lengths):
+    """Of all partitions of a few items."""
+    best = [math.inf]
+
+    def go(i, bins):
+        if i == len(items):
+            best[0] = min(best[0], sum(min(x for x in lengths if x >= b) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= lengths[-1]:
+                go(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_optimum_of_small_cases():
+    rng = np.random.default_rng(13)
+    ours = least = 0
+    for _ in range(60):
+        items = sorted(rng.integers(1, 33, 7).tolist(), reverse=True)
+        size = packing.pack(items, (8, 16, 32))[2]
+        ours, least = ours + sum(size), least + least_capacity(items, (8, 16, 32))
+    assert ours <= 1.05 * least
+
+
 def test_packing_is_tight(spark):
     sizes = np.random.default_rng(2).integers(1, 3000, 400).tolist()
     rows = packing.pack_documents(spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")).collect()
@@ -420,6 +510,35 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_risk_and_direction():
+    rng = np.random.default_rng(3)
+    for shift in (0.0, 6.0):  # the bracket above and below zero
+        fp, fu, prior, step = rng.normal(size=5) + shift, rng.normal(size=9) - shift, 0.3, 1e-6
+        positive = lambda f: np.log1p(np.exp(-f)).mean()
+        bracket = lambda p, u: positive(-u) - prior * positive(-p)
+        value, gp, gu = toxicity.risk(fp, fu, prior)
+        below = bracket(fp, fu) < 0
+        assert below == (shift > 0) and value == pytest.approx(prior * positive(fp) + max(0, bracket(fp, fu)))
+        goal = (lambda p, u: -bracket(p, u)) if below else lambda p, u: prior * positive(p) + bracket(p, u)
+        for x, g, at in ((fp, gp, 0), (fu, gu, 1)):
+            for i in range(len(x)):
+                up = [fp.copy(), fu.copy()]
+                up[at][i] += step
+                assert (goal(*up) - goal(fp, fu)) / step == pytest.approx(g[i], abs=1e-5)
+
+
+def test_toxicity_features_do_not_depend_on_where_a_slice_ends(monkeypatch):
+    texts = [" ".join(f"wort{i % 97}ñé" for i in range(3000)), "x" * 400 + " ende " + "y" * 401, "", None]
+    whole = [toxicity.features(t) for t in texts]
+    monkeypatch.setattr(toxicity, "SLICE", 401)
+    for n, (t, w) in enumerate(zip(texts, whole)):
+        got = toxicity.features(t)
+        if n != 1:
+            assert got.tolist() == w.tolist()
+    short = toxicity.features("y" * 401)
+    assert len(toxicity.features("y" * 402)) == len(short) == 3
+
+
 def brute_nearest(rows, k, asks):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}
     out = []
