@@ -7,11 +7,13 @@ rolling block-long window probes it, and only around hits are full windows compa
 windows merge to maximal repeats.
 
 The work goes by pages: up to about 1 MB of documents in one compressed row, made once where the input
-is read. Pages send the distinct hashes they hold to hash buckets, each with the first or last document
-of the page that has it, and get back for each hash the rank, among the page's own documents, from which
-on it counts as a repeat. So a passage in a third of all documents is one entry a page, never a group,
-and no pairs are made. Anchors and probes go as 32 bits beside the bucket, whose size is fixed: a false
-match only costs one more comparison. Full windows go as 64 bits beside theirs.
+is read. Pages send the distinct hashes they hold to hash buckets (see `_exchange`), each with the
+smallest id among the page's documents that have it as an anchor and the largest of those that have it at
+all, and get back, for the hashes that are repeated, the smallest id overall. So a passage in a third of
+all documents is one entry a page, never a group, and no pairs are made. Around hits, windows are
+extended by the same exchange of full windows: neighbours that repeat merge to maximal repeats. Anchors
+and probes go as 32 bits beside the bucket, whose size is fixed: a false match only costs one more
+comparison. Full windows go as 64 bits beside theirs.
 
 Defined results: null text has no words and stays null; empty text stays empty; ids that are null come
 after all others and don't count as smaller than each other; rows that share an id don't remove each
@@ -31,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from auditlake.llm._exchange import ROWS, Exchange, Segments
 from auditlake.llm._hashing import windows, word_hashes
 from auditlake.llm._shared import stored
 
-PAGE_BYTES, PAGE_ROWS, BUCKET_BYTES = 1 << 20, 20_000, 16 << 20
-NONE = np.uint16(0xFFFF)
+PAGE_BYTES, PAGE_ROWS, BUCKET_BYTES, FAN = 1 << 20, 20_000, 16 << 20, 4096
+NONE, NEVER = np.uint16(0xFFFF), np.int64(2**63 - 1)
 PAGES = "page long, size long, rows binary"
-SENT = "bucket int, page long, ids binary, keys binary, docs binary"
-BACK = "page long, step int, bucket int, ranks binary"
+NARROW, WIDE, BACK = ("<u4", "<i8", "<i8"), ("<u8", "<i8", "<i8"), ("<i8",)
 
 
 def _page_rows(batches: Iterator[pa.RecordBatch], text_col: str, page_bytes: int = PAGE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,56 +121,32 @@ class _Keys:
         self.high = np.zeros(n, np.uint16)
         np.maximum.at(self.high, self.of, doc.astype(np.uint16))
 
-    def sent(self, page: int, ids: np.ndarray, wide: bool) -> pa.RecordBatch | None:
-        if not len(self.key):
-            return None
-        to, cut = np.unique(self.bucket, return_index=True)
-        cut = [*cut, len(self.bucket)]
-        keys = self.key if wide else self.key.astype(np.uint32)
-        parts = [slice(a, b) for a, b in zip(cut, cut[1:])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(to.astype(np.int32)), pa.array([page] * len(to), pa.int64()), pa.array([ids.tobytes()] * len(to), pa.binary()),
-             pa.array([keys[s].tobytes() for s in parts], pa.binary()),
-             pa.array([np.concatenate([self.low[s], self.high[s]]).tobytes() for s in parts], pa.binary())],
-            ["bucket", "page", "ids", "keys", "docs"],
-        )
-
-    def repeated(self, back: dict[int, bytes]) -> np.ndarray:
-        """Which places the buckets' ranks make repeats."""
-        ranks = np.full(len(self.key), NONE)
-        for b, r in back.items():
-            a, z = np.searchsorted(self.bucket, [b, b + 1])
-            ranks[a:z] = np.frombuffer(r, np.uint16)
-        return self.doc >= ranks[self.of]
-
-
-def _answer(table: pa.Table, step: int) -> pa.Table:
-    """For each page's keys the rank from which on its documents repeat an earlier one.
-
-    step 1: documents from the first one with that anchor on, if any later one has it. step 2: documents
-    after the first one that has the window.
-    """
-    width = np.uint32 if step == 1 else np.uint64
-    ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-    keys = [np.frombuffer(x, width) for x in table.column("keys").to_pylist()]
-    docs = [np.frombuffer(x, np.uint16).reshape(2, -1) for x in table.column("docs").to_pylist()]
-    never = np.int64(2**63 - 1)
-    low = np.concatenate([np.where(d[0] == NONE, never, i[np.where(d[0] == NONE, 0, d[0])]) for i, d in zip(ids, docs)])
-    high = np.concatenate([i[d[1]] for i, d in zip(ids, docs)])
-    every, of = np.unique(np.concatenate(keys), return_inverse=True)
-    first, last = np.full(len(every), never), np.full(len(every), np.int64(-(2**63)))
+    def sent(self, page: int, ids: np.ndarray, wide: bool) -> Segments:
+        """Keys with the smallest id that anchors them and the largest that has them, by bucket."""
+        to, n = np.unique(self.bucket, return_counts=True)
+        low = np.where(self.low == NONE, NEVER, ids[np.where(self.low == NONE, 0, self.low)]) if len(ids) else np.zeros(0, np.int64)
+        return Segments(np.full(len(to), page), to, np.repeat(n[:, None], 3, axis=1), [self.key.astype(WIDE[0] if wide else NARROW[0]), low, ids[self.high]])
+
+    def first(self, back: pa.Table) -> np.ndarray:
+        """For each place the smallest id that the buckets know of."""
+        firsts, s = np.full(len(self.key), NEVER), Segments.read(back, BACK)
+        at = s.starts(0)
+        for i, b in enumerate(s.buckets):
+            a = np.searchsorted(self.bucket, b)
+            firsts[a : a + s.lens[i, 0]] = s.columns[0][at[i] : at[i + 1]]
+        return firsts[self.of]
+
+
+def _answer(sent: Segments) -> Segments:
+    """For the segments that hold any key that is anchored in one document and found in a later one: the first document of each such key."""
+    keys, low, high = sent.columns
+    every, of = np.unique(keys, return_inverse=True)
+    first, last = np.full(len(every), NEVER), np.full(len(every), np.int64(-(2**63)))
     np.minimum.at(first, of, low)
     np.maximum.at(last, of, high)
-    counts, first = last > first, first  # nothing repeats where no later document has the key
-    first, counts = first[of], counts[of]
-    out, at = [], 0
-    for i, k in zip(ids, keys):
-        part = slice(at, at + len(k))
-        rank = np.searchsorted(i, first[part], "left" if step == 1 else "right")
-        out.append(np.where(counts[part], rank, NONE).astype(np.uint16).tobytes())
-        at += len(k)
-    n = table.num_rows
-    return pa.table([table.column("page"), pa.array([step] * n, pa.int32()), table.column("bucket"), pa.array(out, pa.binary())], ["page", "step", "bucket", "ranks"])
+    value = np.where(last > first, first, NEVER)[of]
+    hit = np.add.reduceat(value != NEVER, sent.starts(0)[:-1]) > 0 if len(value) else np.zeros(0, bool)
+    return Segments(sent.pages, sent.buckets, sent.lens[:, :1], [value]).taken(np.flatnonzero(hit))
 
 
 def _kept(text: bytes | None, gone: np.ndarray) -> str | None:
@@ -177,10 +155,6 @@ def _kept(text: bytes | None, gone: np.ndarray) -> str | None:
     return b" ".join([w for w, g in zip(text.split(), gone.tolist()) if not g]).decode()
 
 
-def _ranks(back: pa.Table, step: int) -> dict[int, bytes]:
-    return {b: r for s, b, r in zip(*(back.column(c).to_pylist() for c in ("step", "bucket", "ranks"))) if s == step}
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """docs, its text less repeated words (kept words joined by one space where any went), plus n_words and n_removed (long)."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -190,29 +164,34 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     arrow = to_arrow_schema(schema)
 
     pages = stored(docs.mapInArrow(lambda it: _page_rows(it, text_col), PAGES))
-    size = pages.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    size, n_pages = pages.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ways = Exchange(n_pages, max(1, math.ceil(size / BUCKET_BYTES)), FAN)
 
     def send_probes(batches):
         for batch in batches:
             for page, rows in zip(batch.column("page").to_pylist(), batch.column("rows").to_pylist()):
                 p = _Page(rows, id_col, text_col, window)
-                if (out := p.probes(buckets).sent(page, p.ids, wide=False)) is not None:
-                    yield out
+                yield ways.sent(p.probes(ways.buckets).sent(page, p.ids, wide=False))
+
+    def answers(rows: DataFrame, kinds: tuple[str, ...], step: int) -> DataFrame:
+        found = ways.forward(rows, kinds).groupBy("to").applyInArrow(lambda t: pa.Table.from_batches([ways.answered(_answer(Segments.read(t, kinds)))]), ROWS)
+        return stored(ways.back(found, BACK).withColumn("step", F.lit(step)))
+
+    def of_step(back: pa.Table, step: int) -> pa.Table:
+        return back.filter(pc.equal(back.column("step"), step))
 
     def hits(p: _Page, back: pa.Table) -> _Keys:
-        probes = p.probes(buckets)
-        return p.windows_at_hits(probes.at[probes.repeated(_ranks(back, 1))], buckets)
+        probes = p.probes(ways.buckets)
+        return p.windows_at_hits(probes.at[p.ids[probes.doc] >= probes.first(of_step(back, 1))], ways.buckets)
 
-    empty = to_arrow_schema(T._parse_datatype_string(SENT)).empty_table()
+    empty = to_arrow_schema(T._parse_datatype_string(ROWS)).empty_table()
 
     def send_windows(left: pa.Table, back: pa.Table) -> pa.Table:
-        out = []
+        out = [empty]
         for page, rows in zip(left.column("page").to_pylist(), left.column("rows").to_pylist()):
             p = _Page(rows, id_col, text_col, window)
-            if (sent := hits(p, back).sent(page, p.ids, wide=True)) is not None:
-                out.append(sent)
-        return pa.Table.from_batches(out) if out else empty
+            out.append(pa.Table.from_batches([ways.sent(hits(p, back).sent(page, p.ids, wide=True))]).cast(empty.schema))
+        return pa.concat_tables(out)
 
     def finish(left: pa.Table, back: pa.Table) -> pa.Table:
         out = []
@@ -220,7 +199,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             p = _Page(rows, id_col, text_col, window)
             keys = hits(p, back)
             edge = np.zeros(len(p.words) + window + 1, np.int64)
-            at = keys.at[keys.repeated(_ranks(back, 2))]
+            at = keys.at[p.ids[keys.doc] > keys.first(of_step(back, 2))]
             edge[at] += 1
             edge[at + window] -= 1
             gone = np.cumsum(edge)[: len(p.words)] > 0
@@ -232,8 +211,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out.append(table.cast(arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
-    first = stored(pages.mapInArrow(send_probes, SENT).groupBy("bucket").applyInArrow(lambda t: _answer(t, 1), BACK))
+    first = answers(pages.mapInArrow(send_probes, ROWS), NARROW, 1)
     by_page = pages.select("page", "rows").groupBy("page")
-    second = by_page.cogroup(first.groupBy("page")).applyInArrow(send_windows, SENT)
-    second = stored(second.groupBy("bucket").applyInArrow(lambda t: _answer(t, 2), BACK))
-    return by_page.cogroup(first.unionByName(second).groupBy("page")).applyInArrow(finish, schema)
+    second = answers(by_page.cogroup(first.groupBy("to")).applyInArrow(send_windows, ROWS), WIDE, 2)
+    return by_page.cogroup(first.unionByName(second).groupBy("to")).applyInArrow(finish, schema)

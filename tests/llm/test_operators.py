@@ -190,8 +190,12 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_substring_dedup_over_pages_and_buckets(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
+@pytest.mark.parametrize("bucket_bytes, fan", [(4000, 4096), (400, 4)])
+def test_substring_dedup_over_pages_and_buckets(spark, monkeypatch, bucket_bytes, fan):
+    """One level of exchange, and several."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
+    monkeypatch.setattr(substring_dedup, "PAGE_ROWS", 7)
     rng = np.random.default_rng(5)
     shared = [prose(50 + i, 40) for i in range(6)]
     rows = [(int(i), " ".join([prose(1000 + i, int(rng.integers(0, 40))), shared[i % 6], prose(3000 + i, 20)])) for i in rng.permutation(150)]
