@@ -8,8 +8,8 @@ import numpy as np
 
 SLICE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def word_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _one_slice(data: np.ndarray) -> np.ndarray:
     values, up, down = word_tables()
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)])])
@@ -47,9 +47,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     while at < len(data):
         to = min(at + SLICE, len(data))
         if to < len(data):  # cut at the last white space of the slice
-            gap = np.flatnonzero(_SPACE[data[at:to]])
+            gap = np.flatnonzero(SPACE[data[at:to]])
             if not len(gap):  # a word longer than a slice
-                more = np.flatnonzero(_SPACE[data[to:]])
+                more = np.flatnonzero(SPACE[data[to:]])
                 stop = to + more[0] if len(more) else len(data)
                 out.append(_long_word(data[at:stop]))
                 at = stop

@@ -348,35 +348,82 @@ def test_lm_score(docs, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over all words and the unknown one, after any context, with the model's own totals."""
-    import pyarrow as pa
+def seated_singly(n, weight, slope, discount, rng):
+    t = int(n > 0)
+    for i in range(1, n):
+        w = weight + slope * t
+        t += rng.random() * (w + i - discount * t) < w
+    return t
 
+
+def test_lm_seats_follow_the_restaurant_process():
+    rng = np.random.default_rng(5)
+    many = lambda n, w, slope, d, **kw: lm_score.seat(np.full(40_000, n), np.full(40_000, w), np.full(40_000, slope), d, rng, **kw)
+    for w, slope in ((2.0, 0.0), (0.2, 0.1)):
+        assert (many(2, w, slope, 0.75) == 2).mean() == pytest.approx((w + slope) / (w + slope + 0.25), abs=0.01)
+    for n, w, slope, d in ((50, 5.0, 0.05, 0.6), (30, 0.3, 0.2, 0.4)):
+        plain = [seated_singly(n, w, slope, d, rng) for _ in range(4000)]
+        for singly in (2, 16, 100):
+            got = many(n, w, slope, d, singly=singly)
+            assert got.mean() == pytest.approx(np.mean(plain), abs=0.15) and got.std() == pytest.approx(np.std(plain), abs=0.15)
+    assert lm_score.seat(np.array([0, 1, 3]), np.ones(3), np.zeros(3), 0.5, rng).tolist()[:2] == [0, 1]
+    x = np.array([0.3, 1.0, 2.5, 40.0, 1e6])
+    assert np.allclose(lm_score._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
+
+
+def test_lm_probabilities_sum_to_one_after_every_sweep(spark, monkeypatch):
+    """Over all words and the unknown one, in several contexts, with the totals that the sweeps themselves share."""
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 3000)
+    seen = []
+    sampled = lm_score.sample
+    monkeypatch.setattr(lm_score, "sample", lambda *a: seen.append(sampled(*a)) or seen[-1])
     rng = np.random.default_rng(0)
-    text = " ".join(rng.choice(WORDS, 3000, p=np.arange(20, 0, -1) / 210))
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pydict({"id": [1], "text": [text], "held": [False]})
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    sent = lm_score._Tokens(sink.getvalue().to_pybytes(), 1).sent(0)
-    rest = lm_score._Restaurants(pa.Table.from_batches([sent]))
-    base, d = 1 / (1 + len(rest.seen)), (0.6, 0.5, 0.4)
-    c1 = np.bincount(rest.up1, rest.c2 > 0, len(rest.u1)).astype(int)
-    c0 = np.bincount(rest.up0, c1 > 0, len(rest.seen)).astype(int)
-    total = lm_score._spread(lm_score._totals(rest, ((rest.c2 > 0).astype(int), c1, (c1 > 0).astype(int), c0, (c0 > 0).astype(int))))
-    seats, _, _ = rest.sweep(rest.start(base), total, d, 1.0, base, rng)
-    total = lm_score._spread(lm_score._totals(rest, seats))
-    (_, _), (c_1, t_1), (c_0, t_0) = total
-    t2, c1, t1, c0, t0 = seats
-    root = (c0 - d[2] * t0 + (1 + d[2] * t_0) * base) / (1 + c_0)
-    assert root.sum() + (1 + d[2] * t_0) * base / (1 + c_0) == pytest.approx(1)
-    u = int(rest.u1[0])
-    known = np.zeros(len(root))
-    at = rest.u1 == u
-    known[rest.up0[at]] = (c1 - d[1] * t1)[at]
-    p = (known + (1 + d[1] * t_1[u]) * root) / (1 + c_1[u])
-    unknown = (1 + d[1] * t_1[u]) * (1 + d[2] * t_0) * base / (1 + c_0) / (1 + c_1[u])
-    assert p.sum() + unknown == pytest.approx(1)
+    rows = [(i, " ".join(rng.choice(WORDS, 100, p=np.arange(20, 0, -1) / 210))) for i in range(40)]
+    lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    cells, states = seen[0]
+    buckets = cells.collect()
+    assert len(buckets) > 3 and len(states) == 4
+    for k, state in enumerate(states):
+        (d2, d1, d0), (c_2, c_1, c_0), (t_2, t_1, t_0), s = state.discount, state.customers, state.tables, state.strength
+        root, parent, cell = {}, {}, {}
+        for row in buckets:
+            rest = lm_score._Restaurants(row.asDict())
+            p2, p1, p0 = rest.predictive(lm_score._seats(row["seats"][k], rest), state)
+            root |= {(row["bucket"], w): p for w, p in enumerate(p0)}
+            parent |= {(row["bucket"], w, u): p for w, u, p in zip(rest.up0, rest.u1, p1)}
+            cell |= {(row["bucket"], w, u): p for w, u, p in zip(rest.word, rest.u2, p2)}
+        unknown = (s + d0 * t_0) * state.base / (s + c_0)
+        assert sum(root.values()) + unknown == pytest.approx(1)
+        for u in list({u for _, _, u in cell})[:5]:
+            up = u % lm_score.PARENTS
+            below = lambda p: (s + d1 * t_1[up]) * p / (s + c_1[up])  # noqa: E731, B023
+            least = lambda p: (s + d2 * t_2[u]) * p / (s + c_2[u])  # noqa: E731, B023
+            middle = {w: parent.get((*w, up), below(p)) for w, p in root.items()} | {None: below(unknown)}
+            assert sum(middle.values()) == pytest.approx(1)
+            assert sum(cell.get((*w, u) if w else None, least(p)) for w, p in middle.items()) == pytest.approx(1)
+
+
+def test_lm_score_over_pages_buckets_and_levels(spark, monkeypatch):
+    """The base score, and better held-out scores than it, whatever the exchange."""
+    rng = np.random.default_rng(1)
+    chain = {w: rng.permutation(WORDS)[:3] for w in WORDS}
+    rows = []
+    for i in range(150):
+        w = [WORDS[i % 20]]
+        for _ in range(60):
+            w.append(str(rng.choice(chain[w[-1]])))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = {r["doc_id"]: r for r in lm_score.score_documents(df).collect()}
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "FAN", 4)
+    monkeypatch.setattr(substring_dedup, "PAGE_ROWS", 9)
+    parts = {r["doc_id"]: r for r in lm_score.score_documents(df).collect()}
+    out = [i for i, r in whole.items() if r["held_out"]]
+    total = lambda rows, c: sum(rows[i][c] for i in out)
+    assert total(whole, "base_score") == pytest.approx(total(parts, "base_score"))
+    assert total(whole, "score") == pytest.approx(total(parts, "score"), rel=0.02)
+    assert total(whole, "score") > 0.6 * total(whole, "base_score")
 
 
 def brute_components(rows, threshold=75):
