@@ -54,7 +54,7 @@ def _page_rows(batches: Iterator[pa.RecordBatch], text_col: str, page_bytes: int
             run = np.cumsum(lengths[at : at + PAGE_ROWS])
             n = max(1, int(np.searchsorted(run, page_bytes, "right")))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 out.write_batch(batch.slice(at, n))
             yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([int(run[min(n, len(run)) - 1])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["page", "size", "rows"])
             page, at = page + 1, at + n

@@ -348,27 +348,26 @@ def test_lm_score(docs, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
-def seated_singly(n, weight, slope, discount, rng):
+def seated_singly(n, own, above, size, discount, rng):
     t = int(n > 0)
     for i in range(1, n):
-        w = weight + slope * t
+        w = (own + discount * t) * (above + t) / (size + t)
         t += rng.random() * (w + i - discount * t) < w
     return t
 
 
 def test_lm_seats_follow_the_restaurant_process():
     rng = np.random.default_rng(5)
-    many = lambda n, w, slope, d, **kw: lm_score.seat(np.full(40_000, n), np.full(40_000, w), np.full(40_000, slope), d, rng, **kw)
-    for w, slope in ((2.0, 0.0), (0.2, 0.1)):
-        assert (many(2, w, slope, 0.75) == 2).mean() == pytest.approx((w + slope) / (w + slope + 0.25), abs=0.01)
-    for n, w, slope, d in ((50, 5.0, 0.05, 0.6), (30, 0.3, 0.2, 0.4)):
-        plain = [seated_singly(n, w, slope, d, rng) for _ in range(4000)]
-        for singly in (2, 16, 100):
-            got = many(n, w, slope, d, singly=singly)
-            assert got.mean() == pytest.approx(np.mean(plain), abs=0.15) and got.std() == pytest.approx(np.std(plain), abs=0.15)
-    assert lm_score.seat(np.array([0, 1, 3]), np.ones(3), np.zeros(3), 0.5, rng).tolist()[:2] == [0, 1]
-    x = np.array([0.3, 1.0, 2.5, 40.0, 1e6])
-    assert np.allclose(lm_score._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
+    full = lambda x: np.full(40_000, x)
+    many = lambda n, own, above, size, d, **kw: lm_score.seat(full(n), full(own), full(above), full(size), d, rng, **kw)
+    for own, above, size in ((2.0, 1e12, 1e12), (0.2, 3.0, 9.0)):
+        w = (own + 0.75) * (above + 1) / (size + 1)
+        assert (many(2, own, above, size, 0.75) == 2).mean() == pytest.approx(w / (w + 0.25), abs=0.01)
+    for n, own, above, size, d in ((50, 5.0, 40.0, 60.0, 0.6), (30, 0.3, 2.0, 30.0, 0.4), (400, 5.0, 40.0, 60.0, 0.6)):
+        plain = [seated_singly(n, own, above, size, d, rng) for _ in range(3000)]
+        got = many(n, own, above, size, d)
+        assert got.mean() == pytest.approx(np.mean(plain), rel=0.02) and got.std() == pytest.approx(np.std(plain), rel=0.06)
+    assert lm_score.seat(np.array([0, 1, 3]), np.ones(3), np.ones(3), np.ones(3), 0.5, rng).tolist()[:2] == [0, 1]
 
 
 def test_lm_probabilities_sum_to_one_after_every_sweep(spark, monkeypatch):
@@ -382,7 +381,7 @@ def test_lm_probabilities_sum_to_one_after_every_sweep(spark, monkeypatch):
     lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
     cells, states = seen[0]
     buckets = cells.collect()
-    assert len(buckets) > 3 and len(states) == 4
+    assert len(buckets) > 3 and len(states) == 3
     for k, state in enumerate(states):
         (d2, d1, d0), (c_2, c_1, c_0), (t_2, t_1, t_0), s = state.discount, state.customers, state.tables, state.strength
         root, parent, cell = {}, {}, {}
@@ -395,7 +394,7 @@ def test_lm_probabilities_sum_to_one_after_every_sweep(spark, monkeypatch):
         unknown = (s + d0 * t_0) * state.base / (s + c_0)
         assert sum(root.values()) + unknown == pytest.approx(1)
         for u in list({u for _, _, u in cell})[:5]:
-            up = u % lm_score.PARENTS
+            up = u // (lm_score.CONTEXTS // lm_score.PARENTS)
             below = lambda p: (s + d1 * t_1[up]) * p / (s + c_1[up])  # noqa: E731, B023
             least = lambda p: (s + d2 * t_2[u]) * p / (s + c_2[u])  # noqa: E731, B023
             middle = {w: parent.get((*w, up), below(p)) for w, p in root.items()} | {None: below(unknown)}
@@ -531,7 +530,7 @@ def test_near_dedup_of_letters_in_two_wordings(spark, n, pairs, block, wide):
     want = links_by_matrix(rows)
     assert sum(i != c for i, c in want) >= 0.9 * pairs
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_row(near_dedup.near_duplicates(df, block=block, wide=wide), "doc_id", "component_id") == want
+    assert by_row(near_dedup.near_duplicates(df, block=block, meet=block, wide=wide), "doc_id", "component_id") == want
 
 
 def test_components(spark):
