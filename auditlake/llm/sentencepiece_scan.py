@@ -2,13 +2,17 @@
 
 Encoding picks the segmentation of a text into pieces of the model's table whose scores add up to most
 (the unigram criterion; a character without a piece costs the lowest score less ten and becomes byte
-pieces). A text longer than `chunk` characters is cut every `chunk` characters, wherever that falls. A
+pieces). A text of `chunk` characters or more is cut every `chunk` characters, wherever that falls. A
 chunk's boundary state is how many of its first characters a piece from before has already taken, and
 the chunk becomes a transfer matrix: best score from each entry state to each exit state. Matrices
 combine associatively under (max, +): first within groups of `fan` chunks, then over a document's
-groups, and back down, which gives each chunk its own entry and exit state. Then every chunk is traced
-back by itself, on whatever executor. Equal scores go to the longer last piece, and at a chunk's
-boundary to the smaller state.
+groups, and back down, which gives each chunk the best scores of all texts before it, by entry state.
+
+Of segmentations with equal scores the one with the longest last piece counts, then the longest before
+it, and so on. So that this doesn't depend on the cuts, each chunk then maps every exit state to the
+entry state of that path; the maps combine associatively too, from the end of the text, and give each
+chunk its own entry and exit state. Then every chunk is traced back by itself, on whatever executor.
+Scores are taken to the nearest 2**-20, so sums are exact and equal scores are equal in any order.
 
 Pieces never hold a word mark after another character, so within a chunk the words between two marks
 are independent, and their segmentations are looked up in a bounded cache.
@@ -35,7 +39,7 @@ from pyspark.sql import types as T
 from auditlake.llm._shared import stored, text_key
 
 MARK, CHUNK, FAN, CACHE = "▁", 1 << 15, 64, 300_000
-NEVER = -np.inf
+NEVER, EXACT = -np.inf, 1 << 20
 
 
 class Pieces:
@@ -44,7 +48,7 @@ class Pieces:
     def __init__(self, table: list[tuple[str, float, str]]):
         """table: piece, score and kind (normal, byte, unknown or other) by id."""
         self.ids = {p: i for i, (p, _, kind) in enumerate(table) if kind == "normal"}
-        self.scores = [s for _, s, _ in table]
+        self.scores = [round(s * EXACT) / EXACT for _, s, _ in table]
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(table) if kind == "byte"}
         self.unknown = next((i for i, x in enumerate(table) if x[2] == "unknown"), 0)
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10.0
@@ -119,8 +123,8 @@ class Pieces:
         return total, b"".join(out)
 
     def _spread(self, text: str, a: int, b: int, start: np.ndarray) -> np.ndarray:
-        """Best scores (place - a, entry state) after all pieces that start in a..b; start: those at the first places."""
-        best = np.full((len(text) + 1 - a, self.longest), NEVER)
+        """Best scores (place - a, column of start) after all pieces that start in a..b; start: those at the first places."""
+        best = np.full((len(text) + 1 - a, start.shape[1]), NEVER)
         best[: len(start)] = start[: len(best)]
         for at in range(a, b):
             if np.isneginf(best[at - a]).all():
@@ -129,19 +133,23 @@ class Pieces:
                 np.maximum(best[end - a], best[at - a] + score, out=best[end - a])
         return best
 
+    def _marks(self, text: str, n: int) -> list[int]:
+        """Places of a chunk of n characters that every path goes through, whatever its entry."""
+        found = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text[: n + 1])] if self.cuts else []
+        return [m for m in found if self.longest - 1 <= m <= n]
+
     def transfer(self, text: str, n: int) -> np.ndarray:
         """Matrix of best scores from state s to state t of a chunk of n characters; text goes on after them."""
         size = self.longest
         enter = np.full((size, size), NEVER)
         np.fill_diagonal(enter, 0.0)
-        marks = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text[: n + 1])] if self.cuts else []
-        inner = [m for m in marks if size - 1 <= m <= n]
+        inner = self._marks(text, n)
         if not inner:
             best = self._spread(text, 0, n, enter)
         else:
             head = self._spread(text[: inner[0]], 0, inner[0], enter)[inner[0]]
             middle = self.encode(text[inner[0] : inner[-1]])[0]
-            tail = self._spread(text, inner[-1], n, np.zeros((1, size)))[:, 0]
+            tail = self._spread(text, inner[-1], n, np.zeros((1, 1)))[:, 0]
             best = np.full((len(text) + 1, size), NEVER)
             best[inner[-1] :] = head[None, :] + middle + tail[:, None]
         out = np.full((size, size), NEVER)
@@ -149,6 +157,29 @@ class Pieces:
         out[:, : len(ends)] = ends.T
         return out
 
+    def entries(self, text: str, n: int, before: np.ndarray) -> np.ndarray:
+        """For each exit state the entry state of the path that counts, with the best scores before the chunk by entry state."""
+        size, inner = self.longest, self._marks(text, n)
+        stop = inner[0] if inner else n
+        if inner:
+            text = text[:stop]
+        best = self._spread(text, 0, stop, np.asarray(before, float)[:, None])[:, 0]
+        back = {}
+        for at in range(stop):
+            if best[at] > NEVER:
+                for end, score, _ in self.edges(text, at):
+                    if end not in back and best[at] + score == best[end]:  # the first is the longest piece
+                        back[end] = at
+        # a place among the first that is best reached by entering there is an entry; a longer piece from before goes first
+        def entry(place: int) -> int:
+            while place in back and not (place < size and before[place] == best[place]):
+                place = back[place]
+            return place if place < size else 0
+
+        if inner:
+            return np.full(size, entry(stop), np.int32)
+        return np.array([entry(n + z) if n + z < len(best) and best[n + z] > NEVER else 0 for z in range(size)], np.int32)
+
 
 _LOADED: dict[int, Pieces] = {}
 
@@ -167,14 +198,28 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
-    """Boundary states of the best path through matrices in a row: entry, between, exit."""
-    reached = [np.where(np.arange(len(matrices[0])) == entry, 0.0, NEVER)]
-    for m in matrices:
-        reached.append((reached[-1][:, None] + m).max(axis=0))
-    out = [exit_]
-    for before, m in zip(reached[-2::-1], matrices[::-1]):
-        out.append(int((before + m[:, out[-1]]).argmax()))
+def reached(before: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Best scores by state before each of the matrices in a row."""
+    out = [before]
+    for m in matrices[:-1]:
+        out.append((out[-1][:, None] + m).max(axis=0))
+    return out
+
+
+def composed(maps: list[np.ndarray]) -> np.ndarray:
+    """Maps from exit to entry states in a row, as one: the last is applied first."""
+    out = maps[-1]
+    for m in maps[-2::-1]:
+        out = m[out]
+    return out
+
+
+def walked(maps: list[np.ndarray], exit_: int) -> list[tuple[int, int]]:
+    """Entry and exit state of each, from the exit state of the last."""
+    out = []
+    for m in maps[::-1]:
+        out.append((int(m[exit_]), exit_))
+        exit_ = int(m[exit_])
     return out[::-1]
 
 
@@ -211,9 +256,14 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     small = docs.where(~giant).mapInArrow(whole, schema)
 
     large = docs.where(giant).select(known_id.alias("id"), text_key(text).alias("key"), F.concat(F.lit(MARK), F.translate(text, " ", MARK)).alias("text")).dropDuplicates(["id", "key"])
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
-    chunks = large.select("id", "key", F.posexplode(F.transform(starts, lambda s: F.struct(F.substring("text", s + 1, F.lit(chunk + size - 1)).alias("text"), F.least(F.lit(chunk), F.length("text") - s).alias("n")))).alias("k", "c"))
-    chunks = stored(chunks.select("id", "key", "k", (F.col("k") / fan).cast("int").alias("g"), "c.text", "c.n").repartition("id", "key", "k"))
+
+    def cut(batches):
+        for batch in batches:
+            for id_, key, t in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text"))):
+                for k, at in enumerate(range(0, len(t), chunk)):
+                    yield pa.RecordBatch.from_pydict({"id": [id_], "key": [key], "k": pa.array([k], pa.int32()), "g": pa.array([k // fan], pa.int32()), "text": [t[at : at + chunk + size - 1]], "n": pa.array([min(chunk, len(t) - at)], pa.int32())})
+
+    chunks = stored(large.mapInArrow(cut, "id long, key long, k int, g int, text string, n int").repartition("id", "key", "k"))
 
     def transfer(batches):
         pieces = _pieces(table)
@@ -228,19 +278,42 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             total = product(total, _matrix(m, size))
         return pa.table([rows.column(c).slice(0, 1) for c in ("id", "key", "g")] + [pa.array([total.tobytes()], pa.binary())], ["id", "key", "g", "m"])
 
-    def over_groups(rows: pa.Table) -> pa.Table:
-        got = sorted(zip(rows.column("g").to_pylist(), rows.column("m").to_pylist()))
-        path = states([_matrix(m, size) for _, m in got], 0, 0)
-        n = len(got)
-        same = lambda c: pa.array([rows.column(c)[0].as_py()] * n, pa.int64())
-        return pa.table([same("id"), same("key"), pa.array([g for g, _ in got], pa.int32()), pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["id", "key", "g", "enter", "leave"])
+    def each(rows: pa.Table, by: str, columns: dict[str, pa.Array]) -> pa.Table:
+        """Rows of one document: its key, the sorted numbers of its groups or chunks, and columns."""
+        numbers = pa.array(sorted(rows.column(by).to_pylist()), pa.int32())
+        same = lambda c: pa.array([rows.column(c)[0].as_py()] * len(numbers), pa.int64())
+        return pa.table([same("id"), same("key"), numbers, *columns.values()], ["id", "key", by, *columns])
 
-    def within(rows: pa.Table, ends: pa.Table) -> pa.Table:
-        got = sorted(zip(rows.column("k").to_pylist(), rows.column("m").to_pylist()))
-        path = states([_matrix(m, size) for _, m in got], ends.column("enter")[0].as_py(), ends.column("leave")[0].as_py())
-        n = len(got)
-        same = lambda c: pa.array([rows.column(c)[0].as_py()] * n, pa.int64())
-        return pa.table([same("id"), same("key"), pa.array([k for k, _ in got], pa.int32()), pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["id", "key", "k", "enter", "leave"])
+    def in_order(rows: pa.Table, by: str, column: str, read) -> list[np.ndarray]:
+        return [read(x) for _, x in sorted(zip(rows.column(by).to_pylist(), rows.column(column).to_pylist()))]
+
+    matrix, vector, map_ = lambda x: _matrix(x, size), lambda x: np.frombuffer(x, np.float64), lambda x: np.frombuffer(x, np.int32)
+    blobs = lambda found: pa.array([x.tobytes() for x in found], pa.binary())
+    start = np.full(size, NEVER)
+    start[0] = 0.0
+
+    def before_groups(rows: pa.Table) -> pa.Table:
+        return each(rows, "g", {"before": blobs(reached(start, in_order(rows, "g", "m", matrix)))})
+
+    def before_chunks(rows: pa.Table, group: pa.Table) -> pa.Table:
+        return each(rows, "k", {"before": blobs(reached(vector(group.column("before")[0].as_py()), in_order(rows, "k", "m", matrix)))})
+
+    def entries(batches):
+        pieces = _pieces(table)
+        for batch in batches:
+            cells = zip(*(batch.column(c).to_pylist() for c in ("text", "n", "before")))
+            found = [pieces.entries(t, n, vector(b)) for t, n, b in cells]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "k", "g")), blobs(found)], ["id", "key", "k", "g", "map"])
+
+    def compose(rows: pa.Table) -> pa.Table:
+        return pa.table([rows.column(c).slice(0, 1) for c in ("id", "key", "g")] + [blobs([composed(in_order(rows, "k", "map", map_))])], ["id", "key", "g", "map"])
+
+    def out_of_groups(rows: pa.Table) -> pa.Table:
+        return each(rows, "g", {"leave": pa.array([z for _, z in walked(in_order(rows, "g", "map", map_), 0)], pa.int32())})
+
+    def out_of_chunks(rows: pa.Table, group: pa.Table) -> pa.Table:
+        path = walked(in_order(rows, "k", "map", map_), group.column("leave")[0].as_py())
+        return each(rows, "k", {"enter": pa.array([a for a, _ in path], pa.int32()), "leave": pa.array([z for _, z in path], pa.int32())})
 
     def trace(batches):
         pieces = _pieces(table)
@@ -250,9 +323,12 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "k")), *listed(found)], ["id", "key", "k", "ids", "score"])
 
     matrices = stored(chunks.mapInArrow(transfer, "id long, key long, k int, g int, m binary"))
-    grouped = matrices.groupBy("id", "key", "g").applyInArrow(combine, "id long, key long, g int, m binary")
-    ends = grouped.groupBy("id", "key").applyInArrow(over_groups, "id long, key long, g int, enter int, leave int")
-    placed = matrices.groupBy("id", "key", "g").cogroup(ends.groupBy("id", "key", "g")).applyInArrow(within, "id long, key long, k int, enter int, leave int")
+    by_group = lambda df: df.groupBy("id", "key", "g")
+    groups = by_group(matrices).applyInArrow(combine, "id long, key long, g int, m binary").groupBy("id", "key").applyInArrow(before_groups, "id long, key long, g int, before binary")
+    before = by_group(matrices).cogroup(by_group(groups)).applyInArrow(before_chunks, "id long, key long, k int, before binary")
+    maps = stored(chunks.join(before, ["id", "key", "k"]).mapInArrow(entries, "id long, key long, k int, g int, map binary"))
+    exits = by_group(maps).applyInArrow(compose, "id long, key long, g int, map binary").groupBy("id", "key").applyInArrow(out_of_groups, "id long, key long, g int, leave int")
+    placed = by_group(maps).cogroup(by_group(exits)).applyInArrow(out_of_chunks, "id long, key long, k int, enter int, leave int")
     traced = chunks.join(placed, ["id", "key", "k"]).mapInArrow(trace, "id long, key long, k int, ids array<int>, score double")
     parts = traced.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.sum("score").alias("token_score"))
     back = parts.select(F.col("id").alias("_i"), F.col("key").alias("_k"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "token_score")

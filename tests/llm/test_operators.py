@@ -141,8 +141,12 @@ def test_sentencepiece(docs, empty):
                 out[end] = max(out[end], out[at] + s)
         return out[-1]
 
-    for chunk in (1 << 15, 41):
+    ids = None
+    for chunk in (1 << 15, 200, 41):
         got = sentencepiece_scan.encode_documents(docs, path, chunk=chunk, fan=3)
+        now = by_row(got, "doc_id", "ids")
+        assert ids in (None, now)  # the same ids wherever texts are cut
+        ids = now
         decoded = sentencepiece_scan.decode_documents(got, path).where("doc_id <> 16").collect()
         assert got.count() == len(TEXTS)
         known = dict(TEXTS)
@@ -155,6 +159,17 @@ def test_sentencepiece(docs, empty):
     assert sentencepiece_scan.encode_documents(empty, path).count() == 0
 
 
+def test_sentencepiece_ids_do_not_depend_on_cuts(spark):
+    """Over texts without marks or with ties everywhere, and the library's own pieces at score ties."""
+    rng, path = np.random.default_rng(9), queries.SENTENCEPIECE_MODEL
+    rows = [(i, "".join(rng.choice(list("aab eéss"), int(rng.integers(30, 160))))) for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice(list("ab"), 300))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = by_row(sentencepiece_scan.encode_documents(df, path), "doc_id", "ids")
+    for chunk, fan in ((20, 2), (33, 3), (64, 64)):
+        assert by_row(sentencepiece_scan.encode_documents(df, path, chunk=chunk, fan=fan), "doc_id", "ids") == whole
+
+
 def test_transfer_matrices_combine():
     pieces = sentencepiece_scan.Pieces(sentencepiece_scan.Pieces.load(queries.SENTENCEPIECE_MODEL))
     text, size = "▁" + "supercalifragilistic" * 3 + "▁and▁more", pieces.longest
