@@ -8,18 +8,22 @@ digests, each with its length; the likeness of two is how much of the shorter on
 contains.
 
 Each document is also compared with the one before it in order of id, and with a text edited from both.
-Neighbours are brought together by range: documents go to ranges of ids of about `RANGE_BYTES` (the
-cuts are approximate quantiles, as many as the input needs), and the first document of a range also goes
-to the range before it. Texts are shuffled once.
+Neighbours are brought together by ranges of (id, hash of the text): their bounds are those of Spark's own
+range partitioning of ids alone, about one for RANGE_BYTES of text and at most MAX_RANGES, so 16 MB on the
+driver and in each task; rows find theirs by bisection. The first document of a range also goes to the
+range before it. Texts are shuffled once, and ranges are read row by row, never held whole, so an id that a
+third of all rows have needs no more memory than another; its different texts are in different ranges.
 
 Defined results: null text counts as empty; an empty text has an empty fingerprint, and the likeness of
 two empty fingerprints is 1, of one empty 0; rows that share an id follow each other in order of a hash
-of the text; null ids come after all others; a single document is its own neighbour.
+of the text; null ids come after all others; a single document is its own neighbour; texts of any length
+are cut whole; columns other than id and text don't reach the result.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import math
 
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 from auditlake.llm._shared import text_key
 
 LEAST, NORMAL_BITS, MOST = 32, 7, 1024
-RANGE_BYTES = 16 << 20
+RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 20
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -108,40 +112,43 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     if not size["n"]:
         return docs.sparkSession.createDataFrame([], schema)
-    ranges = max(1, math.ceil(size["bytes"] / RANGE_BYTES))
-    cuts = rows.select(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] if ranges > 1 else []
-    cuts = sorted(set(cuts))
-    # number of cuts at or below o, by halving: a balanced tree of comparisons
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("o") < cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    ranged = rows.withColumn("range", place(0, len(cuts)))
-    # the first document of each range: at most one row a range
-    firsts = {r["range"]: (r["f"]["o"], r["f"]["key"]) for r in ranged.groupBy("range").agg(F.min(F.struct("o", "key")).alias("f")).collect()}
-    held = sorted(firsts)
-    before = {r: held[i - 1] for i, r in enumerate(held)}  # the last range is before the first one: order is a ring
-    spread = docs.sparkSession.createDataFrame([(r, *firsts[r], before[r]) for r in held], "r int, fo long, fk long, earlier int")
-    marked = ranged.join(F.broadcast(spread), (F.col("range") == F.col("r")) & (F.col("o") == F.col("fo")) & (F.col("key") == F.col("fk")), "left")
-    own = F.struct(F.col("range").alias("to"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("earlier").alias("to"), F.lit(True).alias("guest"))
-    sent = marked.select("id", "o", "key", "text", F.explode(F.when(F.col("earlier").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("s"))
-
-    def run(table: pa.Table) -> pa.Table:
-        cells = [table.column(c).to_pylist() for c in ("id", "o", "key", "text", "guest")]
-        cells = sorted(zip(*cells), key=lambda r: (r[4], r[1], r[2]))
-        n = sum(not r[4] for r in cells)
-        out: list[list] = [[] for _ in range(7)]
-        prints = [fingerprint(r[3].encode()) for r in cells[: n + 1]]
-        for i, (id_, _, _, now, _) in enumerate(cells[:n]):
-            following, after = cells[i + 1][3], prints[i + 1]
-            other = _edited(now, following).encode()
-            print_ = fingerprint(other)
-            for column, x in zip(out, (id_, len(now), hashlib.sha256(other).hexdigest(), as_text(prints[i]), as_text(print_), likeness(prints[i], print_), likeness(prints[i], after))):
-                column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], [f.name for f in schema])
-
-    return sent.select("id", "o", "key", "text", "s.to", "s.guest").groupBy("to").applyInArrow(run, schema)
+    ranges = min(MAX_RANGES, max(1, math.ceil(size["bytes"] / RANGE_BYTES)))
+    dealt = rows.select("o", "key").repartitionByRange(ranges, "o", "key").groupBy(F.spark_partition_id()).agg(F.min(F.struct("o", "key")).alias("f"))
+    bounds = sorted((r["f"]["o"], r["f"]["key"]) for r in dealt.collect())  # at most MAX_RANGES; each is the first row of its range
+    by_order, by_key = np.array([b[0] for b in bounds], np.int64), [b[1] for b in bounds]
+
+    def place(batches):
+        for batch in batches:
+            o, key = batch.column("o").to_numpy(), batch.column("key").to_numpy()
+            low, high = np.searchsorted(by_order, o, "left"), np.searchsorted(by_order, o, "right")
+            to, firsts = high - 1, {}
+            for i in np.flatnonzero(high > low):  # rows that share their order with a bound go by key
+                to[i] = bisect.bisect_right(by_key, key[i], low[i], high[i]) - 1
+                if to[i] >= low[i] and by_key[to[i]] == key[i]:
+                    firsts[int(to[i])] = int(i)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.int64()), pa.array(np.zeros(n, bool))], [*batch.schema.names, "to", "guest"])
+            if firsts:  # order is a ring: the last range is before the first one
+                guests = batch.take(pa.array(list(firsts.values())))
+                before = pa.array([(r - 1) % len(bounds) for r in firsts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*guests.columns, before, pa.array([True] * len(firsts))], [*batch.schema.names, "to", "guest"])
+
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def run(batches):
+        now, out = None, []  # the row that still waits for the next one: range, id, text, fingerprint
+        for batch in batches:
+            for to, id_, text, guest in zip(*(batch.column(c).to_pylist() for c in ("to", "id", "text", "guest"))):
+                if guest and (now is None or now[0] != to):
+                    continue  # another copy of the range's guest
+                print_ = fingerprint(text.encode())
+                if now is not None and now[0] == to:
+                    other = _edited(now[2], text).encode()
+                    edited = fingerprint(other)
+                    out.append((now[1], len(now[2]), hashlib.sha256(other).hexdigest(), as_text(now[3]), as_text(edited), likeness(now[3], edited), likeness(now[3], print_)))
+                now = None if guest else (to, id_, text, print_)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], [f.name for f in schema])
+            out = []
+
+    placed = rows.mapInArrow(place, "id long, text string, o long, key long, to long, guest boolean")
+    return placed.repartition("to").sortWithinPartitions("to", "guest", "o", "key").mapInArrow(run, schema)

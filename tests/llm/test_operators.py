@@ -344,6 +344,39 @@ def test_fingerprint_over_ranges(spark, monkeypatch):
     assert by_row(fingerprint.fingerprint_documents(df), "doc_id", "edited_sha256", "near_next") == one
 
 
+def test_fingerprint_of_rows_that_share_ids(spark, monkeypatch):
+    """Neighbours are by id downwards, then by the texts' hashes, over ranges that cut through an id."""
+    rows = [(5, prose(i, 20)) for i in range(30)] * 2 + [(i, prose(100 + i, 20)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    one = by_row(fingerprint.fingerprint_documents(df), "doc_id", "edited_sha256", "near_next", "near_edited")
+    assert len(one) == len(rows)
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 300)
+    assert by_row(fingerprint.fingerprint_documents(df), "doc_id", "edited_sha256", "near_next", "near_edited") == one
+
+
+def plain_boundaries(data):
+    """Byte by byte: the gear hash rolls, and each byte is asked whether its chunk may end after it."""
+    ends, start, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(fingerprint._GEAR[byte])) & 0xFFFFFFFF
+        n = i + 1 - start
+        bits = fingerprint.NORMAL_BITS + 2 if n < 1 << fingerprint.NORMAL_BITS else fingerprint.NORMAL_BITS - 2
+        if n >= fingerprint.MOST or i + 1 == len(data) or (n >= fingerprint.LEAST and h >> (32 - bits) == 0):
+            ends.append(i + 1)
+            start = i + 1
+    return ends
+
+
+def test_chunk_boundaries_byte_by_byte():
+    rng = np.random.default_rng(7)
+    for n in (1, 31, 33, 500, 20_000):
+        for letters in (4, 256):
+            data = rng.integers(0, letters, n, dtype=np.uint8)
+            assert fingerprint.boundaries(data) == plain_boundaries(data.tolist())
+    same = np.zeros(5000, np.uint8)
+    assert fingerprint.boundaries(same) == plain_boundaries(same.tolist())
+
+
 def test_chunks_shift_with_an_insertion():
     text = " ".join(prose(i, 50) for i in range(40)).encode()
     a, b = fingerprint.fingerprint(text), fingerprint.fingerprint(b"inserted " + text)
