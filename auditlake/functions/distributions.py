@@ -18,18 +18,18 @@ def _poisson(theta: Column) -> Column:
 
 
 def count_cdf(x: Column, theta: Column, mu: Column) -> Column:
-    """P(X <= floor(x)) of the negative binomial or Poisson count, by the recurrence of its probabilities."""
+    """P(X <= floor(x)) of the negative binomial or Poisson count, by the recurrence of its log probabilities, so a large mean doesn't underflow."""
     p = theta / (theta + mu)
-    start = F.when(_poisson(theta), F.exp(-mu)).otherwise(F.pow(p, theta))
+    start = F.when(_poisson(theta), -mu).otherwise(theta * F.log(p))
 
     def step(acc: Column, k: Column) -> Column:
         ratio = F.when(_poisson(theta), mu / k).otherwise((k - 1 + theta) / k * (1 - p))
-        pmf = acc["pmf"] * ratio
-        return F.struct(pmf.alias("pmf"), (acc["cdf"] + pmf).alias("cdf"))
+        log = acc["log"] + F.when(ratio > 0, F.log(ratio)).otherwise(float("-inf"))
+        return F.struct(log.alias("log"), (acc["cdf"] + F.exp(log)).alias("cdf"))
 
     to = F.floor(x).cast("int")
     steps = F.when(to >= 1, F.sequence(F.lit(1), to)).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(steps, F.struct(start.cast("double").alias("pmf"), start.cast("double").alias("cdf")), step, lambda acc: acc["cdf"])
+    total = F.aggregate(steps, F.struct(start.cast("double").alias("log"), F.exp(start).cast("double").alias("cdf")), step, lambda acc: acc["cdf"])
     return F.when(x < 0, 0.0).otherwise(F.least(total, F.lit(1.0)))
 
 

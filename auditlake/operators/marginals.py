@@ -97,14 +97,42 @@ def fitted_marginals(dense: DataFrame, by: list[str], mode: str = "auto") -> Dat
 def pair_products(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Sums over cells for all pairs of genes gi <= gj of a group: n, x, y, xx, yy, xy.
 
-    A cell's genes are one array, so pairs are made within a row; partial sums meet in the shuffle.
+    A task adds up its cells' products as matrices and sends one row a pair of genes and group, whatever the
+    number of cells; a gene that a cell lacks is in none of its pairs.
     """
-    rows = values.groupBy(*by, "cell_id").agg(F.array_sort(F.collect_list(F.struct("gene", F.col(value).alias("x")))).alias("a"))
-    left = rows.select(*by, F.posexplode("a").alias("i", "p"), "a")
-    pairs = left.select(*by, "p", F.explode(F.slice("a", F.col("i") + 1, F.size("a"))).alias("q"))
-    return pairs.groupBy(*by, F.col("p.gene").alias("gi"), F.col("q.gene").alias("gj")).agg(
-        F.count("*").alias("n"), F.sum("p.x").alias("x"), F.sum("q.x").alias("y"), F.sum(F.expr("p.x * p.x")).alias("xx"), F.sum(F.expr("q.x * q.x")).alias("yy"), F.sum(F.expr("p.x * q.x")).alias("xy")
-    )
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields if f.name in by)
+    rows = values.groupBy(*by, "cell_id").agg(F.collect_list("gene").alias("genes"), F.collect_list(F.col(value).cast("double")).alias("xs")).drop("cell_id")
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def products(batches):
+        at: dict = {}  # place of a gene
+        sums: dict = {}
+        for pdf in batches:
+            for genes in pdf["genes"]:
+                for g in genes:
+                    at.setdefault(int(g), len(at))
+            size = len(at)
+            parts = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
+            for key, part in parts:
+                x, held = np.zeros((len(part), size)), np.zeros((len(part), size))
+                row = np.repeat(np.arange(len(part)), part["genes"].map(len))
+                column = np.array([at[int(g)] for genes in part["genes"] for g in genes], np.int64)
+                x[row, column], held[row, column] = np.concatenate([np.zeros(0), *part["xs"]]), 1.0
+                new = np.stack([held.T @ held, x.T @ held, held.T @ x, (x * x).T @ held, held.T @ (x * x), x.T @ x])
+                before = sums.get(key)
+                if before is not None:
+                    new[:, : before.shape[1], : before.shape[1]] += before
+                sums[key] = new
+        genes = np.array(list(at), np.int64)
+        for key, found in sums.items():
+            i, j = np.nonzero((genes[: found.shape[1], None] <= genes[None, : found.shape[1]]) & (found[0] > 0))
+            out = pd.DataFrame({"gi": genes[i], "gj": genes[j]} | {c: m[i, j] for c, m in zip(names, found)})
+            yield out.assign(**dict(zip(by, key)))[[*by, "gi", "gj", *names]]
+
+    types = dict(values.dtypes)["gene"]
+    schema = ", ".join([*([kinds] if kinds else []), f"gi {types}, gj {types}", *(f"{c} double" for c in names)])
+    summed = rows.mapInPandas(products, schema).groupBy(*by, "gi", "gj").agg(*(F.sum(c).alias(c) for c in names))
+    return summed.withColumn("n", F.col("n").cast("long"))
 
 
 def correlations(values: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -56,19 +56,37 @@ def matrix_distances(deltas: DataFrame, matrices: dict[str, np.ndarray], type_co
     return deltas.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", d double")
 
 
-def precision_matrices(corr: DataFrame, by: str, how: str = "pinv") -> dict[str, np.ndarray]:
-    """Inverse of each group's correlation matrix; genes squared numbers a group reach the driver."""
+def precision_tables(corr: DataFrame, by: str, how: str = "pinv") -> DataFrame:
+    """(by, p): the inverse of each group's correlation matrix, row by row in order of gene, made where the group is."""
     inverse = {"pinv": np.linalg.pinv, "inv": np.linalg.inv, "solve": lambda m: np.linalg.solve(m, np.eye(len(m)))}[how]
-    pdf = corr.toPandas()
-    out = {}
-    for name, part in pdf.groupby(by):
-        genes = sorted({*part["gi"], *part["gj"]})
+
+    def invert(pdf):
+        genes = sorted({*pdf["gi"], *pdf["gj"]})
         at = {g: i for i, g in enumerate(genes)}
         m = np.eye(len(genes))
-        i, j, r = part["gi"].map(at), part["gj"].map(at), part["r"].fillna(0.0)
+        i, j, r = pdf["gi"].map(at), pdf["gj"].map(at), pdf["r"].fillna(0.0)
         m[i, j] = m[j, i] = r
-        out[name] = inverse(m)
-    return out
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "p": [inverse(m).reshape(-1)]})
+
+    return corr.select(by, "gi", "gj", "r").groupBy(by).applyInPandas(invert, f"`{by}` {dict(corr.dtypes)[by]}, p array<double>")
+
+
+def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000) -> DataFrame:
+    """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many."""
+    parts = deltas.groupBy(type_col).agg(F.ceil(F.count("*") / cells).cast("int").alias("_parts"))
+    dealt = deltas.join(F.broadcast(parts), type_col).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
+    spread = precision.join(F.broadcast(parts), type_col).select(type_col, "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"))
+    rest = [f for f in deltas.schema.fields if f.name != "delta"]
+
+    def run(left, right):
+        d, p = np.stack(left["delta"].to_list()) if len(left) else np.zeros((0, 0)), None
+        if len(right) and len(left):
+            p = np.asarray(right["p"].iloc[0]).reshape(d.shape[1], -1)
+        out = np.full(len(left), np.nan) if p is None else np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, p, d, optimize=True), 0))
+        return left[[f.name for f in rest]].assign(d=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", d double"
+    return dealt.groupBy(type_col, "_part").cogroup(spread.groupBy(type_col, "_part")).applyInPandas(run, schema)
 
 
 def distance_ratio(d_s: Column, d_a: Column) -> Column:

@@ -17,10 +17,18 @@ KEYS = ["cell_id", "donor_id", "member"]
 
 
 def _models(spark, sf_dir, smooth: float = 0.01):
-    """Poisson models of training and auxiliary cells by type and gene; a little smoothing keeps log probabilities finite."""
-    d = dense(spark, sf_dir)
-    fit = lambda roles: marginals.poisson_marginals(d.where(F.col("role").isin(roles)), BY).withColumn("mu", F.col("mu") + smooth)
-    return membership.shared_genes(fit([0]), fit([2, 3]), BY)
+    """Poisson models of training and auxiliary cells by type and gene; a little smoothing keeps log probabilities finite.
+
+    A mean is a sum of nonzero counts over a number of cells, so zeros are never made rows.
+    """
+    counts = expr(spark, sf_dir).join(cells(spark, sf_dir).select("cell_id", *BY, "role"), "cell_id")
+    of = {"s": F.col("role") == 0, "a": F.col("role").isin(2, 3)}
+    sums = counts.groupBy(*BY, "gene").agg(*(F.sum(F.when(x, F.col("cnt"))).alias(f"sum_{k}") for k, x in of.items()))
+    sizes = cells(spark, sf_dir).groupBy(*BY).agg(*(F.count_if(x).alias(f"n_{k}") for k, x in of.items())).where("n_s > 0 and n_a > 0")
+    grid = sizes.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))))  # genes by types
+    mu = lambda k: F.coalesce(F.col(f"sum_{k}"), F.lit(0)) / F.col(f"n_{k}") + smooth
+    fit = lambda k: grid.join(sums, [*BY, "gene"], "left").select(*BY, "gene", F.lit(0.0).alias("pi"), F.lit(float("inf")).alias("theta"), mu(k).alias("mu"))
+    return membership.shared_genes(fit("s"), fit("a"), BY)
 
 
 def _targets(spark, sf_dir):
@@ -111,10 +119,10 @@ def mahalanobis_fitted(spark, sf_dir):
     """The production form: copula correlations of the training cells, their pseudo-inverse, one Arrow pass over cells."""
     d = dense(spark, sf_dir).where("role = 0")
     fitted = marginals.poisson_marginals(d, BY)
-    p = membership.precision_matrices(marginals.gaussian_copula(d, fitted, BY), "cell_type")
+    p = membership.precision_tables(marginals.gaussian_copula(d, fitted, BY), "cell_type")
     rows = membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY, "s")
     delta = F.transform(F.array_sort(F.collect_list(F.struct("gene", (F.col("u_s") - F.col("c_s")).alias("d")))), lambda x: x["d"])
-    return membership.matrix_distances(rows.groupBy(*KEYS, *BY).agg(delta.alias("delta")), p)
+    return membership.fitted_distances(rows.groupBy(*KEYS, *BY).agg(delta.alias("delta")), p, "cell_id")
 
 
 _QUAD_SQL = f"""WITH {_MODEL_SQL}, {_DISTANCES_SQL}, e AS (SELECT cell_id, sum(cnt * ln(mu_s / mu_a) - mu_s + mu_a) AS llr, count(*) AS n_genes FROM cdf GROUP BY 1),

@@ -1,12 +1,14 @@
 """Exact values and properties of the functions and operators."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions.activation import activate, activate_from_logits
-from auditlake.functions.distributions import qnorm, zinb_cdf, zinb_cdf_dt, zinb_log_pmf
+from auditlake.functions.distributions import count_cdf, qnorm, zinb_cdf, zinb_cdf_dt, zinb_log_pmf
 from auditlake.operators import baselines, marginals, membership, metrics, prep, privacy, splits
 from auditlake.sources import tables
 from auditlake.streaming import scorer
@@ -183,3 +185,22 @@ def test_mvn_generator_fits_and_draws_all_rows(spark, sf_dir):
     out = membership.mvn_groups(rows, "t", 0.1).where("t = 'a'").collect()
     assert sorted(r["draw"] for r in out) == list(range(len(x)))
     assert np.allclose(np.cov(np.array([r["v"] for r in out]), rowvar=False), 1.01 * np.cov(x, rowvar=False), atol=0.25)
+
+
+def test_count_cdf_of_large_means(spark):
+    """Where exp(-mu) is zero in double precision."""
+    rows = spark.createDataFrame([(800, 800.0), (700, 700.0), (900, 800.0), (3, 0.0)], "x int, mu double")
+    got = [r["c"] for r in rows.select(count_cdf(F.col("x"), F.lit(float("inf")), F.col("mu")).alias("c")).collect()]
+    want = [sum(math.exp(k * math.log(mu) - mu - math.lgamma(k + 1)) for k in range(x + 1)) if mu else 1.0 for x, mu in ((800, 800.0), (700, 700.0), (900, 800.0), (3, 0.0))]
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_fitted_distances_in_parts(spark):
+    rng = np.random.default_rng(4)
+    p = {t: np.linalg.inv(np.array([[1.0, r], [r, 1.0]])) for t, r in (("a", 0.2), ("b", -0.5))}
+    corr = spark.createDataFrame([(t, i, j, 1.0 if i == j else r) for t, r in (("a", 0.2), ("b", -0.5)) for i in range(2) for j in range(i, 2)], "cell_type string, gi int, gj int, r double")
+    cells = [(i, "abc"[i % 3], rng.normal(size=2).tolist()) for i in range(60)]
+    deltas = spark.createDataFrame(cells, "cell_id long, cell_type string, delta array<double>")
+    got = {r["cell_id"]: r["d"] for r in membership.fitted_distances(deltas, membership.precision_tables(corr, "cell_type", "inv"), "cell_id", cells=7).collect()}
+    for i, t, d in cells:
+        assert math.isnan(got[i]) if t == "c" else got[i] == pytest.approx(math.sqrt(np.array(d) @ p[t] @ np.array(d)))
