@@ -72,7 +72,7 @@ def precision_tables(corr: DataFrame, by: str, how: str = "pinv") -> DataFrame:
 
 
 def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000) -> DataFrame:
-    """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many."""
+    """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many; null for a type without one."""
     parts = deltas.groupBy(type_col).agg(F.ceil(F.count("*") / cells).cast("int").alias("_parts"))
     dealt = deltas.join(F.broadcast(parts), type_col).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
     spread = precision.join(F.broadcast(parts), type_col).select(type_col, "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"))
