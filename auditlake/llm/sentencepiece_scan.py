@@ -15,7 +15,8 @@ chunk its own entry and exit state. Then every chunk is traced back by itself, o
 Scores are taken to the nearest 2**-20, so sums are exact and equal scores are equal in any order.
 
 Pieces never hold a word mark after another character, so within a chunk the words between two marks
-are independent, and their segmentations are looked up in a bounded cache.
+are independent. A word's pieces are found in one pass over it, and the segmentations of words that
+came first are kept in a bounded cache.
 
 The model's file is read on the driver; its pieces, tens of thousands of short strings, go along with
 the tasks. Only models without a normalisation table are taken.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,10 +40,23 @@ from pyspark.sql import types as T
 
 from auditlake.llm._shared import stored, text_key
 
-MARK, CHUNK, FAN, CACHE = "▁", 1 << 15, 64, 200_000
+MARK, CHUNK, FAN, WORDS = "▁", 1 << 15, 64, 100_000
 NEVER, EXACT = -np.inf, 1 << 20
 
 
+class Known(dict):
+    """What `make` gives for a text; that of the first `most` short texts, likelier to come again, is kept."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) < 64 and len(self) < self.most:
+            self[text] = found
+        return found
+
+
 class Pieces:
     """The piece table of a model."""
 
@@ -49,7 +64,8 @@ class Pieces:
         """table: piece, score and kind (normal, byte, unknown or other) by id."""
         self.ids = {p: i for i, (p, _, kind) in enumerate(table) if kind == "normal"}
         self.scores = [round(s * EXACT) / EXACT for _, s, _ in table]
-        self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(table) if kind == "byte"}
+        bytes_ = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(table) if kind == "byte"}
+        self.bytes = bytes_ if len(bytes_) == 256 else {}
         self.unknown = next((i for i, x in enumerate(table) if x[2] == "unknown"), 0)
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10.0
         # every piece's score, and None for what only begins pieces
@@ -57,13 +73,27 @@ class Pieces:
         self.begun.update({p: self.scores[i] for p, i in self.ids.items()})
         self.longest = max(map(len, self.ids))
         self.cuts = not any(MARK in p[i:] and p[i - 1] != MARK for p in self.ids for i in range(1, len(p)) if p[i] == MARK)
-        self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-        decoded = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.known = {c for p in self.ids for c in p}
+        other = "".join(map(re.escape, sorted(self.known - {MARK})))
+        # words, or stretches of known characters; a character that no piece holds is a part of its own
+        self.parts = re.compile(f"{MARK}+[{other}]*|[{other}]+|[^{other}{MARK}]" if self.cuts else f"[{other}{MARK}]+|[^{other}{MARK}]", re.S)
+        decoded = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in bytes_.items()}
         out = [decoded.get(i, " ⁇ ".encode() if i == self.unknown else b"") for i in range(len(table))]
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.out_size = np.array([len(x) for x in out], np.int64)
         self.out_at = np.cumsum(self.out_size) - self.out_size
-        self.cache: dict[str, tuple[float, bytes]] = {}
+        # what an id adds to a score; of an unknown character's bytes the first adds it
+        self.weights = np.array(self.scores)
+        self.weights[[self.unknown, *self.bytes.values()]] = self.unknown_score
+        self.weights[[i for b, i in self.bytes.items() if b & 0xC0 == 0x80]] = 0.0
+        # every piece's length, score and id, and those of known characters without a piece, found in a text in one pass
+        self.matches = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.matches.add_word(p, (len(p), self.scores[i], np.int32(i).tobytes()))
+        for c in self.known - self.ids.keys():
+            self.matches.add_word(c, (1, self.unknown_score, self._unknown_ids(c)))
+        self.matches.make_automaton()
+        self.words = Known(self._segment, WORDS)
 
     @staticmethod
     def load(path: str) -> list[tuple[str, float, str]]:
@@ -86,41 +116,29 @@ class Pieces:
                 out.append((end, score, piece))
         return out if out and out[0][0] == at + 1 else [(at + 1, self.unknown_score, text[at]), *out]
 
-    def _segment(self, text: str) -> tuple[float, bytes]:
-        n, begun, longest, unknown = len(text), self.begun, self.longest, self.unknown_score
-        best, back = [0.0] + [NEVER] * n, [0] * (n + 1)
-        for at in range(n):
-            here, end = best[at], at + 1
-            score = begun.get(text[at])
-            if score is None and here + unknown > best[end]:
-                best[end], back[end] = here + unknown, at
-            stop = at + longest if at + longest < n else n
-            while end <= stop:
-                piece = text[at:end]
-                if piece not in begun:
-                    break
-                score = begun[piece]
-                if score is not None and here + score > best[end]:
-                    best[end], back[end] = here + score, at
-                end += 1
-        ids, at = [], n
+    def _segment(self, text: str) -> bytes:
+        """Ids of text, best score first by its end; matches come with the longest first, and one of a character always."""
+        if text[0] not in self.known:
+            return self._unknown_ids(text)
+        best, last = [0.0] + [NEVER] * len(text), [None] * (len(text) + 1)
+        for end, match in self.matches.iter(text):
+            end += 1
+            score = best[end - match[0]] + match[1]
+            if score > best[end]:
+                best[end], last[end] = score, match
+        ids, at = [], len(text)
         while at:
-            piece, at = text[back[at] : at], back[at]
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.bytes.get(b, self.unknown) for b in piece.encode()[::-1]] if self.bytes else [self.unknown]
-        return best[-1], np.array(ids[::-1], np.int32).tobytes()
+            ids.append(last[at][2])
+            at -= last[at][0]
+        return b"".join(ids[::-1])
+
+    def _unknown_ids(self, char: str) -> bytes:
+        return np.array([self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown], np.int32).tobytes()
 
     def encode(self, marked: str) -> tuple[float, bytes]:
         """Score and ids (int32) of marked text."""
-        total, out, cache = 0.0, [], self.cache
-        for part in self.parts.findall(marked) if self.cuts else [marked] if marked else []:
-            if (found := cache.get(part)) is None:
-                found = self._segment(part)
-                if len(part) < 64 and len(cache) < CACHE:  # what comes first is likelier to come again
-                    cache[part] = found
-            total += found[0]
-            out.append(found[1])
-        return total, b"".join(out)
+        ids = b"".join(map(self.words.__getitem__, self.parts.findall(marked)))
+        return float(self.weights[np.frombuffer(ids, np.int32)].sum()), ids
 
     def _spread(self, text: str, a: int, b: int, start: np.ndarray) -> np.ndarray:
         """Best scores (place - a, column of start) after all pieces that start in a..b; start: those at the first places."""
