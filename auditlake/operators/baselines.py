@@ -131,3 +131,28 @@ def pca_scores(rows: DataFrame, key: str, k: int) -> DataFrame:
     v = rows.select(key, array_to_vector("v").alias("raw"))
     centred = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(v).transform(v)
     return PCA(k=k, inputCol="features", outputCol="p").fit(centred).transform(centred).select(key, vector_to_array("p").alias("v"))
+
+
+def align_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows with the labels of their key; a key that isn't once on each side raises.
+
+    Both sides go through one grouping: a join would let the optimizer drop a side's keys before they are counted.
+    """
+    rest = [[c for c in df.columns if c != key] for df in (rows, labels)]
+    row, label = (F.struct(F.lit(True), *names).alias(name) for names, name in zip(rest, ("_row", "_label")))
+    both = rows.select(key, row).unionByName(labels.select(key, label), allowMissingColumns=True)
+    found = both.groupBy(key).agg(F.count("_row").alias("_m"), F.count("_label").alias("_n"), *(F.first(c, ignorenulls=True).alias(c) for c in ("_row", "_label")))
+    wrong = (F.col("_m") != 1) | (F.col("_n") != 1)
+    sound = found.where(F.when(wrong, F.raise_error("labels and rows differ").cast("boolean")).otherwise(True))
+    return sound.select(key, *(F.col("_row")[c].alias(c) for c in rest[0]), *(F.col("_label")[c].alias(c) for c in rest[1]))
+
+
+def save_predictions(scores: DataFrame, path: str) -> None:
+    """Scores of one or more methods, a folder each; only the folders of these methods are replaced."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path)
+
+
+def load_predictions(spark, path: str, method: str | None = None) -> DataFrame:
+    """Saved scores; one method reads its own folder only."""
+    found = spark.read.parquet(path)
+    return found if method is None else found.where(F.col("method") == method)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.splits import bootstrap
+
 
 def nonnegative_factors(rows: DataFrame, rank: int, iterations: int = 8, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id, features) of cells and of genes, by alternating nonnegative least squares over the counts."""
@@ -47,3 +49,23 @@ def frobenius_error(a: DataFrame, b: DataFrame, keys: list[str], value: str) ->
     both = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys, "full")
     d = F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0))
     return both.agg(F.sqrt(F.sum(d * d).cast("double")).alias("error"))
+
+
+def zinb_bootstrap(fitted: DataFrame, phi: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """(draw, key, gene, cnt): n cells drawn with replacement, their counts from a zero-inflated negative binomial.
+
+    fitted: (key, gene, mu, pi) of every cell; phi: (gene, phi), the size being 1 / max(phi, 1e-10). A draw's counts
+    depend on its number, its gene and the seed only.
+    """
+    picked = bootstrap(fitted.select(key).distinct(), key, n, seed)
+    rows = picked.join(fitted, key).join(F.broadcast(phi), "gene").select("draw", key, "gene", "mu", "pi", "phi")  # phi: a row a gene
+
+    def draw(batches):
+        for pdf in batches:
+            cnt = []
+            for d, g, mu, pi, dispersion in zip(*(pdf[c] for c in ("draw", "gene", "mu", "pi", "phi"))):
+                rng, size = np.random.default_rng([seed, d, g]), 1 / max(dispersion, 1e-10)
+                cnt.append(0 if rng.random() < pi else rng.poisson(rng.gamma(size, mu / size)))
+            yield pdf[["draw", key, "gene"]].assign(cnt=cnt)
+
+    return rows.mapInPandas(draw, f"draw long, {key} {dict(fitted.dtypes)[key]}, gene int, cnt long")

@@ -123,6 +123,13 @@ def quad_logits(scored: DataFrame, eps: float = EPS, gamma: Column | None = None
     )
 
 
+def without_matrix(quad: DataFrame, has_matrix: Column, gamma: Column | None = None, gamma_alone: Column | None = None) -> DataFrame:
+    """The four scores of `quad_logits` where a type has no correlations: chance for the standard ones, evidence alone for the others."""
+    g = F.try_divide(F.lit(1.0), F.sqrt(F.col("n_genes"))) if gamma is None else gamma
+    rest = {"standard_aux": F.lit(0.5), "standard_alone": F.lit(0.5), "b_aux": finite_or_zero(g * F.col("llr")), "b_alone": finite_or_zero((F.lit(0.0) if gamma_alone is None else gamma_alone) * F.col("log_s"))}
+    return quad.withColumns({c: F.when(has_matrix, F.col(c)).otherwise(x) for c, x in rest.items()})
+
+
 def to_long(quad: DataFrame, keys: list[str], codes: dict[str, str]) -> DataFrame:
     """(keys, tm, attack, score) from the wide scores."""
     return quad.unpivot(keys, list(codes), "attack", "score").withColumn("tm", F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("attack")])

@@ -161,3 +161,60 @@ def train_synthetic_test_real(train: DataFrame, test: DataFrame, label: str) ->
     shape = lambda df: df.select(array_to_vector("v").alias("features"), F.col(label).cast("double").alias("label"))
     model = OneVsRest(classifier=LogisticRegression(maxIter=30)).fit(shape(train))
     return model.transform(shape(test)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def class_jaccard(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean over a's classes of rows that both sides give the class, of those that either does; from the contingency table."""
+    table = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    both = F.when(F.col("a") == F.col("b"), n).otherwise(none)
+    sides = F.explode(F.array(F.struct(F.col("a").alias("k"), n.alias("na"), none.alias("nb"), both.alias("both")), F.struct(F.col("b").alias("k"), none.alias("na"), n.alias("nb"), none.alias("both"))))
+    each = table.select(sides.alias("s")).select("s.*").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("na", "nb", "both"))).where("na > 0 and k is not null")
+    return each.agg(F.avg(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"), F.count("*").alias("classes"))
+
+
+def top_coefficients(coefficients: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The n largest (by, feature, coef) of each class, to nine decimals; among equals the later feature goes first."""
+    w = Window.partitionBy(by).orderBy(F.desc(F.round("coef", 9)), F.desc("feature"))  # features of a model, not rows
+    return coefficients.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def feature_overlap(synth: DataFrame, real: DataFrame) -> DataFrame:
+    """How many features of any synthetic class's list are in a real class's, and their share of the former."""
+    s, r = synth.select("feature").distinct(), real.select("feature").distinct().withColumn("_r", F.lit(1))
+    return s.join(r, "feature", "left").agg(F.count("_r").alias("overlap"), F.coalesce(F.try_divide(F.count("_r"), F.count("*")), F.lit(0.0)).alias("share"))
+
+
+def mean_contrasts(rows: DataFrame, label: str) -> DataFrame:
+    """(label, feature, coef): a class's mean of each component less the mean of all; coefficients in closed form."""
+    long = rows.select(label, F.posexplode("v").alias("feature", "x"))
+    sums = long.groupBy(label, "feature").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    w = Window.partitionBy("feature")  # classes of a feature
+    return sums.select(label, "feature", (F.col("s") / F.col("n") - F.sum("s").over(w) / F.sum("n").over(w)).alias("coef"))
+
+
+def logistic_coefficients(rows: DataFrame, label: str, iterations: int = 100) -> DataFrame:
+    """(label, feature, coef) of a one-against-the-rest logistic regression; the driver holds classes times features."""
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
+    from pyspark.ml.functions import array_to_vector
+
+    model = OneVsRest(classifier=LogisticRegression(maxIter=iterations)).fit(rows.select(array_to_vector("v").alias("features"), F.col(label).cast("double").alias("label")))
+    found = [(k, i, float(x)) for k, m in enumerate(model.models) for i, x in enumerate(m.coefficients.toArray())]
+    return rows.sparkSession.createDataFrame(found, f"{label} int, feature int, coef double")
+
+
+def discriminative_f1(real: DataFrame, synth: DataFrame, unseen: DataFrame, key: str, iterations: int = 1000) -> DataFrame:
+    """F1 of 'real' by a logistic regression that tells real from synthetic: 70 % train, the rest and unseen real rows test, scaled by the former."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    part = lambda rows, y: rows.select(array_to_vector("v").alias("x"), F.lit(y).alias("label"), (F.pmod(F.xxhash64(key, F.lit(y)), F.lit(10)) < 7).alias("train"))
+    both = part(real, 1.0).unionByName(part(synth, 0.0))
+    steps = [StandardScaler(inputCol="x", outputCol="features", withMean=True), LogisticRegression(maxIter=iterations)]
+    test = both.where("not train").unionByName(part(unseen, 1.0))
+    hit = Pipeline(stages=steps).fit(both.where("train")).transform(test)
+    n = lambda c: F.count_if(c).cast("double")
+    y, p = F.col("label") == 1, F.col("prediction") == 1
+    return hit.agg(F.coalesce(F.try_divide(2 * n(y & p), 2 * n(y & p) + n(y & ~p) + n(~y & p)), F.lit(0.0)).alias("f1"), F.count("*").alias("n"))

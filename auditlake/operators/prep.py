@@ -83,3 +83,23 @@ def require_finite(df: DataFrame, value: Column) -> DataFrame:
     """df; a value that isn't finite raises when it is read."""
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     return df.where(F.when(bad, F.raise_error("a value isn't finite").cast("boolean")).otherwise(True))
+
+
+def joined_batches(batches: dict[str, DataFrame]) -> DataFrame:
+    """Counts of several sets in one table with a batch column, only of genes that every set has."""
+    seen = [df.select("gene").distinct() for df in batches.values()]
+    shared = seen[0]
+    for other in seen[1:]:
+        shared = shared.join(other, "gene", "left_semi")
+    named = [df.select(F.lit(name).alias("batch"), "cell_id", "gene", "cnt") for name, df in batches.items()]
+    rows = named[0]
+    for other in named[1:]:
+        rows = rows.unionByName(other)
+    return rows.join(F.broadcast(shared), "gene", "left_semi").select("batch", "cell_id", "gene", "cnt")  # genes, some ten thousand
+
+
+def scale_clipped(rows: DataFrame, value: str, most: float = 10.0) -> DataFrame:
+    """scaled: z of a gene's values (sample deviation; a constant gene keeps 0), at most `most`."""
+    stats = rows.groupBy("gene").agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    z = (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
+    return rows.join(stats, "gene").withColumn("scaled", F.least(z, F.lit(most))).drop("_m", "_s")

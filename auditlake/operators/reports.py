@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.strings import mean_std
+from auditlake.functions.strings import mean_std, strip_zero
 from auditlake.operators.metrics import roc_auc
 
 
@@ -89,3 +89,47 @@ def compare_metrics(a: DataFrame, b: DataFrame, keys: list[str], value: str) ->
 def markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One line of a table a row."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in columns)), F.lit(" |")).alias("line"))
+
+
+def containing(rows: DataFrame, parts: dict[str, str | None]) -> DataFrame:
+    """Rows whose columns hold the given substrings; None asks for nothing."""
+    for column, part in parts.items():
+        rows = rows if part is None else rows.where(F.col(column).contains(part))
+    return rows
+
+
+def paired_variants(results: DataFrame, metrics: list[str], prefix: str = "v2_") -> DataFrame:
+    """Metrics of two generations of variants ('no_dp', 'eps_N', and the same with a prefix) at each epsilon both have.
+
+    One row an epsilon and metric: mean, population deviation and count over trials on each side, without NaN.
+    Both sides are sums over one grouping, so that nothing is joined.
+    """
+    bare = F.regexp_replace("variant", f"^{prefix}", "")
+    epsilon = F.when(bare == "no_dp", float("inf")).otherwise(F.regexp_extract(bare, r"^eps_(\d+)$", 1).try_cast("double"))
+    side = F.when(F.col("variant").startswith(prefix), "new").otherwise("old")
+    long = results.select(side.alias("side"), epsilon.alias("epsilon"), *(F.col(m).cast("double").alias(m) for m in metrics)).where("epsilon is not null").unpivot(["side", "epsilon"], metrics, "metric", "x")
+    stats, seen = [], []
+    for s in ("old", "new"):
+        x = F.when((F.col("side") == s) & ~F.isnan("x"), F.col("x"))
+        stats += [F.avg(x).alias(f"{s}_mean"), F.stddev_pop(x).alias(f"{s}_std"), F.count(x).alias(f"{s}_n")]
+        seen.append(F.count_if(F.col("side") == s).alias(f"_{s}"))
+    both = long.groupBy("epsilon", "metric").agg(*stats, *seen).where("_old > 0 and _new > 0").drop("_old", "_new")
+    return both.withColumn("label", F.when(F.col("epsilon") == float("inf"), "∞ (no DP)").otherwise(F.format_number("epsilon", 0)))
+
+
+def table_cell(mean: Column, std: Column, n: Column, planned: int, digits: int = 2) -> Column:
+    """'.87±.02', the count behind a caret where trials are missing, '---' without any."""
+    text = F.concat(strip_zero(F.format_string(f"%.{digits}f", mean)), F.lit("±"), strip_zero(F.format_string(f"%.{digits}f", F.coalesce(std, F.lit(0.0)))))
+    return F.when(n == 0, "---").otherwise(F.concat(text, F.when(n < planned, F.concat(F.lit("^"), n.cast("string"))).otherwise("")))
+
+
+def combined_table(fidelity: DataFrame, privacy: DataFrame, by: list[str], scales: dict[str, float], codes: list[str], planned: int) -> DataFrame:
+    """Fidelity metrics (columns, scaled) and AUCs by threat model (rows tm, auc) side by side as table cells, with eta = 100 / epsilon."""
+
+    def cell(x: Column, name: str) -> Column:
+        x = F.when(~F.isnan(x), x)
+        return table_cell(F.avg(x), F.stddev_samp(x), F.count(x), planned).alias(name)
+
+    left = fidelity.groupBy(*by, "epsilon").agg(*(cell(F.col(m) * scale, m) for m, scale in scales.items()))
+    right = privacy.groupBy(*by, "epsilon").agg(*(cell(F.when(F.col("tm") == c, F.col("auc")), f"auc_{c}") for c in codes))
+    return left.join(right, [*by, "epsilon"]).withColumn("eta", 100 / F.col("epsilon")).drop("epsilon")

@@ -10,9 +10,24 @@ def shuffled(key: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(key if isinstance(key, str) else key, F.lit(seed))
 
 
-def _ranked(donors: DataFrame, order: Column) -> DataFrame:
-    """Donors, not cells, are ranked: at most some thousand rows."""
-    return donors.withColumn("_r", F.row_number().over(Window.orderBy(order, F.col("donor_id"))))
+def ranked(rows: DataFrame, order: Column, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """rows plus _r, from 1 by a numeric order (nulls first) within by, without a whole group in one task's sort.
+
+    Rows are cut into ranges at approximate quantiles of the order (fewer than `parts` numbers, read on the driver; any
+    cuts give the same ranks), ranked within their range, and moved up by the sizes of the ranges before it.
+    """
+    x = rows.select("*", order.cast("double").alias("_x"), order.alias("_o"))
+    found = x.agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)]).alias("cuts")).first()["cuts"]
+    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(found or [0.0]))))
+    placed = x.withColumn("_p", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    starts = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_o", *ties)))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_i")).alias("_r"))
 
 
 def split_donors(donors: DataFrame, wanted: int, min_aux: int, order: Column | None = None, aux: str = "rest") -> DataFrame:
@@ -22,16 +37,17 @@ def split_donors(donors: DataFrame, wanted: int, min_aux: int, order: Column | N
     suffice; aux='holdout' takes at most 200 of the holdout donors.
     """
     order = shuffled("donor_id") if order is None else order
-    ranked = _ranked(donors.select("donor_id").distinct(), order)
-    total = donors.select("donor_id").distinct().count()
+    each = donors.select("donor_id").distinct()
+    total = each.count()
     n = min(wanted, total // 2)
+    each = ranked(each, order, ("donor_id",))
     role = F.when(F.col("_r") <= n, "train").when(F.col("_r") <= 2 * n, "holdout")
-    targets = ranked.withColumn("role", role).where("role is not null").select("role", "donor_id")
+    targets = each.withColumn("role", role).where("role is not null").select("role", "donor_id")
     if aux == "holdout":
-        pool = ranked.where((F.col("_r") > n) & (F.col("_r") <= min(2 * n, n + 200)))
+        pool = each.where((F.col("_r") > n) & (F.col("_r") <= min(2 * n, n + 200)))
     else:
-        first = ranked.withColumn("_prio", F.when(F.col("_r") > 2 * n, 0).otherwise(1))
-        pool = first.withColumn("_p", F.row_number().over(Window.orderBy("_prio", "_r"))).where(F.col("_p") <= max(min_aux, n))
+        place = F.when(F.col("_r") > 2 * n, F.col("_r") - 2 * n).otherwise(F.col("_r") + total - 2 * n)
+        pool = each.where(place <= max(min_aux, n))
     return targets.unionByName(pool.select(F.lit("auxiliary").alias("role"), "donor_id"))
 
 
@@ -39,9 +55,9 @@ def split_all_train(donors: DataFrame) -> DataFrame:
     return donors.select(F.lit("train").alias("role"), "donor_id").distinct()
 
 
-def stratified_folds(rows: DataFrame, label: str, k: int, order: Column) -> DataFrame:
+def stratified_folds(rows: DataFrame, label: str, k: int, order: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """fold 0..k-1, dealt in turn within each label."""
-    return rows.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1) % k).cast("int"))
+    return ranked(rows, order, ties, (label,)).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def sample_per_group(rows: DataFrame, by: list[str], cap: int, order: Column) -> DataFrame:
@@ -54,10 +70,9 @@ def sample_rows(rows: DataFrame, n: int, order: Column) -> DataFrame:
 
 def bootstrap(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement, by rank: (draw, and the row drawn)."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
     size = rows.count()
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).cast("int").alias("_r"))
-    return draws.join(ranked, "_r").drop("_r")
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)) + 1).alias("_r"))
+    return draws.join(ranked(rows, F.col(key)), "_r").drop("_r")
 
 
 def draw_category(rows: DataFrame, shares: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -73,3 +88,17 @@ def standardize(rows: DataFrame, value: str, by: list[str], train: Column) -> Da
     """value as z by the training rows' mean and population deviation; a deviation of zero counts as one."""
     stats = rows.where(train).groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     return rows.join(stats, by, "left").withColumn("z", (F.col(value) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
+
+
+def fill_template(draws: DataFrame, template: DataFrame, by: str, key: str) -> DataFrame:
+    """(key, by, drawn): the k-th template row of a group gets the k-th drawn one, by key; null where a group's draws run out."""
+    side = lambda rows, name: ranked(rows.select(key, by), F.col(key), by=(by,)).select(F.col(key).alias(name), F.col(by).alias(f"_{name}"), F.col("_r").alias(f"_r_{name}"))
+    places, drawn = side(template, "place"), side(draws, "drawn")
+    same = F.col("_place").eqNullSafe(F.col("_drawn")) & (F.col("_r_place") == F.col("_r_drawn"))
+    return places.join(drawn, same, "left").select(F.col("place").alias(key), F.col("_place").alias(by), "drawn")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Distinct keys with the place of their first row and their position in that order."""
+    first = rows.groupBy(key).agg(F.min(order).alias("first"))
+    return ranked(first, F.col("first"), (key,)).withColumnRenamed("_r", "position")

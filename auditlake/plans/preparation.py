@@ -155,8 +155,7 @@ def donor_split_all_train(spark, sf_dir):
 
 @query(f"WITH {CELLS_SQL} SELECT cell_id, cell_type, ((row_number() OVER (PARTITION BY cell_type ORDER BY cell_id * 7919 % 1000003, cell_id) - 1) % 5)::INT AS fold FROM cells")
 def stratified_folds(spark, sf_dir):
-    rows = cells(spark, sf_dir).select("cell_id", "cell_type").withColumn("o", F.struct(F.col("cell_id") * 7919 % 1000003, "cell_id"))
-    return splits.stratified_folds(rows, "cell_type", 5, F.col("o")).drop("o")
+    return splits.stratified_folds(cells(spark, sf_dir).select("cell_id", "cell_type"), "cell_type", 5, F.col("cell_id") * 7919 % 1000003, ("cell_id",))
 
 
 @query(f"WITH {CELLS_SQL} SELECT cell_id, donor_id, cell_type FROM cells QUALIFY row_number() OVER (PARTITION BY donor_id, cell_type ORDER BY cell_id) <= 2")

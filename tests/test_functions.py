@@ -1,6 +1,7 @@
 """Exact values and properties of the functions and operators."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.activation import activate, activate_from_logits
 from auditlake.functions.distributions import count_cdf, qnorm, zinb_cdf, zinb_cdf_dt, zinb_log_pmf
-from auditlake.operators import baselines, marginals, membership, metrics, prep, privacy, splits
+from auditlake.operators import baselines, factors, marginals, membership, metrics, prep, privacy, reports, splits
 from auditlake.sources import tables
 from auditlake.streaming import scorer
 
@@ -204,3 +205,81 @@ def test_fitted_distances_in_parts(spark):
     got = {r["cell_id"]: r["d"] for r in membership.fitted_distances(deltas, membership.precision_tables(corr, "cell_type", "inv"), "cell_id", cells=7).collect()}
     for i, t, d in cells:
         assert got[i] is None if t == "c" else got[i] == pytest.approx(math.sqrt(np.array(d) @ p[t] @ np.array(d)))
+
+
+def test_ranks_over_ranges(spark):
+    """Ties, repeated rows, nulls in order and group, a hot value, few rows and none."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 7, 7, 7, rng.randrange(50)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, g string, x int").repartition(5)
+    got = {r["i"]: r["_r"] for r in splits.ranked(df, F.col("x"), ("i",), ("g",), parts=9).collect()}
+    for g in ("a", "b", None):
+        order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
+    same = spark.createDataFrame([(1, 2)] * 4, "i int, x int")
+    assert sorted(r["_r"] for r in splits.ranked(same, F.col("x")).collect()) == [1, 2, 3, 4]
+    assert splits.ranked(same.where("i > 1"), F.col("x")).count() == 0
+
+
+def test_filled_template(spark):
+    template = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "cell_id long, t string")
+    draws = spark.createDataFrame([(12, "a"), (11, "a"), (13, "a"), (14, None)], "cell_id long, t string")
+    got = {r["cell_id"]: r["drawn"] for r in splits.fill_template(draws, template, "t", "cell_id").collect()}
+    assert got == {1: 11, 2: 12, 3: None, 4: 14}
+
+
+def test_labels_must_match_rows(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    labels = lambda *found: spark.createDataFrame(list(found), "k int, member int")
+    assert {tuple(r) for r in baselines.align_labels(rows, labels((2, 0), (1, 1)), "k").collect()} == {(1, "x", 1), (2, "y", 0)}
+    for wrong in (labels((1, 1)), labels((1, 1), (2, 0), (3, 0)), labels((1, 1), (2, 0), (2, 1))):
+        with pytest.raises(Exception, match="labels and rows differ"):
+            baselines.align_labels(rows, wrong, "k").collect()
+
+
+def test_predictions_by_method(spark, tmp_path):
+    scores = lambda *found: spark.createDataFrame(list(found), "method string, id int, score double")
+    baselines.save_predictions(scores(("mc", 1, 0.5), ("gan", 1, 0.25)), f"{tmp_path}/scores")
+    baselines.save_predictions(scores(("mc", 1, 0.75)), f"{tmp_path}/scores")
+    assert {(r["method"], r["score"]) for r in baselines.load_predictions(spark, f"{tmp_path}/scores").collect()} == {("mc", 0.75), ("gan", 0.25)}
+    assert [r["score"] for r in baselines.load_predictions(spark, f"{tmp_path}/scores", "gan").collect()] == [0.25]
+
+
+def test_paired_variants_and_table_cells(spark):
+    rows = [("no_dp", 1, 0.5), ("no_dp", 2, float("nan")), ("v2_no_dp", 1, 0.25), ("eps_10000", 1, 0.5), ("v2_eps_10000", 1, 0.75), ("v2_eps_10000", 2, 0.25), ("eps_5", 1, 0.1), ("other", 1, 0.1)]
+    got = {r["label"]: r for r in reports.paired_variants(spark.createDataFrame(rows, "variant string, trial int, auc double"), ["auc"]).collect()}
+    assert set(got) == {"∞ (no DP)", "10,000"}
+    assert (got["∞ (no DP)"]["old_n"], got["∞ (no DP)"]["old_mean"], got["10,000"]["new_std"]) == (1, 0.5, 0.25)
+    cells = spark.createDataFrame([(0.875, 0.25, 5), (-0.5, None, 1), (45.69, 1.0, 5), (None, None, 0)], "m double, s double, n int")
+    assert [r[0] for r in cells.select(reports.table_cell(F.col("m"), F.col("s"), F.col("n"), 5)).collect()] == [".88±.25", "-.50±.00^1", "45.69±1.00", "---"]
+
+
+def test_class_jaccard_counts_real_classes(spark):
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "d"), ("a", "a")], "x string, y string")
+    got = metrics.class_jaccard(pairs, "x", "y").first()
+    assert (got["jaccard"], got["classes"]) == (pytest.approx((2 / 3 + 1 / 2 + 0) / 3), 3)
+
+
+def test_zinb_bootstrap_moments(spark):
+    fitted = spark.createDataFrame([(i, g, 4.0, 0.25) for i in range(10) for g in (0, 1)], "cell_id long, gene int, mu double, pi double")
+    phi = spark.createDataFrame([(0, 0.0), (1, 0.5)], "gene int, phi double")
+    out = factors.zinb_bootstrap(fitted, phi, "cell_id", 4000)
+    got = {r["gene"]: r for r in out.groupBy("gene").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v"), F.count("*").alias("n")).collect()}
+    for g, p in ((0, 0.0), (1, 0.5)):
+        second = 0.75 * (4 + 16 * (1 + p))
+        assert got[g]["n"] == 4000 and got[g]["m"] == pytest.approx(3, abs=0.2) and got[g]["v"] == pytest.approx(second - 9, rel=0.15)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, factors.zinb_bootstrap(fitted.repartition(3), phi, "cell_id", 4000).collect()))
+
+
+def test_types_without_matrix(spark):
+    quad = spark.createDataFrame([(1, True, 0.9, 2.0, 1.5, -0.5, 3.0, -4.0, 9), (2, False, None, None, None, None, 3.0, -4.0, 9)], "cell_id int, m boolean, standard_aux double, standard_alone double, b_aux double, b_alone double, llr double, log_s double, n_genes long")
+    got = {r["cell_id"]: (r["standard_aux"], r["standard_alone"], r["b_aux"], r["b_alone"]) for r in membership.without_matrix(quad, F.col("m")).collect()}
+    assert got == {1: (0.9, 2.0, 1.5, -0.5), 2: (0.5, 0.5, 1.0, 0.0)}
+
+
+def test_forms_without_a_query(spark):
+    flags = spark.createDataFrame([(g, g < 3) for g in range(20)], "gene int, highly_variable boolean")
+    assert prep.hvg_or_all(flags).where("highly_variable").count() == 20 and prep.hvg_or_all(flags, 3).where("highly_variable").count() == 3
+    assert [membership.choose_attack(True, a, m, b) for a, m, b in ((True, True, False), (False, True, True), (True, False, False))] == ["standard_aux", "b_alone", "pairwise"]
+    rows = spark.range(50)
+    assert [r["id"] for r in splits.sample_rows(rows, 3, F.desc("id")).collect()] == [49, 48, 47]
