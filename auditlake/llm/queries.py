@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from auditlake.llm._shared import documents
 from auditlake.llm.ann import nearest
 from auditlake.llm.fingerprint import fingerprint_documents
+from auditlake.llm.lexical_search import search
 from auditlake.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from auditlake.llm.line_dedup import dedup_lines
 from auditlake.llm.lm_score import score_documents
 from auditlake.llm.near_dedup import near_duplicates
 from auditlake.llm.packing import pack_documents
+from auditlake.llm.secret_scan import ACCESS, ASSIGN, BARE, HEX, KINDS, LEAST, MIXED, PLACEHOLDERS, scan_secrets
 from auditlake.llm.sentencepiece_scan import decode_documents, encode_documents
 from auditlake.llm.substring_dedup import dedup_substrings
 from auditlake.llm.toxicity import score_toxicity
+from auditlake.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -213,3 +216,96 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "token_score", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
     decoded = decode_documents(digest, SENTENCEPIECE_MODEL)
     return decoded.select("doc_id", "n_tokens", "token_score", "ids_sha256", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source owns its documents; its texts in one language are a repository."""
+    out = scan_secrets(documents(spark, sf_dir), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    count = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(
+        "doc_id",
+        *(count("kind", kind).alias(f"n_{kind}") for kind in KINDS[:3]),
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "bare")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        *(count("verdict", verdict).alias(f"n_{verdict}") for verdict in ("live", "example", "plain")),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0).cast("long")).alias("most_owners"),
+    )
+
+
+def _secret_sql() -> str:
+    """Base kinds and bare tokens one by one, values counted by owner, spans judged and listed."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    wanted = {k: f"length(v) >= {n}" for k, n in LEAST.items()}
+    wanted["bare"] = f"regexp_full_match(v, '{MIXED}') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND NOT regexp_full_match(v, '{ACCESS}|{HEX}')"
+    holds = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "bare": MIXED}
+    cases = " UNION ALL ".join(
+        f"SELECT doc_id, source, lang, {i} AS k, '{kind}' AS kind, regexp_extract_all(t, {quoted(p)}) AS ms, "
+        f"{f'regexp_extract_all(t, {quoted(p)}, 2)' if kind == 'assign' else f'regexp_extract_all(t, {quoted(p)})'} AS vs, string_split_regex(t, {quoted(p)}) AS gs "
+        f"FROM texts WHERE regexp_matches(t, {quoted(holds[kind])})"
+        for i, (kind, p) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, BARE)))
+    )
+    keep = " OR ".join(f"(kind = '{k}' AND {c})" for k, c in wanted.items())
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+found AS ({cases}),
+placed AS (
+  SELECT doc_id, source, lang, k, kind, i, vs[i] AS v, length(ms[i]) AS n,
+         list_sum(list_transform(gs[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS e
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found)
+), spans AS (SELECT *, (e - n)::BIGINT AS s, sha256(v) AS h FROM placed WHERE {keep}),
+owned AS (
+  SELECT h, count(DISTINCT coalesce(source, '?')) AS owners FROM spans GROUP BY h
+), judged AS (
+  SELECT spans.*, e::BIGINT AS stop, owners, CASE WHEN regexp_matches(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PLACEHOLDERS)}') OR owners > 2 THEN 'example'
+         WHEN len(list_distinct(string_split(v, ''))) >= 10 THEN 'live' ELSE 'plain' END AS verdict
+  FROM spans JOIN owned USING (h)
+), listed AS (
+  SELECT doc_id, kind, k, s, stop AS e, verdict, owners FROM judged WHERE kind <> 'bare' OR verdict = 'live'
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         {listed} FILTER (WHERE k < 3) AS base, {listed} AS spans, max(owners) AS most,
+         count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example, count(*) FILTER (WHERE verdict = 'plain') AS n_plain
+  FROM listed GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_plain, 0) AS n_plain, coalesce(most, 0) AS most_owners
+FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLES["op11_secret_scan"] = _secret_sql()
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op13_lexical_search"] = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), docs AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_words FROM docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(all_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, total GROUP BY term
+), parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_words))) AS c FROM counts JOIN weights USING (term), total
+), scores AS (
+  SELECT item_id, doc_id, sum(c)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY item_id, doc_id HAVING sum(c) > 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
