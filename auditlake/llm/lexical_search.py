@@ -8,14 +8,16 @@ document only and is never negative, so a query's score is a sum over its terms'
 1. the k highest contributions of each list are fetched; the k-th largest of their sums by document, tau, bounds the
    k-th score from below;
 2. every list of a query of m terms is fetched down to the same threshold, tau / m. A document that no fetched entry
-   names can't reach tau. For the others sums are taken, and bounds from above, in which a missing entry counts as the most it can be: less
-   than the threshold, and no more than the list's head. The k-th largest sum is a better tau; documents whose bound stays below it go;
-3. exact scores of the rest are looked up, and ranked.
+   names can't reach tau. The k-th largest sum of the others' entries is a better tau. With that, documents are bounded from above, a missing
+   entry counting as the most it can be: less than the threshold, and no more than the list's head; those whose bound stays below
+   tau go;
+3. the others, few, are looked up in every list of the query, and ranked by their exact scores.
 
-Fetched entries of phases 2 and 3 are shuffled as postings, one row a list entry, to parts of documents, where numpy adds
+Fetched entries are shuffled as postings, one row a list entry, to parts of documents, where numpy adds
 them up for one block of queries: rows don't grow with queries times documents, and a group's size follows
-the postings' count. Queries come in blocks of `QUERY_BLOCK`. Asked terms are broadcast up to `BROADCAST_TERMS`, beyond
-that all terms become postings first and are joined with the asked ones.
+the postings' count. Sums leave a part as k numbers a query, to find tau, and then as what the bounds leave. Queries come in blocks
+of `QUERY_BLOCK`. Asked terms are broadcast up to `BROADCAST_TERMS`, beyond that all terms become postings first and are
+joined with the asked ones; candidates are broadcast to the lists up to `BROADCAST_LOOKUPS`, and joined beyond.
 
 Defined results: a null or wordless text is no document and asks nothing; rows repeated with the same id and text are
 one document, or one query; texts that share an id are documents, or queries, of their own; of equal scores
@@ -32,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,8 +49,10 @@ LIST_PARTS = 64
 GROUP_POSTINGS = 1 << 19
 QUERY_BLOCK = 4096
 BROADCAST_TERMS = 200_000
+BROADCAST_LOOKUPS = 500_000
 #: Least id, for null ones in numpy; a mask says which are null.
 _NO_ID = -(2**63)
+_DOCUMENT = [("none", bool), ("id", np.int64), ("key", np.int64)]
 
 
 def occurrences(text: str) -> Counter[bytes]:
@@ -109,10 +112,9 @@ def _postings(docs: DataFrame, terms: dict[bytes, int] | None) -> DataFrame:
     return docs.mapInArrow(count, f"id long, key long, n long, term {kind}, tf long")
 
 
-def partial_sums(entries: pa.Table, asks: pa.Table, k: int) -> pa.Table:
-    """Phase 2 for one part of the documents: query, document, and bound from above of all that may be among the best k, with the sum of what was fetched."""
-    docs, at, term, c, lists = _lists(entries)
-    out: list[list] = [[], [], [], []]
+def _sums(entries: pa.Table, asks: pa.Table):
+    """For each query: its number, tau, documents with fetched entries, the entries' sums, and bounds from above."""
+    docs, at, c, lists = _lists(entries)
     for item, terms, tau, floors, heads in _queries(asks):
         total, slack = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
         most = np.minimum(floors - 1, heads)  # of an entry that wasn't fetched
@@ -122,48 +124,37 @@ def partial_sums(entries: pa.Table, asks: pa.Table, k: int) -> pa.Table:
             total[at[lo:hi]] += c[lo:hi]
             slack[at[lo:hi]] += miss
         seen = np.flatnonzero(total)
-        if not len(seen):
-            continue
-        upper = total[seen] + (most.sum() - slack[seen])
-        low = max(tau, int(np.partition(total[seen], -k)[-k])) if len(seen) >= k else tau
-        seen, upper = seen[upper >= low], upper[upper >= low]
-        for col, x in zip(out, (np.full(len(seen), item), seen, total[seen], upper)):
-            col.append(x)
-    return _rows(docs, out, ["partial", "upper"])
-
-
-def exact_sums(entries: pa.Table, asks: pa.Table) -> pa.Table:
-    """Phase 3 for one part: the scores of the candidates, which come among asks as rows without a term."""
-    docs, at, term, c, lists = _lists(entries)
-    wanted = asks.filter(pc.is_null(asks.column("term")))
-    w_item = wanted.column("item").to_numpy()
-    w_doc = _find(docs, wanted)
-    order = np.argsort(w_item, kind="stable")
-    w_item, w_doc = w_item[order], w_doc[order]
-    out: list[list] = [[], [], []]
-    for item, terms, *_ in _queries(asks.filter(pc.is_valid(asks.column("term")))):
-        mine = w_doc[np.searchsorted(w_item, item, "left") : np.searchsorted(w_item, item, "right")]
-        if not len(mine):
-            continue
-        total = np.zeros(len(docs), np.int64)
-        for t in terms:
-            lo, hi = lists.get(t, (0, 0))
-            total[at[lo:hi]] += c[lo:hi]
-        for col, x in zip(out, (np.full(len(mine), item), mine, total[mine])):
-            col.append(x)
-    return _rows(docs, out, ["score"])
+        if len(seen):
+            yield item, tau, docs[seen], total[seen], total[seen] + (most.sum() - slack[seen])
+
+
+def largest_sums(entries: pa.Table, asks: pa.Table, k: int) -> pa.Table:
+    """Phase 2, first pass over one part of the documents: each query's k largest sums of fetched entries."""
+    out = [(item, np.partition(total, -k)[-k:] if len(total) > k else total) for item, _, _, total, _ in _sums(entries, asks)]
+    sums = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
+    return pa.table([pa.array([i for i, x in out for _ in range(len(x))], pa.int64()), pa.array(sums)], ["item", "sum"])
+
+
+def possible(entries: pa.Table, asks: pa.Table) -> pa.Table:
+    """Phase 2, second pass: the documents whose bound reaches tau."""
+    items, kept = [], []
+    for item, tau, docs, _, upper in _sums(entries, asks):
+        kept.append(docs[upper >= tau])
+        items += [item] * len(kept[-1])
+    found = np.concatenate(kept) if kept else np.empty(0, _DOCUMENT)
+    return pa.table([pa.array(items, pa.int64()), pa.array(found["id"].copy(), mask=found["none"].copy()), pa.array(found["key"].copy())], ["item", "id", "key"])
 
 
 def _documents(table: pa.Table) -> np.ndarray:
     """(null, id, key) of each row, as one sortable array of fields."""
     ids = table.column("id").combine_chunks()
-    out = np.empty(len(table), [("none", bool), ("id", np.int64), ("key", np.int64)])
+    out = np.empty(len(table), _DOCUMENT)
     out["none"], out["id"], out["key"] = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(_NO_ID).to_numpy(), table.column("key").to_numpy()
     return out
 
 
 def _lists(entries: pa.Table):
-    """The part's documents; entries by term and falling contribution: place of the document, term, contribution; each term's range."""
+    """The part's documents; entries by term and falling contribution: place of the document, contribution; each term's range."""
     rows = _documents(entries)
     order = np.lexsort((rows["key"], rows["id"], rows["none"]))
     fresh = np.concatenate([[True], rows[order][1:] != rows[order][:-1]]) if len(rows) else np.zeros(0, bool)
@@ -175,12 +166,7 @@ def _lists(entries: pa.Table):
     term, c, at = term[order], c[order], at[order]
     starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     ends = np.concatenate([starts[1:], [len(term)]]).astype(np.int64)
-    return docs, at, term, c, dict(zip(term[starts].tolist(), zip(starts.tolist(), ends.tolist())))
-
-
-def _find(docs: np.ndarray, table: pa.Table) -> np.ndarray:
-    """Places of the table's documents among the sorted docs; each is there, since candidates have entries."""
-    return np.searchsorted(docs, _documents(table))
+    return docs, at, c, dict(zip(term[starts].tolist(), zip(starts.tolist(), ends.tolist())))
 
 
 def _queries(asks: pa.Table):
@@ -193,12 +179,6 @@ def _queries(asks: pa.Table):
         yield int(cols[0][lo]), cols[1][lo:hi].astype(np.int64).tolist(), int(cols[2][lo]), cols[3][lo:hi].astype(np.int64), cols[4][lo:hi].astype(np.int64)
 
 
-def _rows(docs, out, names: list[str]) -> pa.Table:
-    cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
-    named = docs[cols[1]]
-    return pa.table([pa.array(cols[0]), pa.array(named["id"].copy(), mask=named["none"].copy()), pa.array(named["key"].copy()), *map(pa.array, cols[2:])], ["item", "id", "key", *names])
-
-
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """query_id, item (its hash), term: each term of each query once."""
     asks = queries.select(F.col(id_col).alias("query_id"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("item"), F.col(text_col).alias("text"))
@@ -275,20 +255,20 @@ def search(
     needed = stored(plan.groupBy("term", "block").agg(F.min("floor").alias("floor")))
     fetched = lists.join(with_terms(needed), "term").where("c >= floor").select("block", dealt, "term", "id", "key", "c")
     by = ["block", "part"]
-    seen = fetched.groupBy(*by).cogroup(ask_rows.groupBy(*by)).applyInArrow(lambda e, a: partial_sums(e, a, k), "item long, id long, key long, partial long, upper long")
-    seen = stored(seen)
-    better = _kth(seen.withColumnRenamed("partial", "sum"), "sum", k)
-    kept = seen.join(F.broadcast(better) if n_queries <= BROADCAST_TERMS else better, "item", "left").where("tau is null or upper >= tau")
-    candidates = stored(kept.select("item", "id", "key", F.pmod("item", F.lit(blocks)).cast("int").alias("block"), dealt))
+    tops = fetched.groupBy(*by).cogroup(ask_rows.groupBy(*by)).applyInArrow(lambda e, a: largest_sums(e, a, k), "item long, sum long")
+    better = _kth(tops, "sum", k).withColumnRenamed("tau", "better")
+    raised = plan.join(better, "item", "left").withColumn("tau", F.greatest("tau", "better"))
+    ask_again = raised.select("block", every_part, "item", "term", "tau", "floor", "head")
+    candidates = stored(fetched.groupBy(*by).cogroup(ask_again.groupBy(*by)).applyInArrow(possible, "item long, id long, key long"))
 
     # phase 3
-    no = F.lit(None).cast("long")
-    wanted = candidates.select("block", "part", "item", no.alias("term"), no.alias("tau"), no.alias("floor"), no.alias("head"), "id", "key")
-    asking = ask_rows.select("*", no.alias("id"), no.alias("key")).unionByName(wanted)
-    entries = lists.join(with_terms(needed.drop("floor")), "term").select("block", dealt, "term", "id", "key", "c")
-    exact = entries.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(exact_sums, "item long, id long, key long, score long")
+    wanted = candidates.select("item", F.col("id").alias("_id"), F.col("key").alias("_key")).join(plan.select("item", F.col("term").alias("_term")), "item")
+    longest = plan.groupBy("item").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    few = candidates.count() * longest <= BROADCAST_LOOKUPS
+    same = (F.col("term") == F.col("_term")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    exact = lists.join(F.broadcast(wanted) if few else wanted, same).groupBy("item", "id", "key").agg(F.sum("c").alias("score"))
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "key")
-    ranked = exact.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = plan.select("item", "query_id").distinct()
     return ranked.join(names, "item").select(F.col("query_id").alias(query_id), "rank", F.col("id").cast(doc_kind).alias(doc_id), "score")
 
