@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.ranges import grouped_median
+
 BLOCK = 2048
 
 
@@ -49,8 +51,7 @@ def nearest_squared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def mc_score(test: DataFrame, synth: DataFrame, key: str) -> DataFrame:
     """Share of synthetic rows nearer than the median nearest distance."""
-    least = nearest_squared(test, synth, key)
-    eps = least.agg(F.median("d2")).first()[0]
+    eps = grouped_median(nearest_squared(test, synth, key), "d2", []).first()["median"]
     n = synth.count()
 
     def within(i, a, j, b):

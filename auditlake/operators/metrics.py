@@ -8,48 +8,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.baselines import block_distances, squared
+from auditlake.operators.ranges import grouped_median, joined, prefix_sums
 
 
 def roc_auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Rank-sum AUC from counts at distinct scores; null with one class only."""
     by = by or []
-    hist = rows.groupBy(*by, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = hist.withColumn("_r", before + (F.col("_n") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_p")).alias("rs"), F.sum("_p").alias("pos"), (F.sum("_n") - F.sum("_p")).alias("neg"))
+    hist = rows.groupBy(*by, F.col(score).alias("x")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
+    ranked = prefix_sums(hist, F.col("x"), ["n"], by).withColumn("r", F.col("upto_n") - (F.col("n") - 1) / 2)
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("pos"), (F.sum("n") - F.sum("p")).alias("neg"))
     return sums.select(*by, F.try_divide(F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
 
 
 def curve(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """One row a distinct score, from the highest: tp, fp, tpr, fpr, precision."""
+    """One row a distinct score, from the highest: tp, fp, tpr, fpr, precision; p and n are the row's own positives and rows.
+
+    Scores are summed up by ranges, so no task orders all of them.
+    """
     by = by or []
     hist = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    c = hist.select(*by, "threshold", F.sum("p").over(down).alias("tp"), F.sum(F.col("n") - F.col("p")).over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum(F.col("n") - F.col("p")).over(whole).alias("neg"))
+    c = prefix_sums(hist, F.col("threshold"), ["p", "n"], by, descending=True)
+    c = c.select(*by, "threshold", "p", "n", F.col("upto_p").alias("tp"), (F.col("upto_n") - F.col("upto_p")).alias("fp"), F.col("all_p").alias("pos"), (F.col("all_n") - F.col("all_p")).alias("neg"))
     return c.withColumns({"tpr": F.try_divide("tp", "pos"), "fpr": F.try_divide("fp", "neg"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
 
 
-def threshold_metrics(rows: DataFrame, label: str, score: str) -> DataFrame:
+def threshold_metrics(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """AUC, average precision, trapezoid PR area, accuracy and F1 at the median and best threshold, TPR at FPR of at least 0.01 and 0.1.
 
-    A row counts as positive above a threshold, not at it; among equal F1 the smallest threshold wins.
+    A row counts as positive above a threshold, not at it; among equal F1 the smallest threshold wins. What stands before a
+    threshold is its sum less its own rows.
     """
-    c = curve(rows, label, score)
-    w = Window.orderBy(F.desc("threshold"))
-    steps = c.withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0.0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0.0)), "recall0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "precision0": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    by = by or []
+    c = curve(rows, label, score, by)
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - (F.col("n") - F.col("p"))
+    steps = c.withColumns({"tp0": tp0, "fp0": fp0, "recall0": F.coalesce(F.try_divide(tp0, F.col("pos")), F.lit(0.0)), "precision0": F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))})
     at = steps.withColumns({"accuracy": (F.col("tp0") + F.col("neg") - F.col("fp0")) / (F.col("pos") + F.col("neg")), "f1": F.coalesce(F.try_divide(2 * F.col("tp0"), F.col("tp0") + F.col("fp0") + F.col("pos")), F.lit(0.0))})
-    curves = at.agg(
+    curves = at.groupBy(*by).agg(
         F.sum((F.col("tpr") - F.col("recall0")) * F.col("precision")).alias("average_precision"),
         F.sum((F.col("tpr") - F.col("recall0")) * (F.col("precision") + F.col("precision0")) / 2).alias("pr_auc"),
         F.max("accuracy").alias("accuracy_best"), F.max("f1").alias("f1_best"),
         F.min_by("tpr", F.when(F.col("fpr") >= 0.01, F.struct("fpr", -F.col("threshold")))).alias("tpr_at_fpr_001"),
         F.min_by("tpr", F.when(F.col("fpr") >= 0.1, F.struct("fpr", -F.col("threshold")))).alias("tpr_at_fpr_01"),
     )
-    median = rows.agg(F.median(score).alias("_m"))
-    above, y = F.col(score) > F.col("_m"), F.col(label) == 1
+    above, y = F.col(score) > F.col("median"), F.col(label) == 1
     n = lambda c: F.count_if(c).cast("double")
-    half = rows.crossJoin(F.broadcast(median)).agg((n(above == y) / F.count("*")).alias("accuracy_median"), F.coalesce(F.try_divide(2 * n(above & y), 2 * n(above & y) + n(above & ~y) + n(~above & y)), F.lit(0.0)).alias("f1_median"))
-    return curves.crossJoin(F.broadcast(half)).crossJoin(F.broadcast(roc_auc(rows, label, score).select("auc")))
+    half = joined(rows, grouped_median(rows, score, by), by).groupBy(*by).agg((n(above == y) / F.count("*")).alias("accuracy_median"), F.coalesce(F.try_divide(2 * n(above & y), 2 * n(above & y) + n(above & ~y) + n(~above & y)), F.lit(0.0)).alias("f1_median"))
+    return joined(joined(curves, half, by), roc_auc(rows, label, score, by).select(*by, "auc"), by)
 
 
 def wasserstein(a: DataFrame, b: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -218,3 +222,97 @@ def discriminative_f1(real: DataFrame, synth: DataFrame, unseen: DataFrame, key:
     n = lambda c: F.count_if(c).cast("double")
     y, p = F.col("label") == 1, F.col("prediction") == 1
     return hit.agg(F.coalesce(F.try_divide(2 * n(y & p), 2 * n(y & p) + n(y & ~p) + n(~y & p)), F.lit(0.0)).alias("f1"), F.count("*").alias("n"))
+
+
+def neighbour_weights(distances: np.ndarray, perplexity: float, tolerance: float = 1e-5, tries: int = 50) -> np.ndarray:
+    """Each row's weights exp(-beta d), brought to sum one, with its own beta found by bisection so that their entropy is log(perplexity).
+
+    Rows are sorted or not; infinite distances weigh nothing.
+    """
+    goal, n = np.log(perplexity), len(distances)
+    d = distances - np.min(distances, axis=1, keepdims=True, initial=np.inf)
+    beta, low, high = np.ones(n), np.zeros(n), np.full(n, np.inf)
+    for _ in range(tries):
+        p = np.exp(-d * beta[:, None])
+        total = p.sum(axis=1)
+        entropy = np.log(total) + beta * np.where(np.isfinite(d), d, 0).__mul__(p).sum(axis=1) / total
+        off = entropy - goal
+        if (np.abs(off) < tolerance).all():
+            break
+        wide = off > 0  # too even: sharpen
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        step = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+        beta = np.where(np.abs(off) < tolerance, beta, step)
+    p = np.exp(-d * beta[:, None])
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def local_mixing(neighbours: DataFrame, batches: DataFrame, key: str, perplexity: float) -> DataFrame:
+    """(id, lisi): inverse Simpson index of the batches around each row, its neighbours weighted to the perplexity.
+
+    neighbours: (id, other, d2), a bounded number a row; a row's are gathered, never a batch's.
+    """
+    named = neighbours.join(batches.select(F.col(key).alias("other"), F.col("batch").cast("string").alias("batch")), "other")
+    lists = named.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "other", "batch"))).alias("l"))
+    wide = lists.select("id", F.transform("l", lambda x: x["d"]).alias("d"), F.transform("l", lambda x: x["batch"]).alias("b"))
+
+    def index(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            most = max(map(len, pdf["d"]))
+            d = np.full((len(pdf), most), np.inf)
+            codes, names = pd.factorize(np.concatenate(pdf["b"].to_numpy()))
+            at = np.full((len(pdf), most), -1)
+            sizes = pdf["d"].map(len).to_numpy()
+            filled = np.arange(most)[None, :] < sizes[:, None]
+            d[filled], at[filled] = np.concatenate(pdf["d"].to_numpy()), codes
+            w = neighbour_weights(d, perplexity)
+            simpson = sum((w * (at == c)).sum(axis=1) ** 2 for c in range(len(names)))
+            yield pd.DataFrame({"id": pdf["id"], "lisi": 1 / simpson})
+
+    return wide.mapInPandas(index, "id long, lisi double")
+
+
+def scaled_mixing(lisi: DataFrame, batches: DataFrame) -> DataFrame:
+    """The median index, 0 for one batch around everything and 1 for even batches."""
+    n = batches.agg(F.count_distinct("batch").alias("k"))
+    return grouped_median(lisi, "lisi", []).crossJoin(F.broadcast(n)).select(F.try_divide(F.col("median") - 1, F.col("k") - 1).alias("lisi"))
+
+
+def pairwise_rank_sums(rows: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
+    """by, a, b, z, share: Wilcoxon's rank sum of every two groups a < b in one pass, positive where a's values are larger.
+
+    Values become counts by (by, value, group); each group's counts are cumulated once, and the histograms of two groups give U and
+    ties of their pair. The groups' names, classes of the data, are gathered; rows after that follow distinct values.
+    """
+    hist = rows.groupBy(*by, value, group).agg(F.count("*").alias("n"))
+    names = hist.agg(F.array_sort(F.collect_set(group)).alias("names"))
+    held = hist.groupBy(*by, value).agg(F.map_from_entries(F.collect_list(F.struct(group, "n"))).alias("m"))
+    every = held.crossJoin(F.broadcast(names)).select(*by, value, F.explode("names").alias("g"), "m")  # one row of classes
+    counted = every.select(*by, value, "g", F.coalesce(F.try_element_at("m", F.col("g")), F.lit(0).cast("long")).alias("n"))
+    before = Window.partitionBy(*by, "g").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    cumulated = counted.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    met = cumulated.groupBy(*by, value).agg(F.array_sort(F.collect_list(F.struct("g", "n", "below"))).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: y["g"] > x["g"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    each = met.select(*by, F.explode(pairs).alias("p")).select(*by, F.col("p.x.g").alias("a"), F.col("p.y.g").alias("b"), F.col("p.x.n").cast("double").alias("n"), F.col("p.y.n").cast("double").alias("m"), F.col("p.y.below").alias("below"))
+    tied = F.pow(F.col("n") + F.col("m"), 3) - (F.col("n") + F.col("m"))
+    sums = each.groupBy(*by, "a", "b").agg(F.sum(F.col("n") * (F.col("below") + F.col("m") / 2)).alias("u"), F.sum("n").alias("n1"), F.sum("m").alias("n0"), F.sum(tied).alias("ties"))
+    n1, n0, n = F.col("n1"), F.col("n0"), F.col("n1") + F.col("n0")
+    var = n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
+    return sums.select(*by, "a", "b", F.try_divide(F.col("u") - n1 * n0 / 2, F.sqrt(F.when(var > 0, var))).alias("z"), F.try_divide(F.col("u"), n1 * n0).alias("share"))
+
+
+#: One-sided p < 0.05 under the normal approximation.
+ONE_SIDED = 1.6448536269514722
+
+
+def pairwise_recovery(real: DataFrame, synth: DataFrame, universe: int, critical: float = ONE_SIDED) -> DataFrame:
+    """a, b, direction with real, synth, hit, tpr, fpr, precision for every pair of classes: synthetic findings held against real ones.
+
+    real, synth: (a, b, gene, z); every pair that either side has gets both directions, with zeros where nothing was found.
+    """
+    findings = lambda z: z.withColumn("direction", direction(F.col("z"), critical)).where("direction is not null")
+    found = recovery(findings(real), findings(synth), ["a", "b", "direction"], universe)
+    every = real.select("a", "b").unionByName(synth.select("a", "b")).distinct().select("a", "b", F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction"))
+    return every.join(found, ["a", "b", "direction"], "left").fillna(0, ["real", "synth", "hit"]).withColumn("fpr", F.coalesce("fpr", F.lit(0.0)))

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.ranges import in_ranges
+
 
 def shuffled(key: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(key if isinstance(key, str) else key, F.lit(seed))
 
 
-def ranked(rows: DataFrame, order: Column, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, order: Column, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """rows plus _r, from 1 by a numeric order (nulls first) within by, without a whole group in one task's sort.
 
-    Rows are cut into ranges at approximate quantiles of the order (fewer than `parts` numbers, read on the driver; any
-    cuts give the same ranks), ranked within their range, and moved up by the sizes of the ranges before it.
+    Rows are cut into ranges at approximate quantiles of the order, as many as the number of rows asks for (any cuts
+    give the same ranks), ranked within their range, and moved up by the sizes of the ranges before it.
     """
-    x = rows.select("*", order.cast("double").alias("_x"), order.alias("_o"))
-    found = x.agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)]).alias("cuts")).first()["cuts"]
-    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(found or [0.0]))))
-    placed = x.withColumn("_p", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
+    placed = in_ranges(rows.withColumn("_o", order), F.col("_o"), parts)
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
     starts = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -62,15 +62,6 @@ def privacy_reduction(spark, sf_dir):
     return rows.select("epsilon", F.round(reports.privacy_reduction(F.col("auc"), F.lit(0.85)), 6).alias("reduction"))
 
 
-@query()
-def factor_generator(spark, sf_dir):
-    """Counts drawn from a nonnegative factorisation's reconstruction of each cell."""
-    from auditlake.operators.factors import sample_reconstruction
-
-    rows = dense(spark, sf_dir).where("role = 0").select(F.col("cell_id").cast("int").alias("cell"), "gene", F.col("cnt").cast("float").alias("cnt"))
-    return sample_reconstruction(rows, rank=4)
-
-
 @query("SELECT range::INT AS gene FROM range(32)")
 def gene_catalogue(spark, sf_dir):
     return genes(spark)
