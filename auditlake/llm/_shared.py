@@ -2,55 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='auditlake-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/auditlake-{spark.sparkContext.applicationId}"
-
+from auditlake.sources.scratch import release, shared_dir, stored
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
-
-    instead_of is an earlier stored table that nothing reads any more; its files go.
-    """
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    if instead_of is not None:
-        _delete(spark, instead_of._stored_at)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all that `stored` has written for this application; results not yet read are lost with it."""
-    _delete(spark, _folder(spark))
+__all__ = ["documents", "let", "lower_ascii", "release", "shared_dir", "stored", "text_key"]
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

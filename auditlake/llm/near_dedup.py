@@ -22,7 +22,8 @@ square of their number in a bucket (or a pair of buckets, of a wide one) and siz
 two blocks.
 
 Defined results: a null, empty or wordless text has no shingles, is its own component and links with
-nothing; null ids take no part and have a null component; rows that share an id are one node. Extra
+nothing; null ids take no part and have a null component; rows that share an id are one node, linked by each of
+their texts (ids are below 2**62); an empty table gives none; very long texts are shingled whole. Extra
 columns stay, ones named like an output column are replaced.
 """
 
@@ -41,6 +42,8 @@ from auditlake.llm._shared import stored, text_key
 from auditlake.llm.components import connected_components
 
 BLOCK_SHINGLES = 1 << 21
+#: Numbers of further texts of an id start here; ids are smaller.
+OWN_NODES = 1 << 62
 SIGNED = "id long, key long, n long, digest binary, signature binary"
 
 
@@ -238,12 +241,19 @@ def near_duplicates(
     usable = signed.where("n > 0 and id is not null")
     first = usable.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("f")).select("digest", F.col("f.id").alias("rep"), F.col("f.key").alias("rep_key"))
     named = usable.join(first, "digest")
-    reps = stored(named.where("id = rep and key = rep_key").dropDuplicates(["id", "key"]).select("id", "key", "n", "signature"))
+    reps = named.where("id = rep and key = rep_key").dropDuplicates(["id", "key"]).select("id", F.col("id").alias("doc"), "key", "n", "signature")
+    # a node is a text: where an id has several, all but its first get numbers above all ids, and links to the id
+    several = stored(usable.groupBy("id").agg(F.count_distinct("digest").alias("n"), F.min("key").alias("least")).where("n > 1").select(F.col("id").alias("doc"), "least"))
+    many = not several.isEmpty()
+    node = F.when(F.col("least") != F.col("key"), F.shiftrightunsigned(F.xxhash64("doc", "key"), 2) + F.lit(OWN_NODES)).otherwise(F.col("doc"))
+    if many:
+        reps = reps.join(several, "doc", "left").withColumn("id", node).drop("least")
+    reps = stored(reps)
 
     buckets = reps.mapInArrow(lambda it: _band(it, bands), "band long, id long")
     centres = buckets.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z")
     stars = buckets.join(centres, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    one = reps.dropDuplicates(["id"])
+    one = reps
     pairs = stars.join(one.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     likely = stored(pairs.mapInArrow(lambda it: _agreeing(it, slack), "a long, b long"))
     known = stored(connected_components(likely, "a", "b"))
@@ -252,18 +262,17 @@ def near_duplicates(
     families = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("family"))
     held = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)
     sizes = families.join(one.select("id", "n"), "id").groupBy("family").agg(F.ceil(held).cast("int").alias("blocks"))
-    members = stored(reps.select("id", "key").join(families, "id").join(sizes, "family").withColumn("part", F.expr("cast(pmod(xxhash64(id), blocks) as int)")))
+    members = stored(reps.select("id", "doc", "key").join(families, "id").join(sizes, "family").withColumn("part", F.expr("cast(pmod(xxhash64(id), blocks) as int)")))
     # one plan at every size: a small table of members would otherwise be broadcast, and only a large one shuffled
-    texts = source.join(members.hint("merge"), ["id", "key"]).dropDuplicates(["id", "key"])
+    texts = source.withColumnRenamed("id", "doc").join(members.hint("merge"), ["doc", "key"]).dropDuplicates(["doc", "key"])
     sets = stored(texts.select("id", "family", "blocks", "part", "text").mapInArrow(lambda it: _shingle_rows(it, size), "id long, family long, blocks int, part int, shingles binary"))
     links = _exact_links(sets, 100 * threshold, block)
 
     of_rep = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    # ids with several texts link their representatives; ids with one text are their own
-    several = usable.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("id")
-    if not several.isEmpty():
-        merged = links.unionByName(named.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-        of_rep = connected_components(merged, "a", "b").select(F.col("node").alias("rep"), "component")
+    if many:
+        at = named.join(several.select(F.col("doc").alias("rep"), "least"), "rep", "left").withColumn("node", F.when(F.col("least") != F.col("rep_key"), F.shiftrightunsigned(F.xxhash64("rep", "rep_key"), 2) + F.lit(OWN_NODES)).otherwise(F.col("rep")))
+        own = at.join(several.select(F.col("doc").alias("id")), "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        of_rep = connected_components(links.unionByName(own).unionByName(at.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))), "a", "b").select(F.col("node").alias("rep"), "component")
     labels = (
         named.select("id", "key", "rep").distinct().join(of_rep, "rep", "left")
         .select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.coalesce("component", "rep").alias("_component"))

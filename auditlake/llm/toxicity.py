@@ -7,18 +7,18 @@ at most `max_unlabelled` texts taken without their labels, with the risk
     prior * E_p[loss(f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])
 
 where the prior is the toxic share of the labelled rows. When the bracket goes below zero the step goes
-up its gradient instead, so flexible weights can't drive it negative. Both samples are the rows whose
-hashed id is smallest, and only from rows outside the fold held out; labels, lang, source and id are no
-features. Features seen in fewer than `min_texts` toxic texts, or not `surprise` standard deviations more
+up its gradient instead, so flexible weights can't drive it negative. Both samples are the texts whose
+hashed id is smallest, each text of an id once, `max_features` distinct features in all, and only from rows outside the
+fold held out; labels, lang, source and id are no features. Features seen in fewer than `min_texts` toxic texts, or not `surprise` standard deviations more
 often than their share of unlabelled texts lets expect, are dropped: they say nothing.
 The model is 2**bits floats, the same size for any input. Whole texts are scored, in Arrow batches.
 
-The bias is at most the prior's log odds, so a text with none of the features is no likelier than any.
+A text with none of the features scores the bias that training found, but no more than the prior.
 
 Defined results: null and empty texts score what the bias alone gives; a null id isn't held out; with
 no confirmed toxic text every score is 0; an id that some label row calls toxic counts as confirmed,
-whatever its other rows say, and each of its texts is an example; ties at the samples' bounds go by
-smaller id; a word of over a megabyte is one word. Extra columns stay, ones named like an output are
+whatever its other rows say, and each of its texts is an example, once however often it is repeated; ties at the samples'
+bounds go by smaller id, then by the text's hash; an empty table gives none; very long texts are read whole, and a word of over a megabyte is one word. Extra columns stay, ones named like an output are
 replaced.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm._hashing import SLICE, mix, word_tables
+from auditlake.llm._shared import text_key
 
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = _WORD[ord("a") : ord("z") + 1] = _WORD[ord("0") : ord("9") + 1] = True
@@ -129,15 +130,25 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return weights, float(min(b, np.log(prior / (1 - prior))))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, bits: int) -> list[np.ndarray]:
-    """Features of the texts of a bounded number of ids."""
+def _sample(docs: DataFrame, wanted: DataFrame, most: int, most_features: int, bits: int) -> list[np.ndarray]:
+    """Features of at most `most` different texts of wanted's ids, in the order of a hash, and of no more than `most_features` in all."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, bits).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["f"])
-
-    texts = docs.join(F.broadcast(ids), "id", "left_semi").select("text")
-    return [np.frombuffer(r["f"], np.int32) for r in texts.mapInArrow(run, "f binary").toLocalIterator()]
+            found = pa.array([features(t, bits).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), found], ["id", "key", "f"])
+
+    keyed = docs.select("id", text_key(F.col("text")).alias("key"), "text")
+    order = (F.xxhash64("id"), F.col("id"), F.col("key"))
+    chosen = keyed.select("id", "key").join(wanted, "id", "left_semi").distinct().orderBy(*order).limit(most)
+    texts = keyed.join(F.broadcast(chosen), ["id", "key"], "left_semi").mapInArrow(run, "id long, key long, f binary")
+    out, held = [], 0
+    for r in texts.groupBy("id", "key").agg(F.max("f").alias("f")).orderBy(*order).toLocalIterator():
+        out.append(np.frombuffer(r["f"], np.int32))
+        held += len(out[-1])
+        if held > most_features:
+            break
+    return out
 
 
 def score_toxicity(
@@ -151,18 +162,18 @@ def score_toxicity(
     held: int = 2,
     max_positive: int = 4000,
     max_unlabelled: int = 12000,
+    max_features: int = 30_000_000,
     bits: int = 18,
 ) -> DataFrame:
     """docs plus held_out (boolean), score (double, 0 to 1) and predicted (int)."""
     docs = docs.drop("held_out", "score", "predicted")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     train = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where((fold(F.col("id"), folds) != held) & F.col("y").isNotNull())
     total = train.agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("toxic")).first()
     if total["toxic"]:
-        order = F.xxhash64("id")
-        positive = _sample(plain, train.where("y = 1").select("id").distinct().orderBy(order, "id").limit(max_positive), bits)
+        positive = _sample(plain, train.where("y = 1").select(F.col("id").cast("long").alias("id")).distinct(), max_positive, max_features, bits)
         others = plain.where(fold(F.col("id"), folds) != held).select("id").distinct()
-        unlabelled = _sample(plain, others.orderBy(order, "id").limit(max_unlabelled), bits)
+        unlabelled = _sample(plain, others, max_unlabelled, max_features, bits)
         prior = min(max(total["toxic"] / total["n"], 1e-3), 0.5)
         weights, bias = fit_nnpu(positive, unlabelled, prior, bits) if positive and unlabelled else (None, 0.0)
     else:
