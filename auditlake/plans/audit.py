@@ -237,12 +237,13 @@ def broken_types_dropped(spark, sf_dir):
     return membership.drop_broken_groups(s, "cell_type", "score")
 
 
-@query("""SELECT w AS white_box, a AS use_aux, h AS hvg, CASE WHEN w THEN '0' ELSE '1' END || CASE WHEN a THEN '0' ELSE '1' END || CASE WHEN h THEN '0' ELSE '1' END AS code,
-CASE WHEN w THEN 'WB' ELSE 'BB' END || CASE WHEN a THEN '+aux' ELSE '-aux' END AS label FROM (VALUES (true), (false)) x(w), (VALUES (true), (false)) y(a), (VALUES (true), (false)) z(h)""")
+@query("""WITH t AS (SELECT o_orderkey, o_orderstatus = 'F' AS w, o_orderpriority < '3' AS a, o_custkey % 2 = 0 AS h FROM orders)
+SELECT o_orderkey, CASE WHEN w THEN '0' ELSE '1' END || CASE WHEN a THEN '0' ELSE '1' END || CASE WHEN h THEN '0' ELSE '1' END AS code, CASE WHEN w THEN 'WB' ELSE 'BB' END || CASE WHEN a THEN '+aux' ELSE '-aux' END AS label FROM t""")
 def threat_models(spark, sf_dir):
-    rows = [(w, a, h) for w in (True, False) for a in (True, False) for h in (True, False)]
-    code = strings.threat_code(F.col("white_box"), F.col("use_aux"), F.col("hvg"))
-    return spark.createDataFrame(rows, "white_box boolean, use_aux boolean, hvg boolean").withColumn("code", code).withColumn("label", strings.threat_label(F.col("code")))
+    """Code and label of what each trial's attacker knows; an order is a trial."""
+    knows = (F.col("o_orderstatus") == "F", F.col("o_orderpriority") < "3", F.col("o_custkey") % 2 == 0)
+    trials = table(spark, sf_dir, "orders").select("o_orderkey", strings.threat_code(*knows).alias("code"))
+    return trials.withColumn("label", strings.threat_label(F.col("code")))
 
 
 @query()

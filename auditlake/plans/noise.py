@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import marginals, privacy, reports
 from auditlake.plans.registry import query
-from auditlake.sources.views import CELLS_SQL, cells, dense, genes
+from auditlake.sources.tables import table
+from auditlake.sources.views import CELLS_SQL, EXPR_SQL, cells, dense, expr
 
 _EXTENT = f"WITH {CELLS_SQL}, d AS (SELECT cell_type, donor_id, count(*) AS k FROM cells GROUP BY ALL), e AS (SELECT cell_type, sum(k)::BIGINT AS n, max(k) AS k_max, avg(k) AS k_mean FROM d GROUP BY 1)"
 EPSILONS = [1.0, 10.0, 100.0, 10000.0, 1e9]
@@ -31,17 +32,21 @@ def l1_noise_scale(spark, sf_dir):
     return e.select("cell_type", F.round(privacy.l1_scale(per_entry, 32, F.lit(10.0)), 6).alias("scale"))
 
 
-@query("SELECT epsilon::DOUBLE AS epsilon, round(epsilon * 0.5 / 2.8, 6)::DOUBLE AS basis, round(epsilon * 2.1 / 2.8, 6)::DOUBLE AS centroids, round(epsilon * 0.2 / 2.8, 6)::DOUBLE AS summaries FROM (VALUES (1.0), (2.8), (28.0)) e(epsilon)")
+@query("SELECT p_partkey, p_size::DOUBLE AS epsilon, round(p_size * 0.5 / 2.8, 6)::DOUBLE AS basis, round(p_size * 2.1 / 2.8, 6)::DOUBLE AS centroids, round(p_size * 0.2 / 2.8, 6)::DOUBLE AS summaries FROM part")
 def budget_split(spark, sf_dir):
-    e = spark.createDataFrame([(1.0,), (2.8,), (28.0,)], "epsilon double")
+    e = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("epsilon"))
     parts = privacy.split_budget(F.col("epsilon"), {"basis": 0.5, "centroids": 2.1, "summaries": 0.2})
-    return e.select("epsilon", *(F.round(c, 6).alias(n) for n, c in parts.items()))
+    return e.select("p_partkey", "epsilon", *(F.round(c, 6).alias(n) for n, c in parts.items()))
 
 
-@query("SELECT range AS i, round(-2.0 * sign((range + 0.5) / 100 - 0.5) * ln(1 - 2 * abs((range + 0.5) / 100 - 0.5)), 6)::DOUBLE AS x FROM range(100)")
+@query("""WITH u AS (SELECT l_orderkey, l_quantity AS s, ((l_orderkey * 31 + l_linenumber * 17) % 1000 + 0.5) / 1000 - 0.5 AS u FROM lineitem)
+SELECT l_orderkey, count(*) AS n, round(sum(s - s * sign(u) * ln(1 - 2 * abs(u))), 4)::DOUBLE AS noised FROM u GROUP BY 1""")
 def laplace_quantiles(spark, sf_dir):
-    u = (F.col("id") + 0.5) / 100 - 0.5
-    return spark.range(100).select(F.col("id").alias("i"), F.round(privacy.laplace(u, F.lit(2.0)), 6).alias("x"))
+    """Quantities with Laplace noise of their own scale, at places dealt by the keys, summed by order."""
+    u = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1000 + 0.5) / 1000 - 0.5
+    s = F.col("l_quantity").cast("double")
+    noised = s + privacy.laplace(u, s)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(noised), 4).alias("noised"))
 
 
 def _copula(spark, sf_dir):
@@ -55,13 +60,17 @@ def noisy_correlations(spark, sf_dir):
     return privacy.noisy_correlations(_copula(spark, sf_dir), grid.where("variant = 'v2'"), "cell_type")
 
 
-@query("""SELECT e.epsilon::DOUBLE AS epsilon, round(least(greatest((0.85 - a.auc) / (0.85 - 0.5) * 100, 0), 100), 6)::DOUBLE AS reduction
-FROM (VALUES (1.0, 0.5), (100.0, 0.7), (1e4, 0.84), (1e9, 0.9)) e(epsilon, x), LATERAL (SELECT x AS auc) a""")
+@query("""WITH a AS (SELECT o_custkey, o_orderpriority AS variant, 0.5 + 0.4 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS auc FROM orders GROUP BY ALL),
+b AS (SELECT o_custkey, max(auc) AS baseline FROM a GROUP BY 1) SELECT o_custkey, variant, round(CASE WHEN baseline > 0.5 THEN least(greatest((baseline - auc) / (baseline - 0.5) * 100, 0), 100) ELSE 0 END, 6) AS reduction FROM a JOIN b USING (o_custkey)""")
 def privacy_reduction(spark, sf_dir):
-    rows = spark.createDataFrame([(1.0, 0.5), (100.0, 0.7), (1e4, 0.84), (1e9, 0.9)], "epsilon double, auc double")
-    return rows.select("epsilon", F.round(reports.privacy_reduction(F.col("auc"), F.lit(0.85)), 6).alias("reduction"))
+    """A customer's orders of one priority stand for a variant, the share filled for its advantage; the best variant is the baseline."""
+    share = F.count_if(F.col("o_orderstatus") == "F") / F.count("*")
+    a = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("variant")).agg((0.5 + 0.4 * share).alias("auc"))
+    both = a.join(a.groupBy("o_custkey").agg(F.max("auc").alias("baseline")), "o_custkey")
+    return both.select("o_custkey", "variant", F.round(reports.privacy_reduction(F.col("auc"), F.col("baseline")), 6).alias("reduction"))
 
 
-@query("SELECT range::INT AS gene FROM range(32)")
+@query(f"WITH {EXPR_SQL} SELECT gene, count(*) AS n_cells, sum(cnt)::BIGINT AS total FROM expr GROUP BY 1")
 def gene_catalogue(spark, sf_dir):
-    return genes(spark)
+    """Genes that any cell has, with the cells that have them and their counts in all."""
+    return expr(spark, sf_dir).groupBy("gene").agg(F.count("*").alias("n_cells"), F.sum("cnt").alias("total"))

@@ -10,7 +10,7 @@ from auditlake.functions.distributions import nudged_transform, qnorm, zinb_cdf,
 from auditlake.operators import marginals, prep, splits
 from auditlake.plans.registry import query
 from auditlake.sources.tables import conform, table
-from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, cells, dense, expr, genes, vectors
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, cells, dense, expr, vectors
 
 
 @query("""SELECT p_partkey, translate(p_name, ' ,/:', '____') AS name, regexp_replace(p_brand, '#', '', 'g') AS brand FROM part""")
@@ -121,10 +121,14 @@ def hvg_top_n(spark, sf_dir):
     return _rounded(prep.hvg_top(_dispersion(spark, sf_dir), 10))
 
 
-@query("SELECT range::INT AS gene, range % 3 = 0 AND range < 20 AS highly_variable FROM range(32)")
+@query("""WITH m AS (SELECT (l_suppkey % 32)::INT AS gene, sum(l_quantity) > 25 * count(*) AS highly_variable FROM lineitem WHERE l_linenumber >= 6 AND l_suppkey % 5 < 3 GROUP BY 1)
+SELECT g.gene, coalesce(m.highly_variable, false) AS highly_variable FROM (SELECT DISTINCT (l_suppkey % 32)::INT AS gene FROM lineitem) g LEFT JOIN m USING (gene)""")
 def hvg_mask_realigned(spark, sf_dir):
-    mask = genes(spark).where("gene < 20").withColumn("highly_variable", F.col("gene") % 3 == 0)
-    return prep.realign_mask(mask, genes(spark))
+    """A mask made from one part of the lines over the genes of all of them."""
+    gene = (F.col("l_suppkey") % 32).cast("int").alias("gene")
+    lines = table(spark, sf_dir, "lineitem")
+    mask = lines.where("l_linenumber >= 6 and l_suppkey % 5 < 3").groupBy(gene).agg((F.sum("l_quantity") > 25 * F.count("*")).alias("highly_variable"))
+    return prep.realign_mask(mask, lines.select(gene).distinct())
 
 
 @query("SELECT 0::BIGINT AS nan, 0::BIGINT AS infinite, 0::BIGINT AS missing")
@@ -201,51 +205,53 @@ def fitted_marginals(spark, sf_dir):
     return marginals.fitted_marginals(dense(spark, sf_dir).where("role = 0"), ["cell_type"])
 
 
-_GRID = """g AS (SELECT x.range::INT AS x, p.pi, t.theta, m.mu FROM range(12) x, (VALUES (0.0), (0.2)) p(pi), (VALUES (0.5), (2.0), (7.5)) t(theta), (VALUES (0.7), (3.0), (9.0)) m(mu)),
-pmf AS (SELECT g.*, k.range AS k, exp(lgamma(k.range + theta) - lgamma(theta) - lgamma(k.range + 1) + theta * ln(theta / (theta + mu)) + k.range * ln(mu / (theta + mu))) AS p FROM g, range(12) k)"""
+# Fitted by moments of the training cells: the mean, a size where the variance is above it (else Poisson), half of the zeros inflated.
+_FITS = f"""{DENSE_SQL}, fits AS (SELECT cell_type, gene, avg(cnt) AS mu, CASE WHEN var_samp(cnt) > avg(cnt) + 0.01 THEN avg(cnt) * avg(cnt) / (var_samp(cnt) - avg(cnt)) END AS theta, avg((cnt = 0)::INT) / 2 AS pi
+  FROM dense WHERE role = 0 GROUP BY ALL HAVING avg(cnt) > 0), g AS (SELECT DISTINCT cell_type, gene, cnt AS x, pi, theta, mu FROM dense JOIN fits USING (cell_type, gene)),
+logs AS (SELECT *, list_transform(range(x + 1), lambda k: CASE WHEN theta IS NULL THEN k * ln(mu) - mu - lgamma(k + 1) ELSE lgamma(k + theta) - lgamma(theta) - lgamma(k + 1) + theta * ln(theta / (theta + mu)) + k * ln(mu / (theta + mu)) END) AS l FROM g),
+pmf AS (SELECT cell_type, gene, x, pi, theta, mu, l, list_sum(list_transform(l, lambda y: exp(y))) AS f, exp(l[x + 1]) AS p FROM logs)"""
 
 
-def _grid(spark):
-    side = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    rows = spark.range(12).select(F.col("id").cast("int").alias("x"))
-    for name, values in (("pi", (0.0, 0.2)), ("theta", (0.5, 2.0, 7.5)), ("mu", (0.7, 3.0, 9.0))):
-        rows = rows.select("*", side(name, values))
-    return rows, [F.col(c) for c in ("x", "pi", "theta", "mu")]
+def _fitted(spark, sf_dir):
+    """Every count that a gene has in a type, with the type's fitted (pi, theta, mu)."""
+    d = dense(spark, sf_dir)
+    mu, v = F.avg("cnt"), F.var_samp("cnt")
+    fits = d.where("role = 0").groupBy("cell_type", "gene").agg(mu.alias("mu"), F.when(v > mu + 0.01, mu * mu / (v - mu)).alias("theta"), (F.avg((F.col("cnt") == 0).cast("double")) / 2).alias("pi"))
+    seen = d.select("cell_type", "gene", F.col("cnt").alias("x")).distinct()
+    return seen.join(fits.where("mu > 0"), ["cell_type", "gene"]), [F.col(c) for c in ("x", "pi", "theta", "mu")]
 
 
-@query(f"WITH {_GRID} SELECT x, pi::DOUBLE AS pi, theta::DOUBLE AS theta, mu::DOUBLE AS mu, round(pi + (1 - pi) * sum(p) FILTER (WHERE k <= x), 9)::DOUBLE AS cdf FROM pmf GROUP BY x, pi, theta, mu")
+@query(f"WITH {_FITS} SELECT cell_type, gene, x, round(pi + (1 - pi) * f, 6) AS cdf FROM pmf")
 def zinb_cdf_grid(spark, sf_dir):
-    rows, args = _grid(spark)
-    return rows.withColumn("cdf", F.round(zinb_cdf(*args), 9))
+    """The fitted distribution function at every count."""
+    rows, args = _fitted(spark, sf_dir)
+    return rows.select("cell_type", "gene", "x", F.round(zinb_cdf(*args), 6).alias("cdf"))
 
 
-@query(f"""WITH {_GRID}, c AS (SELECT x, pi, theta, mu, coalesce(sum(p) FILTER (WHERE k <= x), 0) AS f, coalesce(sum(p) FILTER (WHERE k < x), 0) AS f0 FROM pmf GROUP BY ALL)
-SELECT x, pi::DOUBLE AS pi, theta::DOUBLE AS theta, mu::DOUBLE AS mu, round(pi + (1 - pi) * (f + f0) / 2, 9)::DOUBLE AS mid,
-  round(CASE WHEN x = 0 THEN 0.5 * (pi + (1 - pi) * f) ELSE pi + (1 - pi) * (f + f0) / 2 END, 9)::DOUBLE AS uniform FROM c""")
+@query(f"WITH {_FITS} SELECT cell_type, gene, x, round(pi + (1 - pi) * (f - p / 2), 6) AS mid, round(CASE WHEN x = 0 THEN 0.5 * (pi + (1 - pi) * f) ELSE pi + (1 - pi) * (f - p / 2) END, 6) AS uniform FROM pmf")
 def zinb_transforms(spark, sf_dir):
-    rows, args = _grid(spark)
-    return rows.withColumns({"mid": F.round(zinb_cdf_dt(*args, F.lit(0.5)), 9), "uniform": F.round(zinb_uniform(*args, F.lit(0.5)), 9)})
+    rows, args = _fitted(spark, sf_dir)
+    return rows.select("cell_type", "gene", "x", F.round(zinb_cdf_dt(*args, F.lit(0.5)), 6).alias("mid"), F.round(zinb_uniform(*args, F.lit(0.5)), 6).alias("uniform"))
 
 
-@query("""WITH g AS (SELECT x.range::INT AS x, p.pi, t.theta, m.mu FROM range(12) x, (VALUES (0.0), (0.2)) p(pi), (VALUES (0.5), (2.0), (7.5)) t(theta), (VALUES (0.7), (3.0), (9.0)) m(mu)),
-l AS (SELECT *, lgamma(x + theta) - lgamma(theta) - lgamma(x + 1) + theta * ln(theta / (theta + mu)) + x * ln(mu / (theta + mu)) AS nb, theta * ln(theta / (theta + mu)) AS nb0 FROM g)
-SELECT x, pi::DOUBLE AS pi, theta::DOUBLE AS theta, mu::DOUBLE AS mu, round(CASE WHEN x = 0 THEN ln(pi + (1 - pi) * exp(nb0)) ELSE ln(1 - pi) + nb END, 9)::DOUBLE AS log_p FROM l""")
+@query(f"WITH {_FITS} SELECT cell_type, gene, x, round(CASE WHEN x = 0 THEN ln(pi + (1 - pi) * p) ELSE ln(1 - pi) + greatest(l[x + 1], ln(1e-300)) END, 6) AS log_p FROM pmf")
 def zinb_log_pmf_grid(spark, sf_dir):
-    rows, args = _grid(spark)
-    return rows.withColumn("log_p", F.round(zinb_log_pmf(*args), 9))
+    rows, args = _fitted(spark, sf_dir)
+    return rows.select("cell_type", "gene", "x", F.round(zinb_log_pmf(*args), 6).alias("log_p"))
 
 
-@query("""WITH g AS (SELECT x.range::INT AS x, m.mu FROM range(10) x, (VALUES (0.5), (2.5)) m(mu)), k AS (SELECT g.*, k.range AS k FROM g, range(10) k WHERE k.range <= x)
-SELECT x, mu::DOUBLE AS mu, round(sum(exp(k * ln(mu) - mu - lgamma(k + 1))), 9)::DOUBLE AS cdf, round(x * ln(mu) - mu - lgamma(x + 1), 9)::DOUBLE AS log_p FROM k GROUP BY ALL""")
+@query(f"WITH {_FITS} SELECT cell_type, gene, x, round(list_sum(list_transform(range(x + 1), lambda k: exp(k * ln(mu) - mu - lgamma(k + 1)))), 6) AS cdf, round(greatest(x * ln(mu) - mu - lgamma(x + 1), ln(1e-300)), 6) AS log_p FROM g")
 def poisson_limit(spark, sf_dir):
-    rows = spark.range(10).select(F.col("id").cast("int").alias("x"), F.explode(F.array(F.lit(0.5), F.lit(2.5))).alias("mu"))
+    """The fits without dispersion or inflation."""
+    rows, _ = _fitted(spark, sf_dir)
     args = F.col("x"), F.lit(0.0), F.lit(float("inf")), F.col("mu")
-    return rows.withColumns({"cdf": F.round(zinb_cdf(*args), 9), "log_p": F.round(zinb_log_pmf(*args), 9)})
+    return rows.select("cell_type", "gene", "x", F.round(zinb_cdf(*args), 6).alias("cdf"), F.round(zinb_log_pmf(*args), 6).alias("log_p"))
 
 
 @query()
 def normal_scores(spark, sf_dir):
-    rows, args = _grid(spark)
+    """Normal scores of every count under its fit."""
+    rows, args = _fitted(spark, sf_dir)
     return rows.withColumn("u", nudged_transform(*args, F.lit(0.5))).withColumn("z", qnorm(F.col("u")))
 
 

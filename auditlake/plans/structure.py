@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import adjust, baselines, communities, factors, metrics
-from auditlake.operators.ranges import grouped_median
+from auditlake.operators.ranges import grouped_median, joined
 from auditlake.plans.registry import query
 from auditlake.sources.tables import table
 from auditlake.sources.views import DENSE_SQL, VECTORS_SQL, dense, profile, vectors
@@ -87,10 +87,12 @@ def method_metrics(spark, sf_dir):
     return m.select("method", *(F.round(c, 6).alias(c) for c in ("auc", "average_precision", "pr_auc", "accuracy_best", "f1_best")))
 
 
-@query("SELECT source, median(n_chars)::DOUBLE AS median FROM documents WHERE n_chars IS NOT NULL GROUP BY 1")
+@query("SELECT doc_id, source, median(n_chars) OVER (PARTITION BY source)::DOUBLE AS median, n_chars - median(n_chars) OVER (PARTITION BY source)::DOUBLE AS above FROM documents")
 def grouped_medians(spark, sf_dir):
-    """Exact medians of lengths by source, one of which has most rows."""
-    return grouped_median(table(spark, sf_dir, "documents").select("source", "n_chars"), "n_chars", ["source"])
+    """Every document's length against its source's exact median; one source has most rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    met = joined(docs, grouped_median(docs, "n_chars", ["source"]), ["source"], "left")
+    return met.select("doc_id", "source", "median", (F.col("n_chars") - F.col("median")).alias("above"))
 
 
 def _graph(spark, sf_dir, k=10):

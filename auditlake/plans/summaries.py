@@ -119,11 +119,14 @@ def stale_metric_comparison(spark, sf_dir):
     return out.select("k", *(F.round(c, 4).alias(c) for c in ("old", "new", "delta")), F.round("relative", 9).alias("relative"))
 
 
-@query("""SELECT v AS variant, CASE WHEN v = 'no_dp' THEN '∞' WHEN regexp_full_match(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1), '10*') THEN '10^' || (length(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1)) - 1)::VARCHAR
-ELSE nullif(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1), '') END AS label FROM (VALUES ('no_dp'), ('eps_1'), ('eps_10000'), ('v2_eps_100'), ('eps_28'), ('other')) t(v)""")
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'no_dp' WHEN 1 THEN 'eps_' || p_size WHEN 2 THEN 'v2_eps_' || rpad('1', (p_size % 5 + 1)::INT, '0') ELSE p_brand END AS v FROM part)
+SELECT p_partkey, v AS variant, CASE WHEN v = 'no_dp' THEN '∞' WHEN regexp_full_match(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1), '10*') THEN '10^' || (length(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1)) - 1)::VARCHAR
+ELSE nullif(regexp_extract(replace(v, 'v2_', ''), 'eps_(\\d+)', 1), '') END AS label FROM t""")
 def epsilon_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in ("no_dp", "eps_1", "eps_10000", "v2_eps_100", "eps_28", "other")], "variant string")
-    return rows.withColumn("label", strings.epsilon_label(F.col("variant")))
+    size = F.col("p_size").cast("string")
+    of = [F.lit("no_dp"), F.concat(F.lit("eps_"), size), F.concat(F.lit("v2_eps_"), F.rpad(F.lit("1"), (F.col("p_size") % 5 + 1).cast("int"), F.lit("0"))), F.col("p_brand")]
+    variant = F.when(F.col("p_partkey") % 4 == 0, of[0]).when(F.col("p_partkey") % 4 == 1, of[1]).when(F.col("p_partkey") % 4 == 2, of[2]).otherwise(of[3])
+    return table(spark, sf_dir, "part").select("p_partkey", variant.alias("variant")).withColumn("label", strings.epsilon_label(F.col("variant")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
