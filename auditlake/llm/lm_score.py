@@ -18,7 +18,7 @@ The work goes by pages (up to about 4 MB of documents in one compressed row) and
 page sends its distinct (word, context) pairs with their training counts to the words' buckets (see
 `_exchange`), so a word in every text is at most one entry for each context and page. A bucket holds all
 contexts of its words; its cells and seats are one row of a stored table that the sweeps rewrite. At the
-end the buckets answer the pages' pairs with log10 probabilities, rounded to 1/4096. Words go as 64-bit
+end the buckets answer the pages' pairs with log10 probabilities, as 32-bit floats; counts are 64-bit. Words go as 64-bit
 hashes. Random draws depend on the bucket and the sweep only, so a task that runs again gives the same.
 
 Defined results: null and empty texts hold their end token only; null ids are learned from and not held
@@ -46,7 +46,7 @@ from auditlake.llm.toxicity import fold
 PAGE_BYTES, BUCKET_BYTES, FAN = 4 << 20, 6 << 20, 4096
 CONTEXTS, PARENTS = 1 << 16, 1 << 8
 END = np.uint64(0x5EED5EED5EED5EED)
-SENT, BACK, SCALE = ("<u8", "<u4", "<u2", "<u4"), ("<u2", "<u4"), 4096
+SENT, BACK = ("<u8", "<u4", "<u2", "<u4"), ("<f4", "<u8")
 CELLS = "bucket long, words binary, lens binary, contexts binary, counts binary, seats array<binary>, totals binary"
 _CELLS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("words", "lens", "contexts", "counts")), ("seats", pa.list_(pa.binary())), ("totals", pa.binary())])
 # places of the shared totals: customers and tables of all restaurants by level, cells with one and two customers by level, tokens, words
@@ -118,7 +118,7 @@ class _Restaurants:
 
     def __init__(self, row: dict):
         lens = unzip(row["lens"], "<u4")
-        self.words, self.u2, self.c2 = unzip(row["words"], "<u8"), unzip(row["contexts"], "<u2").astype(np.int64), unzip(row["counts"], "<u4").astype(np.int64)
+        self.words, self.u2, self.c2 = unzip(row["words"], "<u8"), unzip(row["contexts"], "<u2").astype(np.int64), unzip(row["counts"], "<u8").astype(np.int64)
         self.word = np.repeat(np.arange(len(lens)), lens)
         parent = self.u2 // (CONTEXTS // PARENTS)
         new = np.ones(len(parent), bool)  # cells are in order of word and context, so a parent's cells stand together
@@ -198,11 +198,11 @@ class _Shared:
 
 
 def _zipped(seats: tuple) -> bytes:
-    return zip_(np.concatenate(seats).astype("<u4"))
+    return zip_(np.concatenate(seats).astype("<u8"))
 
 
 def _seats(x: bytes, rest: _Restaurants) -> tuple:
-    return tuple(np.split(unzip(x, "<u4").astype(np.int64), np.cumsum([len(rest.c2), len(rest.u1)])))
+    return tuple(np.split(unzip(x, "<u8").astype(np.int64), np.cumsum([len(rest.c2), len(rest.u1)])))
 
 
 def _summed(cells: DataFrame) -> np.ndarray:
@@ -272,7 +272,7 @@ def score_documents(
         words, of = np.unique(s.columns[0], return_inverse=True)
         cells, at = np.unique(np.repeat(of, s.columns[1]) * CONTEXTS + s.columns[2], return_inverse=True)
         row = {"bucket": table.column("to")[0].as_py(), "words": zip_(words), "lens": zip_(np.bincount(cells // CONTEXTS, minlength=len(words)).astype("<u4")),
-               "contexts": zip_((cells % CONTEXTS).astype("<u2")), "counts": zip_(np.bincount(at, s.columns[3], len(cells)).astype("<u4"))}
+               "contexts": zip_((cells % CONTEXTS).astype("<u2")), "counts": zip_(np.bincount(at, s.columns[3], len(cells)).astype("<u8"))}
         rest = _Restaurants(row)
         row |= {"seats": [_zipped(rest.first())], "totals": zip_(rest.totals(rest.first()))}
         return pa.Table.from_pylist([row], schema=_CELLS)
@@ -285,7 +285,7 @@ def score_documents(
         s, row = Segments.read(sent, SENT), known.to_pylist()[0]
         rest = _Restaurants(row)
         mean = sum(rest.predictive(_seats(x, rest), state)[0] for x, state in zip(row["seats"], states)) / len(states)
-        logs = np.minimum(np.rint(-SCALE * np.log10(mean)), 65535).astype(BACK[0])
+        logs = np.log10(mean).astype(BACK[0])
         of = np.searchsorted(rest.words, s.columns[0])
         cell = np.searchsorted(rest.word * CONTEXTS + rest.u2, np.repeat(of, s.columns[1]) * CONTEXTS + s.columns[2])
         back = Segments(s.pages, s.buckets, s.lens[:, [2, 0]], [logs[cell], rest.seen[of].astype(BACK[1])])
@@ -299,7 +299,7 @@ def score_documents(
         s = s.taken(np.argsort(s.buckets, kind="stable"))
         for rows in left.column("rows").to_pylist():
             p = _Tokens(rows, ways.buckets)
-            logs, seen = s.columns[0] / -SCALE, s.columns[1].astype(np.float64)[p.token_word]
+            logs, seen = s.columns[0].astype(np.float64), s.columns[1].astype(np.float64)[p.token_word]
             n = len(p.n)
             score = np.bincount(p.doc, logs[p.of], n)
             plain = np.bincount(p.doc, np.log10((seen + 1) / (n_train + n_words + 1)), n)
