@@ -1,9 +1,9 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates.
 
 A text block is `block` consecutive words, starting every block // 2 words, so a statement of up to
-block // 2 + 1 words lies whole inside one block. A block matches a template when it holds at least
-`threshold` of the template's distinct words; a template of fewer than `strict` distinct words must be
-held whole, since one word in so few tells two licences apart. The join is exact: words are ordered by how many
+block // 2 + 1 words lies whole inside one block. A block matches a template when it holds at least the template's own share of its distinct words:
+each template states how much of it a statement must hold, since in a short one a single word tells two licences
+apart. The join is exact: words are ordered by how many
 documents of the whole input hold them, rarest first; a matching block must hold one of a template's
 first |T| - need + 1 words (prefix filter), need template words at least (length filter), and enough
 words after the first shared one (positional filter). What passes is verified on the full sets.
@@ -34,20 +34,20 @@ PHRASES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
-# Opening statements of public licences and their labels.
+# Opening statements of public licences, their labels, and the share of its words that a statement must hold.
 TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache", "licensed under the apache license version 2 0", 1.0),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", 0.85),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.85),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", 0.85),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 1.0),
+    ("cc-by-sa", "licensed under cc by sa 4 0", 1.0),
+    ("gpl", "this work is licensed under the gnu general public license version 3", 0.85),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 0.85),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.85),
+    ("mit", "released under the mit license", 1.0),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.85),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.85),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -93,18 +93,16 @@ def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = 0.85,
     block: int = 64,
-    strict: int = 10,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str, float]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES,
 ) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best template's containment)."""
     step = block // 2
-    sets = [(label, sorted(set(t.split()))) for label, t in templates]
-    if too_long := [t for _, t in templates if len(t.split()) > step + 1]:
+    sets = [(label, sorted(set(t.split())), share) for label, t, share in templates]
+    if too_long := [t for _, t, _ in templates if len(t.split()) > step + 1]:
         raise ValueError(f"templates longer than {step + 1} words need a larger block: {too_long}")
-    known = sorted({w for _, ws in sets for w in ws})
+    known = sorted({w for _, ws, _ in sets for w in ws})
     keyed = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     words = keyed.select("_id", "_key", words_of(F.col("_text")).alias("_words"))
 
@@ -112,9 +110,9 @@ def scan_licenses(
     order = sorted(known, key=lambda w: (seen.get(w, 0), w))  # rarest first over the whole input
     rank = {w: i for i, w in enumerate(order)}
     prefixes, sizes = [], []
-    for t, (label, ws) in enumerate(sets):
+    for t, (label, ws, share) in enumerate(sets):
         ranks = sorted(rank[w] for w in ws)
-        need = len(ranks) if len(ranks) < strict else math.ceil(threshold * len(ranks) - 1e-9)
+        need = math.ceil(share * len(ranks) - 1e-9)
         sizes.append((t, label, ranks, need))
         prefixes += [(r, t, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     spark = docs.sparkSession

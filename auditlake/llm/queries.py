@@ -63,7 +63,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (label, t) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r}, {share})" for i, (label, t, share) in enumerate(TEMPLATES))
     cases = " UNION ALL ".join(
         f"SELECT doc_id, p, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM words) WHERE "
         + " AND ".join(f"w[p + {k + 1}] = '{part}'" for k, part in enumerate(phrase.split()))
@@ -74,16 +74,16 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), places AS ({cases}),
-templates(t, label, tw) AS (VALUES {templates}),
+templates(t, label, tw, share) AS (VALUES {templates}),
 known AS (SELECT list(DISTINCT x) AS ws FROM (SELECT unnest(tw) AS x FROM templates)),
 blocks AS (
   SELECT doc_id, list_intersect(w[s * 32 + 1 : s * 32 + 64], known.ws) AS b
   FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0) // 32 + 1)) AS s FROM words), known
 ), matched AS (
-  SELECT doc_id, label, len(list_intersect(b, tw)) AS shared, len(tw) AS n FROM blocks, templates
-  WHERE len(b) >= CASE WHEN len(tw) < 10 THEN len(tw) ELSE ceil(0.85 * len(tw) - 1e-9) END
+  SELECT doc_id, label, len(list_intersect(b, tw)) AS shared, len(tw) AS n, share FROM blocks, templates
+  WHERE len(b) >= ceil(share * len(tw) - 1e-9)
 ), labelled AS (
-  SELECT doc_id, label, shared / n AS score FROM matched WHERE shared >= CASE WHEN n < 10 THEN n ELSE ceil(0.85 * n - 1e-9) END
+  SELECT doc_id, label, shared / n AS score FROM matched WHERE shared >= ceil(share * n - 1e-9)
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id

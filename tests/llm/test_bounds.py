@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditlake.llm import near_dedup, toxicity
+from auditlake.llm import license_scan, lm_score, near_dedup, toxicity
+from auditlake.llm._exchange import zip_
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -84,3 +85,19 @@ def test_scores_with_an_id_of_many_rows(spark):
     assert got.count() == 368 and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     assert got.where(F.col("doc_id") == 1).select("score").distinct().count() == 1
+
+
+def test_counts_and_seats_beyond_32_bits():
+    row = {"bucket": 1, "words": zip_(np.array([7, 9], "<u8")), "lens": zip_(np.array([2, 1], "<u4")), "contexts": zip_(np.array([3, 5, 3], "<u2")), "counts": zip_(np.array([6 * 10**9, 2, 1], "<u8"))}
+    rest = lm_score._Restaurants(row)
+    assert rest.c2.tolist() == [6 * 10**9, 2, 1] and rest.seen.tolist() == [6 * 10**9 + 2, 1]
+    seats = (np.array([5 * 10**9, 2, 1]), *(np.full(len(x), 5 * 10**9) for x in rest.first()[1:]))
+    assert [x.tolist() for x in lm_score._seats(lm_score._zipped(seats), rest)] == [x.tolist() for x in seats]
+    assert rest.totals(rest.first()).sum() > 6 * 10**9
+
+
+def test_each_template_states_its_share(spark):
+    templates = (("short", "one two three four", 1.0), ("loose", "aa bb cc dd ee ff gg hh ii jj", 0.5), ("tight", "aa bb cc dd kk ll mm nn oo pp", 0.9))
+    rows = [(1, "one two three"), (2, "x one two three four y"), (3, "aa bb cc dd ee"), (4, "aa bb cc dd"), (5, "aa bb cc dd kk ll mm nn oo"), (6, "aa bb cc dd kk ll mm nn")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates, phrases=()).collect()}
+    assert got == {1: ("", 0.0), 2: ("short", 1.0), 3: ("loose", 0.5), 4: ("", 0.0), 5: ("tight", 0.9), 6: ("", 0.0)}

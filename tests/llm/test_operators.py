@@ -114,13 +114,13 @@ def test_license_scan(docs, empty):
 
 
 def test_license_scan_tells_short_statements_apart(spark):
-    df = spark.createDataFrame(list(enumerate(t for _, t in license_scan.TEMPLATES)) + [(90, "licensed under the eclipse license version 2 0")], "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(t for _, t, _ in license_scan.TEMPLATES)) + [(90, "licensed under the eclipse license version 2 0")], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df, phrases=()).collect()}
-    assert [got[i] for i in range(len(license_scan.TEMPLATES))] == [label for label, _ in license_scan.TEMPLATES] and got[90] == ""
+    assert [got[i] for i in range(len(license_scan.TEMPLATES))] == [label for label, _, _ in license_scan.TEMPLATES] and got[90] == ""
 
 
 def test_license_scan_finds_a_statement_anywhere(spark):
-    label, statement = license_scan.TEMPLATES[1]
+    label, statement, _ = license_scan.TEMPLATES[1]
     rows = [(n, " ".join(["word"] * n + statement.split()[:-1] + ["word"] * (200 - n))) for n in range(0, 200, 7)]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where(F.col("labels") != label).count() == 0
