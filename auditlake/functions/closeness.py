@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +32,23 @@ def closeness_4(a: Column, b: Column, corr: Column) -> Column:
 
 
 REGISTRY = {f.__name__: f for f in (closeness_1, closeness_2, closeness_3, closeness_4)}
+
+
+def _relative_array(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - np.abs(a - b) / np.maximum(a, b)
+
+
+def _ratio_array(a: np.ndarray, b: np.ndarray, corr: np.ndarray) -> np.ndarray:
+    ratio = b / (a + TINY)
+    with np.errstate(divide="ignore"):
+        return np.where(ratio > 1, 1 / ratio, ratio)
+
+
+#: The same for arrays of pairs in a batch; a value that isn't a number is no evidence.
+NUMPY = {
+    "closeness_1": lambda a, b, corr: _relative_array(a, b),
+    "closeness_2": _ratio_array,
+    "closeness_3": lambda a, b, corr: _relative_array(a, np.where(corr >= 0, b, 1 - b)),
+    "closeness_4": lambda a, b, corr: 1 - np.abs(corr * a + 0.5 - corr / 2 - b),
+}

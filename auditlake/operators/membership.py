@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.activation import activate, activate_from_logits, sigmoid
-from auditlake.functions.closeness import closeness_1
+from auditlake.functions.closeness import NUMPY
 from auditlake.functions.distributions import zinb_cdf, zinb_log_pmf
 
 EPS = 1e-4
@@ -71,21 +73,34 @@ def precision_tables(corr: DataFrame, by: str, how: str = "pinv") -> DataFrame:
     return corr.select(by, "gi", "gj", "r").groupBy(by).applyInPandas(invert, f"`{by}` {dict(corr.dtypes)[by]}, p array<double>")
 
 
-def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000) -> DataFrame:
-    """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many; null for a type without one."""
-    parts = deltas.groupBy(type_col).agg(F.ceil(F.count("*") / cells).cast("int").alias("_parts"))
-    dealt = deltas.join(F.broadcast(parts), type_col).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
-    spread = precision.join(F.broadcast(parts), type_col).select(type_col, "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)).alias("_part"))
-    rest = [f for f in deltas.schema.fields if f.name != "delta"]
+def _by_parts(rows: DataFrame, tables: DataFrame, key: str, type_col: str, cells: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt into parts of about so many of a type, and each type's table copied to its parts."""
+    parts = rows.groupBy(type_col).agg(F.ceil(F.count("*") / cells).cast("int").alias("_parts"))
+    dealt = rows.join(F.broadcast(parts), type_col).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
+    spread = tables.join(F.broadcast(parts), type_col).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1))).drop("_parts")
+    return dealt, spread
 
-    def run(left, right):
-        d, p = np.stack(left["delta"].to_list()) if len(left) else np.zeros((0, 0)), None
-        if len(right) and len(left):
-            p = np.asarray(right["p"].iloc[0]).reshape(d.shape[1], -1)
-        out = np.full(len(left), np.nan) if p is None else np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, p, d, optimize=True), 0))
-        return left[[f.name for f in rest]].assign(d=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", d double"
+def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000, sides: Mapping[str, str] | None = None) -> DataFrame:
+    """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many; null for a type without one.
+
+    sides: array columns of differences and the distances they become, {'delta': 'd'} unless stated.
+    """
+    sides = dict(sides or {"delta": "d"})
+    dealt, spread = _by_parts(deltas, precision.select(type_col, "p"), key, type_col, cells)
+    rest = [f for f in deltas.schema.fields if f.name not in sides]
+
+    def run(left, right):
+        out = left[[f.name for f in rest]].copy()
+        for column, name in sides.items():
+            out[name] = np.nan
+            if len(right) and len(left):
+                d = np.stack(left[column].to_list())
+                p = np.asarray(right["p"].iloc[0]).reshape(d.shape[1], -1)
+                out[name] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, p, d, optimize=True), 0))
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + "".join(f", {name} double" for name in sides.values())
     return dealt.groupBy(type_col, "_part").cogroup(spread.groupBy(type_col, "_part")).applyInPandas(run, schema)
 
 
@@ -105,6 +120,78 @@ def evidence(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return grouped.withColumn("diag", 0.5 * (F.log(F.greatest("_da", F.lit(1e-300))) - F.log(F.greatest("_ds", F.lit(1e-300))))).drop("_ds", "_da")
 
 
+def cell_evidence(rows: DataFrame, keys: list[str], by: list[str], primary: Column | None = None) -> DataFrame:
+    """All that the scores need of a cell, in one grouping: `evidence`'s columns and, in order of gene, delta_s and delta_a.
+
+    With primary, differences of other genes are zero, so distances are those of the primary genes, and the evidence of
+    the others alone comes as well: llr_secondary, log_s_secondary, off_s_secondary, off_a_secondary, n_secondary.
+    """
+    inside = F.lit(True) if primary is None else primary
+    listed = F.array_sort(F.collect_list(F.struct("gene", *(F.when(inside, F.col(f"u_{s}") - F.col(f"c_{s}")).otherwise(0.0).alias(s) for s in "sa"))))
+    off = lambda s: F.pow(F.col(f"u_{s}") - 0.5, 2) * 12
+    sums = {"llr": F.col("l_s") - F.col("l_a"), "log_s": F.col("l_s"), "off_s": off("s"), "off_a": off("a"), "n_genes": F.lit(1).cast("long")}
+    found = [F.sum(x).alias(name) for name, x in sums.items()]
+    if primary is not None:
+        found += [F.coalesce(F.sum(F.when(~primary, x)), F.lit(0)).alias(f"{'n' if name == 'n_genes' else name}_secondary") for name, x in sums.items()]
+    grouped = rows.groupBy(*keys, *by).agg(*found, listed.alias("_g"))
+    low = F.lit(1e-300)
+    return grouped.withColumns(
+        {
+            "diag": 0.5 * (F.log(F.greatest("off_a", low)) - F.log(F.greatest("off_s", low))),
+            "delta_s": F.transform("_g", lambda g: g["s"]),
+            "delta_a": F.transform("_g", lambda g: g["a"]),
+        }
+    ).drop("_g")
+
+
+# The ablation's variants, as name, gene set, kind of evidence and weight (null: one over the root of the number of genes).
+VARIANTS = (
+    ("baseline", "secondary", "llr", 0.0),
+    ("llr_sec_g0.01", "secondary", "llr", 0.01),
+    ("llr_sec_g0.05", "secondary", "llr", 0.05),
+    ("llr_sec_g0.1", "secondary", "llr", 0.1),
+    ("llr_sec_g0.2", "secondary", "llr", 0.2),
+    ("llr_sec_g0.3", "secondary", "llr", 0.3),
+    ("llr_sec_g0.5", "secondary", "llr", 0.5),
+    ("llr_sec_g1.0", "secondary", "llr", 1.0),
+    ("llr_sec_g2.0", "secondary", "llr", 2.0),
+    ("llr_sec_auto", "secondary", "llr", None),
+    ("llr_all_g0.1", "all", "llr", 0.1),
+    ("llr_all_g0.3", "all", "llr", 0.3),
+    ("llr_all_auto", "all", "llr", None),
+    ("diag_sec_g0.1", "secondary", "diag_mahal", 0.1),
+    ("diag_sec_g0.3", "secondary", "diag_mahal", 0.3),
+    ("diag_sec_auto", "secondary", "diag_mahal", None),
+    ("diag_all_g0.1", "all", "diag_mahal", 0.1),
+    ("diag_all_auto", "all", "diag_mahal", None),
+)
+
+
+def ablation_logits(cells: DataFrame, keys: list[str], variants=VARIANTS, eps: float = EPS) -> DataFrame:
+    """(keys, variant, aux, noaux) of every variant of a cell, from its distances d_s, d_a and `cell_evidence` with primary genes."""
+    kinds = "array<struct<variant:string,genes:string,kind:string,gamma:double>>"
+    listed = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(g).alias("genes"), F.lit(k).alias("kind"), F.lit(w).cast("double").alias("gamma")) for v, g, k, w in variants)).cast(kinds)
+    x = cells.withColumn("v", F.explode(listed))
+    of = lambda name, own: F.when(F.col("v.genes") == "all", F.col(own)).otherwise(F.col(f"{name}_secondary"))
+    n, off_s, off_a = of("n", "n_genes"), F.sqrt(of("off_s", "off_s")), F.sqrt(of("off_a", "off_a"))
+    gamma = F.when(n > 0, F.coalesce("v.gamma", 1 / F.sqrt(n))).otherwise(0.0)
+    ratio = F.col("v.kind") == "llr"
+    with_aux = F.when(ratio, of("llr", "llr")).otherwise(F.log(off_a + eps) - F.log(off_s + eps))
+    alone = F.when(ratio, of("log_s", "log_s")).otherwise(-F.log(off_s + eps))
+    return x.select(
+        *keys, F.col("v.variant").alias("variant"),
+        finite_or_zero(F.log(F.col("d_a") + eps) - F.log(F.col("d_s") + eps) + gamma * with_aux).alias("aux"),
+        finite_or_zero(-F.log(F.col("d_s") + eps) + gamma * alone).alias("noaux"),
+    )
+
+
+def ablation_scores(logits: DataFrame) -> DataFrame:
+    """(variant, side, donor_id, score, member, n_cells): each variant's and side's scores activated over all cells, and their mean by donor."""
+    long = logits.select("donor_id", "member", "variant", F.explode(F.array(F.struct(F.lit("aux").alias("side"), F.col("aux").alias("x")), F.struct(F.lit("noaux").alias("side"), F.col("noaux").alias("x")))).alias("s"))
+    flat = long.select("donor_id", "member", "variant", "s.side", "s.x")
+    return donor_scores(activate_from_logits(flat, F.col("x"), "activated", ["variant", "side"]), "activated", ("variant", "side"))
+
+
 def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
@@ -135,20 +222,42 @@ def to_long(quad: DataFrame, keys: list[str], codes: dict[str, str]) -> DataFram
     return quad.unpivot(keys, list(codes), "attack", "score").withColumn("tm", F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("attack")])
 
 
-def pairwise_score(rows: DataFrame, corr: DataFrame, by: list[str], keys: list[str], closeness=closeness_1, importance: float = 0.17, eps: float = EPS) -> DataFrame:
-    """Sum over pairs of weight * close_s / (close_a + eps), and over genes of importance * the centrality ratio.
+def pairwise_score(rows: DataFrame, corr: DataFrame, by: str, keys: list[str], closeness: str = "closeness_1", importance: float = 0.17, eps: float = EPS, cells: int = 20_000) -> DataFrame:
+    """Sum over pairs of genes of weight * close_s / (close_a + eps), and over genes of importance * the centrality ratio.
 
-    corr: (by, gi, gj, r_s, r_a), gi < gj. Pairs are made within a cell's row.
+    corr: (by, gi, gj, r_s, r_a), gi < gj, a pair's rows once. A cell is one row of arrays; its pairs are met in numpy, a few cells at a
+    time, with the correlations of its type, so pairs never become rows of cells. A pair without correlations doesn't count.
     """
-    cells = rows.groupBy(*keys, *by).agg(F.array_sort(F.collect_list(F.struct("gene", "u_s", "u_a"))).alias("g"))
-    pairs = cells.select(*keys, *by, "g", F.posexplode("g").alias("i", "p")).select(*keys, *by, "p", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("q"))
-    pairs = pairs.withColumns({"gi": F.col("p.gene"), "gj": F.col("q.gene")}).join(corr, [*by, "gi", "gj"])
-    close = lambda s: closeness(F.col(f"p.u_{s}"), F.col(f"q.u_{s}"), F.col(f"r_{s}"))
-    term = (F.abs("r_s") + F.abs("r_a")) / 2 * F.try_divide(close("s"), close("a") + eps)
-    of_pairs = pairs.groupBy(*keys, *by).agg(F.sum(term).alias("_p"))
-    central = 1 - 2 * F.abs(F.col("u_s") - 0.5)  # both sides by the synthetic model's map, as the original has it
-    of_genes = rows.groupBy(*keys, *by).agg(F.sum(importance * central / (central + eps)).alias("_g"))
-    return of_genes.join(of_pairs, [*keys, *by], "left").withColumn("score", F.coalesce("_p", F.lit(0.0)) + F.col("_g")).drop("_p", "_g")
+    wide = rows.groupBy(*keys, by).agg(F.array_sort(F.collect_list(F.struct("gene", "u_s", "u_a"))).alias("g"))
+    wide = wide.select(*keys, by, *(F.col(f"g.{c}").alias(c) for c in ("gene", "u_s", "u_a")))
+    table = corr.groupBy(by).agg(*(F.collect_list(c).alias(c) for c in ("gi", "gj", "r_s", "r_a")))  # pairs of genes of a type
+    dealt, spread = _by_parts(wide, table, keys[0], by, cells)
+    close, names = NUMPY[closeness], [*keys, by]
+
+    def run(left, right):
+        out = left[names].assign(score=0.0)
+        if not len(left):
+            return out
+        pairs = {c: np.asarray(right[c].iloc[0]) if len(right) else np.zeros(0) for c in ("gi", "gj", "r_s", "r_a")}
+        score = np.zeros(len(left))
+        genes = left["gene"].map(tuple)
+        for at in genes.groupby(genes, sort=False).indices.values():
+            mine = {g: i for i, g in enumerate(genes.iloc[at[0]])}
+            keep = np.array([i in mine and j in mine for i, j in zip(pairs["gi"], pairs["gj"])], bool)
+            i, j = (np.array([mine[g] for g in pairs[c][keep]], int) for c in ("gi", "gj"))
+            r_s, r_a = pairs["r_s"][keep], pairs["r_a"][keep]
+            weight = (np.abs(r_s) + np.abs(r_a)) / 2
+            for lo in range(0, len(at), 64):
+                few = at[lo : lo + 64]
+                u_s, u_a = (np.stack(left[c].iloc[few].to_list()) for c in ("u_s", "u_a"))
+                of_pairs = weight * close(u_s[:, i], u_s[:, j], r_s) / (close(u_a[:, i], u_a[:, j], r_a) + eps)
+                central = 1 - 2 * np.abs(u_s - 0.5)  # both sides by the synthetic model's map, as the original has it
+                score[few] = np.nansum(of_pairs, axis=1) + (importance * central / (central + eps)).sum(axis=1)
+        return out.assign(score=score)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double"
+    return dealt.groupBy(by, "_part").cogroup(spread.groupBy(by, "_part")).applyInPandas(run, schema)
 
 
 def drop_broken_groups(scores: DataFrame, group: str, score: str) -> DataFrame:

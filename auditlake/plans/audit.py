@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.functions import closeness, strings
 from auditlake.functions.activation import activate, activate_from_logits
 from auditlake.operators import marginals, membership, metrics, reports
 from auditlake.plans.registry import query
+from auditlake.sources.scratch import stored
 from auditlake.sources.tables import table
 from auditlake.sources.views import CELLS_SQL, DENSE_SQL, GENES, cells, dense, expr, profile
 
@@ -95,21 +96,23 @@ _DISTANCES_SQL = f"""{_CDF_SQL}, dist AS (SELECT i.cell_id, any_value(i.donor_id
   FROM cdf i JOIN cdf j ON i.cell_id = j.cell_id GROUP BY 1)"""
 
 
-def _precision(spark):
-    types = spark.createDataFrame([(t,) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "cell_type string")
-    pairs = spark.createDataFrame([(i, j, 1.2 if i == j else 0.3 ** abs(i - j)) for i in range(GENES) for j in range(GENES)], "gi int, gj int, p double")
-    return types.crossJoin(pairs)  # 5 types, genes squared
+def _precision(spark, sf_dir):
+    """(cell_type, p) of every type that has cells, the matrix row by row."""
+    at = F.sequence(F.lit(0), F.lit(GENES - 1))
+    row = lambda i: F.transform(at, lambda j: F.when(i == j, 1.2).otherwise(F.pow(F.lit(0.3), F.abs(i - j))))
+    return cells(spark, sf_dir).select("cell_type").distinct().withColumn("p", F.flatten(F.transform(at, row)))
 
 
-def _distances(spark, sf_dir):
-    rows, p = _mapped(spark, sf_dir), _precision(spark)
-    d_s, d_a = (membership.quadratic_distances(rows, p, BY, KEYS, s) for s in "sa")
-    return d_s.join(d_a, [*KEYS, *BY])
+def _scored(spark, sf_dir, primary=None):
+    """A row a cell: its evidence and both distances, from one grouping of its genes."""
+    rows = _mapped(spark, sf_dir) if primary is None else _mapped(spark, sf_dir).join(primary, [*BY, "gene"])
+    e = membership.cell_evidence(rows, KEYS, BY, None if primary is None else F.col("is_primary"))
+    return membership.fitted_distances(e, _precision(spark, sf_dir), "cell_id", sides={"delta_s": "d_s", "delta_a": "d_a"})
 
 
 @query(f"WITH {_MODEL_SQL}, {_DISTANCES_SQL} SELECT cell_id, round(d_s, 6) AS d_s, round(d_a, 6) AS d_a, round(CASE WHEN d_s + d_a = 0 THEN 0.5 ELSE d_a / (d_s + d_a) END, 6) AS with_aux, round(1 / (d_s + 1e-4), 6) AS alone FROM dist")
 def mahalanobis_both(spark, sf_dir):
-    d = _distances(spark, sf_dir)
+    d = _scored(spark, sf_dir)
     s, a = F.col("d_s"), F.col("d_a")
     return d.select("cell_id", F.round(s, 6).alias("d_s"), F.round(a, 6).alias("d_a"), F.round(membership.distance_ratio(s, a), 6).alias("with_aux"), F.round(membership.closeness_only(s), 6).alias("alone"))
 
@@ -131,8 +134,7 @@ quad AS (SELECT cell_id, donor_id, cell_type, member, CASE WHEN d_s + d_a = 0 TH
 
 
 def _quad(spark, sf_dir):
-    e = membership.evidence(_mapped(spark, sf_dir), KEYS, BY)
-    return membership.quad_logits(_distances(spark, sf_dir).join(e, [*KEYS, *BY]))
+    return membership.quad_logits(_scored(spark, sf_dir))
 
 
 CODES = {"standard_aux": "100", "standard_alone": "110", "b_aux": "101", "b_alone": "111"}
@@ -181,7 +183,7 @@ SELECT cell_id, round(coalesce(p, 0) + g, 6) AS score FROM own LEFT JOIN pairs U
 def pairwise_score(spark, sf_dir):
     pairs = [(t, i, j, 0.8 ** (j - i), 0.7 ** (j - i)) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for i in range(GENES) for j in range(i + 1, GENES)]
     corr = spark.createDataFrame(pairs, "cell_type string, gi int, gj int, r_s double, r_a double")
-    return membership.pairwise_score(_mapped(spark, sf_dir), corr, BY, KEYS).select("cell_id", F.round("score", 6).alias("score"))
+    return membership.pairwise_score(_mapped(spark, sf_dir), corr, "cell_type", KEYS).select("cell_id", F.round("score", 6).alias("score"))
 
 
 _CLOSE_SQL = """WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount + 0.01 AS a, l_tax + 0.01 AS b, l_quantity / 25 - 1 AS c FROM lineitem)"""
@@ -246,10 +248,46 @@ def threat_models(spark, sf_dir):
     return trials.withColumn("label", strings.threat_label(F.col("code")))
 
 
+# The 16 genes of a type that most training cells have are primary: distances are theirs.
+_PRIMARY = """zc AS (SELECT cell_type, gene, count(*) FILTER (WHERE cnt = 0) AS zeros FROM dense WHERE role = 0 GROUP BY cell_type, gene),
+pr AS (SELECT cell_type, gene, row_number() OVER (PARTITION BY cell_type ORDER BY zeros, gene) <= 16 AS is_primary FROM zc)"""
+
+
+def _primary(spark, sf_dir):
+    zeros = dense(spark, sf_dir).where("role = 0").groupBy(*BY, "gene").agg(F.count_if(F.col("cnt") == 0).alias("zeros"))
+    w = Window.partitionBy(*BY).orderBy("zeros", "gene")  # genes of a type
+    return zeros.select(*BY, "gene", (F.row_number().over(w) <= 16).alias("is_primary"))
+
+
+_VARIANTS_SQL = ", ".join(f"('{v}', '{g}', '{k}', {'NULL' if w is None else w}::DOUBLE)" for v, g, k, w in membership.VARIANTS)
+
+
+@query(f"""WITH {_MODEL_SQL}, {_CDF_SQL}, {_PRIMARY}, x AS (SELECT cdf.*, is_primary, cnt * ln(mu_s) - mu_s - lgamma(cnt + 1) AS l_s, cnt * ln(mu_a) - mu_a - lgamma(cnt + 1) AS l_a FROM cdf JOIN pr USING (cell_type, gene)),
+d AS (SELECT i.cell_id, sqrt(greatest(sum((i.u_s - i.c_s) * {_PRECISION} * (j.u_s - j.c_s)), 0)) AS d_s, sqrt(greatest(sum((i.u_a - i.c_a) * {_PRECISION} * (j.u_a - j.c_a)), 0)) AS d_a FROM x i JOIN x j ON i.cell_id = j.cell_id AND i.is_primary AND j.is_primary GROUP BY 1),
+e AS (SELECT cell_id, any_value(donor_id) AS donor_id, any_value(member) AS member, g.genes, sum(l_s - l_a) AS llr, sum(l_s) AS log_s, sqrt(12 * sum((u_s - 0.5) ** 2)) AS off_s, sqrt(12 * sum((u_a - 0.5) ** 2)) AS off_a, count(*) AS n
+  FROM x, (VALUES ('secondary'), ('all')) g(genes) WHERE g.genes = 'all' OR NOT is_primary GROUP BY cell_id, g.genes),
+v AS (SELECT * FROM (VALUES {_VARIANTS_SQL}) t(variant, genes, kind, gamma)),
+l AS (SELECT variant, donor_id, member, ln(d_a + 1e-4) - ln(d_s + 1e-4) + coalesce(gamma, 1 / sqrt(n)) * CASE kind WHEN 'llr' THEN llr ELSE ln(off_a + 1e-4) - ln(off_s + 1e-4) END AS aux,
+  -ln(d_s + 1e-4) + coalesce(gamma, 1 / sqrt(n)) * CASE kind WHEN 'llr' THEN log_s ELSE -ln(off_s + 1e-4) END AS noaux FROM e JOIN v USING (genes) JOIN d USING (cell_id)),
+s AS (SELECT variant, side, donor_id, member, x FROM l UNPIVOT (x FOR side IN (aux, noaux))),
+z AS (SELECT *, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS z FROM s WINDOW w AS (PARTITION BY variant, side)),
+a AS (SELECT *, 1 / (1 + exp(-(z - median(z) OVER (PARTITION BY variant, side)))) AS a FROM z),
+o AS (SELECT variant, side, donor_id, round(avg(a), 9) AS score, max(member) AS member, count(*) AS n FROM a GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY variant, side ORDER BY score) + (count(*) OVER (PARTITION BY variant, side, score) - 1) / 2 AS r FROM o)
+SELECT variant, side, round((sum(r) FILTER (WHERE member = 1) - sum(member) * (sum(member) + 1) / 2) / (sum(member) * sum(1 - member)), 6) AS auc, sum(n)::BIGINT AS n_cells FROM r GROUP BY ALL""")
+def ablation_variants(spark, sf_dir):
+    """Donor AUC of all eighteen variants with and without auxiliary evidence, from one grouping of each cell's genes."""
+    donors = membership.ablation_scores(membership.ablation_logits(_scored(spark, sf_dir, _primary(spark, sf_dir)), KEYS)).withColumn("score", F.round("score", 9))
+    donors = stored(donors)
+    sizes = donors.groupBy("variant", "side").agg(F.sum("n_cells").alias("n_cells"))
+    auc = metrics.roc_auc(donors, "member", "score", ["variant", "side"]).select("variant", "side", F.round("auc", 6).alias("auc"))
+    return auc.join(sizes, ["variant", "side"])
+
+
 @query()
 def ablation_grid(spark, sf_dir):
     """AUC of every weight of the evidence, from one pass over the cells' distances and ratios."""
-    q = membership.evidence(_mapped(spark, sf_dir), KEYS, BY).join(_distances(spark, sf_dir), [*KEYS, *BY])
+    q = _scored(spark, sf_dir)
     gammas = F.explode(F.array(*(F.lit(float(g)) for g in (0, 0.1, 0.25, 0.5, 1, 2))))
     logit = F.log(F.col("d_a") + 1e-4) - F.log(F.col("d_s") + 1e-4) + F.col("gamma") * F.col("llr")
     donors = membership.donor_scores(q.withColumn("gamma", gammas).withColumn("x", logit), "x", ("gamma",))
