@@ -82,10 +82,15 @@ class FactorModel:
         rows = [(k, [float(x) for x in r]) for k, r in enumerate(self.basis)]
         spark.createDataFrame(rows, "component int, basis array<double>").withColumn("objective", F.lit(json.dumps(self.objective))).write.mode("overwrite").parquet(path)
 
+    @classmethod
+    def of(cls, rows: DataFrame) -> FactorModel:
+        """From a table of component and basis."""
+        return cls(np.array([r["basis"] for r in rows.orderBy("component").collect()]))  # rank rows
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FactorModel:
-        rows = spark.read.parquet(path).orderBy("component").collect()  # rank rows
-        return cls(np.array([r["basis"] for r in rows]), json.loads(rows[0]["objective"]))
+        rows = spark.read.parquet(path)
+        return cls(cls.of(rows).basis, json.loads(rows.first()["objective"]))
 
 
 def fit_factors(rows: DataFrame, key: str, rank: int, passes: int = 10, batches: int = 1, forget: float = 0.7, seed: int = 1, vector: str = "v") -> FactorModel:
@@ -236,22 +241,29 @@ def draw_cells(spark: SparkSession, summaries: DataFrame, n: int, seed: int = 1,
     return spark.range(n).mapInPandas(draw, f"draw long, {by} {kind}, v array<double>")
 
 
-def draw_labels(train: DataFrame, drawn: DataFrame, key: str, label: str, trees: int = 100, seed: int = 1, vector: str = "w") -> DataFrame:
-    """drawn plus label, drawn at the class probabilities that a random forest of train's weights gives each row."""
+def fit_labels(train: DataFrame, label: str, trees: int = 100, seed: int = 1, vector: str = "w"):
+    """A pipeline model, names to numbers and a random forest, that gives class probabilities of weights."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
 
-    features = array_to_vector(F.col(vector)).alias("_f")
-    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
     forest = RandomForestClassifier(featuresCol="_f", labelCol="_y", probabilityCol="_p", predictionCol="_d", rawPredictionCol="_r", numTrees=trees, seed=seed)
-    model = forest.fit(indexer.transform(train.select(label, features)))
+    return Pipeline(stages=[names, forest]).fit(train.select(label, array_to_vector(F.col(vector)).alias("_f")))
+
+
+def draw_labels(model, drawn: DataFrame, key: str, label: str, seed: int = 1, vector: str = "w") -> DataFrame:
+    """drawn plus label, drawn at the class probabilities that a model of `fit_labels` gives each row."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    names, forest = model.stages
     u = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(7)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    scored = model.transform(drawn.select("*", features)).withColumn("_u", u).withColumn("_p", vector_to_array("_p"))
+    scored = forest.transform(drawn.select("*", array_to_vector(F.col(vector)).alias("_f"))).withColumn("_u", u).withColumn("_p", vector_to_array("_p"))
     upto = lambda i: F.aggregate(F.slice("_p", F.lit(1), i + 1), F.lit(0.0), lambda acc, p: acc + p)
     cut = F.get(F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: upto(i) > F.col("_u")), F.lit(0))
-    picked = scored.withColumn("_k", F.coalesce(cut, F.size("_p") - 1).cast("double"))
-    return IndexToString(inputCol="_k", outputCol=label, labels=indexer.labels).transform(picked).drop("_f", "_p", "_u", "_k", "_d", "_r")
+    named = F.element_at(F.array(*map(F.lit, names.labels)), F.coalesce(cut, F.size("_p") - 1) + 1)
+    return scored.withColumn(label, named).drop("_f", "_p", "_u", "_d", "_r")
 
 
 def frobenius_error(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

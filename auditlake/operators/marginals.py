@@ -197,30 +197,50 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(erf)(z / np.sqrt(2)))
 
 
-def sample_copula(marginals: DataFrame, corr: DataFrame, cells: DataFrame, by: str, batch: int = 2000, seed: int = 1) -> DataFrame:
-    """Synthetic counts (by, cell, gene, cnt) for cells (by, n): normal draws with the genes' correlation, through the marginals' quantiles.
+def copula_model(marginals: DataFrame, corr: DataFrame, by: str) -> DataFrame:
+    """(by, gene, pi, theta, mu, root) of each group: arrays in order of gene, and a factor of the genes' correlations, made once a group."""
+    listed = F.array_sort(F.collect_list(F.struct("gene", F.col("pi").cast("double").alias("pi"), F.col("theta").cast("double").alias("theta"), F.col("mu").cast("double").alias("mu"))))
+    model = marginals.groupBy(by).agg(listed.alias("m")).select(by, *(F.col(f"m.{c}").alias(c) for c in ("gene", "pi", "theta", "mu")))
+    pairs = corr.where("r is not null").groupBy(by).agg(F.collect_list(F.struct("gi", "gj", "r")).alias("c"))
+    whole = model.join(pairs, by, "left").select(by, "gene", "pi", "theta", "mu", F.col("c.gi").alias("gi"), F.col("c.gj").alias("gj"), F.col("c.r").alias("r"))
+
+    def factor(batches):
+        for pdf in batches:
+            roots = []
+            for gene, gi, gj, r in zip(*(pdf[c] for c in ("gene", "gi", "gj", "r"))):
+                at, m = {g: i for i, g in enumerate(gene)}, np.eye(len(gene))
+                for i, j, x in zip(gi, gj, r) if gi is not None else ():
+                    if i in at and j in at:
+                        m[at[i], at[j]] = m[at[j], at[i]] = x
+                roots.append(list(np.linalg.cholesky(to_correlation(project_psd(m)))))
+            yield pdf.drop(columns=["gi", "gj", "r"]).assign(root=roots)
+
+    kind = dict(marginals.dtypes)[by]
+    return whole.mapInPandas(factor, f"{by} {kind}, gene array<int>, pi array<double>, theta array<double>, mu array<double>, root array<array<double>>")
+
+
+def draw_copula(model: DataFrame, cells: DataFrame, by: str, batch: int = 2000, seed: int = 1) -> DataFrame:
+    """Synthetic counts (by, cell, gene, v) for cells (by, n), arrays in order of gene: normal draws with the genes' correlation, through the marginals' quantiles.
 
     Draws go in batches of a group, each its own task with its own seed; genes without correlations are independent.
     """
-    model = marginals.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("gene", "pi", "theta", "mu"))).alias("m"))
-    pairs = corr.where("r is not null").groupBy(by).agg(F.collect_list(F.struct("gi", "gj", "r")).alias("c"))
     batches = cells.where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / batch).cast("int"))))
-    jobs = batches.withColumn("k", F.least(F.lit(batch), F.col("n") - F.col("b") * batch)).join(model, by).join(pairs, by, "left")
+    jobs = batches.withColumn("k", F.least(F.lit(batch), F.col("n") - F.col("b") * batch)).join(model, by)
 
     def draw(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                at = {g["gene"]: i for i, g in enumerate(row.m)}
-                r = np.eye(len(at))
-                for p in row.c if row.c is not None else ():
-                    if p["gi"] in at and p["gj"] in at:
-                        r[at[p["gi"]], at[p["gj"]]] = r[at[p["gj"]], at[p["gi"]]] = p["r"]
-                rng = np.random.default_rng([seed, int(row.b), *str(getattr(row, by)).encode()])
-                z = rng.standard_normal((int(row.k), len(at))) @ np.linalg.cholesky(to_correlation(project_psd(r))).T
-                u = _normal_cdf(z)
-                for g, i in at.items():
-                    m = row.m[i]
-                    yield pd.DataFrame({by: getattr(row, by), "cell": np.arange(int(row.k)) + int(row.b) * batch, "gene": g, "cnt": _poisson_quantile(u[:, i], m["pi"], m["theta"], m["mu"])})
+                k, group = int(row.k), getattr(row, by)
+                rng = np.random.default_rng([seed, int(row.b), *str(group).encode()])
+                u = _normal_cdf(rng.standard_normal((k, len(row.gene))) @ np.stack(row.root).T)
+                x = np.column_stack([_poisson_quantile(u[:, i], *p) for i, p in enumerate(zip(row.pi, row.theta, row.mu))])
+                yield pd.DataFrame({by: [group] * k, "cell": np.arange(k) + int(row.b) * batch, "gene": [row.gene] * k, "v": list(x.astype(float))})
 
     kind = dict(cells.dtypes)[by]
-    return jobs.repartition(by, "b").mapInPandas(draw, f"{by} {kind}, cell long, gene int, cnt long")
+    return jobs.repartition(by, "b").mapInPandas(draw, f"{by} {kind}, cell long, gene array<int>, v array<double>")
+
+
+def sample_copula(marginals: DataFrame, corr: DataFrame, cells: DataFrame, by: str, batch: int = 2000, seed: int = 1) -> DataFrame:
+    """(by, cell, gene, cnt) for cells (by, n), from the model of the marginals and correlations."""
+    wide = draw_copula(copula_model(marginals, corr, by), cells, by, batch, seed)
+    return wide.select(by, "cell", F.explode(F.arrays_zip("gene", "v")).alias("x")).select(by, "cell", "x.gene", F.col("x.v").cast("long").alias("cnt"))

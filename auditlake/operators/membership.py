@@ -347,12 +347,14 @@ def mvn_model(rows: DataFrame, label: str) -> DataFrame:
 
 
 def mvn_groups(rows: DataFrame, label: str, noise: float, batch: int = 2000, seed: int = 1) -> DataFrame:
-    """(label, draw, v): as many synthetic vectors a label as it has rows, from its Gaussian plus noise times another draw.
+    """(label, draw, v): as many synthetic vectors a label as it has rows, from its Gaussian plus noise times another draw."""
+    return draw_mvn(mvn_model(rows, label), label, noise, batch, seed)
 
-    Draws go in batches of a label, each with its own seed.
-    """
+
+def draw_mvn(model: DataFrame, label: str, noise: float, batch: int = 2000, seed: int = 1) -> DataFrame:
+    """(label, draw, v) from a model of `mvn_model`. Draws go in batches of a label, each with its own seed."""
     batches = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / batch).cast("int"))).alias("b")
-    jobs = mvn_model(rows, label).select("*", batches)
+    jobs = model.select(label, "n", "mean", "root", batches)
 
     def draw(batches):
         for pdf in batches:
@@ -362,4 +364,4 @@ def mvn_groups(rows: DataFrame, label: str, noise: float, batch: int = 2000, see
                 x = mean + rng.standard_normal((k, len(mean))) @ root + noise * rng.standard_normal((k, len(mean))) @ root
                 yield pd.DataFrame({label: [key] * k, "draw": np.arange(k) + b * batch, "v": list(x)})
 
-    return jobs.repartition(label, "b").mapInPandas(draw, f"{label} {dict(rows.dtypes)[label]}, draw long, v array<double>")
+    return jobs.repartition(label, "b").mapInPandas(draw, f"{label} {dict(model.dtypes)[label]}, draw long, v array<double>")

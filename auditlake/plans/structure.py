@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from auditlake.operators import adjust, baselines, communities, factors, metrics
+from auditlake.operators import adjust, baselines, communities, factors, generators, metrics
 from auditlake.operators.ranges import grouped_median, joined
 from auditlake.plans.registry import query
+from auditlake.sources.scratch import shared_dir
 from auditlake.sources.tables import table
 from auditlake.sources.views import DENSE_SQL, VECTORS_SQL, dense, profile, vectors
 
@@ -34,10 +37,24 @@ def factor_generator(spark, sf_dir):
     rows = cells.select("cell_id", F.posexplode("v").alias("gene", "cnt")).join(clusters, "cell_id")
     drawn = factors.draw_cells(spark, factors.cluster_summaries(rows, "cluster", epsilon=0.2), cells.count())
     placed = model.weights(drawn, "draw", keep=("cluster",))
-    labels = factors.draw_labels(weights, placed, "draw", "cell_type").select("draw", "cell_type")
+    labels = factors.draw_labels(factors.fit_labels(weights, "cell_type"), placed, "draw", "cell_type").select("draw", "cell_type")
     return drawn.join(labels, "draw").select("draw", "cluster", "cell_type", F.posexplode("v").alias("gene", "cnt"))
 
 
+@query()
+def generators_reloaded(spark, sf_dir):
+    """Means of what every registered generator draws after it was trained, saved and loaded again."""
+    out = None
+    for name in sorted(generators.REGISTRY):
+        path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}/{name}"
+        generators.train(name, _cells(spark, sf_dir), "cell_id", "cell_type").save(path)
+        drawn = generators.load(spark, path).generate()
+        means = drawn.select("cell_type", F.posexplode("v").alias("gene", "x")).groupBy("cell_type", "gene").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
+        named = means.withColumn("generator", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query(f"WITH {DENSE_SQL} SELECT cell_type AS cluster, gene, count(*) AS n, round(avg(cnt), 9) AS mean, round(greatest(var_pop(cnt), 1e-6), 6) AS variance, round(avg((cnt = 0)::INT), 9) AS zero_share FROM dense WHERE role = 0 GROUP BY ALL")
 def cluster_moments(spark, sf_dir):
     """The generator's summaries without noise, types being the clusters."""

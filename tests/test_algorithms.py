@@ -91,7 +91,7 @@ def test_labels_are_drawn_at_class_probabilities(spark):
     names = [("a" if rng.random() < (0.9 if s else 0.2) else "b") for s in side]
     train = vectors(spark, x, kind=names).withColumnRenamed("v", "w")
     drawn = vectors(spark, [[i % 2, 0.0] for i in range(2000)]).withColumnRenamed("v", "w")
-    got = factors.draw_labels(train, drawn, "id", "kind", trees=30)
+    got = factors.draw_labels(factors.fit_labels(train, "kind", trees=30), drawn, "id", "kind")
     assert got.count() == 2000 and set(got.columns) == {"id", "w", "kind"}
     share = {r["s"]: r["p"] for r in got.groupBy((F.col("id") % 2).alias("s")).agg(F.avg((F.col("kind") == "a").cast("double")).alias("p")).collect()}
     assert abs(share[1] - 0.9) < 0.12 and abs(share[0] - 0.2) < 0.12
@@ -306,3 +306,26 @@ def test_pairwise_recovery_names_pairs_without_findings(spark):
     up, down, none = got["x", "y", "up"], got["x", "y", "down"], got["x", "z", "up"]
     assert (up["real"], up["synth"], up["hit"], up["tpr"], up["precision"]) == (1, 2, 1, 1.0, 0.5) and abs(up["fpr"] - 1 / 9) < 1e-12
     assert (down["tpr"], down["fpr"], down["precision"]) == (0.0, 0.0, None) and (none["real"], none["synth"], none["tpr"], none["fpr"]) == (0, 0, None, 0.0)
+
+
+# Generators as saved models
+
+
+def test_every_generator_draws_the_same_after_it_is_loaded(spark, tmp_path):
+    from auditlake.operators import generators
+
+    x = counts(120, 5)
+    names = [["a", "b", "long name"][i % 3] for i in range(120)]
+    rows = vectors(spark, x, kind=names)
+    for name in generators.REGISTRY:
+        model = generators.train(name, rows, "id", "kind")
+        model.save(f"{tmp_path}/{name}")
+        again = generators.load(spark.newSession(), f"{tmp_path}/{name}")
+        drawn = sorted(map(tuple, model.generate().select("kind", "draw", "v").collect()), key=repr)
+        assert drawn == sorted(map(tuple, again.generate().select("kind", "draw", "v").collect()), key=repr), name
+        assert len(drawn) == 120 and {k for k, *_ in drawn} <= set(names) and all(len(v) == 5 for *_, v in drawn)
+        other = sorted(map(tuple, model.generate(seed=9).select("kind", "draw", "v").collect()), key=repr)
+        assert other != drawn
+        assert abs(np.mean([v for *_, v in drawn]) / x.mean() - 1) < 0.25, name
+    with pytest.raises(KeyError):
+        generators.train("unknown", rows, "id", "kind")
