@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from auditlake.operators import adjust, baselines, communities, factors, generators, metrics
 from auditlake.operators.ranges import grouped_median, joined
 from auditlake.plans.registry import query
+from auditlake.sources import storage
+from auditlake.sources.arrays import ArrayFiles
 from auditlake.sources.scratch import shared_dir
 from auditlake.sources.tables import table
-from auditlake.sources.views import DENSE_SQL, VECTORS_SQL, dense, profile, vectors
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, profile, vectors
+from auditlake.streaming import results
 
 _D2 = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))"
 
@@ -46,7 +49,7 @@ def generators_reloaded(spark, sf_dir):
     """Means of what every registered generator draws after it was trained, saved and loaded again."""
     out = None
     for name in sorted(generators.REGISTRY):
-        path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}/{name}"
+        path = _scratch(spark, name)
         generators.train(name, _cells(spark, sf_dir), "cell_id", "cell_type").save(path)
         drawn = generators.load(spark, path).generate()
         means = drawn.select("cell_type", F.posexplode("v").alias("gene", "x")).groupBy("cell_type", "gene").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
@@ -104,6 +107,45 @@ def method_metrics(spark, sf_dir):
     return m.select("method", *(F.round(c, 6).alias(c) for c in ("auc", "average_precision", "pr_auc", "accuracy_best", "f1_best")))
 
 
+def _scratch(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {CELLS_SQL}, {EXPR_SQL} SELECT cell_id, donor_id, gene, cnt FROM cells JOIN expr USING (cell_id) WHERE cell_type = '1-URGENT' AND role IN (0, 1)")
+def stored_slice(spark, sf_dir):
+    """Cells and counts stored by type; one type's folders are read and joined."""
+    c, e = cells(spark, sf_dir), expr(spark, sf_dir)
+    kept = [_scratch(spark, n) for n in ("cells", "counts")]
+    storage.store_by(c, kept[0], "cell_type", 4)
+    storage.store_by(e.join(c.select("cell_id", "cell_type"), "cell_id"), kept[1], "cell_type", 4)
+    one, counts = (storage.read_slice(spark, p, "cell_type", ["1-URGENT"]) for p in kept)
+    return one.where("role in (0, 1)").select("cell_id", "donor_id").join(counts.select("cell_id", "gene", "cnt"), "cell_id")
+
+
+@query(f"WITH {CELLS_SQL} SELECT (cell_id % 4)::INT AS part, donor_id AS donor, count(*) AS n FROM cells GROUP BY ALL")
+def array_files(spark, sf_dir):
+    """Donors of cells written as array files, a folder a part, and read back by slices."""
+    spark.dataSource.register(ArrayFiles)
+    where, out = _scratch(spark, "arrays"), None
+    for part in range(4):
+        donors = cells(spark, sf_dir).where(F.col("cell_id") % 4 == part).select(F.col("donor_id").cast("long").alias("value"))
+        donors.write.format("npy").mode("overwrite").option("path", f"{where}/{part}").save()
+        back = spark.read.format("npy").option("path", f"{where}/{part}").load().select(F.lit(part).alias("part"), F.col("value").alias("donor"))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("part", "donor").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS donor_id, round(avg(value), 6) AS score, count(*) AS n FROM events GROUP BY 1")
+def followed_donor_means(spark, sf_dir):
+    """Donor means kept as a stream's state, appended batch by batch; the last ones of each donor."""
+    static = table(spark, sf_dir, "events")
+    place = f"{sf_dir}/event[s].parquet"  # a pattern may name one file, a path only a folder
+    stream = spark.readStream.schema(static.schema).parquet(place).select(F.col("user_id").alias("donor_id"), F.col("value").alias("score"))
+    out, check = _scratch(spark, "means"), _scratch(spark, "stream")
+    results.follow_donor_means(stream, out, check)
+    return results.latest_donor_means(spark, out).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT doc_id, source, median(n_chars) OVER (PARTITION BY source)::DOUBLE AS median, n_chars - median(n_chars) OVER (PARTITION BY source)::DOUBLE AS above FROM documents")
 def grouped_medians(spark, sf_dir):
     """Every document's length against its source's exact median; one source has most rows."""
