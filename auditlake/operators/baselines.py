@@ -77,9 +77,14 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, k: int) -> DataFrame:
     def best(i, a, j, b):
         d = squared(a, b)
         d[i[:, None] == j[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(j, d.shape), np.round(d, 12)), axis=1)[:, :k]
-        out = pd.DataFrame({"id": np.repeat(i, order.shape[1]), "other": j[order].ravel(), "d2": np.take_along_axis(d, order, 1).ravel()})
-        return out[np.isfinite(out["d2"])]
+        rounded = np.round(d, 12)
+        last = np.partition(rounded, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        row, at = np.nonzero((rounded <= last[:, None]) & np.isfinite(d))  # the k nearest of a row and what ties with the last
+        order = np.lexsort((j[at], rounded[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, np.arange(len(i)))
+        keep = np.arange(len(row)) - first[row] < k
+        return pd.DataFrame({"id": i[row[keep]], "other": j[at[keep]], "d2": d[row[keep], at[keep]]})
 
     found = block_distances(left, right, key, best, "id long, other long, d2 double")
     w = Window.partitionBy("id").orderBy(F.round("d2", 12), "other")

@@ -81,26 +81,26 @@ def _by_parts(rows: DataFrame, tables: DataFrame, key: str, type_col: str, cells
     return dealt, spread
 
 
-def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000, sides: Mapping[str, str] | None = None) -> DataFrame:
+def fitted_distances(deltas: DataFrame, precision: DataFrame, key: str, type_col: str = "cell_type", cells: int = 20_000, sides: Mapping[str, str] | None = None, jobs: tuple[str, ...] = ()) -> DataFrame:
     """matrix_distances with the matrices of `precision_tables`: each type's matrix goes to its cells, in parts of about so many; null for a type without one.
 
     sides: array columns of differences and the distances they become, {'delta': 'd'} unless stated.
+    jobs: columns of precision that tell several matrices of a type apart; a cell then has a row for each of its type's.
     """
     sides = dict(sides or {"delta": "d"})
-    dealt, spread = _by_parts(deltas, precision.select(type_col, "p"), key, type_col, cells)
+    dealt, spread = _by_parts(deltas, precision.select(type_col, "p", *jobs), key, type_col, cells)
     rest = [f for f in deltas.schema.fields if f.name not in sides]
 
     def run(left, right):
-        out = left[[f.name for f in rest]].copy()
-        for column, name in sides.items():
-            out[name] = np.nan
-            if len(right) and len(left):
-                d = np.stack(left[column].to_list())
-                p = np.asarray(right["p"].iloc[0]).reshape(d.shape[1], -1)
-                out[name] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, p, d, optimize=True), 0))
-        return out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + "".join(f", {name} double" for name in sides.values())
+        own, out = left[[f.name for f in rest]], []
+        x = {name: np.stack(left[column].to_list()) for column, name in sides.items()} if len(left) else {}
+        for _, job in right.iterrows():
+            found = {name: np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, np.asarray(job["p"]).reshape(d.shape[1], -1), d, optimize=True), 0)) for name, d in x.items()}
+            out.append(own.assign(**{c: job[c] for c in jobs}, **(found or dict.fromkeys(sides.values(), np.nan))))
+        return pd.concat(out) if out else own.assign(**dict.fromkeys(jobs), **dict.fromkeys(sides.values(), np.nan))
+
+    kinds = dict(precision.dtypes)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{c}` {kinds[c]}" for c in jobs] + [f"{name} double" for name in sides.values()])
     return dealt.groupBy(type_col, "_part").cogroup(spread.groupBy(type_col, "_part")).applyInPandas(run, schema)
 
 

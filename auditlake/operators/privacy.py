@@ -73,3 +73,11 @@ def noisy_correlations(corr: DataFrame, sigma: DataFrame, by: str, clip: bool =
         return pd.DataFrame({by: key[0], "gi": pdf["gi"], "gj": pdf["gj"], "r": m[i, j]})
 
     return corr.join(sigma.select(by, "sigma"), by).groupBy(by).applyInPandas(run, f"{by} {kind}, gi int, gj int, r double")
+
+
+def noisy_jobs(corr: DataFrame, sigma: DataFrame, by: str, seeds: list[int], clip: bool = True) -> DataFrame:
+    """(by, epsilon, seed, gi, gj, r): each group's matrix under every epsilon of sigma (by, epsilon, sigma) and every seed, in one plan."""
+    jobs = sigma.select(by, "epsilon", "sigma", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    jobs = jobs.withColumn("_job", F.concat_ws("|", F.col(by).cast("string"), F.col("epsilon").cast("string"), F.col("seed").cast("string")))
+    noised = noisy_correlations(corr.join(jobs.select(by, "_job"), by).select("_job", "gi", "gj", "r"), jobs.select("_job", "sigma"), "_job", clip)
+    return noised.join(jobs.select("_job", by, "epsilon", "seed"), "_job").drop("_job")

@@ -133,3 +133,10 @@ def combined_table(fidelity: DataFrame, privacy: DataFrame, by: list[str], scale
     left = fidelity.groupBy(*by, "epsilon").agg(*(cell(F.col(m) * scale, m) for m, scale in scales.items()))
     right = privacy.groupBy(*by, "epsilon").agg(*(cell(F.when(F.col("tm") == c, F.col("auc")), f"auc_{c}") for c in codes))
     return left.join(right, [*by, "epsilon"]).withColumn("eta", 100 / F.col("epsilon")).drop("epsilon")
+
+
+def sweep_summary(runs: DataFrame, baseline: DataFrame, by: str) -> DataFrame:
+    """by, epsilon with mean and deviation of auc over seeds, its difference from the baseline run, and the percent of its advantage that is gone."""
+    each = runs.groupBy(by, "epsilon").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), F.count("auc").alias("n_seeds"))
+    met = each.join(baseline.select(by, F.col("auc").alias("baseline_auc")), by)
+    return met.withColumns({"auc_vs_baseline": F.col("auc_mean") - F.col("baseline_auc"), "privacy_reduction_pct": privacy_reduction(F.col("auc_mean"), F.col("baseline_auc"))})

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import baselines, factors, marginals, membership, metrics, prep, privacy, reports, splits
-from auditlake.plans.audit import _QUAD_SQL, BY, KEYS, _models, _quad, _targets
+from auditlake.plans.audit import _QUAD_SQL, BY, KEYS, _mapped, _models, _quad, _targets
 from auditlake.plans.registry import query
+from auditlake.sources.scratch import stored
 from auditlake.sources.tables import table
 from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, vectors
 
@@ -173,21 +174,28 @@ def scores_without_matrix(spark, sf_dir):
     return out.select("cell_id", *(F.round(c, 6).alias(c) for c in ("standard_aux", "standard_alone", "b_aux", "b_alone")))
 
 
+def noised_scores(spark, sf_dir, epsilons, seeds):
+    """A row for each cell, epsilon and seed: distance to the noised training model, to the auxiliary one, and the score with and without it."""
+    own = lambda roles: dense(spark, sf_dir).where(roles)
+    copula = lambda d: marginals.gaussian_copula(d, marginals.poisson_marginals(d, BY), BY)
+    grid = privacy.sigma_grid(privacy.donor_extent(cells(spark, sf_dir).where("role = 0"), BY), 32, epsilons).where("variant = 'v2'")
+    noised = privacy.noisy_jobs(copula(own("role = 0")), grid, "cell_type", seeds).withColumn("job", F.concat_ws("|", "cell_type", F.col("epsilon").cast("string"), F.col("seed").cast("string")))
+    names = noised.select("job", "cell_type", "epsilon", "seed").distinct()
+    jobs = membership.precision_tables(noised, "job").join(names, "job").select("cell_type", "epsilon", "seed", "p")
+    e = membership.cell_evidence(_mapped(spark, sf_dir), KEYS, BY).select(*KEYS, *BY, "delta_s", "delta_a")
+    clean = membership.fitted_distances(e, membership.precision_tables(copula(own("role in (2, 3)")), "cell_type"), "cell_id", sides={"delta_a": "d_a"})
+    d = membership.fitted_distances(clean, jobs, "cell_id", sides={"delta_s": "d_s"}, jobs=("epsilon", "seed"))
+    return d.withColumns({"aux": membership.distance_ratio(F.col("d_s"), F.col("d_a")), "noaux": membership.closeness_only(F.col("d_s"))})
+
+
 @query()
 def noise_sweep_auc(spark, sf_dir):
-    """Donor AUC of the distance score by epsilon: noise on the training cells' correlations, their inverse, distances, means by donor."""
-    d = dense(spark, sf_dir).where("role = 0")
-    corr = marginals.gaussian_copula(d, marginals.poisson_marginals(d, BY), BY)
-    grid = privacy.sigma_grid(privacy.donor_extent(cells(spark, sf_dir).where("role = 0"), BY), 32, [1.0, 100.0, 1e4]).where("variant = 'v2'")
-    rows = membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY, "s")
-    delta = F.transform(F.array_sort(F.collect_list(F.struct("gene", (F.col("u_s") - F.col("c_s")).alias("d")))), lambda x: x["d"])
-    deltas, out = rows.groupBy(*KEYS, *BY).agg(delta.alias("delta")), None
-    for epsilon in (1.0, 100.0, 1e4):
-        p = membership.precision_tables(privacy.noisy_correlations(corr, grid.where(F.col("epsilon") == epsilon), "cell_type"), "cell_type")
-        score = membership.fitted_distances(deltas, p, "cell_id").withColumn("score", membership.closeness_only(F.col("d")))
-        auc = metrics.roc_auc(membership.donor_scores(score, "score"), "member", "score").select(F.lit(epsilon).alias("epsilon"), "auc", "n_pos", "n_neg")
-        out = auc if out is None else out.unionByName(auc)
-    return out
+    """Donor AUC with and without auxiliary distances by epsilon, over seeds, against the run without noise: one plan for the whole sweep."""
+    scores = noised_scores(spark, sf_dir, [1.0, 100.0, 1e4, 1e9], [1, 2, 3])
+    long = scores.select(*KEYS, "epsilon", "seed", F.explode(F.array(F.struct(F.lit("aux").alias("side"), "aux"), F.struct(F.lit("noaux").alias("side"), F.col("noaux").alias("aux")))).alias("s"))
+    donors = membership.donor_scores(long.select(*KEYS, "epsilon", "seed", "s.side", F.col("s.aux").alias("x")), "x", ("epsilon", "seed", "side"))
+    auc = stored(metrics.roc_auc(donors, "member", "score", ["epsilon", "seed", "side"]))
+    return reports.sweep_summary(auc.where("epsilon < 1e9"), auc.where("epsilon = 1e9 and seed = 1"), "side")
 
 
 @query(f"""WITH {CELLS_SQL}, {EXPR_SQL}, p AS (SELECT cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) AS r FROM cells WHERE role = 1), d AS (SELECT cell_id AS drawn, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) AS r FROM cells WHERE role = 0)

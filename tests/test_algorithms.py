@@ -329,3 +329,52 @@ def test_every_generator_draws_the_same_after_it_is_loaded(spark, tmp_path):
         assert abs(np.mean([v for *_, v in drawn]) / x.mean() - 1) < 0.25, name
     with pytest.raises(KeyError):
         generators.train("unknown", rows, "id", "kind")
+
+
+# Noise over a grid
+
+
+def test_noise_over_a_grid_is_the_noise_of_each_job(spark):
+    from auditlake.operators import membership, privacy
+
+    corr = spark.createDataFrame([(t, i, j, 1.0 if i == j else 0.3) for t in "ab" for i in range(4) for j in range(i, 4)], "cell_type string, gi int, gj int, r double")
+    sigma = spark.createDataFrame([(t, e, 1 / e) for t in "ab" for e in (2.0, 1e12)], "cell_type string, epsilon double, sigma double")
+    noised = privacy.noisy_jobs(corr, sigma, "cell_type", [1, 2]).cache()
+    assert noised.count() == 2 * 2 * 2 * 10
+    flat = noised.where("epsilon > 10").join(corr.withColumnRenamed("r", "was"), ["cell_type", "gi", "gj"])
+    assert flat.where("abs(r - was) > 1e-6").count() == 0  # hardly any noise
+    wide = noised.where("epsilon = 2 and gi < gj").groupBy("cell_type", "gi", "gj").agg(F.count_distinct("r").alias("n"))
+    assert {r["n"] for r in wide.collect()} == {2}  # seeds differ
+    deltas = spark.createDataFrame([(i, "ab"[i % 2], [float(i), 1.0, 0.0, -1.0]) for i in range(20)], "cell_id long, cell_type string, delta array<double>")
+    jobs = noised.withColumn("job", F.concat_ws("|", "cell_type", "epsilon", "seed"))
+    p = membership.precision_tables(jobs, "job").join(jobs.select("job", "cell_type", "epsilon", "seed").distinct(), "job")
+    got = membership.fitted_distances(deltas, p, "cell_id", cells=3, jobs=("epsilon", "seed"))
+    assert got.count() == 20 * 4 and got.where("d is null").count() == 0
+    clean = membership.fitted_distances(deltas, membership.precision_tables(corr, "cell_type"), "cell_id").withColumnRenamed("d", "was")
+    assert got.where("epsilon > 10").join(clean, ["cell_id", "cell_type"]).where("abs(d - was) > 1e-4").count() == 0
+
+
+def test_sweep_summary(spark):
+    from auditlake.operators import reports
+
+    runs = spark.createDataFrame([("aux", 1.0, s, a) for s, a in ((1, 0.5), (2, 0.6))] + [("aux", 9.0, 1, 0.9)], "side string, epsilon double, seed int, auc double")
+    base = spark.createDataFrame([("aux", 0.75)], "side string, auc double")
+    got = {r["epsilon"]: r for r in reports.sweep_summary(runs, base, "side").collect()}
+    assert abs(got[1.0]["auc_mean"] - 0.55) < 1e-12 and got[1.0]["n_seeds"] == 2 and abs(got[1.0]["privacy_reduction_pct"] - 80) < 1e-9
+    assert got[9.0]["privacy_reduction_pct"] == 0 and got[9.0]["auc_std"] is None
+
+
+def test_nearest_rows_and_their_ties(spark):
+    from auditlake.operators import baselines
+
+    x = np.random.default_rng(1).integers(0, 3, (70, 2)).astype(float)  # many ties
+    v = vectors(spark, x).repartition(3)
+    got = {}
+    for r in baselines.nearest_k(v, v, "id", 5).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["other"]
+    for i in range(70):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        want = sorted((d[j], j) for j in range(70) if j != i)[:5]
+        assert [got[i][k] for k in range(1, 6)] == [j for _, j in want]
+    few = vectors(spark, x[:3])
+    assert baselines.nearest_k(few, few, "id", 5).count() == 6
