@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.nets import score_net, train_net
 from auditlake.operators.ranges import grouped_median
 
 BLOCK = 2048
@@ -113,20 +114,23 @@ def _densities(test: DataFrame, sample: DataFrame, key: str, name: str) -> DataF
     return found.join(most, "id").groupBy("id").agg((F.max("m") + F.log(F.sum(F.col("s") * F.exp(F.col("top") - F.col("m")))) - float(log_norm)).alias(name))
 
 
-def kde_ratio(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+def kde_ratio(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str, components: int | None = None) -> DataFrame:
+    """(id, score): density under the synthetic rows over that under the reference ones; with components, each side in its own principal components."""
+    if components is not None:
+        test, synth, reference = (pca_scores(x, key, components) for x in (test, synth, reference))
     g, r = _densities(test, synth, key, "g"), _densities(test, reference, key, "r")
     return g.join(r, "id").select("id", (F.exp("g") / (F.exp("r") + 1e-10)).alias("score"))
 
 
-def logan(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str, seed: int = 1) -> DataFrame:
-    """A two-layer perceptron told synthetic (1) from reference (0); the test rows' probability of 1."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def logan(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str, steps: int | None = None, seed: int = 1) -> DataFrame:
+    """(id, score): the raw synthetic-class output of a net of two layers of 256 that was told synthetic (1) from reference (0) rows.
 
-    part = lambda df, y: df.select(array_to_vector("v").alias("features"), F.lit(float(y)).alias("label"))
+    Steps follow the test rows, 300 passes over as many in batches of 256, unless stated.
+    """
+    side = lambda df, y: df.select(F.col(key).alias("_k"), "v", F.lit(y).alias("y"))
     d = len(synth.select("v").first()["v"])
-    model = MultilayerPerceptronClassifier(layers=[d, 32, 32, 2], maxIter=60, seed=seed).fit(part(synth, 1).unionByName(part(reference, 0)))
-    return model.transform(test.select(F.col(key).alias("id"), array_to_vector("v").alias("features"))).select("id", vector_to_array("probability")[1].alias("score"))
+    steps = int(300 * test.count() / 256) if steps is None else steps
+    return score_net(test, train_net(side(synth, 1).unionByName(side(reference, 0)), "_k", d, steps, seed=seed), key)
 
 
 def pca_scores(rows: DataFrame, key: str, k: int) -> DataFrame:

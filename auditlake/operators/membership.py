@@ -307,6 +307,16 @@ def choose_attack(white_box: bool, use_aux: bool, mahalanobis: bool = True, clas
     return f"{'b' if class_b else 'standard'}_{'aux' if use_aux else 'alone'}"
 
 
+def dispatched(quad: DataFrame, code: Column, class_b: Column) -> DataFrame:
+    """quad plus attack and score: the one of its four scores that the row's threat code (three digits, 0 for yes) and class call for.
+
+    The second digit says whether auxiliary data is known; without class B evidence the standard scores answer.
+    """
+    name = F.concat(F.when(class_b, "b").otherwise("standard"), F.lit("_"), F.when(F.substring(code, 2, 1) == "0", "aux").otherwise("alone"))
+    score = F.coalesce(*(F.when(F.col("attack") == c, F.col(c)) for c in ("standard_aux", "standard_alone", "b_aux", "b_alone")))
+    return quad.withColumn("attack", name).withColumn("score", score)
+
+
 def mvn_model(rows: DataFrame, label: str) -> DataFrame:
     """(label, n, mean, root) of every label's Gaussian, from all its rows; root is symmetric, root * root the covariance.
 

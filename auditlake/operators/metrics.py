@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.baselines import block_distances, squared
 from auditlake.operators.ranges import grouped_median, joined, prefix_sums
+from auditlake.sources.scratch import stored
 
 
 def roc_auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -114,6 +115,15 @@ def mixing(neighbours: DataFrame, batches: DataFrame, key: str) -> DataFrame:
     return lisi.agg(F.median("lisi").alias("m")).crossJoin(F.broadcast(n)).select(F.try_divide(F.col("m") - 1, F.col("k") - 1).alias("lisi"))
 
 
+def mask_overlap(new: DataFrame, old: DataFrame, by: str = "gene", flag: str = "highly_variable") -> DataFrame:
+    """n_old, n_new, n_overlap, only_old, only_new, jaccard of two masks' chosen genes."""
+    chosen = lambda m, name: m.where(flag).select(by, F.lit(1).alias(name)).distinct()
+    both = chosen(new, "n").join(chosen(old, "o"), by, "full")
+    hit = F.count_if(F.col("n").isNotNull() & F.col("o").isNotNull())
+    out = both.agg(F.count("o").alias("n_old"), F.count("n").alias("n_new"), hit.alias("n_overlap"), F.count("*").alias("_all"))
+    return out.select("n_old", "n_new", "n_overlap", (F.col("n_old") - F.col("n_overlap")).alias("only_old"), (F.col("n_new") - F.col("n_overlap")).alias("only_new"), F.coalesce(F.try_divide("n_overlap", "_all"), F.lit(0.0)).alias("jaccard"))
+
+
 def rank_sum(rows: DataFrame, label: str, value: str, by: list[str]) -> DataFrame:
     """Wilcoxon's rank sum with ties and normal approximation, class 1 against 0: u, z, share and direction."""
     hist = rows.groupBy(*by, value).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
@@ -158,13 +168,20 @@ def discriminator_auc(real: DataFrame, synth: DataFrame, key: str, trees: int =
 
 
 def train_synthetic_test_real(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Accuracy on test of a one-against-the-rest logistic regression fitted on train."""
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.functions import array_to_vector
+    """accuracy, macro_precision, n on test of a logistic regression fitted on train.
+
+    macro_precision is the mean over the test's classes of the average precision of their probabilities; a class that train lacks has probability 0.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     shape = lambda df: df.select(array_to_vector("v").alias("features"), F.col(label).cast("double").alias("label"))
-    model = OneVsRest(classifier=LogisticRegression(maxIter=30)).fit(shape(train))
-    return model.transform(shape(test)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    model = LogisticRegression(maxIter=30, family="multinomial").fit(shape(train))
+    scored = stored(model.transform(shape(test)).select("label", "prediction", vector_to_array("probability").alias("p")))
+    classes = scored.select(F.col("label").cast("int").alias("class")).distinct()  # the test's classes
+    each = scored.join(F.broadcast(classes)).select("class", (F.col("label") == F.col("class")).cast("int").alias("y"), F.coalesce(F.get("p", F.col("class")), F.lit(0.0)).alias("score"))
+    macro = threshold_metrics(each, "y", "score", ["class"]).agg(F.avg("average_precision").alias("macro_precision"))
+    return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n")).crossJoin(F.broadcast(macro)).select("accuracy", "macro_precision", "n")
 
 
 def class_jaccard(pairs: DataFrame, a: str, b: str) -> DataFrame:

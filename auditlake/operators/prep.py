@@ -21,6 +21,17 @@ def filter_genes(expr: DataFrame, min_cells: int) -> DataFrame:
     return expr.join(seen, "gene", "left_semi").select(expr.columns)
 
 
+def mitochondrial(gene_name: Column) -> Column:
+    """Whether a gene's name starts with MT-, in either case."""
+    return F.upper(gene_name).startswith("MT-")
+
+
+def percent_of_counts(expr: DataFrame, flagged: Column, name: str = "pct_counts_mt") -> DataFrame:
+    """cell_id, total, name: percent of a cell's counts that flagged genes hold; null for a cell without counts."""
+    sums = expr.groupBy("cell_id").agg(F.sum("cnt").alias("total"), F.coalesce(F.sum(F.when(flagged, F.col("cnt"))), F.lit(0)).alias("_mt"))
+    return sums.select("cell_id", "total", F.try_divide(100.0 * F.col("_mt"), F.col("total")).alias(name))
+
+
 def normalize_total(expr: DataFrame, target: float = 1e4) -> DataFrame:
     """norm = cnt scaled to a total of `target` a cell, lognorm = log1p of it."""
     sums = expr.groupBy("cell_id").agg(F.sum("cnt").alias("_total"))

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from auditlake.plans import audit, comparisons, fidelity, noise, preparation, structure, summaries  # noqa: E402, F401
+from auditlake.plans import audit, comparisons, evaluation, fidelity, noise, preparation, structure, summaries  # noqa: E402, F401

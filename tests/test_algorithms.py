@@ -378,3 +378,62 @@ def test_nearest_rows_and_their_ties(spark):
         assert [got[i][k] for k in range(1, 6)] == [j for _, j in want]
     few = vectors(spark, x[:3])
     assert baselines.nearest_k(few, few, "id", 5).count() == 6
+
+
+# The net
+
+
+def test_gradients_are_the_slopes_of_the_loss():
+    from auditlake.operators import nets
+
+    rng = np.random.default_rng(2)
+    net, x, y = nets.new_net([4, 6, 5, 2], 3), rng.normal(size=(20, 4)), rng.integers(0, 2, 20)
+    _, g = nets.gradient(net, x, y)
+    for layer, slope in zip(net, g):
+        for at in list(np.ndindex(layer.shape))[::7]:
+            was, ends = layer[at], []
+            for step in (1e-6, -1e-6):
+                layer[at] = was + step
+                ends.append(nets.gradient(net, x, y)[0])
+            layer[at] = was
+            assert abs((ends[0] - ends[1]) / 2e-6 - slope[at]) < 1e-6
+
+
+@pytest.mark.parametrize("each", [10_000, 60])
+def test_a_net_learns_a_shift_and_a_rerun_gives_the_same_weights(spark, each):
+    from auditlake.operators import nets
+
+    rng = np.random.default_rng(4)
+    side = rng.integers(0, 2, 240)
+    x = rng.normal(size=(240, 5)) + 1.5 * side[:, None]
+    rows = vectors(spark, x, y=[int(s) for s in side])
+    fit = lambda: nets.train_net(rows.repartition(3), "id", 5, steps=120, hidden=(16, 16), batch=64, sync=20, each=each)
+    net = fit()
+    assert all((a == b).all() for a, b in zip(net, fit()))
+    fresh = rng.normal(size=(200, 5)) + 1.5 * (np.arange(200) % 2)[:, None]
+    got = np.array([r["score"] for r in nets.score_net(vectors(spark, fresh), net, "id").orderBy("id").collect()])
+    assert np.abs(got - nets.logits(net, fresh)[:, 1]).max() < 1e-9
+    assert np.mean(got[1::2]) > np.mean(got[::2]) + 1 and np.median(got[1::2]) > 0 > np.median(got[::2])
+    if each == 10_000:  # one task: plain mini-batch Adam
+        plain, m = nets.new_net([5, 16, 16, 2], 1), None
+        m = ([np.zeros_like(a) for a in plain], [np.zeros_like(a) for a in plain])
+        for step in range(1, 121):
+            at = np.random.default_rng([1, 0, step]).integers(0, 240, 64)
+            nets.adam(plain, m, nets.gradient(plain, x[at], side[at])[1], step)
+        assert max(np.abs(a - b).max() for a, b in zip(net, plain)) < 1e-9
+
+
+def test_scores_follow_the_attackers_knowledge(spark):
+    from auditlake.operators import membership
+
+    q = spark.createDataFrame([(c, b, 1.0, 2.0, 3.0, 4.0) for c in ("000", "010", "101", "111") for b in (False, True)], "code string, b boolean, standard_aux double, standard_alone double, b_aux double, b_alone double")
+    got = {(r["code"], r["b"]): (r["attack"], r["score"]) for r in membership.dispatched(q, F.col("code"), F.col("b")).collect()}
+    assert got["000", False] == ("standard_aux", 1.0) and got["111", False] == ("standard_alone", 2.0) and got["101", True] == ("b_aux", 3.0) and got["010", True] == ("b_alone", 4.0)
+
+
+def test_macro_precision_counts_classes_that_training_lacks(spark):
+    x = np.array([[0.0, 1.0]] * 10 + [[5.0, 1.0]] * 10)
+    train = vectors(spark, x, label=[0] * 10 + [1] * 10)
+    test = vectors(spark, np.concatenate([x, [[9.0, 9.0]]]), label=[0] * 10 + [1] * 10 + [2])
+    r = metrics.train_synthetic_test_real(train, test, "label").first()
+    assert r["n"] == 21 and abs(r["accuracy"] - 20 / 21) < 1e-9 and 0.6 < r["macro_precision"] < 0.75
