@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,3 +49,12 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete these stored tables, or, without any, all that this application has stored; results not yet read are lost with them."""
     for path in [t._stored_at for t in tables] or [_folder(spark)]:
         _delete(spark, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let both sides of the driver collect their garbage: shuffle files that no plan refers to any more go only then.
+
+    For the end of an iteration, whose rounds leave many; the driver's heap shrinks as well.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
