@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.sources.scratch import release, shared_dir, stored
+from auditlake.sources.scratch import release, shared_dir, stored, tidy
 
-__all__ = ["documents", "let", "lower_ascii", "release", "shared_dir", "stored", "text_key"]
+__all__ = ["documents", "let", "lower_ascii", "release", "shared_dir", "stored", "text_key", "tidy"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

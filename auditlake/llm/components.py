@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from auditlake.llm._shared import stored
+from auditlake.llm._shared import stored, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     an empty input gives an empty result.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.expr("u > v")).distinct()
+    spark = edges.sparkSession
     seen = before = None
     while True:
-        edges = before = stored(_small_star(_large_star(edges)).where("u > v").distinct(), instead_of=before)
-        mark = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+        counted = Observation()  # of what the round writes: no second reading to see whether anything moved
+        round_ = _small_star(_large_star(edges)).where("u > v").distinct()
+        watched = round_.observe(counted, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("mark"))
+        edges = before = stored(watched, instead_of=before)
+        mark = counted.get["n"], counted.get["mark"]
         if mark == seen:
             break
         seen = mark
+    tidy(spark)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
