@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.distributions import nudged_transform, qnorm
@@ -94,47 +94,70 @@ def fitted_marginals(dense: DataFrame, by: list[str], mode: str = "auto") -> Dat
     return hist.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + ", pi double, theta double, mu double")
 
 
-def pair_products(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Sums over cells for all pairs of genes gi <= gj of a group: n, x, y, xx, yy, xy.
+def pair_products(values: DataFrame, by: list[str], value: str, block: int = 512) -> DataFrame:
+    """Sums over cells for all pairs of genes gi <= gj of a group: n, x, y, xx, yy, xy; genes are whole numbers from 0.
 
-    A task adds up its cells' products as matrices and sends one row a pair of genes and group, whatever the
-    number of cells; a gene that a cell lacks is in none of its pairs.
+    A cell meets itself block of genes by block of genes. A task takes its cells in order of group and pair of blocks, adds their
+    products up in matrices of block squared, one pair at a time, and sends a row for each pair of genes it has seen; so its memory
+    doesn't grow with genes or groups, and what it sends doesn't grow with cells. A gene that a cell lacks is in none of its pairs.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields if f.name in by)
-    rows = values.groupBy(*by, "cell_id").agg(F.collect_list("gene").alias("genes"), F.collect_list(F.col(value).cast("double")).alias("xs")).drop("cell_id")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col(value).cast("double").alias("x"))))
+    cells = values.groupBy(*by, "cell_id").agg(listed.alias("g"))
+    of = lambda x: F.floor(x["gene"] / block).cast("int")
+    blocks = F.array_distinct(F.transform("g", of))
+    pairs = F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
+    dealt = cells.select(*by, "g", F.explode(pairs).alias("p")).select(*by, "p.bi", "p.bj", *(_of_block("g", f"p.b{n}", block).alias(n) for n in "ij"))
+    flat = dealt.select(*by, "bi", "bj", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ij" for c in ("gene", "x")))
     names = ["n", "x", "y", "xx", "yy", "xy"]
 
+    def spread(part: pd.DataFrame, side: str, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a side's genes by cell, and which are there."""
+        row = np.repeat(np.arange(len(part)), part[f"{side}_gene"].map(len))
+        column = np.concatenate(part[f"{side}_gene"].to_numpy()).astype(np.int64) - start
+        x, held = np.zeros((2, len(part), block if len(column) and column.max() >= 64 else 64))
+        x[row, column], held[row, column] = np.concatenate(part[f"{side}_x"].to_numpy()), 1.0
+        return x, held
+
     def products(batches):
-        at: dict = {}  # place of a gene
-        sums: dict = {}
+        now, total = None, None
+
+        def rows():
+            *key, bi, bj = now
+            i, j = np.nonzero(np.triu(total[0] > 0) if bi == bj else total[0] > 0)
+            out = pd.DataFrame({"gi": i + int(bi) * block, "gj": j + int(bj) * block} | {c: m[i, j] for c, m in zip(names, total)})
+            return out.assign(**{c: None if pd.isna(k) else k for c, k in zip(by, key)})[[*by, "gi", "gj", *names]]
+
         for pdf in batches:
-            for genes in pdf["genes"]:
-                for g in genes:
-                    at.setdefault(int(g), len(at))
-            size = len(at)
-            parts = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            for key, part in parts:
-                x, held = np.zeros((len(part), size)), np.zeros((len(part), size))
-                row = np.repeat(np.arange(len(part)), part["genes"].map(len))
-                column = np.array([at[int(g)] for genes in part["genes"] for g in genes], np.int64)
-                x[row, column], held[row, column] = np.concatenate([np.zeros(0), *part["xs"]]), 1.0
-                new = np.stack([held.T @ held, x.T @ held, held.T @ x, (x * x).T @ held, held.T @ (x * x), x.T @ x])
-                before = sums.get(key)
-                if before is not None:
-                    new[:, : before.shape[1], : before.shape[1]] += before
-                sums[key] = new
-        genes = np.array(list(at), np.int64)
-        for key, found in sums.items():
-            i, j = np.nonzero((genes[: found.shape[1], None] <= genes[None, : found.shape[1]]) & (found[0] > 0))
-            out = pd.DataFrame({"gi": genes[i], "gj": genes[j]} | {c: m[i, j] for c, m in zip(names, found)})
-            yield out.assign(**dict(zip(by, key)))[[*by, "gi", "gj", *names]]
+            for key, group in pdf.groupby([*by, "bi", "bj"], dropna=False, sort=False):
+                if key != now:
+                    if now is not None:
+                        yield rows()
+                    now, total = key, None
+                for at in range(0, len(group), 2048):
+                    part = group.iloc[at : at + 2048]
+                    (x, h), (y, k) = spread(part, "i", int(key[-2]) * block), spread(part, "j", int(key[-1]) * block)
+                    new = np.stack([h.T @ k, x.T @ k, h.T @ y, (x * x).T @ k, h.T @ (y * y), x.T @ y])
+                    if total is not None:
+                        size = np.maximum(total.shape, new.shape)
+                        wide = np.zeros(size)
+                        wide[:, : total.shape[1], : total.shape[2]] += total
+                        wide[:, : new.shape[1], : new.shape[2]] += new
+                        new = wide
+                    total = new
+        if now is not None:
+            yield rows()
 
     types = dict(values.dtypes)["gene"]
     schema = ", ".join([*([kinds] if kinds else []), f"gi {types}, gj {types}", *(f"{c} double" for c in names)])
-    summed = rows.mapInPandas(products, schema).groupBy(*by, "gi", "gj").agg(*(F.sum(c).alias(c) for c in names))
+    summed = flat.sortWithinPartitions(*by, "bi", "bj").mapInPandas(products, schema).groupBy(*by, "gi", "gj").agg(*(F.sum(c).alias(c) for c in names))
     return summed.withColumn("n", F.col("n").cast("long"))
 
 
+def _of_block(genes: str, number: str, block: int) -> Column:
+    return F.filter(genes, lambda x: F.floor(x["gene"] / block).cast("int") == F.col(number))
+
+
 def correlations(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Pearson correlation of all pairs of genes gi <= gj in each group; null where a gene doesn't vary."""
     s = pair_products(values, by, value)

@@ -144,6 +144,24 @@ def cell_evidence(rows: DataFrame, keys: list[str], by: list[str], primary: Colu
     ).drop("_g")
 
 
+def own_evidence(rows: DataFrame, keys: list[str], by: list[str], primary: Column) -> DataFrame:
+    """What scores without auxiliary data need of a cell, on the synthetic model's own genes, whatever another model has.
+
+    rows: `mapped` with side s alone, so a row for each gene of that model. delta_s holds the primary genes' differences in order of
+    gene, zeros elsewhere; log_s_secondary and n_secondary are the others' log probability and number.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("gene", F.when(primary, F.col("u_s") - F.col("c_s")).otherwise(0.0).alias("d"))))
+    of_rest = F.coalesce(F.sum(F.when(~primary, F.col("l_s"))), F.lit(0.0))
+    grouped = rows.groupBy(*keys, *by).agg(listed.alias("_g"), of_rest.alias("log_s_secondary"), F.count_if(~primary).alias("n_secondary"))
+    return grouped.withColumn("delta_s", F.transform("_g", lambda g: g["d"])).drop("_g")
+
+
+def alone_scores(cells: DataFrame, eps: float = EPS) -> DataFrame:
+    """cells plus standard_alone and b_alone from d_s and `own_evidence`, the latter's weight one over the root of the secondary genes' number."""
+    gamma = F.coalesce(F.try_divide(F.lit(1.0), F.sqrt(F.when(F.col("n_secondary") > 0, F.col("n_secondary")))), F.lit(0.0))
+    return cells.withColumns({"standard_alone": closeness_only(F.col("d_s"), eps), "b_alone": finite_or_zero(-F.log(F.col("d_s") + eps) + gamma * F.col("log_s_secondary"))})
+
+
 # The ablation's variants, as name, gene set, kind of evidence and weight (null: one over the root of the number of genes).
 VARIANTS = (
     ("baseline", "secondary", "llr", 0.0),

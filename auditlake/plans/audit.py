@@ -284,6 +284,26 @@ def ablation_variants(spark, sf_dir):
     return auc.join(sizes, ["variant", "side"])
 
 
+@query(f"""WITH {DENSE_SQL}, zc AS (SELECT cell_type, gene, avg(cnt) + 0.01 AS mu, count(*) FILTER (WHERE cnt = 0) AS zeros FROM dense WHERE role = 0 GROUP BY cell_type, gene),
+zr AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY zeros, gene) AS r FROM zc), own AS (SELECT cell_type, gene, mu, r <= 12 AS is_primary FROM zr WHERE r <= 20),
+t AS (SELECT d.cell_id, d.cell_type, gene, cnt, mu, is_primary FROM dense d JOIN own USING (cell_type, gene) WHERE role IN (0, 1)),
+x AS (SELECT *, list_sum(list_transform(range(cnt + 1), lambda k: exp(k * ln(mu) - mu - lgamma(k + 1)))) - list_sum(list_transform(range(floor(mu)::INT + 1), lambda k: exp(k * ln(mu) - mu - lgamma(k + 1)))) AS d, cnt * ln(mu) - mu - lgamma(cnt + 1) AS l FROM t),
+q AS (SELECT i.cell_id, sqrt(greatest(sum(i.d * {_PRECISION} * j.d), 0)) AS d_s FROM x i JOIN x j ON i.cell_id = j.cell_id AND i.is_primary AND j.is_primary GROUP BY 1),
+e AS (SELECT cell_id, sum(l) FILTER (WHERE NOT is_primary) AS log_s, count(*) FILTER (WHERE NOT is_primary) AS n FROM x GROUP BY 1)
+SELECT cell_id, round(1 / (d_s + 1e-4), 6) AS standard_alone, round(-ln(d_s + 1e-4) + log_s / sqrt(n), 6) AS b_alone FROM q JOIN e USING (cell_id)""")
+def alone_on_own_genes(spark, sf_dir):
+    """Scores without auxiliary data on the training model's own twenty genes a type, twelve of them with correlations."""
+    train = dense(spark, sf_dir).where("role = 0").groupBy(*BY, "gene").agg((F.avg("cnt") + 0.01).alias("mu_s"), F.count_if(F.col("cnt") == 0).alias("zeros"))
+    w = Window.partitionBy(*BY).orderBy("zeros", "gene")  # genes of a type
+    own = stored(train.withColumn("r", F.row_number().over(w)).where("r <= 20").select(*BY, "gene", "mu_s", F.lit(0.0).alias("pi_s"), F.lit(float("inf")).alias("theta_s"), (F.col("r") <= 12).alias("is_primary")))
+    rows = membership.mapped(_targets(spark, sf_dir), own, BY, "s")
+    at = own.groupBy(*BY).agg(F.array_sort(F.collect_list("gene")).alias("g"))
+    row = lambda i: F.transform("g", lambda j: F.when(i == j, 1.2).otherwise(F.pow(F.lit(0.3), F.abs(i - j))))
+    p = at.select(*BY, F.flatten(F.transform("g", row)).alias("p"))
+    d = membership.fitted_distances(membership.own_evidence(rows, KEYS, BY, F.col("is_primary")), p, "cell_id", sides={"delta_s": "d_s"})
+    return membership.alone_scores(d).select("cell_id", F.round("standard_alone", 6).alias("standard_alone"), F.round("b_alone", 6).alias("b_alone"))
+
+
 @query()
 def ablation_grid(spark, sf_dir):
     """AUC of every weight of the evidence, from one pass over the cells' distances and ratios."""

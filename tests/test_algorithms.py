@@ -437,3 +437,33 @@ def test_macro_precision_counts_classes_that_training_lacks(spark):
     test = vectors(spark, np.concatenate([x, [[9.0, 9.0]]]), label=[0] * 10 + [1] * 10 + [2])
     r = metrics.train_synthetic_test_real(train, test, "label").first()
     assert r["n"] == 21 and abs(r["accuracy"] - 20 / 21) < 1e-9 and 0.6 < r["macro_precision"] < 0.75
+
+
+# Products of genes
+
+
+@pytest.mark.parametrize("block", [512, 70, 3])
+def test_products_of_genes_by_blocks(spark, block):
+    from auditlake.operators import marginals
+
+    rng = np.random.default_rng(11)
+    rows, dense = [], {}
+    for c in range(60):
+        g = "ab"[c % 2] if c % 7 else None
+        for gene in rng.permutation(150)[: int(rng.integers(1, 20))]:
+            x = float(rng.integers(0, 9))
+            rows.append((g, c, int(gene), x))
+            dense.setdefault(g, {}).setdefault(c, {})[int(gene)] = x
+    df = spark.createDataFrame(rows, "kind string, cell_id long, gene int, x double").repartition(4)
+    got = {(r["kind"], r["gi"], r["gj"]): tuple(r[c] for c in ("n", "x", "y", "xx", "yy", "xy")) for r in marginals.pair_products(df, ["kind"], "x", block).collect()}
+    want = {}
+    for g, cells in dense.items():
+        for genes in cells.values():
+            for i, x in genes.items():
+                for j, y in genes.items():
+                    if i <= j:
+                        was = want.get((g, i, j), (0,) * 6)
+                        want[g, i, j] = tuple(a + b for a, b in zip(was, (1, x, y, x * x, y * y, x * y)))
+    assert got == want
+    assert marginals.pair_products(df.limit(0), ["kind"], "x", block).count() == 0
+    assert marginals.pair_products(df, [], "x", block).count() > 0
