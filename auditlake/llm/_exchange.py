@@ -94,13 +94,12 @@ class Exchange:
 
     def sent(self, s: Segments) -> pa.RecordBatch:
         """A page's segments as the rows of the first level."""
-        top = self.levels - 1
-        return s.rows(s.buckets // self.fan**top, self._group(s.pages, 1) if top else np.zeros(len(s.pages), np.int64))
+        return s.rows(s.buckets // self.fan ** (self.levels - 1), self._group(s.pages, 1))
 
     def forward(self, rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-        """Rows whose `to` is the bucket."""
+        """Rows whose `to` is the bucket and whose `via` is a group of about fan pages, one of `groups`; no row mixes groups."""
         for level in range(self.levels - 2, -1, -1):
-            rows = self._dealt(rows, kinds, lambda s, at=level: (s.buckets // self.fan**at, self._group(s.pages, self.levels - at) if at else np.zeros_like(s.pages)))
+            rows = self._dealt(rows, kinds, lambda s, at=level: (s.buckets // self.fan**at, self._group(s.pages, self.levels - at) if at else self._group(s.pages, 1)))
         return rows
 
     @staticmethod

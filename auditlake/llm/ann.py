@@ -18,7 +18,7 @@ Defined results: vectors that are null, zero, or hold nulls or non-finite compon
 do those whose length isn't the commonest one; null ids take no part; equal scores go by smaller id;
 repeated rows count once; of several vectors of one id the nearest counts, and a query id with several
 asks with each; vectors of any finite magnitude are scaled by a power of two first, so nothing overflows;
-fewer than k candidates give fewer rows.
+fewer than k candidates give fewer rows; an empty table gives none; other columns don't reach the result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ third of all rows have needs no more memory than another; its different texts ar
 Defined results: null text counts as empty; an empty text has an empty fingerprint, and the likeness of
 two empty fingerprints is 1, of one empty 0; rows that share an id follow each other in order of a hash
 of the text; null ids come after all others; a single document is its own neighbour; texts of any length
-are cut whole; columns other than id and text don't reach the result.
+are cut whole; an empty table gives none; columns other than id and text don't reach the result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Fixed phrases are found as well: every place where a phrase's words stand consec
 
 Defined results: a null or empty text has no words, no labels and score 0; rows repeated with the same
 id and text each get that text's result; ties don't arise, since all matches are reported; very long
-texts are scanned whole, block by block; columns other than id and text don't reach the result.
+texts are scanned whole, block by block; an empty table gives none; columns other than id and text don't reach the result.
 """
 
 from __future__ import annotations

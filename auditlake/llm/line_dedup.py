@@ -10,7 +10,7 @@ share is a skewed join side that adaptive execution splits, not a group in one t
 Defined results: a null text has no lines and stays null; an empty text stays empty; a text with fewer
 lines than the window keeps all of them; rows repeated with the same id and text are one document, and
 each of them gets its result; texts that share an id are ordered by a hash of the text; null ids come
-last. Input columns named like an output column are replaced.
+last; very long texts are cut whole; an empty table gives none. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations

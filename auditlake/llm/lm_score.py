@@ -23,7 +23,7 @@ hashes. Random draws depend on the bucket and the sweep only, so a task that run
 
 Defined results: null and empty texts hold their end token only; null ids are learned from and not held
 out; rows repeated are each counted and scored; texts of any length are scored whole; nothing is ranked, so
-there are no ties; columns other than id and text don't reach the result.
+there are no ties; an empty table gives none; columns other than id and text don't reach the result.
 """
 
 from __future__ import annotations

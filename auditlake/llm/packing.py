@@ -11,7 +11,8 @@ than the largest length is cut into pieces of that length and a rest. Groups are
 that doesn't change with the input, so more data is more tasks, not larger ones.
 
 Defined results: null and empty texts hold their end mark only; null ids are packed like any other and
-keep their null; rows repeated are packed once each, and equal lengths go in order of id and row.
+keep their null; rows repeated are packed once each, and equal lengths go in order of id and row; a text longer than the largest
+capacity is packed in pieces; an empty table gives none.
 Extra columns stay; ones named like an output column are replaced.
 """
 

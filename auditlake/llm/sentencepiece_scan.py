@@ -22,7 +22,7 @@ The model's file is read on the driver; its pieces, tens of thousands of short s
 the tasks. Only models without a normalisation table are taken.
 
 Defined results: null text gives null ids, empty text none; decoding gives the text back, but for word
-marks (U+2581) in it, which come back as spaces. Rows repeated get the same result each; extra columns
+marks (U+2581) in it, which come back as spaces. Rows repeated get the same result each; an empty table gives none; extra columns
 stay, ones named like an output column are replaced.
 """
 

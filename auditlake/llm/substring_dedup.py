@@ -9,15 +9,17 @@ windows merge to maximal repeats.
 The work goes by pages: up to about 1 MB of documents in one compressed row, made once where the input
 is read. Pages send the distinct hashes they hold to hash buckets (see `_exchange`), each with the
 smallest id among the page's documents that have it as an anchor and the largest of those that have it at
-all, and get back, for the hashes that are repeated, the smallest id overall. So a passage in a third of
-all documents is one entry a page, never a group, and no pairs are made. Around hits, windows are
+all, and get back, for the hashes that are repeated, the smallest id overall. Beyond 4096 pages hashes are combined by groups
+of pages before they meet in their bucket, and answered by groups. So a passage in a third of
+all documents is one entry a page, and one a group of pages in its bucket, and no pairs are made. Around hits, windows are
 extended by the same exchange of full windows: neighbours that repeat merge to maximal repeats. Anchors
 and probes go as 32 bits beside the bucket, whose size is fixed: a false match only costs one more
 comparison. Full windows go as 64 bits beside theirs.
 
 Defined results: null text has no words and stays null; empty text stays empty; ids that are null come
 after all others and don't count as smaller than each other; rows that share an id don't remove each
-other's words. Extra columns stay; ones named like an output column are replaced.
+other's words; rows repeated get the same result each; very long texts are read whole, a page each; an empty table gives none.
+Extra columns stay; ones named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from auditlake.llm._exchange import ROWS, Exchange, Segments
+from auditlake.llm._exchange import ROWS, Exchange, Segments, unzip, zip_
 from auditlake.llm._hashing import windows, word_hashes
 from auditlake.llm._shared import stored
 
@@ -137,18 +139,30 @@ class _Keys:
         return firsts[self.of]
 
 
-def _answer(sent: Segments) -> Segments:
-    """For the segments that hold any key that is anchored in one document and found in a later one: the first document of each such key."""
-    keys, low, high = sent.columns
+def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the smallest id that anchors them and the largest that has them."""
     every, of = np.unique(keys, return_inverse=True)
     first, last = np.full(len(every), NEVER), np.full(len(every), np.int64(-(2**63)))
     np.minimum.at(first, of, low)
     np.maximum.at(last, of, high)
-    value = np.where(last > first, first, NEVER)[of]
+    return every, first, last
+
+
+def _answer(sent: Segments, every: np.ndarray, first: np.ndarray) -> Segments:
+    """For the segments that hold any repeated key, of those listed in every: the first document of each such key."""
+    keys = sent.columns[0]
+    at = np.minimum(np.searchsorted(every, keys), max(len(every) - 1, 0))
+    value = np.where(every[at] == keys, first[at], NEVER) if len(every) else np.full(len(keys), NEVER)
     hit = np.add.reduceat(value != NEVER, sent.starts(0)[:-1]) > 0 if len(value) else np.zeros(0, bool)
     return Segments(sent.pages, sent.buckets, sent.lens[:, :1], [value]).taken(np.flatnonzero(hit))
 
 
+def _repeated(every: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that are anchored in one document and found in a later one."""
+    keep = last > first
+    return every[keep], first[keep]
+
+
 def _kept(text: bytes | None, gone: np.ndarray) -> str | None:
     if text is None or not gone.any():
         return None if text is None else text.decode()
@@ -166,6 +180,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pages = stored(docs.mapInArrow(lambda it: _page_rows(it, text_col), PAGES))
     size, n_pages = pages.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ways = Exchange(n_pages, max(1, math.ceil(size / BUCKET_BYTES)), FAN)
+    empty = to_arrow_schema(T._parse_datatype_string(ROWS)).empty_table()
 
     def send_probes(batches):
         for batch in batches:
@@ -174,7 +189,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield ways.sent(p.probes(ways.buckets).sent(page, p.ids, wide=False))
 
     def answers(rows: DataFrame, kinds: tuple[str, ...], step: int) -> DataFrame:
-        found = ways.forward(rows, kinds).groupBy("to").applyInArrow(lambda t: pa.Table.from_batches([ways.answered(_answer(Segments.read(t, kinds)))]), ROWS)
+        """What the buckets answer. With several groups of pages, keys are combined group by group, then by bucket, and
+        answered group by group: a key that every page has is one entry a group where its bucket is in one place."""
+        dealt, reply = ways.forward(rows, kinds), lambda s, known: pa.Table.from_batches([ways.answered(_answer(s, *known))])
+        if ways.groups == 1:
+            found = dealt.groupBy("to").applyInArrow(lambda t: reply(s := Segments.read(t, kinds), _repeated(*_combined(*s.columns))), ROWS)
+            return stored(ways.back(found, BACK).withColumn("step", F.lit(step)))
+        dealt = stored(dealt)
+
+        def one(t: pa.Table, arrays) -> pa.Table:
+            return pa.table([pa.array([t.column("to")[0].as_py()], pa.int64()), *(pa.array([zip_(x)], pa.binary()) for x in arrays)], ["to", "keys", "low", "high"][: len(arrays) + 1])
+
+        def read(t: pa.Table, names: tuple[str, ...], types: tuple[str, ...]) -> list[np.ndarray]:
+            return [np.concatenate([np.zeros(0, k), *(unzip(x, k) for x in t.column(n).to_pylist())]) for n, k in zip(names, types)]
+
+        parts = dealt.groupBy("to", "via").applyInArrow(lambda t: one(t, _combined(*Segments.read(t, kinds).columns)), "to long, keys binary, low binary, high binary")
+        whole = parts.groupBy("to").applyInArrow(lambda t: one(t, _repeated(*_combined(*read(t, ("keys", "low", "high"), kinds)))), "to long, keys binary, low binary")
+        copies = whole.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways.groups - 1).cast("long"))).alias("via"))
+        by = ("to", "via")
+        found = dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(
+            lambda t, k: reply(Segments.read(t, kinds), read(k, ("keys", "low"), kinds)) if t.num_rows else empty, ROWS
+        )
         return stored(ways.back(found, BACK).withColumn("step", F.lit(step)))
 
     def of_step(back: pa.Table, step: int) -> pa.Table:
@@ -184,8 +219,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         probes = p.probes(ways.buckets)
         return p.windows_at_hits(probes.at[p.ids[probes.doc] >= probes.first(of_step(back, 1))], ways.buckets)
 
-    empty = to_arrow_schema(T._parse_datatype_string(ROWS)).empty_table()
-
     def send_windows(left: pa.Table, back: pa.Table) -> pa.Table:
         out = [empty]
         for page, rows in zip(left.column("page").to_pylist(), left.column("rows").to_pylist()):

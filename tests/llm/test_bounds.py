@@ -101,3 +101,27 @@ def test_each_template_states_its_share(spark):
     rows = [(1, "one two three"), (2, "x one two three four y"), (3, "aa bb cc dd ee"), (4, "aa bb cc dd"), (5, "aa bb cc dd kk ll mm nn oo"), (6, "aa bb cc dd kk ll mm nn")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates, phrases=()).collect()}
     assert got == {1: ("", 0.0), 2: ("short", 1.0), 3: ("loose", 0.5), 4: ("", 0.0), 5: ("tight", 0.9), 6: ("", 0.0)}
+
+
+def test_a_passage_on_every_page_is_one_entry_a_group_of_pages(spark, monkeypatch):
+    from auditlake.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "PAGE_ROWS", 2)
+    monkeypatch.setattr(substring_dedup, "FAN", 8)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
+    passage = prose(77, 40)
+    rows = [(i, f"{prose(1000 + i, 12)} {passage if i % 3 else prose(3000 + i, 40)} {prose(2000 + i, 12)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen, gone = {}, {}
+    for i, t in rows:  # every window's first document
+        w = t.split()
+        for p in range(len(w) - 12):
+            seen.setdefault(tuple(w[p : p + 13]), i)
+    for i, t in rows:
+        w = t.split()
+        gone[i] = len({p + k for p in range(len(w) - 12) if seen[tuple(w[p : p + 13])] < i for k in range(13)})
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(df).collect()}
+    assert got == gone and sum(n > 0 for n in gone.values()) >= 79
+    combined = substring_dedup._combined(np.array([5, 5, 9], "<u4"), np.array([7, 3, substring_dedup.NEVER]), np.array([7, 8, 2]))
+    assert [x.tolist() for x in combined] == [[5, 9], [3, int(substring_dedup.NEVER)], [8, 2]]
+    assert [x.tolist() for x in substring_dedup._repeated(*combined)] == [[5], [3]]
