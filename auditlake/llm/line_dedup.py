@@ -54,11 +54,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(place > F.col("first"))
         .groupBy("_id", "_key")
         .agg(F.collect_set("pos").alias("_starts"))
-        .withColumnsRenamed({"_id": "_cid", "_key": "_ckey"})
+        .withColumnsRenamed({"_id": "__line_cid", "_key": "__line_ckey", "_starts": "__line_starts"})
     )
 
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": text_key(text)})
-    joined = rows.join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_key") == F.col("_ckey")), "left")
+    rows = docs.withColumns({"__line_id": F.col(id_col).cast("long"), "__line_key": text_key(text)})
+    joined = rows.join(covered, F.col("__line_id").eqNullSafe(F.col("__line_cid")) & (F.col("__line_key") == F.col("__line_ckey")), "left")
 
     def kept(lines, starts):
         # what stands before the first start, and between the end of each start's window and the next start
@@ -67,14 +67,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.flatten(F.concat(F.array(F.slice(lines, F.lit(1), F.get(starts, F.lit(0)))), gaps))
 
     lines = _lines(text)
-    rest = let(lines, lambda ls: let(F.array_sort("_starts"), lambda starts: kept(ls, starts)))
-    changed = joined.withColumn("_kept", F.when(F.col("_starts").isNotNull(), rest))
+    rest = let(lines, lambda ls: let(F.array_sort("__line_starts"), lambda starts: kept(ls, starts)))
+    changed = joined.withColumn("__line_kept", F.when(F.col("__line_starts").isNotNull(), rest))
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = changed.withColumns(
         {
             "n_lines": n_lines,
-            "n_removed": F.when(F.col("_starts").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("_kept")),
-            text_col: F.when(F.col("_starts").isNull(), text).otherwise(F.array_join("_kept", "\n")),
+            "n_removed": F.when(F.col("__line_starts").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("__line_kept")),
+            text_col: F.when(F.col("__line_starts").isNull(), text).otherwise(F.array_join("__line_kept", "\n")),
         }
     )
-    return out.drop("_id", "_key", "_cid", "_ckey", "_starts", "_kept")
+    return out.drop("__line_id", "__line_key", "__line_cid", "__line_ckey", "__line_starts", "__line_kept")

@@ -275,11 +275,11 @@ def near_duplicates(
         of_rep = connected_components(links.unionByName(own).unionByName(at.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))), "a", "b").select(F.col("node").alias("rep"), "component")
     labels = (
         named.select("id", "key", "rep").distinct().join(of_rep, "rep", "left")
-        .select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.coalesce("component", "rep").alias("_component"))
+        .select(F.col("id").alias("__near_id"), F.col("key").alias("__near_key"), F.coalesce("component", "rep").alias("__near_component"))
     )
-    counts = signed.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("n").alias("_n")).distinct()
-    result = stored(counts.join(labels, ["_id", "_key"], "left"))
-    keyed = docs.withColumns({"_i": id_, "_k": text_key(text)})
-    joined = keyed.join(result, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    component = F.coalesce("_component", "_i")
-    return joined.withColumns({"n_shingles": F.col("_n"), "component_id": component, "kept": F.coalesce(component == F.col("_i"), F.lit(True))}).drop("_i", "_k", "_id", "_key", "_component", "_n")
+    counts = signed.select(F.col("id").alias("__near_id"), F.col("key").alias("__near_key"), F.col("n").alias("__near_n")).distinct()
+    result = stored(counts.join(labels, ["__near_id", "__near_key"], "left"))
+    keyed = docs.withColumns({"__near_i": id_, "__near_k": text_key(text)})
+    joined = keyed.join(result, F.col("__near_i").eqNullSafe(F.col("__near_id")) & (F.col("__near_k") == F.col("__near_key")), "left")
+    component = F.coalesce("__near_component", "__near_i")
+    return joined.withColumns({"n_shingles": F.col("__near_n"), "component_id": component, "kept": F.coalesce(component == F.col("__near_i"), F.lit(True))}).drop("__near_i", "__near_k", "__near_id", "__near_key", "__near_component", "__near_n")
