@@ -304,14 +304,17 @@ def alone_on_own_genes(spark, sf_dir):
     return membership.alone_scores(d).select("cell_id", F.round("standard_alone", 6).alias("standard_alone"), F.round("b_alone", 6).alias("b_alone"))
 
 
-@query()
+@query(f"""WITH {_MODEL_SQL}, {_DISTANCES_SQL}, ev AS (SELECT cell_id, sum(cnt * ln(mu_s / mu_a) - mu_s + mu_a) AS llr FROM cdf GROUP BY 1),
+x AS (SELECT donor_id, member, gamma, ln(d_a + 1e-4) - ln(d_s + 1e-4) + gamma * llr AS x FROM dist JOIN ev USING (cell_id), (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.5), (1.0), (2.0)) g(gamma)),
+dn AS (SELECT gamma, donor_id, round(avg(x), 9) AS score, max(member) AS member FROM x GROUP BY gamma, donor_id),
+r AS (SELECT *, rank() OVER (PARTITION BY gamma ORDER BY score) + (count(*) OVER (PARTITION BY gamma, score) - 1) / 2 AS r FROM dn)
+SELECT gamma, round((sum(r) FILTER (WHERE member = 1) - sum(member) * (sum(member) + 1) / 2) / (sum(member) * sum(1 - member)), 6) AS auc, sum(member)::BIGINT AS n_pos, sum(1 - member)::BIGINT AS n_neg FROM r GROUP BY gamma""")
 def ablation_grid(spark, sf_dir):
     """AUC of every weight of the evidence, from one pass over the cells' distances and ratios."""
-    q = _scored(spark, sf_dir)
     gammas = F.explode(F.array(*(F.lit(float(g)) for g in (0, 0.1, 0.25, 0.5, 1, 2))))
     logit = F.log(F.col("d_a") + 1e-4) - F.log(F.col("d_s") + 1e-4) + F.col("gamma") * F.col("llr")
-    donors = membership.donor_scores(q.withColumn("gamma", gammas).withColumn("x", logit), "x", ("gamma",))
-    return metrics.roc_auc(donors, "member", "score", ["gamma"])
+    donors = membership.donor_scores(_scored(spark, sf_dir).withColumn("gamma", gammas).withColumn("x", logit), "x", ("gamma",))
+    return metrics.roc_auc(donors.withColumn("score", F.round("score", 9)), "member", "score", ["gamma"]).withColumn("auc", F.round("auc", 6))
 
 
 @query()

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import baselines, marginals, metrics
 from auditlake.operators.prep import gene_dispersion, hvg_top, normalize_total
+from auditlake.plans.evaluation import _mask_sql
 from auditlake.plans.registry import query
 from auditlake.sources.tables import table
-from auditlake.sources.views import DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, vectors
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, vectors
 
 
 def _parts(spark, sf_dir):
@@ -210,7 +211,8 @@ def jaccard_sets(spark, sf_dir):
     return both.select("a", "b", "shared", F.round(F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")), 6).alias("jaccard"))
 
 
-@query()
+@query(f"""WITH {CELLS_SQL}, {EXPR_SQL}, {_mask_sql("old", 0)}, {_mask_sql("new", 1)}
+SELECT (count(*) FILTER (WHERE old.gene IS NOT NULL AND new.gene IS NOT NULL))::INT AS shared, count(*) FILTER (WHERE old.gene IS NOT NULL AND new.gene IS NOT NULL) / count(*) AS jaccard FROM old FULL JOIN new ON old.gene = new.gene""")
 def hvg_overlap(spark, sf_dir):
     """How far the informative genes of training and holdout cells agree."""
     c = cells(spark, sf_dir)
