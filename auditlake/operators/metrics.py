@@ -33,6 +33,12 @@ def curve(rows: DataFrame, label: str, score: str, by: list[str] | None = None)
     return c.withColumns({"tpr": F.try_divide("tp", "pos"), "fpr": F.try_divide("fp", "neg"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
 
 
+def average_precision(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """by, average_precision: precision at each distinct score, weighted by the share of positives that it adds."""
+    c = curve(rows, label, score, by)
+    return c.groupBy(*(by or [])).agg(F.sum(F.try_divide(F.col("p"), F.col("pos")) * F.col("precision")).alias("average_precision"))
+
+
 def threshold_metrics(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """AUC, average precision, trapezoid PR area, accuracy and F1 at the median and best threshold, TPR at FPR of at least 0.01 and 0.1.
 
@@ -180,7 +186,7 @@ def train_synthetic_test_real(train: DataFrame, test: DataFrame, label: str) ->
     scored = stored(model.transform(shape(test)).select("label", "prediction", vector_to_array("probability").alias("p")))
     classes = scored.select(F.col("label").cast("int").alias("class")).distinct()  # the test's classes
     each = scored.join(F.broadcast(classes)).select("class", (F.col("label") == F.col("class")).cast("int").alias("y"), F.coalesce(F.get("p", F.col("class")), F.lit(0.0)).alias("score"))
-    macro = threshold_metrics(each, "y", "score", ["class"]).agg(F.avg("average_precision").alias("macro_precision"))
+    macro = average_precision(each, "y", "score", ["class"]).agg(F.avg("average_precision").alias("macro_precision"))
     return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n")).crossJoin(F.broadcast(macro)).select("accuracy", "macro_precision", "n")
 
 
