@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.privacy import laplace
 from auditlake.operators.splits import bootstrap
-from auditlake.sources.scratch import stored
+from auditlake.sources.scratch import reread, stored
 
 #: Numbers in a model that may pass through the driver and to every task.
 MOST_NUMBERS = 50_000_000
@@ -250,7 +250,7 @@ def fit_labels(train: DataFrame, label: str, trees: int = 100, seed: int = 1, ve
 
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
     forest = RandomForestClassifier(featuresCol="_f", labelCol="_y", probabilityCol="_p", predictionCol="_d", rawPredictionCol="_r", numTrees=trees, seed=seed)
-    return Pipeline(stages=[names, forest]).fit(train.select(label, array_to_vector(F.col(vector)).alias("_f")))
+    return reread(train.sparkSession, Pipeline(stages=[names, forest]).fit(train.select(label, array_to_vector(F.col(vector)).alias("_f"))))
 
 
 def draw_labels(model, drawn: DataFrame, key: str, label: str, seed: int = 1, vector: str = "w") -> DataFrame:

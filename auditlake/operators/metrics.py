@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.baselines import block_distances, squared
 from auditlake.operators.ranges import grouped_median, joined, prefix_sums
-from auditlake.sources.scratch import stored
+from auditlake.sources.scratch import reread, stored
 
 
 def roc_auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def discriminator_auc(real: DataFrame, synth: DataFrame, key: str, trees: int =
 
     both = real.select(key, "v", F.lit(0.0).alias("label")).unionByName(synth.select(key, "v", F.lit(1.0).alias("label")))
     both = both.select(array_to_vector("v").alias("features"), "label", (F.pmod(F.xxhash64(key, "label"), F.lit(4)) == 0).alias("test"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(both.where("not test"))
+    model = reread(both.sparkSession, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(both.where("not test")))
     scored = model.transform(both.where("test")).select(F.col("label").cast("int").alias("y"), F.round(vector_to_array("probability")[1], 9).alias("p"))
     return roc_auc(scored, "y", "p")
 
@@ -182,7 +182,7 @@ def train_synthetic_test_real(train: DataFrame, test: DataFrame, label: str) ->
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     shape = lambda df: df.select(array_to_vector("v").alias("features"), F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(maxIter=30, family="multinomial").fit(shape(train))
+    model = reread(train.sparkSession, LogisticRegression(maxIter=30, family="multinomial").fit(shape(train)))
     scored = stored(model.transform(shape(test)).select("label", "prediction", vector_to_array("probability").alias("p")))
     classes = scored.select(F.col("label").cast("int").alias("class")).distinct()  # the test's classes
     each = scored.join(F.broadcast(classes)).select("class", (F.col("label") == F.col("class")).cast("int").alias("y"), F.coalesce(F.get("p", F.col("class")), F.lit(0.0)).alias("score"))
@@ -241,7 +241,7 @@ def discriminative_f1(real: DataFrame, synth: DataFrame, unseen: DataFrame, key:
     both = part(real, 1.0).unionByName(part(synth, 0.0))
     steps = [StandardScaler(inputCol="x", outputCol="features", withMean=True), LogisticRegression(maxIter=iterations)]
     test = both.where("not train").unionByName(part(unseen, 1.0))
-    hit = Pipeline(stages=steps).fit(both.where("train")).transform(test)
+    hit = reread(real.sparkSession, Pipeline(stages=steps).fit(both.where("train"))).transform(test)
     n = lambda c: F.count_if(c).cast("double")
     y, p = F.col("label") == 1, F.col("prediction") == 1
     return hit.agg(F.coalesce(F.try_divide(2 * n(y & p), 2 * n(y & p) + n(y & ~p) + n(~y & p)), F.lit(0.0)).alias("f1"), F.count("*").alias("n"))

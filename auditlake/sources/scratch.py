@@ -45,6 +45,17 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def reread(spark: SparkSession, model):
+    """An MLlib model written to the shared folder and loaded again.
+
+    A fitted model of two classes keeps its training summary, which holds the session; as soon as the session has tags of a thread, a
+    transform's closure with such a model can't be serialised. What is loaded has no summary.
+    """
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    return type(model).load(path)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete these stored tables, or, without any, all that this application has stored; results not yet read are lost with them."""
     for path in [t._stored_at for t in tables] or [_folder(spark)]:
