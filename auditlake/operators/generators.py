@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators import factors, marginals, membership
+from auditlake.sources.scratch import stored
 
 REGISTRY: dict[str, type[GeneratorModel]] = {}
 
@@ -108,7 +109,7 @@ class Factors(GeneratorModel):
     @classmethod
     def train(cls, rows, key, type_col, vector="v", rank=4, passes=4, clusters=5, noise=0.0, epsilon_centres=None, epsilon_summaries=None, method="poisson", seed=1):
         basis = factors.fit_factors(rows, key, rank, passes, seed=seed, vector=vector).noised(noise, seed)
-        weights = basis.weights(rows, key, vector, keep=(type_col,))
+        weights = stored(basis.weights(rows, key, vector, keep=(type_col,)))
         dealt = factors.cluster_weights(weights, key, clusters, seed, epsilon_centres)
         long = rows.select(key, F.posexplode(vector).alias("gene", "cnt")).join(dealt, key)
         tables = {

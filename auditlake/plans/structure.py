@@ -11,7 +11,7 @@ from auditlake.operators.ranges import grouped_median, joined
 from auditlake.plans.registry import query
 from auditlake.sources import storage
 from auditlake.sources.arrays import ArrayFiles
-from auditlake.sources.scratch import shared_dir
+from auditlake.sources.scratch import shared_dir, stored
 from auditlake.sources.tables import table
 from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, profile, vectors
 from auditlake.streaming import results
@@ -33,24 +33,24 @@ def factor_objective(spark, sf_dir):
 @query()
 def factor_generator(spark, sf_dir):
     """Synthetic cells: noisy factors, noisy clusters in their space, noisy summaries, draws, and labels at class probabilities."""
-    cells = _cells(spark, sf_dir)
+    cells = stored(_cells(spark, sf_dir))
     model = factors.fit_factors(cells, "cell_id", rank=4, passes=4, batches=4).noised(0.01)
-    weights = model.weights(cells, "cell_id", keep=("cell_type",))
+    weights = stored(model.weights(cells, "cell_id", keep=("cell_type",)))
     clusters = factors.cluster_weights(weights, "cell_id", 5, epsilon=2.1)
     rows = cells.select("cell_id", F.posexplode("v").alias("gene", "cnt")).join(clusters, "cell_id")
     drawn = factors.draw_cells(spark, factors.cluster_summaries(rows, "cluster", epsilon=0.2), cells.count())
-    placed = model.weights(drawn, "draw", keep=("cluster",))
-    labels = factors.draw_labels(factors.fit_labels(weights, "cell_type"), placed, "draw", "cell_type").select("draw", "cell_type")
-    return drawn.join(labels, "draw").select("draw", "cluster", "cell_type", F.posexplode("v").alias("gene", "cnt"))
+    placed = model.weights(drawn.withColumn("x", F.col("v")), "draw", "x", keep=("cluster", "v"))
+    labelled = factors.draw_labels(factors.fit_labels(weights, "cell_type"), placed, "draw", "cell_type")
+    return labelled.select("draw", "cluster", "cell_type", F.posexplode("v").alias("gene", "cnt"))
 
 
 @query()
 def generators_reloaded(spark, sf_dir):
     """Means of what every registered generator draws after it was trained, saved and loaded again."""
-    out = None
+    out, cells = None, stored(_cells(spark, sf_dir))
     for name in sorted(generators.REGISTRY):
         path = _scratch(spark, name)
-        generators.train(name, _cells(spark, sf_dir), "cell_id", "cell_type").save(path)
+        generators.train(name, cells, "cell_id", "cell_type").save(path)
         drawn = generators.load(spark, path).generate()
         means = drawn.select("cell_type", F.posexplode("v").alias("gene", "x")).groupBy("cell_type", "gene").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
         named = means.withColumn("generator", F.lit(name))

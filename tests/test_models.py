@@ -18,3 +18,11 @@ def test_models_of_two_classes_travel_from_a_session_with_tags(spark):
     named = rows.select("vec_id", F.col("label").cast("string").alias("kind"), F.col("v").alias("w"))
     labelled = factors.draw_labels(factors.fit_labels(named, "kind", trees=5), named.drop("kind"), "vec_id", "kind")
     assert {r["kind"] for r in labelled.collect()} == {"0", "1"}
+
+
+def test_generated_cells_are_drawn_and_labelled_in_one_pass(spark):
+    """A join of the draws with their labels would draw every cell twice, and Spark would take one side for small enough to broadcast."""
+    from auditlake.plans.registry import QUERIES
+
+    plan = QUERIES["factor_generator"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
