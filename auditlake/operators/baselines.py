@@ -6,33 +6,52 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from auditlake.operators.nets import score_net, train_net
 from auditlake.operators.ranges import grouped_median
 
-BLOCK = 2048
+#: Rows of a block at least and at most, and the blocks that a side is cut into between the two.
+BLOCK, MOST_BLOCK, BLOCKS = 2048, 65_536, 24
 
 
-def block_distances(left: DataFrame, right: DataFrame, key: str, reduce, schema: str, block: int = BLOCK) -> DataFrame:
+def block_distances(left: DataFrame, right: DataFrame, key: str, reduce, schema: str, block: int | None = None) -> DataFrame:
     """reduce(left ids, left vectors, right ids, right vectors) -> frame, over all pairs of blocks of the two sides.
 
-    Every left row meets every right row once; a task holds two blocks, and what it returns is per row, not per pair.
+    Every left row meets every right row once; a task holds two blocks and meets the left one's rows a few at a time, BLOCK squared
+    pairs at once, and what it returns is per row, not per pair. A side has BLOCKS blocks, so rows are copied that often, whatever their
+    number; smaller tables have fewer, larger ones (1.5 million rows) more.
     """
-    sized = lambda df: max(1, math.ceil(df.count() / block))
-    n_left, n_right = sized(left), sized(right)
+    fit = lambda n: min(MOST_BLOCK, max(BLOCK, math.ceil(n / BLOCKS))) if block is None else block
+    sized = lambda n: max(1, math.ceil(n / fit(n)))
+    n_left, n_right = sized(left.count()), sized(right.count())
     dealt = lambda df, n, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int")
     a = left.select(F.col(key).alias("id"), "v", dealt(left, n_left, 1).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     b = right.select(F.col(key).alias("jd"), F.col("v").alias("w"), dealt(right, n_right, 2).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    names = [c.strip().split()[0] for c in schema.split(",")]
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def run(p, q):
         if not len(p) or not len(q):
-            return pd.DataFrame(columns=names)
-        return reduce(p["id"].to_numpy(), np.stack(p["v"].to_numpy()), q["jd"].to_numpy(), np.stack(q["w"].to_numpy()))
+            return out.empty_table()
+        i, x, j, y = p["id"].to_numpy(), _matrix(p["v"]), q["jd"].to_numpy(), _matrix(q["w"])
+        few = max(1, BLOCK * BLOCK // len(j))
+        met = pd.concat([reduce(i[at : at + few], x[at : at + few], j, y) for at in range(0, len(i), few)], ignore_index=True)
+        return pa.Table.from_pandas(met, schema=out, preserve_index=False)
 
-    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, schema)
+    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(run, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix, without a Python object a row."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if lists.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors must be there and of one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,25 +90,46 @@ def gan_leaks_calibrated(test: DataFrame, synth: DataFrame, reference: DataFrame
     return both.select("id", (1 / (1 + F.exp(F.col("g") - F.col("r")))).alias("score"))
 
 
+def nearest_pairs(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, squared distance) of each row's k nearest with another id, ties of distances to 12 places by id.
+
+    The k-th distance to some of the rows bounds what can be among the nearest; only pairs within it are measured and ordered.
+    """
+    less = np.hstack([-2 * a, np.ones((len(a), 1))]) @ np.hstack([b, (b * b).sum(1)[:, None]]).T  # squared distances, less the left rows' own
+    bound = np.full(len(a), np.inf)
+    few = max(k + 1, math.isqrt(10 * k * len(j)))  # ordering some and measuring what their bound lets through cost about the same
+    if len(j) > k:
+        some = np.where(i[:, None] == j[None, :few], np.inf, less[:, :few])
+        bound = np.partition(some, k - 1, axis=1)[:, k - 1]
+    slack = 1e-11 * (1 + (a * a).sum(1) + (b * b).sum(1).max())  # of rounding to 12 places and of the products
+    row, at = np.nonzero(less <= np.where(np.isnan(bound), np.inf, bound + slack)[:, None])
+    other = i[row] != j[at]
+    row, at = row[other], at[other]
+    d = np.empty(len(row))
+    for lo in range(0, len(row), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        d[part] = ((a[row[part]] - b[at[part]]) ** 2).sum(axis=1)
+    known = np.isfinite(d)
+    row, at, d = row[known], at[known], d[known]
+    order = np.lexsort((j[at], np.round(d, 12), row))
+    row, at, d = row[order], at[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(a)))[row] < k
+    return row[keep], at[keep], d[keep]
+
+
 def nearest_k(left: DataFrame, right: DataFrame, key: str, k: int) -> DataFrame:
-    """(id, other, d2, rank) of the k nearest, ties to the smaller id; blocks return k rows a row."""
-    from pyspark.sql.window import Window
+    """(id, other, d2, rank) of the k nearest, ties to the smaller id; a pair of blocks returns a list of k for each left row."""
 
     def best(i, a, j, b):
-        d = squared(a, b)
-        d[i[:, None] == j[None, :]] = np.inf
-        rounded = np.round(d, 12)
-        last = np.partition(rounded, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        row, at = np.nonzero((rounded <= last[:, None]) & np.isfinite(d))  # the k nearest of a row and what ties with the last
-        order = np.lexsort((j[at], rounded[row, at], row))
-        row, at = row[order], at[order]
-        first = np.searchsorted(row, np.arange(len(i)))
-        keep = np.arange(len(row)) - first[row] < k
-        return pd.DataFrame({"id": i[row[keep]], "other": j[at[keep]], "d2": d[row[keep], at[keep]]})
-
-    found = block_distances(left, right, key, best, "id long, other long, d2 double")
-    w = Window.partitionBy("id").orderBy(F.round("d2", 12), "other")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        row, at, d = nearest_pairs(i, a, j, b, k)
+        cuts = np.searchsorted(row, np.arange(1, len(i)))
+        return pd.DataFrame({"id": i, "other": np.split(j[at], cuts), "d2": np.split(d, cuts)})
+
+    found = block_distances(left, right, key, best, "id long, other array<long>, d2 array<double>")
+    each = F.transform(F.arrays_zip("d2", "other"), lambda x: F.struct(F.round(x["d2"], 12).alias("r"), x["other"].alias("other"), x["d2"].alias("d2")))
+    lists = found.select("id", each.alias("n")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("n"))), 1, k).alias("n"))
+    ranked = lists.select("id", F.posexplode("n").alias("rank", "n"))
+    return ranked.select("id", "n.other", "n.d2", (F.col("rank") + 1).alias("rank"))
 
 
 def _densities(test: DataFrame, sample: DataFrame, key: str, name: str) -> DataFrame:
