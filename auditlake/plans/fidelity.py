@@ -9,7 +9,7 @@ from auditlake.operators.prep import gene_dispersion, hvg_top, normalize_total
 from auditlake.plans.evaluation import _mask_sql
 from auditlake.plans.registry import query
 from auditlake.sources.tables import table
-from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, vectors
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, VECTORS_SQL, cells, dense, expr, profile, vectors
 
 
 def _parts(spark, sf_dir):
@@ -185,8 +185,8 @@ _EDGES = f"""WITH {DENSE_SQL}, c AS (SELECT a.role % 2 AS side, greatest(a.gene,
 
 @query(_EDGES + "SELECT count(*) FILTER (WHERE s = 0) AS n_real, count(*) FILTER (WHERE s = 1) AS n_synth, (SELECT count(*) FROM (SELECT edge FROM e WHERE side = 0 INTERSECT SELECT edge FROM e WHERE side = 1)) AS shared FROM (SELECT side AS s FROM e)")
 def coexpression_overlap(spark, sf_dir):
-    rows = dense(spark, sf_dir).withColumn("side", (F.col("role") % 2).cast("int"))
-    edges = marginals.correlations(rows, ["side"], "cnt").where("gi < gj and abs(r) > 0.01").select("side", metrics.edge_key(F.col("gi"), F.col("gj")).alias("edge"))
+    cells = marginals.listed_counts(profile(spark, sf_dir).withColumn("side", (F.col("role") % 2).cast("int")), ["side"])
+    edges = marginals.correlations_of(marginals.products_of(cells, ["side"]), ["side"]).where("gi < gj and abs(r) > 0.01").select("side", metrics.edge_key(F.col("gi"), F.col("gj")).alias("edge"))
     return edges.groupBy("edge").agg(F.max((F.col("side") == 0).cast("int")).alias("r"), F.max((F.col("side") == 1).cast("int")).alias("s")).agg(F.coalesce(F.sum("r"), F.lit(0)).alias("n_real"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_synth"), F.coalesce(F.sum(F.col("r") * F.col("s")), F.lit(0)).alias("shared"))
 
 

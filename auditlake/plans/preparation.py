@@ -10,7 +10,7 @@ from auditlake.functions.distributions import nudged_transform, qnorm, zinb_cdf,
 from auditlake.operators import marginals, prep, splits
 from auditlake.plans.registry import query
 from auditlake.sources.tables import conform, table
-from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, cells, dense, expr, vectors
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, EXPR_SQL, cells, dense, expr, profile, vectors
 
 
 @query("""SELECT p_partkey, translate(p_name, ' ,/:', '____') AS name, regexp_replace(p_brand, '#', '', 'g') AS brand FROM part""")
@@ -258,14 +258,16 @@ def normal_scores(spark, sf_dir):
 @query(f"""WITH {DENSE_SQL}, n AS (SELECT gi.cell_type, gi.gene AS gi, gj.gene AS gj, CASE WHEN isfinite(corr(gi.cnt, gj.cnt)) THEN corr(gi.cnt, gj.cnt) END AS r FROM dense gi JOIN dense gj ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene
   GROUP BY ALL) SELECT cell_type, gi, gj, round(r, 6) AS r FROM n""")
 def gene_correlations(spark, sf_dir):
-    r = marginals.correlations(dense(spark, sf_dir), ["cell_type"], "cnt")
+    cells = marginals.listed_counts(profile(spark, sf_dir), ["cell_type"])
+    r = marginals.correlations_of(marginals.products_of(cells, ["cell_type"]), ["cell_type"])
     return r.withColumn("r", F.round("r", 6))
 
 
 @query(f"""WITH {DENSE_SQL} SELECT gi.cell_type, gi.gene AS gi, gj.gene AS gj, round(sum(gi.cnt * gj.cnt) / greatest(count(*) - 1, 1), 6) AS r FROM dense gi JOIN dense gj
   ON gi.cell_id = gj.cell_id AND gi.gene <= gj.gene GROUP BY ALL""")
 def gene_second_moments(spark, sf_dir):
-    return marginals.second_moments(dense(spark, sf_dir), ["cell_type"], "cnt").withColumn("r", F.round("r", 6))
+    cells = marginals.listed_counts(profile(spark, sf_dir), ["cell_type"])
+    return marginals.second_moments_of(marginals.products_of(cells, ["cell_type"]), ["cell_type"]).withColumn("r", F.round("r", 6))
 
 
 _SPEARMAN = f"""WITH {DENSE_SQL}, r AS (SELECT cell_id, gene, role % 2 AS side, rank() OVER w + (count(*) OVER (PARTITION BY role % 2, gene, cnt) - 1) / 2 AS r FROM dense
