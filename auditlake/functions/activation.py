@@ -18,7 +18,7 @@ def activate_from_logits(df: DataFrame, logit: Column, out: str, by: list[str])
     """Group statistics are joined back, not windowed, and medians selected by counted ranges, so that a large group isn't one task's."""
     z = stored(df.withColumn("_l", logit))
     spread = z.groupBy(*by).agg(F.stddev_pop("_l").alias("_s"))
-    stats = joined(spread, grouped_median(z, "_l", by).withColumnRenamed("median", "_q"), by, "left")
+    stats = stored(joined(spread, grouped_median(z, "_l", by, held=True).withColumnRenamed("median", "_q"), by, "left"))  # of a known size
     return joined(z, stats, by).withColumn(out, sigmoid(F.try_divide(F.col("_l") - F.col("_q"), F.col("_s")))).drop("_l", "_s", "_q")
 
 

@@ -84,31 +84,42 @@ def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(renamed, same, how).drop(*(f"_j_{c}" for c in by))
 
 
-def grouped_median(rows: DataFrame, value: str, by: list[str], parts: int = 1024, enough: int = 1_000_000) -> DataFrame:
+def grouped_median(rows: DataFrame, value: str, by: list[str], parts: int = 1024, enough: int = 1_000_000, held: bool = False) -> DataFrame:
     """by, median: exact, of the values that aren't null; the mean of the middle two where their number is even.
 
-    Each pass cuts a group's candidates into `parts` ranges, counts them exactly and keeps the one or two that hold
-    the middle; passes are as many as bring a group of all rows down to `enough` candidates. Only those are then counted
-    by distinct value and ordered, so no task holds more than that or a range of equal values, which is one row.
+    Each pass cuts a group's candidates into ranges, counts them exactly and keeps the one or two that hold the middle. The first pass
+    cuts evenly within a deviation of the mean, where every median lies; passes that are still needed after it cut at approximate
+    quantiles, as many as bring a group of all rows down to `enough` candidates. Only those are then counted by distinct value
+    and ordered, so no task holds more than that or a range of equal values, which is one row.
+
+    held: rows are cheap to read again, as stored ones are, and aren't stored first.
     """
-    left = stored(rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null"))
-    n = left.count()
-    left = joined(left, left.groupBy(*by).agg(F.expr("(count(*) + 1) div 2").alias("_k1"), F.expr("count(*) div 2 + 1").alias("_k2")), by)
+    left = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    left = left if held else stored(left)
+    # stored, so that the sizes of small tables are known and the rows they are joined to aren't shuffled
+    about = stored(left.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s")))
+    n = about.agg(F.sum("_n")).first()[0] or 0
+    left = joined(left, about.select(*by, F.expr("(_n + 1) div 2").alias("_k1"), F.expr("_n div 2 + 1").alias("_k2"), "_m", "_s"), by)
+    if n > enough:
+        at = (F.col("_v") - (F.col("_m") - F.col("_s"))) / (F.col("_s") * (2 / parts))
+        spot = F.when(at < 0, 0).when(at >= parts, parts + 1).otherwise(F.floor(at) + 1)
+        even = F.when((F.col("_s") > 0) & (F.col("_s") < float("inf")), spot).otherwise(0).cast("int")
+        left = stored(_narrowed(left.withColumn("_p", even).drop("_m", "_s"), by))
+        n = left.count()
     for _ in range(max(0, math.ceil(math.log(max(n / enough, 1), parts)))):
-        left = stored(_narrowed(left, by, parts))
+        cuts = stored(left.groupBy(*by).agg(quantiles(F.col("_v"), parts).alias("_cuts")))
+        left = stored(_narrowed(joined(left, cuts, by).withColumn("_p", place(F.col("_cuts"), F.col("_v"), parts)).drop("_cuts"), by))
     seen = left.groupBy(*by, "_v", "_k1", "_k2").agg(F.count("*").alias("_n"))
     ordered = prefix_sums(seen, F.col("_v"), ["_n"], by, parts=n_ranges(min(n, enough)))
     holds = lambda k: F.max(F.when((F.col("upto__n") >= F.col(k)) & (F.col("upto__n") - F.col("_n") < F.col(k)), F.col("_v")))
     return ordered.groupBy(*by).agg(holds("_k1").alias("_a"), holds("_k2").alias("_b")).select(*by, (0.5 * F.col("_a") + 0.5 * F.col("_b")).alias("median"))
 
 
-def _narrowed(left: DataFrame, by: list[str], parts: int) -> DataFrame:
-    """The rows of the ranges that hold each group's _k1-th and _k2-th value, with places counted among them."""
-    cuts = left.groupBy(*by).agg(quantiles(F.col("_v"), parts).alias("_cuts"))
-    placed = joined(left, cuts, by).withColumn("_p", place(F.col("_cuts"), F.col("_v"), parts)).drop("_cuts")
+def _narrowed(placed: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the ranges _p that hold each group's _k1-th and _k2-th value, with places counted among them."""
     sizes = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))  # at most `parts` rows a group
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))  # at most a row a range
     wanted = sizes.withColumn("_upto", upto).where("_upto >= _k1 and _upto - _n < _k2")
-    first = wanted.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_n")).alias("_gone"), F.min("_p").alias("_p1"), F.max("_p").alias("_p2"))
+    first = stored(wanted.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_n")).alias("_gone"), F.min("_p").alias("_p1"), F.max("_p").alias("_p2")))
     kept = joined(placed, first, by).where("_p = _p1 or _p = _p2")
     return kept.select(*by, "_v", (F.col("_k1") - F.col("_gone")).alias("_k1"), (F.col("_k2") - F.col("_gone")).alias("_k2"))

@@ -23,10 +23,15 @@ def _models(spark, sf_dir, smooth: float = 0.01):
     A mean is a sum of nonzero counts over a number of cells, so zeros are never made rows.
     """
     counts = expr(spark, sf_dir).join(cells(spark, sf_dir).select("cell_id", *BY, "role"), "cell_id")
+    return _fitted(counts.select(*BY, "role", "gene", F.col("cnt").alias("x")), cells(spark, sf_dir).select(*BY, "role", F.lit(1).alias("n")), smooth)
+
+
+def _fitted(counts, sizes, smooth: float = 0.01):
+    """The models from parts of sums of counts (x, by role and gene) and of numbers of cells (n, by role)."""
     of = {"s": F.col("role") == 0, "a": F.col("role").isin(2, 3)}
-    sums = counts.groupBy(*BY, "gene").agg(*(F.sum(F.when(x, F.col("cnt"))).alias(f"sum_{k}") for k, x in of.items()))
-    sizes = cells(spark, sf_dir).groupBy(*BY).agg(*(F.count_if(x).alias(f"n_{k}") for k, x in of.items())).where("n_s > 0 and n_a > 0")
-    grid = sizes.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))))  # genes by types
+    sums = counts.groupBy(*BY, "gene").agg(*(F.sum(F.when(x, F.col("x"))).alias(f"sum_{k}") for k, x in of.items()))
+    both = sizes.groupBy(*BY).agg(*(F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, x in of.items())).where("n_s > 0 and n_a > 0")
+    grid = both.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))))  # genes by types
     mu = lambda k: F.coalesce(F.col(f"sum_{k}"), F.lit(0)) / F.col(f"n_{k}") + smooth
     fit = lambda k: grid.join(sums, [*BY, "gene"], "left").select(*BY, "gene", F.lit(0.0).alias("pi"), F.lit(float("inf")).alias("theta"), mu(k).alias("mu"))
     return membership.shared_genes(fit("s"), fit("a"), BY)
@@ -71,7 +76,7 @@ def class_b_llr(spark, sf_dir):
 
 @query(f"""WITH {_MODEL_SQL} SELECT cell_id, round(sum(cnt * ln(mu_s) - mu_s - lgamma(cnt + 1)), 6) AS log_s, count(*) AS n_genes FROM t GROUP BY 1""")
 def class_b_alone(spark, sf_dir):
-    e = membership.evidence(_mapped(spark, sf_dir), KEYS, BY)
+    e = _evidence(spark, sf_dir)
     return e.select("cell_id", F.round("log_s", 6).alias("log_s"), "n_genes")
 
 
@@ -79,13 +84,9 @@ _CDF_SQL = """cdf AS (SELECT t.*, list_sum(list_transform(range(cnt + 1), lambda
   list_sum(list_transform(range(floor(mu_s)::INT + 1), lambda k: exp(k * ln(mu_s) - mu_s - lgamma(k + 1)))) AS c_s, list_sum(list_transform(range(floor(mu_a)::INT + 1), lambda k: exp(k * ln(mu_a) - mu_a - lgamma(k + 1)))) AS c_a FROM t)"""
 
 
-def _mapped(spark, sf_dir):
-    return membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY)
-
-
 @query(f"WITH {_MODEL_SQL}, {_CDF_SQL} SELECT cell_id, round(0.5 * (ln(greatest(12 * sum((u_a - 0.5) ** 2), 1e-300)) - ln(greatest(12 * sum((u_s - 0.5) ** 2), 1e-300))), 6) AS diag FROM cdf GROUP BY 1")
 def class_b_diagonal(spark, sf_dir):
-    e = membership.evidence(_mapped(spark, sf_dir), KEYS, BY)
+    e = _evidence(spark, sf_dir)
     return e.select("cell_id", F.round("diag", 6).alias("diag"))
 
 
@@ -96,18 +97,38 @@ _DISTANCES_SQL = f"""{_CDF_SQL}, dist AS (SELECT i.cell_id, any_value(i.donor_id
   FROM cdf i JOIN cdf j ON i.cell_id = j.cell_id GROUP BY 1)"""
 
 
-def _precision(spark, sf_dir):
+def _precision(types):
     """(cell_type, p) of every type that has cells, the matrix row by row."""
     at = F.sequence(F.lit(0), F.lit(GENES - 1))
     row = lambda i: F.transform(at, lambda j: F.when(i == j, 1.2).otherwise(F.pow(F.lit(0.3), F.abs(i - j))))
-    return cells(spark, sf_dir).select("cell_type").distinct().withColumn("p", F.flatten(F.transform(at, row)))
+    return types.withColumn("p", F.flatten(F.transform(at, row)))
+
+
+def _counted(spark, sf_dir):
+    """Cells stored once with their counts in an array; how often a type's and role's cells have a count (n; zeros left out); numbers of cells."""
+    held = stored(profile(spark, sf_dir).select("cell_id", "donor_id", "cell_type", "role", "counts"))
+    seen = held.select(*BY, "role", F.posexplode("counts").alias("gene", "cnt")).where("cnt <> 0")
+    return held, stored(seen.groupBy(*BY, "role", "gene", "cnt").agg(F.count("*").alias("n"))), stored(held.groupBy(*BY, "role").agg(F.count("*").alias("n")))
+
+
+def _targets_and_values(spark, sf_dir, primary=None):
+    """Training and holdout cells, and their distinct counts through the models; primary: a function of the two counts that marks genes."""
+    held, seen, sizes = _counted(spark, sf_dir)
+    model = stored(_fitted(seen.select(*BY, "role", "gene", (F.col("cnt").cast("long") * F.col("n")).alias("x")), sizes))
+    distinct = seen.where("role in (0, 1)").select(*BY, "gene", "cnt").distinct().unionByName(model.select(*BY, "gene", F.lit(0).alias("cnt")))
+    values = membership.mapped_counts(distinct, model, BY)
+    values = stored(values if primary is None else values.join(primary(seen, sizes), [*BY, "gene"]))
+    return held.where("role in (0, 1)").withColumn("member", (F.col("role") == 0).cast("int")), values
 
 
 def _scored(spark, sf_dir, primary=None):
-    """A row a cell: its evidence and both distances, from one grouping of its genes."""
-    rows = _mapped(spark, sf_dir) if primary is None else _mapped(spark, sf_dir).join(primary, [*BY, "gene"])
-    e = membership.cell_evidence(rows, KEYS, BY, None if primary is None else F.col("is_primary"))
-    return membership.fitted_distances(e, _precision(spark, sf_dir), "cell_id", sides={"delta_s": "d_s", "delta_a": "d_a"})
+    """A row a cell: its evidence and both distances, from one look at its counts."""
+    targets, values = _targets_and_values(spark, sf_dir, primary)
+    return membership.listed_evidence(targets, values, KEYS, "cell_type", _precision(values.select("cell_type").distinct()), primary and "is_primary")
+
+
+def _evidence(spark, sf_dir, deltas=""):
+    return membership.listed_evidence(*_targets_and_values(spark, sf_dir), KEYS, "cell_type", deltas=deltas)
 
 
 @query(f"WITH {_MODEL_SQL}, {_DISTANCES_SQL} SELECT cell_id, round(d_s, 6) AS d_s, round(d_a, 6) AS d_a, round(CASE WHEN d_s + d_a = 0 THEN 0.5 ELSE d_a / (d_s + d_a) END, 6) AS with_aux, round(1 / (d_s + 1e-4), 6) AS alone FROM dist")
@@ -123,9 +144,7 @@ def mahalanobis_fitted(spark, sf_dir):
     d = dense(spark, sf_dir).where("role = 0")
     fitted = marginals.poisson_marginals(d, BY)
     p = membership.precision_tables(marginals.gaussian_copula(d, fitted, BY), "cell_type")
-    rows = membership.mapped(_targets(spark, sf_dir), _models(spark, sf_dir), BY, "s")
-    delta = F.transform(F.array_sort(F.collect_list(F.struct("gene", (F.col("u_s") - F.col("c_s")).alias("d")))), lambda x: x["d"])
-    return membership.fitted_distances(rows.groupBy(*KEYS, *BY).agg(delta.alias("delta")), p, "cell_id")
+    return membership.fitted_distances(_evidence(spark, sf_dir, "s").select(*KEYS, *BY, F.col("delta_s").alias("delta")), p, "cell_id")
 
 
 _QUAD_SQL = f"""WITH {_MODEL_SQL}, {_DISTANCES_SQL}, e AS (SELECT cell_id, sum(cnt * ln(mu_s / mu_a) - mu_s + mu_a) AS llr, count(*) AS n_genes FROM cdf GROUP BY 1),
@@ -183,7 +202,7 @@ SELECT cell_id, round(coalesce(p, 0) + g, 6) AS score FROM own LEFT JOIN pairs U
 def pairwise_score(spark, sf_dir):
     pairs = [(t, i, j, 0.8 ** (j - i), 0.7 ** (j - i)) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for i in range(GENES) for j in range(i + 1, GENES)]
     corr = spark.createDataFrame(pairs, "cell_type string, gi int, gj int, r_s double, r_a double")
-    return membership.pairwise_score(_mapped(spark, sf_dir), corr, "cell_type", KEYS).select("cell_id", F.round("score", 6).alias("score"))
+    return membership.pairwise_score(*_targets_and_values(spark, sf_dir), corr, "cell_type", KEYS).select("cell_id", F.round("score", 6).alias("score"))
 
 
 _CLOSE_SQL = """WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount + 0.01 AS a, l_tax + 0.01 AS b, l_quantity / 25 - 1 AS c FROM lineitem)"""
@@ -253,8 +272,10 @@ _PRIMARY = """zc AS (SELECT cell_type, gene, count(*) FILTER (WHERE cnt = 0) AS
 pr AS (SELECT cell_type, gene, row_number() OVER (PARTITION BY cell_type ORDER BY zeros, gene) <= 16 AS is_primary FROM zc)"""
 
 
-def _primary(spark, sf_dir):
-    zeros = dense(spark, sf_dir).where("role = 0").groupBy(*BY, "gene").agg(F.count_if(F.col("cnt") == 0).alias("zeros"))
+def _primary(seen, sizes):
+    train = seen.where("role = 0").groupBy(*BY, "gene").agg(F.sum("n").alias("nonzero"))
+    grid = sizes.where("role = 0").select(*BY, "n", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))).alias("gene"))
+    zeros = grid.join(train, [*BY, "gene"], "left").withColumn("zeros", F.col("n") - F.coalesce("nonzero", F.lit(0)))
     w = Window.partitionBy(*BY).orderBy("zeros", "gene")  # genes of a type
     return zeros.select(*BY, "gene", (F.row_number().over(w) <= 16).alias("is_primary"))
 
@@ -277,8 +298,8 @@ r AS (SELECT *, rank() OVER (PARTITION BY variant, side ORDER BY score) + (count
 SELECT variant, side, round((sum(r) FILTER (WHERE member = 1) - sum(member) * (sum(member) + 1) / 2) / (sum(member) * sum(1 - member)), 6) AS auc, sum(n)::BIGINT AS n_cells FROM r GROUP BY ALL""")
 def ablation_variants(spark, sf_dir):
     """Donor AUC of all eighteen variants with and without auxiliary evidence, from one grouping of each cell's genes."""
-    donors = membership.ablation_scores(membership.ablation_logits(_scored(spark, sf_dir, _primary(spark, sf_dir)), KEYS)).withColumn("score", F.round("score", 9))
-    donors = stored(donors)
+    cells_of = _scored(spark, sf_dir, _primary).repartition("donor_id")  # a donor's cells lie together before they are widened
+    donors = stored(membership.ablation_scores(membership.ablation_logits(cells_of, ["donor_id", "member"])).withColumn("score", F.round("score", 9)))
     sizes = donors.groupBy("variant", "side").agg(F.sum("n_cells").alias("n_cells"))
     auc = metrics.roc_auc(donors, "member", "score", ["variant", "side"]).select("variant", "side", F.round("auc", 6).alias("auc"))
     return auc.join(sizes, ["variant", "side"])
@@ -311,9 +332,10 @@ r AS (SELECT *, rank() OVER (PARTITION BY gamma ORDER BY score) + (count(*) OVER
 SELECT gamma, round((sum(r) FILTER (WHERE member = 1) - sum(member) * (sum(member) + 1) / 2) / (sum(member) * sum(1 - member)), 6) AS auc, sum(member)::BIGINT AS n_pos, sum(1 - member)::BIGINT AS n_neg FROM r GROUP BY gamma""")
 def ablation_grid(spark, sf_dir):
     """AUC of every weight of the evidence, from one pass over the cells' distances and ratios."""
-    gammas = F.explode(F.array(*(F.lit(float(g)) for g in (0, 0.1, 0.25, 0.5, 1, 2))))
-    logit = F.log(F.col("d_a") + 1e-4) - F.log(F.col("d_s") + 1e-4) + F.col("gamma") * F.col("llr")
-    donors = membership.donor_scores(_scored(spark, sf_dir).withColumn("gamma", gammas).withColumn("x", logit), "x", ("gamma",))
+    gammas = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0)
+    logit = lambda g: F.log(F.col("d_a") + 1e-4) - F.log(F.col("d_s") + 1e-4) + F.lit(g) * F.col("llr")
+    each = _scored(spark, sf_dir).select("donor_id", "member", *(logit(g).alias(f"x{i}") for i, g in enumerate(gammas)))
+    donors = membership.donor_means(each, [f"x{i}" for i in range(len(gammas))]).withColumn("gamma", F.array(*map(F.lit, gammas))[F.col("i")])
     return metrics.roc_auc(donors.withColumn("score", F.round("score", 9)), "member", "score", ["gamma"]).withColumn("auc", F.round("auc", 6))
 
 

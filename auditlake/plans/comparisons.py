@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import baselines, factors, marginals, membership, metrics, prep, privacy, reports, splits
-from auditlake.plans.audit import _QUAD_SQL, BY, KEYS, _mapped, _models, _quad, _targets
+from auditlake.plans.audit import _QUAD_SQL, BY, KEYS, _evidence, _models, _quad, _targets
 from auditlake.plans.registry import query
 from auditlake.sources.scratch import stored
 from auditlake.sources.tables import table
@@ -182,7 +182,7 @@ def noised_scores(spark, sf_dir, epsilons, seeds):
     noised = privacy.noisy_jobs(copula(own("role = 0")), grid, "cell_type", seeds).withColumn("job", F.concat_ws("|", "cell_type", F.col("epsilon").cast("string"), F.col("seed").cast("string")))
     names = noised.select("job", "cell_type", "epsilon", "seed").distinct()
     jobs = membership.precision_tables(noised, "job").join(names, "job").select("cell_type", "epsilon", "seed", "p")
-    e = membership.cell_evidence(_mapped(spark, sf_dir), KEYS, BY).select(*KEYS, *BY, "delta_s", "delta_a")
+    e = _evidence(spark, sf_dir, "sa").select(*KEYS, *BY, "delta_s", "delta_a")
     clean = membership.fitted_distances(e, membership.precision_tables(copula(own("role in (2, 3)")), "cell_type"), "cell_id", sides={"delta_a": "d_a"})
     d = membership.fitted_distances(clean, jobs, "cell_id", sides={"delta_s": "d_s"}, jobs=("epsilon", "seed"))
     return d.withColumns({"aux": membership.distance_ratio(F.col("d_s"), F.col("d_a")), "noaux": membership.closeness_only(F.col("d_s"))})

@@ -34,13 +34,17 @@ def genes(spark: SparkSession) -> DataFrame:
 
 def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that aren't zero: (cell_id, gene, cnt)."""
-    lines = table(spark, sf_dir, "lineitem")
+    return _counts(table(spark, sf_dir, "lineitem"))
+
+
+def _counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("cell_id"), (F.col("l_suppkey") % GENES).cast("int").alias("gene")).agg(F.sum("l_quantity").cast("int").alias("cnt"))
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a cell: cells' columns and counts, an array by gene with the zeros in it."""
-    pairs = expr(spark, sf_dir).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "cnt"))).alias("m"))
+    """One row a cell: cells' columns and counts, an array by gene with the zeros in it. Lines are dealt by cell once, for all steps."""
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    pairs = _counts(dealt).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "cnt"))).alias("m"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(GENES - 1)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0)))
     return cells(spark, sf_dir).join(pairs, "cell_id", "left").withColumn("counts", counts).drop("m")
 
