@@ -101,11 +101,18 @@ def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarra
     return value, prior * _sigmoid(fp) / len(fp), -_sigmoid(fu) / len(fu)
 
 
+def _texts_with(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """How many texts have each feature; a text's are distinct, so texts are counted one by one and never laid end to end."""
+    out = np.zeros(size, np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = 18, min_texts: int = 4, surprise: float = 6.0, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights of all features, and the bias."""
     size = 1 << bits
-    seen = np.bincount(np.concatenate(positive), minlength=size)
-    among = np.bincount(np.concatenate(unlabelled), minlength=size)
+    seen, among = _texts_with(positive, size), _texts_with(unlabelled, size)
     expected = (among + 1) * len(positive) / len(unlabelled)
     use = np.flatnonzero((seen >= min_texts) & (seen - expected > surprise * np.sqrt(expected)))
     to = np.full(size, -1, np.int64)

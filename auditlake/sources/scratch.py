@@ -65,7 +65,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 def tidy(spark: SparkSession) -> None:
     """Let both sides of the driver collect their garbage: shuffle files that no plan refers to any more go only then.
 
-    For the end of an iteration, whose rounds leave many; the driver's heap shrinks as well.
+    For the end of an iteration, whose rounds leave many, or of a stage; the driver's heap shrinks as well.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
