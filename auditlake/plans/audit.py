@@ -11,7 +11,7 @@ from auditlake.operators import marginals, membership, metrics, reports
 from auditlake.plans.registry import query
 from auditlake.sources.scratch import stored
 from auditlake.sources.tables import table
-from auditlake.sources.views import CELLS_SQL, DENSE_SQL, GENES, cells, dense, expr, profile
+from auditlake.sources.views import CELLS_SQL, DENSE_SQL, GENES, cells, counted, dense, expr, profile
 
 BY = ["cell_type"]
 KEYS = ["cell_id", "donor_id", "member"]
@@ -106,7 +106,7 @@ def _precision(types):
 
 def _counted(spark, sf_dir):
     """Cells stored once with their counts in an array; how often a type's and role's cells have a count (n; zeros left out); numbers of cells."""
-    held = stored(profile(spark, sf_dir).select("cell_id", "donor_id", "cell_type", "role", "counts"))
+    held = stored(counted(spark, sf_dir, "donor_id", "cell_type", "role"))
     seen = held.select(*BY, "role", F.posexplode("counts").alias("gene", "cnt")).where("cnt <> 0")
     return held, stored(seen.groupBy(*BY, "role", "gene", "cnt").agg(F.count("*").alias("n"))), stored(held.groupBy(*BY, "role").agg(F.count("*").alias("n")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import membership, ranges
 from auditlake.plans.registry import QUERIES
+from auditlake.sources import views
 
 BY, KEYS = ["cell_type"], ["cell_id", "donor_id", "member"]
 
@@ -73,3 +74,26 @@ def test_median_beside_far_and_endless_values(spark, held):
     got = {r["g"]: r["median"] for r in ranges.grouped_median(rows, "x", ["g"], parts=8, enough=40, held=held).collect()}
     want = {r["g"]: r["m"] for r in rows.groupBy("g").agg(F.median("x").alias("m")).collect()}
     assert got == want and len(got) == 5
+
+
+def test_counts_are_added_up_across_batches(spark):
+    """A list and a map were made of each cell's lines and joined to it; now lines and cells lie together, whatever the batch they fall in."""
+    cells = spark.createDataFrame([(None, "n"), (1, "a"), (2, "b"), (2, "twice"), (3, "none"), (-5, "low"), (0, "zero")], "cell_id long, kind string")
+    lines = [(2, g % 3, 1.0 + g) for g in range(40)] + [(1, 0, 5.0), (1, 0, 2.0), (-5, 2, 7.0), (9, 1, 3.0), (0, 1, 4.0)]
+    lines = spark.createDataFrame(lines, "cell_id long, gene int, x double")
+    want = {"n": [0, 0, 0], "a": [7, 0, 0], "b": [287, 260, 273], "twice": [287, 260, 273], "none": [0, 0, 0], "low": [0, 0, 7], "zero": [0, 4, 0]}
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set(name, size)
+            for order in (cells, cells.orderBy(F.desc("kind"))):
+                got = [(r["kind"], r["counts"]) for r in views.gathered(order.repartition(3), lines.repartition(4), 3).collect()]
+                assert len(got) == 7 and dict(got) == want
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_counted_cells_are_profiled_ones(spark):
+    small = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(tuple, df.select("cell_id", "donor_id", "cell_type", "role", "counts").collect()))
+    assert rows(views.counted(spark, small, "donor_id", "cell_type", "role")) == rows(views.profile(spark, small))
