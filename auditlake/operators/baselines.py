@@ -165,12 +165,12 @@ def kde_ratio(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str,
 def logan(test: DataFrame, synth: DataFrame, reference: DataFrame, key: str, steps: int | None = None, seed: int = 1) -> DataFrame:
     """(id, score): the raw synthetic-class output of a net of two layers of 256 that was told synthetic (1) from reference (0) rows.
 
-    Steps follow the test rows, 300 passes over as many in batches of 256, unless stated.
+    Steps follow the test rows, 300 passes over as many in batches of 256, unless stated. The net trains in single precision, as the original's.
     """
     side = lambda df, y: df.select(F.col(key).alias("_k"), "v", F.lit(y).alias("y"))
     d = len(synth.select("v").first()["v"])
     steps = int(300 * test.count() / 256) if steps is None else steps
-    return score_net(test, train_net(side(synth, 1).unionByName(side(reference, 0)), "_k", d, steps, seed=seed), key)
+    return score_net(test, train_net(side(synth, 1).unionByName(side(reference, 0)), "_k", d, steps, seed=seed, kind="float32"), key)
 
 
 def pca_scores(rows: DataFrame, key: str, k: int) -> DataFrame:

@@ -38,27 +38,38 @@ def gradient(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, Net]:
     """Mean cross-entropy of two classes, and its gradient."""
     held = [x]
     for k in range(0, len(net), 2):
-        z = held[-1] @ net[k] + net[k + 1]
-        held.append(np.maximum(z, 0) if k + 2 < len(net) else z)
+        z = held[-1] @ net[k]
+        z += net[k + 1]
+        held.append(np.maximum(z, 0, out=z) if k + 2 < len(net) else z)
     z = held[-1] - held[-1].max(axis=1, keepdims=True)
     p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
     rows = np.arange(len(y))
-    loss = -float(np.log(p[rows, y] + 1e-300).mean())
+    loss = -float(np.log(np.maximum(p[rows, y], np.finfo(p.dtype).tiny)).mean())
     p[rows, y] -= 1
     back, out = p / len(y), [None] * len(net)
     for k in range(len(net) - 2, -1, -2):
         out[k], out[k + 1] = held[k // 2].T @ back, back.sum(axis=0)
         if k:
-            back = (back @ net[k].T) * (held[k // 2] > 0)
+            back = back @ net[k].T
+            back *= held[k // 2] > 0
     return loss, out
 
 
 def adam(net: Net, moments: tuple[Net, Net], g: Net, step: int, rate: float = 1e-3) -> None:
-    """One step in place; steps count from 1."""
+    """One step in place, with one array beside a layer's own; steps count from 1."""
     for w, m, v, x in zip(net, *moments, g):
-        m += 0.1 * (x - m)
-        v += 0.001 * (x * x - v)
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        t = x - m
+        t *= 0.1
+        m += t
+        np.multiply(x, x, out=t)
+        t -= v
+        t *= 0.001
+        v += t
+        np.sqrt(np.multiply(v, 1 / (1 - 0.999**step), out=t), out=t)
+        t += 1e-8
+        np.divide(m, t, out=t)
+        t *= rate / (1 - 0.9**step)
+        w -= t
 
 
 def _flat(*nets: Net) -> np.ndarray:
@@ -73,11 +84,11 @@ def _fill(flat: np.ndarray, *nets: Net) -> None:
             at += a.size
 
 
-def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tuple[int, ...] = (256, 256), batch: int = 256, sync: int = 50, seed: int = 1, most: int = 2_000_000, each: int = 100_000) -> Net:
+def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tuple[int, ...] = (256, 256), batch: int = 256, sync: int = 50, seed: int = 1, most: int = 2_000_000, each: int = 100_000, kind: str = "float64") -> Net:
     """A net that tells y = 1 from y = 0: rows of key, v (array<double>) and y (int).
 
     At most about `most` rows are trained on, those of smallest hashed key; a task holds about `each` of them, and there are no more tasks than
-    the session runs at a time, since all must run together.
+    the session runs at a time, since all must run together. kind is the numbers' type while it trains.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -89,9 +100,9 @@ def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tu
     def run(frames):
         parts = [f for f in frames if len(f)]
         table = (pd.concat(parts) if parts else pd.DataFrame({key: [], "v": [], "y": []})).sort_values([key, "y"])
-        x, y = (np.stack(table["v"].to_numpy()).astype(float) if len(table) else np.zeros((0, dimensions))), table["y"].to_numpy().astype(int)
+        x, y = (np.stack(table["v"].to_numpy()).astype(kind) if len(table) else np.zeros((0, dimensions), kind)), table["y"].to_numpy().astype(int)
         here = BarrierTaskContext.get()
-        net = new_net(sizes, seed)
+        net = [a.astype(kind) for a in new_net(sizes, seed)]
         moments = ([np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net])
         own = max(1, batch // tasks)
         for step in range(1, steps + 1):
@@ -100,11 +111,11 @@ def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tu
                 adam(net, moments, gradient(net, x[at], y[at])[1], step)
             if tasks > 1 and (step % sync == 0 or step == steps):
                 mine = base64.b64encode(_flat(net, *moments).tobytes()).decode() if len(x) else ""
-                others = [np.frombuffer(base64.b64decode(m)) for m in here.allGather(mine) if m]
+                others = [np.frombuffer(base64.b64decode(m), kind) for m in here.allGather(mine) if m]
                 if others:
                     _fill(np.mean(others, axis=0), net, *moments)
         if here.partitionId() == 0:
-            yield pd.DataFrame({"k": range(len(net)), "w": [a.ravel() for a in net]})
+            yield pd.DataFrame({"k": range(len(net)), "w": [a.ravel().astype(float) for a in net]})
 
     dealt = rows.select(key, "v", "y").repartition(tasks, key)
     got = {r["k"]: np.array(r["w"]) for r in dealt.mapInPandas(run, "k int, w array<double>", barrier=True).collect()}  # the net's own numbers

@@ -1,8 +1,10 @@
 """Fitted models score rows whatever the session went through before."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import factors, metrics
+from auditlake.operators import factors, metrics, nets
 
 
 def test_models_of_two_classes_travel_from_a_session_with_tags(spark):
@@ -26,3 +28,31 @@ def test_generated_cells_are_drawn_and_labelled_in_one_pass(spark):
 
     plan = QUERIES["factor_generator"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_step_keeps_single_precision_and_works_in_place():
+    """Steps were taken in double precision, with nine arrays made for each layer."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(32, 6)), rng.integers(0, 2, 32)
+    found = {}
+    for kind in ("float64", "float32"):
+        net = [a.astype(kind) for a in nets.new_net([6, 8, 8, 2], 1)]
+        moments = ([np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net])
+        for step in range(1, 41):
+            loss, g = nets.gradient(net, x.astype(kind), y)
+            nets.adam(net, moments, g, step)
+        assert {a.dtype.name for a in (*net, *moments[0], *moments[1], *g)} == {kind} and np.isfinite(loss)
+        found[kind] = net
+    assert max(np.abs(a - b).max() for a, b in zip(*found.values())) < 1e-4
+    far = [np.array([[200.0, -200.0]], "float32"), np.zeros(2, "float32")]  # a probability that single precision has as zero
+    assert np.isfinite(nets.gradient(far, np.ones((1, 1), "float32"), np.array([1]))[0])
+
+
+@pytest.mark.parametrize("each", [10_000, 70])
+def test_a_net_of_single_precision_is_that_of_double(spark, each):
+    """With several tasks, what they send each other is read in the type it was written in."""
+    rows = spark.range(200).select("id", F.array(*(F.randn(i) + F.col("id") % 2 for i in range(4))).alias("v"), (F.col("id") % 2).cast("int").alias("y")).repartition(2)
+    fit = lambda kind: nets.train_net(rows, "id", 4, steps=30, hidden=(8, 8), batch=30, sync=15, each=each, kind=kind)
+    single, double = fit("float32"), fit("float64")
+    assert {a.dtype.name for a in single} == {"float64"}
+    assert 0 < max(np.abs(a - b).max() for a, b in zip(single, double)) < 1e-4
