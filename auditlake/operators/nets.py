@@ -1,7 +1,7 @@
 """A small classifier net trained data-parallel: the same numpy step in barrier tasks that average their weights.
 
-Each task keeps its share of a bounded sample in memory and steps through batches of it with Adam; every `sync` steps the tasks
-gather each other's weights and moments and go on from their mean, so all end with the same net. With one task it is plain
+Each task keeps its share of all rows in a file of its own, mapped into memory, and steps through batches of it with Adam; every `sync`
+steps the tasks gather each other's weights and moments and go on from their mean, so all end with the same net. With one task it is plain
 mini-batch Adam. Draws depend on the seed, the task's number and the step only: a rerun gives the same weights.
 """
 
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import base64
 import math
+import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Net = list[np.ndarray]
 
@@ -76,49 +77,57 @@ def _flat(*nets: Net) -> np.ndarray:
     return np.concatenate([a.ravel() for n in nets for a in n])
 
 
-def _fill(flat: np.ndarray, *nets: Net) -> None:
-    at = 0
-    for n in nets:
-        for a in n:
-            a[...] = flat[at : at + a.size].reshape(a.shape)
-            at += a.size
+def _share(batches, dimensions: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A task's rows as a matrix, which is a mapped file without a name, and their classes."""
+    held, sides = tempfile.TemporaryFile(), [np.zeros(0, np.int8)]
+    for batch in batches:
+        lists = batch.column("v")
+        if lists.null_count or batch.column("y").null_count or (lists.value_lengths().to_numpy(zero_copy_only=False) != dimensions).any():
+            raise ValueError("vectors and classes must be there, and vectors of one length")
+        held.write(lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes())
+        sides.append(batch.column("y").to_numpy(zero_copy_only=False).astype(np.int8))
+    held.flush()
+    y = np.concatenate(sides)
+    x = np.asarray(np.memmap(held, kind, "r", shape=(len(y), dimensions))) if len(y) else np.zeros((0, dimensions), kind)
+    return x, y
 
 
-def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tuple[int, ...] = (256, 256), batch: int = 256, sync: int = 50, seed: int = 1, most: int = 2_000_000, each: int = 100_000, kind: str = "float64") -> Net:
+def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tuple[int, ...] = (256, 256), batch: int = 256, sync: int = 50, seed: int = 1, each: int = 100_000, kind: str = "float64") -> Net:
     """A net that tells y = 1 from y = 0: rows of key, v (array<double>) and y (int).
 
-    At most about `most` rows are trained on, those of smallest hashed key; a task holds about `each` of them, and there are no more tasks than
-    the session runs at a time, since all must run together. kind is the numbers' type while it trains.
+    All rows are trained on; a task has about `each` of them, more only where there would be more tasks than the session runs at a time,
+    since all must run together. kind is the numbers' type while it trains.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(min(n, most) / each)))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / each)))
     sizes = [dimensions, *hidden, 2]
 
-    def run(frames):
-        parts = [f for f in frames if len(f)]
-        table = (pd.concat(parts) if parts else pd.DataFrame({key: [], "v": [], "y": []})).sort_values([key, "y"])
-        x, y = (np.stack(table["v"].to_numpy()).astype(kind) if len(table) else np.zeros((0, dimensions), kind)), table["y"].to_numpy().astype(int)
+    def run(batches):
+        x, y = _share(batches, dimensions, kind)
         here = BarrierTaskContext.get()
-        net = [a.astype(kind) for a in new_net(sizes, seed)]
-        moments = ([np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net])
+        flat = _flat(new_net(sizes, seed)).astype(kind)
+        state = np.concatenate([flat, np.zeros(2 * len(flat), kind)])  # weights and both moments
+        weights, *moments = np.split(state, 3)
+        net, g = [a.astype(kind) for a in new_net(sizes, seed)], np.empty_like(flat)
+        at = 0
+        for k, a in enumerate(net):  # layers are views of the weights
+            net[k] = weights[at : at + a.size].reshape(a.shape)
+            at += a.size
         own = max(1, batch // tasks)
         for step in range(1, steps + 1):
             if len(x):
                 at = np.random.default_rng([seed, here.partitionId(), step]).integers(0, len(x), own)
-                adam(net, moments, gradient(net, x[at], y[at])[1], step)
+                np.concatenate([a.ravel() for a in gradient(net, x[at], y[at].astype(int))[1]], out=g)
+                adam([weights], ([moments[0]], [moments[1]]), [g], step)
             if tasks > 1 and (step % sync == 0 or step == steps):
-                mine = base64.b64encode(_flat(net, *moments).tobytes()).decode() if len(x) else ""
-                others = [np.frombuffer(base64.b64decode(m), kind) for m in here.allGather(mine) if m]
+                others = [np.frombuffer(base64.b64decode(m), kind) for m in here.allGather(base64.b64encode(state.tobytes()).decode() if len(x) else "") if m]
                 if others:
-                    _fill(np.mean(others, axis=0), net, *moments)
+                    state[:] = np.mean(others, axis=0)
         if here.partitionId() == 0:
-            yield pd.DataFrame({"k": range(len(net)), "w": [a.ravel().astype(float) for a in net]})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(net)), pa.int32()), "w": [a.ravel().astype(float) for a in net]})
 
-    dealt = rows.select(key, "v", "y").repartition(tasks, key)
-    got = {r["k"]: np.array(r["w"]) for r in dealt.mapInPandas(run, "k int, w array<double>", barrier=True).collect()}  # the net's own numbers
+    dealt = rows.select(key, "v", "y").repartition(tasks, key).sortWithinPartitions(key, "y", "v").select("v", "y")
+    got = {r["k"]: np.array(r["w"]) for r in dealt.mapInArrow(run, "k int, w array<double>", barrier=True).collect()}  # the net's own numbers
     net = new_net(sizes, seed)
     for k, w in got.items():
         net[k] = w.reshape(net[k].shape)

@@ -56,3 +56,25 @@ def test_a_net_of_single_precision_is_that_of_double(spark, each):
     single, double = fit("float32"), fit("float64")
     assert {a.dtype.name for a in single} == {"float64"}
     assert 0 < max(np.abs(a - b).max() for a, b in zip(single, double)) < 1e-4
+
+
+def test_all_rows_of_a_large_table_train_the_net(spark):
+    """Beyond two million rows only those of small hashed keys were trained on; here the others are a class of their own."""
+    n = 2_200_000
+    far = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) >= F.lit(int((1 << 30) * 2_000_000 / n))).cast("int")
+    rows = spark.range(n).select("id", far.alias("y")).withColumn("v", F.array(F.col("y") * 4.0 - 2.0))
+    net = nets.train_net(rows, "id", 1, steps=60, hidden=(8, 8), batch=512, sync=60)
+    low, high = nets.logits(net, np.array([[-2.0], [2.0]]))
+    assert low[0] > low[1] and high[1] > high[0]
+
+
+def test_a_share_is_mapped_as_it_came():
+    import pyarrow as pa
+
+    v = np.random.default_rng(1).normal(size=(7, 3))
+    batches = [pa.RecordBatch.from_pydict({"v": list(v[a:b]), "y": pa.array([i % 2 for i in range(a, b)], pa.int32())}) for a, b in ((0, 4), (4, 7))]
+    x, y = nets._share(batches, 3, "float32")
+    assert x.dtype == "float32" and (x == v.astype("float32")).all() and y.tolist() == [0, 1, 0, 1, 0, 1, 0]
+    assert nets._share([], 3, "float32")[0].shape == (0, 3)
+    with pytest.raises(ValueError):
+        nets._share(batches, 2, "float32")
