@@ -3,13 +3,21 @@
 Each task keeps its share of all rows in a file of its own, mapped into memory, and steps through batches of it with Adam; every `sync`
 steps the tasks gather each other's weights and moments and go on from their mean, so all end with the same net. With one task it is plain
 mini-batch Adam. Draws depend on the seed, the task's number and the step only: a rerun gives the same weights.
+
+What the tasks gather goes through files in the folder that the cluster shares, if all of them see it as a path; else through Spark's
+barrier, which waits a second at least each time. The numbers are the same.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import os
 import tempfile
+import time
+import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,6 +25,8 @@ import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 
+from auditlake.sources.scratch import delete, local_folder
+
 Net = list[np.ndarray]
 
 
@@ -77,6 +87,37 @@ def _flat(*nets: Net) -> np.ndarray:
     return np.concatenate([a.ravel() for n in nets for a in n])
 
 
+def _gatherer(here: BarrierTaskContext, folder: str | None) -> Callable[[bytes], list[bytes]]:
+    """What gathers the bytes of all tasks, in their order. Folders count as shared only if every task reads what every other wrote."""
+    own, at = f"{here.stageId()}-{here.taskAttemptId()}", 0  # another one in every attempt
+    try:
+        if folder:
+            Path(folder, f"{own}-0").touch()
+    except OSError:
+        pass
+    names = here.allGather(own)
+    shared = here.allGather("yes" if folder and all(Path(folder, f"{name}-0").exists() for name in names) else "no")
+
+    def gather(data: bytes) -> list[bytes]:
+        """A file a task and turn; who has the others' next files knows that all have read the last ones."""
+        nonlocal at
+        at += 1
+        written = Path(folder, f"{own}-{at}")
+        written.with_suffix(".part").write_bytes(data)
+        os.replace(written.with_suffix(".part"), written)
+        out = []
+        for name in names:
+            while not (found := Path(folder, f"{name}-{at}")).exists():
+                time.sleep(0.0005)
+            out.append(found.read_bytes())
+        Path(folder, f"{own}-{at - 1}").unlink(missing_ok=True)
+        return out
+
+    if "no" in shared:
+        return lambda data: [base64.b64decode(x) for x in here.allGather(base64.b64encode(data).decode())]
+    return gather
+
+
 def _share(batches, dimensions: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """A task's rows as a matrix, which is a mapped file without a name, and their classes."""
     held, sides = tempfile.TemporaryFile(), [np.zeros(0, np.int8)]
@@ -101,10 +142,12 @@ def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tu
     spark = rows.sparkSession
     tasks = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / each)))
     sizes = [dimensions, *hidden, 2]
+    made, folder = local_folder(spark, f"net-{uuid.uuid4().hex}") if tasks > 1 else (None, None)
 
     def run(batches):
         x, y = _share(batches, dimensions, kind)
         here = BarrierTaskContext.get()
+        gather = _gatherer(here, folder) if tasks > 1 else None
         flat = _flat(new_net(sizes, seed)).astype(kind)
         state = np.concatenate([flat, np.zeros(2 * len(flat), kind)])  # weights and both moments
         weights, *moments = np.split(state, 3)
@@ -120,14 +163,18 @@ def train_net(rows: DataFrame, key: str, dimensions: int, steps: int, hidden: tu
                 np.concatenate([a.ravel() for a in gradient(net, x[at], y[at].astype(int))[1]], out=g)
                 adam([weights], ([moments[0]], [moments[1]]), [g], step)
             if tasks > 1 and (step % sync == 0 or step == steps):
-                others = [np.frombuffer(base64.b64decode(m), kind) for m in here.allGather(base64.b64encode(state.tobytes()).decode() if len(x) else "") if m]
+                others = [np.frombuffer(m, kind) for m in gather(state.tobytes() if len(x) else b"") if m]
                 if others:
                     state[:] = np.mean(others, axis=0)
         if here.partitionId() == 0:
             yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(net)), pa.int32()), "w": [a.ravel().astype(float) for a in net]})
 
     dealt = rows.select(key, "v", "y").repartition(tasks, key).sortWithinPartitions(key, "y", "v").select("v", "y")
-    got = {r["k"]: np.array(r["w"]) for r in dealt.mapInArrow(run, "k int, w array<double>", barrier=True).collect()}  # the net's own numbers
+    try:
+        got = {r["k"]: np.array(r["w"]) for r in dealt.mapInArrow(run, "k int, w array<double>", barrier=True).collect()}  # the net's own numbers
+    finally:
+        if made:
+            delete(spark, made)
     net = new_net(sizes, seed)
     for k, w in got.items():
         net[k] = w.reshape(net[k].shape)

@@ -24,12 +24,27 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/auditlake-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def local_folder(spark: SparkSession, name: str) -> tuple[str, str] | tuple[None, None]:
+    """A new folder in the shared one, as Spark names it and as a path; no folder where Spark's store isn't one of files."""
+    jvm = spark.sparkContext._jvm
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/{name}")
+    except ValueError:  # none is set
+        return None, None
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.makeQualified(where).toUri()
+    if found.getScheme() != "file":
+        return None, None
+    store.mkdirs(where)
+    return found.toString(), found.getPath()
+
+
 def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """df written once to the shared folder and read again.
 
@@ -41,7 +56,7 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     if instead_of is not None:
-        _delete(spark, instead_of._stored_at)
+        delete(spark, instead_of._stored_at)
     return out
 
 
@@ -59,7 +74,7 @@ def reread(spark: SparkSession, model):
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete these stored tables, or, without any, all that this application has stored; results not yet read are lost with them."""
     for path in [t._stored_at for t in tables] or [_folder(spark)]:
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -1,5 +1,8 @@
 """Fitted models score rows whatever the session went through before."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +81,21 @@ def test_a_share_is_mapped_as_it_came():
     assert nets._share([], 3, "float32")[0].shape == (0, 3)
     with pytest.raises(ValueError):
         nets._share(batches, 2, "float32")
+
+
+def test_tasks_of_a_net_do_not_wait_a_second_for_each_other(spark, monkeypatch):
+    """Every exchange went through Spark's barrier, which looks once a second; the numbers are those of the barrier still."""
+    rows = spark.range(120).select("id", F.array(*(F.randn(i) + F.col("id") % 2 for i in range(4))).alias("v"), (F.col("id") % 2).cast("int").alias("y"))
+    fit = lambda steps: nets.train_net(rows, "id", 4, steps=steps, hidden=(8, 8), batch=30, sync=2, each=40, kind="float32")
+    fit(2)
+    began, made = time.time(), []
+    kept = nets.local_folder
+    monkeypatch.setattr(nets, "local_folder", lambda *a: made.append(kept(*a)) or made[-1])
+    fit(100)
+    assert time.time() - began < 25
+    assert not os.path.exists(made[0][1])  # what was exchanged is gone
+    few = fit(8)
+    monkeypatch.setattr(nets, "local_folder", lambda *a: (None, None))
+    assert all((a == b).all() for a, b in zip(few, fit(8)))
+    monkeypatch.setattr(nets, "local_folder", lambda *a: (None, "/proc/no/such/folder"))
+    assert all((a == b).all() for a, b in zip(few, fit(8)))
