@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -681,6 +682,65 @@ def test_packed_products_are_those_of_the_rounded_query():
         assert np.allclose(got, (2.0 * bits - 1) @ rounded)
 
 
+def _coded(ids, v, mean, turn):
+    bits, far, inner = ann.encode(v, mean, turn)
+    return pa.table({"id": ids, "v": pa.array(list(v)), "code": [b.tobytes() for b in bits], "far": far, "inner": inner})
+
+
+def test_search_measures_few_pairs_exactly(monkeypatch):
+    """At 64 dimensions the codes let through two pairs of five; each of them was measured in double precision, a query at a time."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6000, 64))
+    v[3000:3040] = v[5]  # ties, which go by id
+    ids, asked = rng.permutation(6000), [3, 5, 3007, *range(40, 75)]
+    mean, turn, measured, cosines = np.zeros(64), ann.rotation(64), [], ann._cosines
+    monkeypatch.setattr(ann, "_cosines", lambda c, q: measured.append(c.shape[1]) or cosines(c, q))
+    queries = pa.table({"id": ids[asked], "v": pa.array(list(v[asked]))})
+    got = ann._search(queries, _coded(ids, v, mean, turn), 5, 64, mean, turn, 4.5).to_pydict()
+    assert sum(measured) < 0.05 * len(asked) * len(ids)
+    found = {}
+    for q, i in sorted(zip(got["query_id"], zip(-np.array(got["score"]), got["id"]))):
+        found.setdefault(q, []).append(i[1])
+    for n in asked:
+        score = np.round(v @ v[n] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[n]), 12)
+        assert found[ids[n]] == [ids[j] for j in np.lexsort((ids, -score)) if j != n][:5]
+
+
+def test_bounds_are_those_of_the_codes_and_hardly_wider():
+    rng = np.random.default_rng(9)
+    for d in (3, 64, 100):
+        v, q = rng.normal(size=(50, d)) + 0.3, rng.normal(size=(7, d))
+        v[7] = q[2]
+        mean, turn = ann._unit(v).mean(axis=0), ann.rotation(d)
+        bits, far, inner = ann.encode(v, mean, turn)
+        rest = (ann._unit(q) - mean) @ turn
+        got = ann._Bounds(bits, far, inner, rest, 4.5)(slice(0, 7), slice(0, 50))
+        for x, found in zip(rest, got):
+            plane, low, step, rounded = ann.planes(x)
+            estimate = ann._products(bits, np.bitwise_count(bits).sum(axis=1, dtype=np.int64), plane, low, step, rounded) / (d**0.5 * inner)
+            middle = 1 - (far**2 + x @ x) / 2 + far * estimate
+            wide = 4.5 * far * np.sqrt((1 - np.minimum(inner, 1) ** 2) / inner**2 / (d - 1) * (x @ x) + ((x - rounded) ** 2).sum() / (d * inner**2))
+            assert (found >= middle + wide).all() and (found <= middle + 1.05 * wide + 2e-4).all()
+
+
+def test_pairs_that_codes_let_through_are_found_few_or_many():
+    rng = np.random.default_rng(10)
+    u, c = (ann._unit(rng.normal(size=(n, 8))).astype(np.float32) for n in (6, 400))
+    for share in (0.01, 0.9):
+        let = rng.random((6, 400)) < share
+        row, at = ann._passing(u, c, let, np.full(6, 0.2, np.float32))
+        assert list(zip(row, at)) == [(i, j) for i, j in zip(*np.nonzero(let)) if u[i] @ c[j] >= 0.2]
+
+
+def test_a_small_table_is_searched_in_several_blocks(spark, monkeypatch):
+    """Up to 65,536 rows were one group, so one task had all the work."""
+    rows = spark.range(8192).select(F.col("id").alias("vec_id"), F.array(F.randn(1), F.randn(2)).alias("embedding"))
+    seen, kept = [], ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df: seen.append(df._jdf.queryExecution().analyzed().toString()) or kept(df))
+    assert ann.nearest(rows, F.col("vec_id") % 1000 == 0).count() == 45
+    assert re.findall(r"pmod\(xxhash64\(id#\d+L, 42\), cast\((\d+) as bigint\)\)", seen[0]) == ["4"]
+
+
 def test_recall_at_many_dimensions(spark):
     rng = np.random.default_rng(6)
     v = {i: x for i, x in enumerate(rng.normal(size=(2000, 64)))}
